@@ -3,7 +3,7 @@
 A text is cut into lines; each line must pass every line rule, or it is removed. A document is rejected when the lines
 that stay hold too little of its word characters. Rules (all are parameters of ``LineRules``):
 
-* punctuation: the line ends in a sentence mark, and words that end in two or more such marks are no large share of it;
+* punctuation: the line has a sentence mark at its end or before a space, and words that end in two or more such marks are no large share of it;
 * navigation: it does not hold two or more separators, and symbols are no large share of it;
 * boilerplate: it repeats no earlier line, and has no phrase of the boilerplate list.
 
@@ -14,41 +14,49 @@ repeated rows give repeated results; an empty table gives no rows. Only doc_id a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, let, words
 
-SPACES = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class LineRules:
-    terminal: str = r"[.!?:;…\"'”’)\]][\x20\x09-\x0D]*$"
+    terminal: str = r"[.!?:;…\"'”’)\]]([\x20\x09-\x0D]|$)"
     doubled_marks: str = r"[!?]{2,}"
     max_doubled_share: float = 0.2
     symbols: str = "#*$%&|<>"
     max_symbol_share: float = 0.1
     separators: str = "|"
     max_separators: int = 1
-    boilerplate: str = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign in|subscribe)"
+    boilerplate: tuple[str, ...] = (
+        "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript",
+        "lorem ipsum", "click here", "subscribe",
+    )
     min_kept_share: float = 0.5
 
 
 def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
     """Whether one line passes every rule."""
-    chars = F.greatest(F.length(F.regexp_replace(line, SPACES, "")), F.lit(1))
+    chars = F.greatest(F.length(F.translate(line, SPACES, "")), F.lit(1))
     n_symbols = F.length(line) - F.length(F.translate(line, rules.symbols, ""))
     n_separators = F.length(line) - F.length(F.translate(line, rules.separators, ""))
-    n_words = F.size(F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1)))
-    n_doubled = F.size(F.regexp_extract_all(line, F.lit(f"({rules.doubled_marks})"), F.lit(1)))
+    n_words = F.regexp_count(line, F.lit(WORD))
+    n_doubled = F.regexp_count(line, F.lit(rules.doubled_marks))
+    lower = F.lower(line)
+    phrases = [lower.contains(x) for x in rules.boilerplate]
+    # the cheap test of each rule comes first, its counts only where that test does not settle it
     return (
         line.rlike(rules.terminal)
         & (n_separators <= rules.max_separators)
-        & (n_symbols <= F.lit(rules.max_symbol_share) * chars)
-        & (n_doubled <= F.lit(rules.max_doubled_share) * n_words)
-        & ~line.rlike(rules.boilerplate)
+        & ((n_symbols == 0) | (n_symbols <= F.lit(rules.max_symbol_share) * chars))
+        & (~line.rlike(rules.doubled_marks) | (n_doubled <= F.lit(rules.max_doubled_share) * n_words))
+        & ~reduce(or_, phrases)
     )
 
 
@@ -61,11 +69,11 @@ def repeated_words(tokens: Column, n: int = 3) -> Column:
 
     def of(w: Column) -> Column:
         window = lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"), i.alias("p"))
-        pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - n), window))
+        pairs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - n), window))
         twice = lambda s: F.filter(
             s, lambda x, i: (F.get(s, i + 1)["h"].eqNullSafe(x["h"])) | ((i > 0) & F.get(s, i - 1)["h"].eqNullSafe(x["h"]))
         )
-        places = let(pairs, lambda s: F.array_sort(F.transform(twice(s), lambda x: x["p"])))
+        places = let(pairs, lambda s: F.sort_array(F.transform(twice(s), lambda x: x["p"])))
         steps = let(places, lambda p: F.transform(p, lambda x, i: F.least(F.lit(n), F.coalesce(F.get(p, i + 1) - x, F.lit(n)))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
@@ -89,7 +97,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        F.length(F.regexp_replace(F.array_join(clean_lines(F.col("t"), rules), ""), SPACES, "")).cast("long").alias("kept_chars"),
+        F.length(F.translate(F.array_join(clean_lines(F.col("t"), rules), ""), SPACES, "")).cast("long").alias("kept_chars"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stays = F.col("kept_chars") >= F.lit(rules.min_kept_share) * F.col("word_chars")
@@ -103,5 +111,5 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     """The kept documents with their cleaned text; all other columns stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = F.array_join(clean_lines(text, rules), "\n")
-    chars = lambda c: F.length(F.regexp_replace(c, SPACES, ""))
+    chars = lambda c: F.length(F.translate(c, SPACES, ""))
     return docs.where(chars(kept) >= F.lit(rules.min_kept_share) * chars(text)).withColumn(text_col, kept)
