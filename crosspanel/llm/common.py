@@ -42,5 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of a few integers a row is broadcast with at most so many rows; beyond that, joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if a count shows that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few, materialize
 from .components import components
 from .shingles import MASK, mix, shingle_set
 
@@ -40,8 +40,6 @@ SMALL, LARGE = 14, 12
 SAMPLE, FREQUENT = 8, 3
 #: At most so many frequent shingles (8 bytes each) are sent to the executors; the most frequent ones.
 MOST_FREQUENT = 1 << 20
-#: A table of (hash, id) with at most so many rows is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def prefix_length(n: int) -> int:
@@ -145,8 +143,6 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> Dat
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = materialize(members.join(needed, "h", "left_semi").select("h", F.col("rep").alias("doc_id")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +163,7 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> Dat
                 keep.append(180 * int((both[1:] == both[:-1]).sum()) >= 80 * (len(s) + len(t)))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    shingled = docs.join(wanted, "doc_id").select("h", "text").mapInArrow(run, "h long, s binary")
+    shingled = docs.join(few(wanted), "doc_id").select("h", "text").mapInArrow(run, "h long, s binary")
     first = pairs.select("a", "b").join(shingled.select(F.col("h").alias("a"), F.col("s").alias("x")), "a")
     both = first.join(shingled.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, quality_rules, sharding, token_store, tokens
+from . import jaccard_join, language, mixing, neighbours, quality_rules, sharding, substring_dedup, token_store, tokens
 from .common import shared_folder, table
 
 
@@ -32,10 +32,19 @@ def op5_int8_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=5)
+
+
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
@@ -54,7 +63,9 @@ QUERIES = {
         op3_rank_order_language,
         op4_backtracking_bpe,
         op5_int8_block_neighbours,
+        op6_fm_index_dedup,
         op7_line_first_quality,
+        op8_heavy_light_jaccard,
         op9_simple8b_tokens,
         op10_capped_water_filling,
     )
