@@ -227,5 +227,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose component has a smaller id."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    others = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(others, id_col, "left_anti")
+    others = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(few(others), id_col, "left_anti")

@@ -143,6 +143,18 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE) -> DataFrame:
+    """The documents, with all their columns, that have a language; those predicted ``und`` go."""
+    model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.predict(t)[0] != UND for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fits on the documents outside the held-out fifth and predicts all: doc_id, held_out, lang_pred, score."""
     profiles = fit(docs.where(~held_out(F.col(id_col))), lang_col, id_col, text_col)

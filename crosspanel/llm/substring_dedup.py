@@ -198,6 +198,15 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataF
     return parts.unionByName(whole)
 
 
+def uncovered(words: list[bytes], runs: list[dict], k: int) -> list[bytes]:
+    """The words that no window of the runs covers."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    for r in runs:
+        edge[r["first"]] += 1
+        edge[r["first"] + r["n"] + k - 1] -= 1
+    return [w for w, covered in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not covered]
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and kept_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -211,11 +220,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: st
                 words = text.encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 if runs:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for r in runs:
-                        edge[r["first"]] += 1
-                        edge[r["first"] + r["n"] + k - 1] -= 1
-                    words = [w for w, covered in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not covered]
+                    words = uncovered(words, runs, k)
                 gone.append(n[-1] - len(words))
                 rest = b" ".join(words)
                 kept.append(rest.decode("utf-8", "surrogatepass"))
@@ -231,3 +236,28 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: st
     lose = base.join(touched, "d", "left_semi").join(runs, "d").select("doc_id", "text", "runs")
     stay = base.join(touched, "d", "left_anti").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     return lose.unionByName(stay).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without their repeated windows.
+
+    A text that loses words becomes the words that stay, joined by one space; other texts stay as they are.
+    """
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    base = docs.select(key.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    runs = materialize(repeated_windows(base, k, m).distinct()).groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
+    touched = few(materialize(runs.select(F.col("d").alias("_key"))))
+    keyed = docs.withColumn("_key", key)
+    lose = keyed.join(touched, "_key", "left_semi").join(runs.withColumnRenamed("d", "_key"), "_key")
+    at, runs_at = lose.columns.index(text_col), lose.columns.index("_runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
+                words = text.encode("utf-8", "surrogatepass").split()
+                texts.append(b" ".join(uncovered(words, runs, k)).decode("utf-8", "surrogatepass"))
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_key", "_runs"])
+
+    cut_texts = lose.mapInArrow(run, docs.schema)
+    return cut_texts.unionByName(keyed.join(touched, "_key", "left_anti").select(*docs.columns))

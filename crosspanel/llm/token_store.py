@@ -15,7 +15,6 @@ no rows; a null id comes first. Only the id and text columns are read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,10 +44,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(n + int(COUNTS[0]), np.uint64)
     padded[:n] = v
     padded[large] = ESCAPE
+    bits = np.zeros(len(padded), np.uint8)  # numbers from 2**53 up round to a power of two at most, which is on the safe side
+    bits[:n] = np.minimum(np.frexp(padded[:n].astype(np.float64))[1], 60)
     choice = np.full(n, 15, np.uint8)
+    over = np.zeros(len(padded) + 1, np.int32)
     for s in range(14, -1, -1):
-        over = np.zeros(len(padded) + 1, np.int32)
-        np.cumsum(padded >> np.uint64(WIDTHS[s]) > 0, out=over[1:])
+        np.cumsum(bits > WIDTHS[s], out=over[1:], dtype=np.int32)
         fits = over[COUNTS[s] : COUNTS[s] + n] == over[:n]
         if not fits.any():
             break  # what does not fit here fits in no longer run of narrower ids
@@ -109,10 +110,11 @@ def from_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """The library's ids of a text, remembered by chunk.
+    """The library's ids of texts, remembered by chunk.
 
-    The pattern that cuts a text always cuts before a space that a non-space follows, so a text without two white-space
-    characters after one another, the first a space, is encoded chunk by chunk. All other texts go to the library whole.
+    The pattern that cuts a text always cuts before a space that a non-space follows, so a text is the sum of its chunks
+    between such spaces. New chunks of many texts are joined and encoded in one call; each chunk's ids begin with a token
+    that begins with a space, and no other token does. Texts with white space after a space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -120,27 +122,40 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.whole = re.compile(r" (?:\s|\Z)")
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        space = "\u0120"  # the stand-in of a space in byte-level tokens
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(size)])
         self.known: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers the chunks that can stand alone."""
+        new = [c for c in chunks if c and not c[0].isspace()]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.frombuffer(self.of(" " + " ".join(part)), "<u4")
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(cuts) != len(part) + 1:
+                raise ValueError("a chunk's first token does not begin with a space")
+            raw = ids.tobytes()
+            ends = (4 * cuts).tolist()
+            self.known.update((c, raw[a:b]) for c, a, b in zip(part, ends, ends[1:], strict=False))
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if self.whole.search(text):
-                yield np.frombuffer(self.of(text), "<u4")
-                continue
-            first, *rest = text.split(" ")
+        for at in range(0, len(texts), 256):
+            cut = [t.split(" ") for t in texts[at : at + 256]]
+            if len(self.known) > CHUNKS:
+                self.known.clear()
+            self.learn(set().union(*(c[1:] for c in cut)).difference(self.known))
             known = self.known
-            new = list({c for c in rest if c not in known})
-            if new:
-                if len(known) + len(new) > CHUNKS:
-                    known.clear()
-                    new = list(set(rest))
-                made = self.library.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-                known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, made, strict=True))
-            yield np.frombuffer(self.of(first) + b"".join([known[c] for c in rest]), "<u4")
+            for text, (first, *rest) in zip(texts[at : at + 256], cut, strict=True):
+                try:
+                    raw = (self.of(first) if first else b"") + b"".join([known[c] for c in rest])
+                except KeyError:
+                    raw = self.of(text)
+                yield np.frombuffer(raw, "<u4")
 
 
 @lru_cache(maxsize=4)
