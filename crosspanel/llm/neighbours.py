@@ -89,7 +89,7 @@ def nearest(
     usable = usable.withColumn("dim", F.size("v"))
     n, n_queries = usable.agg(F.count(F.lit(1)), F.count_if("q")).first()
     c_groups, q_groups = -(-n // candidates_per_cell) or 1, -(-n_queries // queries_per_cell) or 1
-    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id", F.monotonically_increasing_id()), F.lit(m)).cast("int")
+    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asked = usable.where("q").select("dim", spread("q", q_groups).alias("qg"), every(c_groups).alias("cg"), "id", "v", F.lit(True).alias("q"))
     found = usable.select("dim", every(q_groups).alias("qg"), spread("c", c_groups).alias("cg"), "id", "v", F.lit(False).alias("q"))
