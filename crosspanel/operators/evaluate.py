@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
-from .crosssection import average_rank, equal_bins, unique_rank
+from .crosssection import equal_bins, unique_rank
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two columns without nulls; null if either is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def rank_ic(df: DataFrame, score: str, label: str, least: int, out: str = "ic", by: tuple[str, ...] = (), spec: PanelSpec = PANEL) -> DataFrame:
@@ -16,13 +21,13 @@ def rank_ic(df: DataFrame, score: str, label: str, least: int, out: str = "ic",
     for col, rank in ((score, "_rs"), (label, "_rl")):
         w = Window.partitionBy(*day).orderBy(col)
         both = both.withColumn(rank, F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*day, col)) - 1) / 2)
-    moments = both.groupBy(*day).agg(F.corr("_rs", "_rl").alias(out), F.count(F.lit(1)).alias("n"))
-    return moments.where(F.col("n") >= least).select(*day, F.when(~F.isnan(out), F.col(out)).alias(out), "n")
+    moments = both.groupBy(*day).agg(correlation("_rs", "_rl").alias(out), F.count(F.lit(1)).alias("n"))
+    return moments.where(F.col("n") >= least).select(*day, out, "n")
 
 
 def pearson_ic(df: DataFrame, score: str, label: str, least: int, spec: PanelSpec = PANEL) -> DataFrame:
     both = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return both.groupBy(spec.date).agg(F.corr(score, label).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return both.groupBy(spec.date).agg(correlation(score, label).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def ic_summary(ic: DataFrame, col: str = "ic", sample: bool = True) -> DataFrame:
@@ -89,7 +94,7 @@ def autocorrelation(df: DataFrame, score: str, lag: int, cal: DataFrame, spec: P
     """Correlation per date of scores with the same entities' scores ``lag`` calendar positions before."""
     now = df.join(F.broadcast(cal), spec.date).select(spec.entity, spec.date, "idx", F.col(score).alias("_a"))
     before = now.select(spec.entity, (F.col("idx") + lag).alias("idx"), F.col("_a").alias("_b"))
-    return now.join(before, [spec.entity, "idx"]).groupBy(spec.date).agg(F.corr("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return now.join(before, [spec.entity, "idx"]).groupBy(spec.date).agg(correlation("_a", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def expanding_folds(cal: DataFrame, test_months: int, step_months: int, min_train_months: int, spec: PanelSpec = PANEL) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
+from .evaluate import correlation
 
 
 def category_edges(nodes: DataFrame, category: str, size: str, leaders: int, near: int, weight: float, key: str = "id") -> DataFrame:
@@ -23,7 +24,7 @@ def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int,
     """Pairs of entities whose series correlate above the threshold, the best few per node. Pairs meet on dates."""
     x = returns.where(F.col(col).isNotNull()).select(spec.date, F.col(spec.entity).alias("src"), F.col(col).alias("_x"))
     y = x.select(spec.date, F.col("src").alias("dst"), F.col("_x").alias("_y"))
-    pairs = x.join(y, spec.date).where("src < dst").groupBy("src", "dst").agg(F.corr("_x", "_y").alias("weight"), F.count(F.lit(1)).alias("n"))
+    pairs = x.join(y, spec.date).where("src < dst").groupBy("src", "dst").agg(correlation("_x", "_y").alias("weight"), F.count(F.lit(1)).alias("n"))
     strong = pairs.where((F.col("n") >= least) & (F.round("weight", 9) > threshold)).select("src", "dst", F.round("weight", 9).alias("weight"))
     return cap_edges(both_ways(strong), top)
 

@@ -11,11 +11,11 @@ from ..spec import PANEL, PanelSpec, at_least
 
 
 def pct_change(df: DataFrame, col: str, n: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:
-    return df.withColumn(out, F.col(col) / F.lag(col, n).over(spec.series()) - 1)
+    return df.withColumn(out, F.try_divide(F.col(col), F.lag(col, n).over(spec.series())) - 1)
 
 
 def forward_return(df: DataFrame, col: str, n: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:
-    return df.withColumn(out, F.lead(col, n).over(spec.series()) / F.col(col) - 1)
+    return df.withColumn(out, F.try_divide(F.lead(col, n).over(spec.series()), F.col(col)) - 1)
 
 
 def difference(df: DataFrame, col: str, k: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:

@@ -483,11 +483,11 @@ def _(s, d):
     return ts.pct_change(P(s, d), "close", 5, "mom").select("id", "d", r("mom"))
 
 
-@query("f02_rolling", sql(f"select id, d, round(case when count(close) {W_(20)} >= 10 then avg(close) {W_(20)} end, 6) mean, round(case when count(close) {W_(20)} >= 10 then median(close) {W_(20)} end, 6) med, round(case when count(close) {W_(9)} >= 5 then min(close) {W_(9)} end, 6) low9 from panel", "panel"))
+@query("f02_rolling", sql(f"select id, d, round(case when count(close) {W_(20)} >= 10 then avg(close) {W_(20)} end, 6) mean, round(case when count(close) {W_(20)} >= 10 then median(close) {W_(20)} end, 9) med, round(case when count(close) {W_(9)} >= 5 then min(close) {W_(9)} end, 9) low9 from panel", "panel"))
 def _(s, d):
     p = ts.rolling(P(s, d), "close", "avg", 20, 10, "mean")
     p = ts.rolling(ts.rolling(p, "close", "median", 20, 10, "med"), "close", "min", 9, 5, "low9")
-    return p.select("id", "d", r("mean"), r("med"), r("low9"))
+    return p.select("id", "d", r("mean"), r("med", 9), r("low9", 9))
 
 
 @query("f03_true_range", sql(f"select id, d, round(greatest(high - low, abs(high - lag(close) {W}), abs(low - lag(close) {W})), 9) tr from panel", "panel"))
