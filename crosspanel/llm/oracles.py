@@ -1,3 +1,36 @@
 """SQL for the queries that SQL can express."""
 
-ORACLES = {}
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+PHRASES = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "subscribe")
+CHARS = f"length(regexp_replace(x, '{SPACE}+', '', 'g'))"
+
+PASSES = f"""regexp_matches(x, '[.!?:;…"''”’)\\]]({SPACE}|$)') and length(x) - length(replace(x, '|', '')) <= 1
+ and length(x) - length(translate(x, '#*$%&|<>', '')) <= 0.1 * greatest({CHARS}, 1)
+ and len(regexp_extract_all(x, '[!?]{{2,}}')) <= 0.2 * len(regexp_extract_all(x, '{WORD}'))
+ and not ({" or ".join(f"contains(lower(x), '{p}')" for p in PHRASES)})"""
+
+OP7 = f"""with w as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{WORD}') w, string_split(coalesce(text, ''), chr(10)) lines from documents),
+l as (select doc_id, count(*) - count(distinct x) n_dup from (select doc_id, unnest(lines) x from w) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by doc_id),
+c as (select doc_id, sum({CHARS}) kept_chars from (select doc_id, unnest(list_distinct(lines)) x from w) where {PASSES} group by doc_id),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w)),
+p as (select doc_id, count(distinct i + k) n from (select doc_id, i, count(*) over (partition by doc_id, g) c from g), (values (0), (1), (2)) v(k) where c > 1 group by doc_id),
+m as (select w.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint n_symbols,
+ coalesce(n_dup, 0)::bigint n_dup_lines, coalesce(p.n, 0)::bigint n_repeat_words, coalesce(kept_chars, 0)::bigint kept_chars from w left join l using (doc_id) left join c using (doc_id) left join p using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and kept_chars >= 0.5 * word_chars kept, kept_chars from b"""
+
+OP10 = f"""with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint size, md5('17:' || coalesce(cast(doc_id as varchar), 'null')) u from documents),
+t as (select source, sum(size)::bigint source_size from s group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0 else 1.0 end weight, source_size * 2.0::double cap from t),
+o as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+ / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lvl from w),
+f as (select arg_min(lvl, cap / weight) final from o where lvl * weight < cap),
+g as (select source, source_size, case when final is null then cap else least(cap, final * weight) end target from w, f),
+r as (select s.doc_id, s.size, s.source, g.source_size, g.target, coalesce(sum(size) over (partition by s.source order by u, doc_id, size rows between unbounded preceding and 1 preceding), 0) prior
+ from s join g on s.source is not distinct from g.source),
+n as (select *, case when source_size > 0 then floor(target / source_size) else 0 end reps from r)
+select doc_id, size, source, source_size, target, (reps + case when prior + size / 2.0 <= target - reps * source_size then 1 else 0 end)::int copies,
+ ((reps + case when prior + size / 2.0 <= target - reps * source_size then 1 else 0 end) * size)::bigint taken from n"""
+
+ORACLES = {"op7_line_first_quality": OP7, "op10_capped_water_filling": OP10}
