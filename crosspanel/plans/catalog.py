@@ -679,3 +679,85 @@ def _(s, d):
 def _(s, d):
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return fx.read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
+
+
+# --- further compositions of the same operators
+TR = f"(select id, d, greatest(high - low, abs(high - lag(close) {W}), abs(low - lag(close) {W})) tr from panel)"
+
+
+@query("f06_atr", sql(f"select id, d, round(case when seen >= 7 then value end, 5) atr from ({ewm_sql('tr', 2 / 15, True, TR)})", "panel"))
+def _(s, d):
+    return ts.ewm(ts.true_range(P(s, d), "tr"), "tr", 2 / 15, True, "atr", 7).select("id", "d", r("atr", 5))
+
+
+RSV = f"(select id, d, case when count(close) {W_(9)} >= 5 then 100 * (close - min(low) {W_(9)}) / nullif(max(high) {W_(9)} - min(low) {W_(9)}, 0) end rsv from panel)"
+
+
+@query("f07_stochastic_k", sql(f"select id, d, round(value, 5) k from ({ewm_sql('rsv', 1 / 3, False, RSV)}) where seen > 0", "panel"))
+def _(s, d):
+    p = ts.rolling(ts.rolling(P(s, d), "low", "min", 9, 5, "lo"), "high", "max", 9, 5, "hi")
+    p = p.withColumn("rsv", F.expr("100 * (close - lo) / nullif(hi - lo, 0)"))
+    return ts.ewm(p, "rsv", 1 / 3, False, "k").withColumn("c", F.count("rsv").over(PANEL.past())).where("c > 0").select("id", "d", r("k", 5))
+
+
+@query("f09_macd", sql(f"select a.id, a.d, round(a.value - b.value, 5) macd from ({ewm_sql('close', 2 / 13, False, 'panel')}) a join ({ewm_sql('close', 2 / 27, False, 'panel')}) b on a.id = b.id and a.d = b.d", "panel"))
+def _(s, d):
+    p = ts.ewm(ts.ewm(P(s, d), "close", 2 / 13, False, "fast"), "close", 2 / 27, False, "slow")
+    return p.select("id", "d", F.round(F.expr("fast - slow"), 5).alias("macd"))
+
+
+@query("f16_momentum_block", sql(f"select id, d, round(close / lag(close, 5) {W} - 1, 6) m5, round(close / lag(close, 20) {W} - 1, 6) m20, round(close / lag(close, 60) {W} - 1, 6) m60 from panel", "panel"))
+def _(s, d):
+    p = P(s, d)
+    for n in (5, 20, 60):
+        p = ts.pct_change(p, "close", n, f"m{n}")
+    return p.select("id", "d", r("m5"), r("m20"), r("m60"))
+
+
+@query("f24_rebalance_dates", sql("select d, idx from cal where (idx - 1) % 20 = 0", "cal"))
+def _(s, d):
+    return pit.calendar(P(s, d)).where("(idx - 1) % 20 = 0").withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("g07_unique_rank_tradable", sql("select id, d, case when volume >= 30 then k end k from (select id, d, volume, row_number() over (partition by d order by score desc, id) k from scores)", "scores"))
+def _(s, d):
+    return xs.unique_rank(S(s, d), "score", "k").select("id", "d", F.when(F.col("volume") >= 30, F.col("k").cast("long")).alias("k"))
+
+
+@query("g08_liquidity_percentile", sql(f"select id, d, round((rank() over (partition by d order by v) + (count(*) over (partition by d, v) - 1) / 2.0) / count(v) over (partition by d), 6) pct from (select id, d, round(median(close * volume) {W_(20)}, 4) v, count(close) {W_(20)} c from panel) where c >= 5", "panel"))
+def _(s, d):
+    p = ts.rolling(P(s, d).withColumn("value", F.expr("close * volume")), "value", "median", 20, 5, "v").where("v is not null").withColumn("v", F.round("v", 4))
+    return xs.average_rank(p, "v", "k").select("id", "d", F.round(F.col("k") / F.count("v").over(PANEL.day()), 6).alias("pct"))
+
+
+@query("h04_last_dates", sql("select id, d from panel where d in (select distinct d from panel where d <= date '1997-06-30' order by d desc limit 5)", "panel"))
+def _(s, d):
+    return xs.last_dates(P(s, d), 5, F.lit("1997-06-30").cast("date")).select("id", "d")
+
+
+@query("h07_worst_days", sql("select d, round(ret, 9) ret from bench order by ret, d limit 5", "bench"))
+def _(s, d):
+    return bench(s, d).orderBy("ret", "d").limit(5).select("d", r("ret", 9))
+
+
+@query("i01_tagged_union", sql("select id, d, 'panel' as src from panel union all select id, d, 'event' from ex", "panel", "ex"))
+def _(s, d):
+    tag = lambda df, name: df.select("id", "d", F.lit(name).alias("src"))
+    return tag(P(s, d), "panel").unionByName(tag(fx.adjustments(s, d), "event"))
+
+
+@query("i03_key_difference", sql("select id, d from ex except select id, d from panel where volume < 40", "panel", "ex"))
+def _(s, d):
+    return fx.adjustments(s, d).select("id", "d").subtract(P(s, d).where("volume < 40").select("id", "d"))
+
+
+@query("k08_induced_subgraph", ORACLES["k01_category_edges"].replace("select distinct a.id src", "select distinct a.id as src").rstrip() + " and a.id % 2 = 0 and b.id % 2 = 0")
+def _(s, d):
+    c = fx.categories(s, d)
+    return gr.induced(gr.category_edges(c, "category", "size_v", 3, 4, 1.0), c.where("id % 2 = 0"))
+
+
+@query("k09_degrees", "select min(n) low, median(n) as median, max(n) high, count(*) filter (n = 0) isolated from (select c.s_suppkey, count(e.src) n from supplier c left join (" + ORACLES["k01_category_edges"] + ") e on e.src = c.s_suppkey group by 1)")
+def _(s, d):
+    c = fx.categories(s, d)
+    return gr.degrees(gr.category_edges(c, "category", "size_v", 3, 4, 1.0), c)
