@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Hash draws use 48 bits of MD5, which a double holds exactly.
 DRAW_RANGE = float(2**48 + 1)
 #: Slots are numbered within (shard, bucket); 4096 buckets of a shard bound the rows of one window.
@@ -63,7 +65,7 @@ def place(key: Column, tree: list[Shard]) -> Column:
             out[getattr(s, level)] = out.get(getattr(s, level), 0.0) + s.weight
         return out
 
-    def descend(rows: list[Shard], levels: list[str], prefix: str, chosen) -> Column:
+    def descend(rows: list[Shard], levels: list[str], prefix: str) -> Column:
         children = weights(rows, levels[0])
         if len(levels) == 1:
             return _pick(key, f"{prefix}{levels[0]}", children)
@@ -73,13 +75,13 @@ def place(key: Column, tree: list[Shard]) -> Column:
         def branch(c: Column) -> Column:
             out = None
             for child, part in sorted(inner.items()):
-                deeper = descend(part, levels[1:], f"{prefix}{levels[0]}{child}/", chosen)
+                deeper = descend(part, levels[1:], f"{prefix}{levels[0]}{child}/")
                 out = F.when(c == child, deeper) if out is None else out.when(c == child, deeper)
             return out
 
-        return F.get(F.transform(F.array(pick), branch), F.lit(0)) if len(children) > 1 else branch(pick)
+        return let(pick, branch) if len(children) > 1 else branch(pick)
 
-    return descend(tree, ["region", "rack", "shard"], "", None)
+    return descend(tree, ["region", "rack", "shard"], "")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
