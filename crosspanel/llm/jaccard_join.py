@@ -10,10 +10,12 @@ Equal sets are joined first and go on as one set. Then two ways, split by cost:
   The order is by hash, but shingles that a sample of the corpus shows to be frequent come last, so that passages shared by
   many documents make few long lists.
 
-Lists are scanned in two steps. First every set of a list is tested against two leaders of the list, which joins most
-groups of near copies with a few tests per document. Then only pairs from different components are left: each document
-outside a list's largest component meets the list. The number of shared prefix shingles bounds a pair's overlap, and
-drops pairs before the exact test on whole sets. No pair is dropped for any other reason.
+A pair's two sizes say how much overlap it needs, hence how early in both orders its first common shingle stands; a pair
+meets in a list only if both stand early enough there. Lists are scanned in two steps. First every set of a list is tested
+against two leaders: the sets that have this shingle earliest and latest. The earliest has the fewest shingles of its own, as
+the middle of a group of near copies does, so this joins most groups with a few tests per document. Then only pairs from
+different components are left: each document outside a list's largest component meets the list. Whole sets decide each pair.
+No pair is dropped for any other reason.
 
 Defined results: texts without words (or null) have size 0 and are their own component; repeated rows of one id are one
 document; an empty table gives no rows. Only id and text are read. Set sizes are exact up to 64-bit hash collisions, the
@@ -121,14 +123,14 @@ def small_links(sets: DataFrame) -> DataFrame:
     return rows.join(least, ["key", "size"]).where("h <> m.h and 180 * size >= 80 * (n + m.n)").select(F.col("m.h").alias("a"), F.col("h").alias("b"))
 
 
-def bounded(n_a: str, n_b: str, shared: str) -> Column:
-    """Whether a pair that shares so many prefix shingles may still reach the overlap that it needs.
+def meets(n_a: str, pos_a: str, n_b: str, pos_b: str) -> Column:
+    """Whether two sets of these sizes may be linked and have their first common shingle at these places (from 0).
 
-    All shared shingles of the prefix that ends first are known, so the rest of that prefix is missing in the other set:
-    the overlap is at most ``n - prefix_length(n) + shared`` for one of the two.
+    A linked pair needs ``need = ceil(4 (n_a + n_b) / 9)`` common shingles. If the first of them in the order stood later than
+    ``n - need`` in one set, too few shingles would follow it there.
     """
-    outside = lambda n: f"((4 * {n} + 4) div 5 - 1)"
-    return F.expr(f"9 * (greatest({outside(n_a)}, {outside(n_b)}) + {shared}) >= 4 * ({n_a} + {n_b})")
+    need = f"((4 * ({n_a} + {n_b}) + 8) div 9)"
+    return near_sizes(n_a, n_b) & F.expr(f"{pos_a} + {need} <= {n_a} and {pos_b} + {need} <= {n_b}")
 
 
 def near_sizes(n_a: str, n_b: str) -> Column:
@@ -170,40 +172,38 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> Dat
 
 
 def inverted_lists(sig: DataFrame, members: DataFrame) -> DataFrame:
-    """key, h, n of the lists with two sets or more, with two leaders (h, n) of each list.
+    """key, h, n, pos of the lists with two sets or more, with two leaders (pos, h, n) of each list.
 
     Lists of frequent shingles are counted by a partial aggregate before anything is brought together.
     """
     reps = sig.join(members.select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi").where(F.size("keys") > 0)
-    listed = reps.select("h", "n", F.explode(F.arrays_zip("keys", "hot")).alias("x"))
-    rows = listed.select(F.col("x.keys").alias("key"), F.col("x.hot").alias("hot"), "h", "n")
+    listed = reps.select("h", "n", F.posexplode(F.arrays_zip("keys", "hot")).alias("pos", "x"))
+    rows = listed.select(F.col("x.keys").alias("key"), F.col("x.hot").alias("hot"), "h", "n", "pos")
     whole = Window.partitionBy("key")
-    ends = [F.min(F.struct("h", "n")), F.max(F.struct("h", "n"))]
-    few = rows.where("not hot").select("key", "h", "n", ends[0].over(whole).alias("p"), ends[1].over(whole).alias("q"))
+    ends = [F.min(F.struct("pos", "h", "n")), F.max(F.struct("pos", "h", "n"))]
+    few = rows.where("not hot").select("key", "h", "n", "pos", ends[0].over(whole).alias("p"), ends[1].over(whole).alias("q"))
     often = rows.where("hot")
-    many = often.join(often.groupBy("key").agg(ends[0].alias("p"), ends[1].alias("q")), "key").select("key", "h", "n", "p", "q")
+    many = often.join(often.groupBy("key").agg(ends[0].alias("p"), ends[1].alias("q")), "key").select("key", "h", "n", "pos", "p", "q")
     return few.unionByName(many).where("p.h <> q.h")
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of a set and a leader that share a good part of the lists seen here; a first choice, not a filter."""
-    asked = lists.select("h", "n", F.explode(F.array("p", "q")).alias("m")).where("m.h <> h")
-    counted = asked.groupBy(F.least("h", "m.h").alias("a"), F.greatest("h", "m.h").alias("b"), F.least("n", "m.n").alias("n1"), F.greatest("n", "m.n").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
-    return counted.where(near_sizes("n1", "n2") & F.expr("10 * c >= n1 - (4 * n1 + 4) div 5 + 1")).select("a", "b")
+    """Pairs (a, b) of a set and a leader that may have their first common shingle here."""
+    asked = lists.select("h", "n", "pos", F.explode(F.array("p", "q")).alias("m")).where("m.h <> h")
+    return asked.where(meets("n", "pos", "m.n", "m.pos")).select(F.least("h", "m.h").alias("a"), F.greatest("h", "m.h").alias("b")).distinct()
 
 
 def open_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every pair of sets from different components that meets in a list and is not ruled out by the shared prefix."""
-    placed = lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("comp"))
+    """Every pair (a, b) of sets from different components that may have its first common shingle in a list."""
+    placed = lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp"))
     placed = materialize(placed)
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1")
     left = materialize(placed.join(mixed.select("key", "major"), "key"))
     mine = left.where("comp <> major")
-    other = left.select("key", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("major").alias("major2"))
-    met = mine.join(other, "key").where("comp <> comp2 and (comp2 = major2 or h < h2)").where(near_sizes("n", "n2"))
-    counted = met.groupBy(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b"), F.least("n", "n2").alias("n1"), F.greatest("n", "n2").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
-    return counted.where(bounded("n1", "n2", "c")).select("a", "b")
+    other = left.select("key", *(F.col(x).alias(f"{x}2") for x in ("h", "n", "pos", "comp", "major")))
+    met = mine.join(other, "key").where("comp <> comp2 and (comp2 = major2 or h < h2)").where(meets("n", "pos", "n2", "pos2"))
+    return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
