@@ -85,3 +85,22 @@ def last_dates(df: DataFrame, n: int, until: Column | None = None, spec: PanelSp
 def last_rows(df: DataFrame, n: int, spec: PanelSpec = PANEL) -> DataFrame:
     w = Window.partitionBy(spec.entity).orderBy(F.col(spec.date).desc())
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def largest_by_size(df: DataFrame, col: str, k: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """The k rows whose value is farthest from zero; ties go by date, then entity."""
+    return df.where(F.col(col).isNotNull()).orderBy(F.abs(col).desc(), spec.date, spec.entity).limit(k)
+
+
+def capped_signals(df: DataFrame, col: str, up: int, down: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """Each entity's strongest signals: at most ``up`` above zero and ``down`` below; ties go to the earlier date."""
+    signed = df.where(F.col(col) != 0).withColumn("_up", F.col(col) > 0)
+    place = F.row_number().over(Window.partitionBy(spec.entity, "_up").orderBy(F.abs(col).desc(), spec.date))
+    return signed.withColumn("_k", place).where(F.col("_k") <= F.when(F.col("_up"), up).otherwise(down)).drop("_up", "_k")
+
+
+def quantile_bin(df: DataFrame, col: str, bins: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """ceil(rank / n * bins) among a date's values by ascending unique rank; rows without a value go."""
+    known = df.where(F.col(col).isNotNull())
+    rank = F.row_number().over(spec.day().orderBy(col, spec.entity))
+    return known.withColumn(out, F.ceil(rank * bins / F.count(F.lit(1)).over(spec.day())).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
@@ -93,3 +93,16 @@ def single_period(df: DataFrame, value: str, out: str, key: list[str], period: s
     first = F.quarter(period) == 1
     previous = F.when(F.quarter(F.lag(period, 1).over(w)) == F.quarter(period) - 1, F.lag(value, 1).over(w))
     return df.withColumn(out, F.when(first, F.col(value)).otherwise(F.col(value) - previous)).where(F.col(out).isNotNull())
+
+
+def business_days(day: Column) -> Column:
+    """Weekdays from Monday 1970-01-05 up to a date, exclusive; differences count the weekdays between two dates."""
+    days = F.datediff(day, F.lit("1970-01-05").cast("date"))
+    return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(5))
+
+
+def calendar_holes(df: DataFrame, most: int = 5, spec: PanelSpec = PANEL) -> DataFrame:
+    """entity, after, date, gap: consecutive dates of an entity more than ``most`` weekdays apart."""
+    before = F.lag(spec.date).over(Window.partitionBy(spec.entity).orderBy(spec.date))
+    steps = df.select(spec.entity, spec.date).distinct().withColumn("after", before)
+    return steps.withColumn("gap", (business_days(F.col(spec.date)) - business_days(F.col("after"))).cast("long")).where(F.col("gap") > most)

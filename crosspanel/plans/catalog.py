@@ -761,3 +761,43 @@ def _(s, d):
 def _(s, d):
     c = fx.categories(s, d)
     return gr.degrees(gr.category_edges(c, "category", "size_v", 3, 4, 1.0), c)
+
+
+@query("h02_capped_signals", sql("select id, d, score from (select *, row_number() over (partition by id, score > 0 order by abs(score) desc, d) k from scores where score <> 0) where k <= case when score > 0 then 2 else 1 end", "scores"))
+def _(s, d):
+    return xs.capped_signals(S(s, d), "score", 2, 1).select("id", "d", "score")
+
+
+@query("h03_largest_moves", sql("select id, d, score from scores order by abs(score) desc, d, id limit 8", "scores"))
+def _(s, d):
+    return xs.largest_by_size(S(s, d), "score", 8).select("id", "d", "score")
+
+
+@query("d10_flow_summary", sql("select category, d, round(sum(close * volume), 2) flow from panel join cat using (id) where d in (select distinct d from panel order by d desc limit 5) group by rollup (category, d)", "panel", "cat"))
+def _(s, d):
+    recent = xs.last_dates(P(s, d), 5).join(fx.categories(s, d), "id")
+    return recent.rollup("category", "d").agg(F.round(F.sum(F.expr("close * volume")), 2).alias("flow"))
+
+
+@query("d13_snapshot", sql("select d, sum(volume) volume, count(*) n, round(sum(close * volume) / greatest(sum(volume), 1), 6) price from panel where d = (select max(d) from panel where d <= date '1997-06-30') group by d", "panel"))
+def _(s, d):
+    last = xs.last_dates(P(s, d), 1, F.lit("1997-06-30").cast("date"))
+    return last.groupBy("d").agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n"), F.round(F.expr("sum(close * volume) / greatest(sum(volume), 1)"), 6).alias("price"))
+
+
+WEEKDAYS = "((({0} - date '1970-01-05') // 7) * 5 + least(({0} - date '1970-01-05') % 7, 5))"
+
+
+@query("d18_calendar_holes", sql(f"select id, after, d, gap from (select id, d, after, {WEEKDAYS.format('d')} - {WEEKDAYS.format('after')} gap from (select id, d, lag(d) over (partition by id order by d) as after from panel)) where gap > 5", "panel"))
+def _(s, d):
+    return dq.calendar_holes(P(s, d), 5).select("id", "after", "d", "gap")
+
+
+@query("e10_calibration", sql("""select era, bin, count(*) as days, round(avg(x), 6) mean, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(count(*)), 4) t from (
+    select year(d) era, d, bin, avg(label) x from (select d, label, ceil(row_number() over (partition by d order by unc, id) * 5.0::double / count(*) over (partition by d))::bigint bin
+    from scores where unc is not null) where label is not null group by all) group by era, bin""", "scores"))
+def _(s, d):
+    binned = xs.quantile_bin(S(s, d), "unc", 5, "bin").where("label is not null")
+    daily = binned.groupBy(F.year("d").cast("long").alias("era"), "d", "bin").agg(F.avg("label").alias("x"))
+    t = F.expr("avg(x) / nullif(stddev_samp(x), 0) * sqrt(count(*))")
+    return daily.groupBy("era", "bin").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("x"), 6).alias("mean"), F.round(t, 4).alias("t"))
