@@ -115,3 +115,17 @@ def segment_by_trend(series: DataFrame, ret: str, rows: int, out: str, spec: Pan
 
 def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
+
+
+def ic_decay(df: DataFrame, score: str, targets: list[str], least: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """target, mean, std, n: the dates' rank correlations with each of several targets, in one pass over the long form."""
+    long = df.unpivot([spec.entity, spec.date, score], targets, "target", "_value")
+    daily = rank_ic(long, score, "_value", least, "ic", ("target",), spec)
+    return daily.groupBy("target").agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.count("ic").alias("n"))
+
+
+def period_evaluation(df: DataFrame, score: str, ret: str, narrow: int, wide: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, narrow, wide, curve, drawdown: mean return of a date's best, and the compounded curve of the wider choice."""
+    ranked = unique_rank(df.where(F.col(ret).isNotNull()), score, "_r", spec)
+    mean = lambda n: F.avg(F.when(F.col("_r") <= n, F.col(ret)))
+    return drawdown(ranked.groupBy(spec.date).agg(mean(narrow).alias("narrow"), mean(wide).alias("wide")), "wide", spec)

@@ -801,3 +801,22 @@ def _(s, d):
     daily = binned.groupBy(F.year("d").cast("long").alias("era"), "d", "bin").agg(F.avg("label").alias("x"))
     t = F.expr("avg(x) / nullif(stddev_samp(x), 0) * sqrt(count(*))")
     return daily.groupBy("era", "bin").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("x"), 6).alias("mean"), F.round(t, 4).alias("t"))
+
+
+@query("e05_ic_decay", sql("""select target, round(avg(c), 6) mean, round(stddev_samp(c), 6) std, count(c) n from (select target, case when isfinite(c) then c end c from (
+    select d, target, corr(rs, rl) c, count(*) n from (select d, target, rank() over (partition by d, target order by score) + (count(*) over (partition by d, target, score) - 1) / 2.0 rs,
+    rank() over (partition by d, target order by v) + (count(*) over (partition by d, target, v) - 1) / 2.0 rl from (select * from (
+    select d, score, round(lead(close, 1) over w / close - 1, 9) f1, round(lead(close, 5) over w / close - 1, 9) f5, round(lead(close, 20) over w / close - 1, 9) f20 from scores window w as (partition by id order by d))
+    unpivot (v for target in (f1, f5, f20)))) group by d, target) where n >= 10) group by target""", "scores"))
+def _(s, d):
+    p = S(s, d)
+    for n in (1, 5, 20):
+        p = ts.forward_return(p, "close", n, f"f{n}").withColumn(f"f{n}", F.round(f"f{n}", 9))
+    return ev.ic_decay(p, "score", ["f1", "f5", "f20"], 10).select("target", r("mean"), r("std"), "n")
+
+
+@query("e06_period_evaluation", sql("""select d, round(narrow, 6) narrow, round(wide, 6) wide, round(curve / greatest(1.0, max(curve) over (order by d)) - 1, 6) drawdown from (
+    select d, narrow, wide, exp(sum(ln(1 + wide)) over (order by d)) curve from (select d, avg(label) filter (k <= 5) narrow, avg(label) filter (k <= 10) wide from (
+    select *, row_number() over (partition by d order by score desc, id) k from scores where label is not null) group by d))""", "scores"))
+def _(s, d):
+    return ev.period_evaluation(S(s, d), "score", "label", 5, 10).select("d", r("narrow"), r("wide"), r("drawdown"))
