@@ -298,3 +298,21 @@ def test_pipeline(spark, tmp_path):
             assert PASSAGE not in "".join(r.text for r in docs.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == docs.count()
+
+
+def test_linked_sets_meet_at_their_first_common_shingle(spark):
+    """A pair of Jaccard 0.8 or more passes ``meets`` at its first common shingle, and that shingle is in both prefixes."""
+    rng, rows = random.Random(5), []
+    for _ in range(4000):
+        a = set(rng.sample(range(400), rng.randint(12, 60)))
+        b = set(a)
+        for x in rng.sample(sorted(a), rng.randint(0, len(a) // 5)):
+            b.discard(x)
+        b |= {rng.randint(400, 800) - 800 * rng.randint(0, 1) for _ in range(rng.randint(0, len(a) // 5))}
+        if 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            first = min(a & b)
+            places = sorted(a).index(first), sorted(b).index(first)
+            assert all(p < jaccard_join.prefix_length(len(x)) for p, x in zip(places, (a, b), strict=True))
+            rows.append((len(a), places[0], len(b), places[1]))
+    assert len(rows) > 500
+    assert spark.createDataFrame(rows, "n int, p int, n2 int, p2 int").where(~jaccard_join.meets("n", "p", "n2", "p2")).count() == 0
