@@ -225,7 +225,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose component has a smaller id."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    others = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(few(others), id_col, "left_anti")
+    """One row of each component: the one of the smallest id, null ids last.
+
+    Rows go by a key of their own, so ids may repeat or be null: rows of one id are alike only if their texts are. Rows
+    without words are alike within one id, null being an id too.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(keyed, id_col="_row", text_col=text_col).withColumnRenamed("doc_id", "_row")
+    ids = keyed.select("_row", F.col(id_col).alias("id"))
+    named = materialize(
+        found.join(ids, "_row").select(
+            "_row", "id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("comp"), F.when(F.col("n_shingles") == 0, F.col("id")).alias("alone")
+        )
+    )
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_row"))["_row"]
+    groups = named.groupBy("comp", "alone").agg(F.count(F.lit(1)).alias("n"), least.alias("kept")).where("n > 1")
+    groups = few(materialize(groups.select(F.col("comp").alias("comp2"), F.col("alone").alias("alone2"), "kept")))
+    others = named.join(groups, F.expr("comp <=> comp2 and alone <=> alone2")).where("_row <> kept").select("_row")
+    return keyed.join(few(materialize(others)), "_row", "left_anti").select(*docs.columns)

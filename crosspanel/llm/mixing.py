@@ -61,8 +61,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken."""
+    """One row per document: doc_id, size, source, source_size, target, copies, taken, and the columns to carry."""
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     sized = materialize(
         docs.select(
@@ -70,6 +71,7 @@ def mix(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             drawn.alias("u"),
+            *carry,
         )
     )
     # a null source gets a key of its own, so that plain equality joins hold it
@@ -84,19 +86,23 @@ def mix(
     # sources times 4096 rows at most
     starts = in_bucket.select("k", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
     goals = starts.join(plan, "k")
-    within = Window.partitionBy("k", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("k", "bucket").orderBy("u", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(goals, ["k", "bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     extra = (F.col("start") + F.col("within") + F.col("size") / 2.0) <= rest
     copies = (whole + F.when(extra, F.lit(1)).otherwise(F.lit(0))).cast("int")
-    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies")).withColumn(
+    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), *carry).withColumn(
         "taken", (F.col("copies") * F.col("size")).cast("long")
     )
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as often as the mix takes it. Ids must be unique."""
-    copies = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
+def repeat_documents(docs: DataFrame, **mixed) -> DataFrame:
+    """The documents, each row as often as their ``mix`` with these arguments takes it.
+
+    Rows go by a key of their own, so ids may repeat or be null.
+    """
+    keyed = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    copies = mix(keyed, carry=("_mix_row",), **mixed).where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
+    joined = keyed.join(copies, "_mix_row")
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
