@@ -10,7 +10,10 @@ from .evaluate import correlation
 
 
 def category_edges(nodes: DataFrame, category: str, size: str, leaders: int, near: int, weight: float, key: str = "id") -> DataFrame:
-    """Each node with its category's largest members and its neighbours by size; bounded edges per node."""
+    """Each node with its category's largest members and its neighbours by size; bounded edges per node.
+
+    The window of neighbours is cut at the ends of the order of sizes; ``category_peers`` shifts it.
+    """
     w = Window.partitionBy(category).orderBy(F.col(size).desc(), key)
     ranked = nodes.withColumn("_r", F.row_number().over(w)).select(key, category, "_r")
     half = near // 2
@@ -20,6 +23,22 @@ def category_edges(nodes: DataFrame, category: str, size: str, leaders: int, nea
     return met.select("src", "dst", F.lit(weight).alias("weight"))
 
 
+def category_peers(nodes: DataFrame, category: str, size: str, leaders: int, near: int, weight: float, key: str = "id") -> DataFrame:
+    """Each node with its category's largest members and its ``near`` neighbours by size, fewer only in smaller categories.
+
+    At the ends of the order of sizes the window of neighbours is shifted, not cut. Missing sizes count as 0.
+    """
+    w = Window.partitionBy(category).orderBy(F.coalesce(F.col(size), F.lit(0)).desc(), key)
+    ranked = nodes.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(category)))
+    low = F.greatest(F.lit(1), F.least(F.col("_r") - max(near // 2, 1), F.col("_n") - near))
+    high = F.least(F.col("_n"), low + near)
+    first = [F.lit(k).cast("long") for k in range(1, leaders + 1)]
+    steps = F.explode(F.array_distinct(F.concat(F.array(*first).cast("array<long>"), F.sequence(low, high)))).alias("_r")
+    wanted = ranked.select(F.col(key).alias("src"), category, steps)
+    met = wanted.join(ranked.select(F.col(key).alias("dst"), category, "_r"), [category, "_r"]).where("src <> dst")
+    return met.select("src", "dst", F.lit(weight).alias("weight"))
+
+
 def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int, least: int, spec: PanelSpec = PANEL) -> DataFrame:
     """Pairs of entities whose series correlate above the threshold, the best few per node. Pairs meet on dates."""
     x = returns.where(F.col(col).isNotNull()).select(spec.date, F.col(spec.entity).alias("src"), F.col(col).alias("_x"))

@@ -763,6 +763,29 @@ def _(s, d):
     return gr.degrees(gr.category_edges(c, "category", "size_v", 3, 4, 1.0), c)
 
 
+PEERS = sql("select distinct a.id src, b.id dst, 1.0::double weight from w a join w b on a.category = b.category and a.id <> b.id and (b.r <= 5 or b.r between a.lo and a.lo + 10)", "cat").replace(" select distinct", """, k as (select *,
+ row_number() over (partition by category order by coalesce(size_v, 0) desc, id) r, count(*) over (partition by category) n from cat), w as (select *, greatest(1, least(r - 5, n - 10)) lo from k) select distinct""", 1)
+
+
+def peers(s: SparkSession, d: str) -> DataFrame:
+    return gr.category_peers(fx.categories(s, d), "category", "size_v", 5, 10, 1.0)
+
+
+@query("k01_category_peers", PEERS)
+def _(s, d):
+    return peers(s, d)
+
+
+@query("k08_induced_peers", PEERS + " and a.size_v > 0 and b.size_v > 0")
+def _(s, d):
+    return gr.induced(peers(s, d), fx.categories(s, d).where("size_v > 0"))
+
+
+@query("k09_peer_degrees", "select min(n) low, median(n) as median, max(n) high, count(*) filter (n = 0) isolated from (select c.s_suppkey, count(e.src) n from supplier c left join (" + PEERS + ") e on e.src = c.s_suppkey group by 1)")
+def _(s, d):
+    return gr.degrees(peers(s, d), fx.categories(s, d))
+
+
 @query("h02_capped_signals", sql("select id, d, score from (select *, row_number() over (partition by id, score > 0 order by abs(score) desc, d) k from scores where score <> 0) where k <= case when score > 0 then 2 else 1 end", "scores"))
 def _(s, d):
     return xs.capped_signals(S(s, d), "score", 2, 1).select("id", "d", "score")
