@@ -7,7 +7,8 @@ match at each of its positions (one Aho-Corasick pass) and a table of compatible
 * ``encode`` takes the longest match at each position and goes back to shorter ones where a pair is not compatible. A
   position that failed once is not tried again, which makes the work linear in the word.
 * ``prefix_counts`` keeps, for every prefix, the last token of its encoding and its number of tokens; each prefix takes
-  one lookup into earlier prefixes.
+  one lookup into earlier prefixes. ``text_prefixes`` has the exact count of a text cut after each of its characters: there
+  the last word ends, so its last token is one that ends a word.
 * ``decode`` gathers the tokens' bytes from one blob by an offset table.
 
 Text is normalised and cut into words as the tokenizers library does it with the file's own settings. Texts in common
@@ -24,12 +25,14 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import PreTokenizedString, Tokenizer
 
 #: Shifts the last symbol of a word, so that "e" inside a word and "e" at its end are different symbols.
 END = 0x4000
 #: Words, and white-space separated chunks, that one Python worker remembers at most; a memory starts anew beyond it.
 WORDS, CHUNKS = 1_000_000, 250_000
+#: Prefix counts of longer words and chunks are not remembered.
+REMEMBERED = 64
 #: Texts in which str.split and str.lower agree with the library: no separators that only Python counts as white space,
 #: no letters beyond Latin but common punctuation.
 UNCOMMON = re.compile("[^\t-\r -~ -ɏ‐-‧‰-⁞€]")
@@ -72,6 +75,12 @@ class WordBpe:
             self.matches.add_word(s, i)
         self.matches.make_automaton()
         self.byte_symbols = byte_symbols()
+        self.endings = ahocorasick.Automaton()
+        for i, s in symbols.items():
+            if ord(s[-1]) >= END:
+                self.endings.add_word(s[:-1] + chr(ord(s[-1]) - END), i)
+        self.endings.make_automaton()
+        self.inside = {chr(self.byte_symbols[b] + shift) for b in range(0x80, 0xC0) for shift in (0, END)}  # of a UTF-8 character
         names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for text, i in [*vocab.items(), *self.special.items()]:
             names[i] = text
@@ -82,6 +91,8 @@ class WordBpe:
         self.ids_of = Memo(self.chunk_ids, CHUNKS)
         self.count_of = Memo(self.chunk_count, CHUNKS)
         self._word_ids = Memo(lambda w: b"".join(map(self.packed.__getitem__, self.encode(self.word_symbols(w)))), WORDS)
+        self._prefixes_of = Memo(self._chunk_prefixes, CHUNKS)
+        self._word_prefixes = Memo(lambda w: self.word_prefixes(self.word_symbols(w)), WORDS)
         self._word_count = Memo(lambda w: self.prefix_counts(self.word_symbols(w))[-1], WORDS)
 
     def word_symbols(self, word: str) -> str:
@@ -136,6 +147,9 @@ class WordBpe:
 
     def prefix_counts(self, symbols: str) -> list[int]:
         """counts[i]: number of tokens of the first i symbols."""
+        return self._prefixes(symbols)[1]
+
+    def _prefixes(self, symbols: str) -> tuple[list[int], list[int]]:
         n = len(symbols)
         last, counts = [-1] * (n + 1), [0] * (n + 1)
         length, known, done = self.length, self._compatible, 0
@@ -151,7 +165,86 @@ class WordBpe:
                 if not fits:
                     continue
             last[end], counts[end], done = token, counts[p] + 1, end
-        return counts
+        return last, counts
+
+    def word_prefixes(self, symbols: str) -> list[int]:
+        """For each character of a word: number of tokens of the text that ends with it."""
+        last, counts = self._prefixes(symbols)
+        n = len(symbols)
+        closed, length, known, done = [0] * (n + 1), self.length, self._compatible, 0
+        for end, token in self.endings.iter(symbols):  # as in _prefixes, with tokens that end a word
+            end += 1
+            if end == done:
+                continue
+            p = end - length[token]
+            if p:
+                fits = known.get((last[p], token))
+                if fits is None:
+                    fits = last[p] >= 0 and self.compatible(last[p], token)
+                if not fits:
+                    continue
+            closed[end], done = counts[p] + 1, end
+        closed[n] = counts[n]
+        inside = self.inside
+        out = [closed[end] for end in range(1, n) if symbols[end] not in inside]
+        out.append(closed[n])
+        if n == len(out) == 3 and symbols[0] == "'" and len(self.pattern.findall("'" + symbols[1])) == 2:
+            out[1] = out[0] + 1  # a contraction cut short is two words: the sign and a letter
+        return out
+
+    def _chunk_prefixes(self, chunk: str) -> bytes:
+        out, total = [], 0
+        for w in self.pattern.findall(chunk):
+            mine = self._word_prefixes[w] if len(w) <= REMEMBERED else self.word_prefixes(self.word_symbols(w))
+            out += [total + c for c in mine]
+            total = out[-1]
+        return np.array(out, "<i4").tobytes()
+
+    def text_prefixes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text cut after each of its characters: exact number of tokens, start and end of the character.
+
+        White space has no entry. A special token is one entry, and so is a character with its combining marks.
+        """
+        if self.is_common(text) and unicodedata.is_normalized("NFC", text) and len(lower := text.lower()) == len(text):
+            chunks = lower.split()
+            packed = [self._prefixes_of[c] if len(c) <= REMEMBERED else self._chunk_prefixes(c) for c in chunks]
+            own = np.frombuffer(b"".join(packed), "<i4")
+            lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+            whole = own[np.cumsum(lengths) - 1]
+            starts = np.flatnonzero(~SPACES[np.frombuffer(lower.encode("utf-32-le"), np.uint32)])
+            return own + np.repeat(np.cumsum(whole) - whole, lengths), starts, starts + 1
+        total, at, found = 0, 0, []
+        for i, part in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
+            if i % 2:
+                total += 1
+                found.append((total, at, at + len(part)))
+            elif part:
+                pieces = PreTokenizedString(part)
+                pieces.normalize(self.library.normalizer.normalize)
+                self.library.pre_tokenizer.pre_tokenize(pieces)
+                words = [(word, *span) for word, span, _ in pieces.get_splits("original", "char")]
+                for (word, first, end), after in zip(words, [*(x[1] for x in words[1:]), len(part)], strict=False):
+                    while end < after and joins(part[end]):
+                        end += 1  # the library leaves out marks that went into the last character
+                    counts = self.word_prefixes(self._slow_symbols(word))
+                    done = 0
+                    for size, a, b in self._parts(part, first, end, len(counts)):
+                        done += size
+                        entry = (total + counts[done - 1], at + a, at + b)
+                        if found and found[-1][2] > entry[1]:  # the character before became two words
+                            entry = (entry[0], found.pop()[1], entry[2])
+                        found.append(entry)
+                    total += counts[-1]
+            at += len(part)
+        columns = np.array(found, np.int64).reshape(-1, 3)
+        return columns[:, 0].astype("<i4"), columns[:, 1], columns[:, 2]
+
+    def _parts(self, part: str, first: int, end: int, n: int) -> list[tuple[int, int, int]]:
+        """(normalised characters, start, end) of the characters of a word of n normalised characters, with their marks."""
+        starts = [p for p in range(first, end) if p == first or not joins(part[p])]
+        ends = [*starts[1:], end]
+        sizes = [len(self.library.normalizer.normalize_str(part[a:b])) if b - a > 1 or not part[a].isascii() else 1 for a, b in zip(starts, ends, strict=True)]
+        return list(zip(sizes, starts, ends, strict=True)) if sum(sizes) == n else [(n, first, end)]
 
     def chunk_ids(self, chunk: str) -> bytes:
         return b"".join([self._word_ids[w] for w in self.pattern.findall(chunk)])
@@ -186,23 +279,6 @@ class WordBpe:
                 for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
                     yield word
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """For the words of a text: tokens up to and with each word, and the normalised characters up to its end."""
-        total, at, counts, ends = 0, 0, [], []
-        for i, part in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
-            if i % 2:
-                total, at = total + 1, at + len(part)
-                counts.append(total)
-                ends.append(at)
-            elif part:
-                normal = self.library.normalizer.normalize_str(part)
-                for word, (_, end) in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                    total += self.prefix_counts(self._slow_symbols(word))[-1]
-                    counts.append(total)
-                    ends.append(at + end)
-                at += len(normal)
-        return counts, ends
-
     def decode(self, ids: np.ndarray) -> bytes:
         return self.decode_table.gather(ids)[:-1]
 
@@ -240,6 +316,15 @@ class OffsetTable:
         return self.blob[np.repeat(shift, lengths) + np.arange(total)].tobytes()
 
 
+#: Which code points of common texts are white space.
+SPACES = np.array([chr(c).isspace() for c in range(0x2100)])
+
+
+def joins(c: str) -> bool:
+    """Whether normalisation may join a character to the one before it."""
+    return unicodedata.combining(c) != 0 or 0x1161 <= ord(c) <= 0x11FF or not c.isascii() and unicodedata.category(c) in ("Mn", "Mc")
+
+
 def common_form(text: str) -> str:
     return (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
 

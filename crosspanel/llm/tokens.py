@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +28,36 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every document."""
+    """doc_id, n_bytes, n_tokens, over_limit and cut_chars for every document, read from its prefix counts.
+
+    ``cut_chars`` is the length of the longest prefix of the text, in characters, that has at most ``limit`` tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            counts = [bpe.text_count(t) for t in _texts(batch)]
+            n, cut = [], []
+            for text in _texts(batch):
+                counts, starts, _ = bpe.text_prefixes(text)
+                n.append(int(counts[-1]) if len(counts) else 0)
+                if n[-1] > limit:
+                    fit = np.flatnonzero(counts <= limit)  # a longer prefix may have fewer tokens
+                    cut.append(int(starts[fit[-1] + 1 if len(fit) else 0]))
+                else:
+                    cut.append(len(text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_()), pa.array(cut, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"],
             )
 
     rows = _input(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id with counts and ends: tokens up to and with each word, and the normalised characters up to its end.
+    """doc_id with tokens, ends and counts: for the text cut after each character but white space its exact number of tokens
+    and its length in characters of the original, and the least number of tokens of this and all longer ones.
 
     ``fitting`` and ``tokens_within`` answer truncation and budget questions from these arrays alone.
     """
@@ -52,23 +65,24 @@ def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            tables = [bpe.prefix_table(t) for t in _texts(batch)]
-            columns = [pa.array([t[k] for t in tables], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "counts", "ends"])
+            tables = [bpe.text_prefixes(t) for t in _texts(batch)]
+            rows = [[c for c, _, _ in tables], [e for _, _, e in tables], [np.minimum.accumulate(c[::-1])[::-1] for c, _, _ in tables]]
+            columns = [pa.array([x.astype("i4") for x in r], pa.list_(pa.int32())) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "tokens", "ends", "counts"])
 
     rows = _input(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, counts array<int>, ends array<int>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, tokens array<int>, ends array<int>, counts array<int>")
 
 
 def fitting(budget: int, counts: str = "counts", ends: str = "ends"):
-    """Column: characters of the longest prefix of whole words with at most ``budget`` tokens."""
+    """Column: characters up to the last one, not white space, of the longest prefix with at most ``budget`` tokens."""
     n = F.size(F.filter(counts, lambda c: c <= budget))
     return F.coalesce(F.get(ends, n - 1), F.lit(0))
 
 
-def tokens_within(chars: int, counts: str = "counts", ends: str = "ends"):
-    """Column: tokens of the whole words inside the first ``chars`` characters."""
+def tokens_within(chars: int, counts: str = "tokens", ends: str = "ends"):
+    """Column: tokens of the first ``chars`` characters."""
     n = F.size(F.filter(ends, lambda e: e <= chars))
     return F.coalesce(F.get(counts, n - 1), F.lit(0))
 
@@ -100,8 +114,6 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def _array(ids):
-    import numpy as np
-
     return np.array(ids or [], np.int64)
 
 
