@@ -2,66 +2,102 @@
 
 Equal sets are joined first and go on as one set. Then two ways, split by cost:
 
-* Light: a small set (14 shingles or fewer) enumerates its subsets that lack up to a fifth of it, about a hundred at most.
-  Two sets of Jaccard 0.8 share the subset that is their intersection, and it alone proves the link, so each
-  subset's list is a star around its smallest set.
-* Heavy: enumeration would explode, so a larger set (from 12 up, to meet small partners) puts the first
-  ``n - ceil(0.8 n) + 1`` shingles of a fixed total order into inverted lists; linked sets meet in one list at least.
-  The order is by hash, but shingles that a sample of the corpus shows to be frequent come last, so that passages shared by
-  many documents make few long lists.
+* Light: a small set enumerates its subsets that lack up to a fifth of it. Two sets of Jaccard 0.8 share the subset that
+  is their intersection, and it alone proves the link, so each subset's list is a star around its smallest set.
+* Heavy: a larger set puts the first ``n - ceil(0.8 n) + 1`` shingles of a fixed total order into inverted lists; linked sets
+  meet in one list at least. Sets down to four fifths of the boundary go both ways, to meet partners beyond it.
+
+One pass over all documents counts the shingles in ``2**SKETCH_BITS`` hash buckets, and the sizes of small sets. The order of
+shingles is by the power of two of their bucket's count, then by hash: rare ones come first, so passages shared by many
+documents make few long lists. The boundary is the size at which the estimated rows of both ways are fewest. A bucket counts
+at least what each of its shingles counts, so a list from a bucket under ``2**LONG`` has fewer rows than that and is one
+window's work; the others go by partial aggregates and joins. Order, boundary and ``LONG`` change cost only, never the result.
 
 A pair's two sizes say how much overlap it needs, hence how early in both orders its first common shingle stands; a pair
 meets in a list only if both stand early enough there. Lists are scanned in two steps. First every set of a list is tested
 against two leaders: the sets that have this shingle earliest and latest. The earliest has the fewest shingles of its own, as
 the middle of a group of near copies does, so this joins most groups with a few tests per document. Then only pairs from
-different components are left: each document outside a list's largest component meets the list. Whole sets decide each pair.
-No pair is dropped for any other reason.
+different components are left: each document outside a list's largest component meets those sets of the list whose size and
+place allow a link, by an equality join on size bands. Whole sets decide each pair. No pair is dropped for any other reason.
 
-Defined results: texts without words (or null) have size 0 and are their own component; repeated rows of one id are one
-document; an empty table gives no rows. Only id and text are read. Set sizes are exact up to 64-bit hash collisions, the
-test of a pair up to 32-bit ones.
+Defined results: texts without words (or null) have size 0 and are their own component; a null id is linked like any other
+and its component is the smallest id in it that is not null, null if there is none; repeated rows of one id give equal rows;
+an empty table gives no rows. Only id and text are read; ids keep their type. Sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, materialize
+from .common import Steps, few, fresh, steps
 from .components import components
-from .shingles import MASK, mix, shingle_set
+from .shingles import mix, shingle_set
 
-#: The boundary: with 15 shingles, subsets lacking three of them would be over five hundred.
-SMALL, LARGE = 14, 12
-#: One of so many documents is in the sample that shows frequent shingles; frequent is thrice in the sample.
-SAMPLE, FREQUENT = 8, 3
-#: At most so many frequent shingles (8 bytes each) are sent to the executors; the most frequent ones.
-MOST_FREQUENT = 1 << 20
+#: Buckets of the count of shingles: one byte each is sent to the executors.
+SKETCH_BITS = 21
+#: Counters that one row of the sketch holds.
+CHUNK = 1 << 15
+#: Lists from buckets that count 2**LONG or more are brought together by partial aggregates.
+LONG = 12
+#: The boundary lies between these sizes; a test of a pair costs about as much as so many rows of a list.
+LEAST, MOST, TEST = 4, 19, 40
 
 
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def subset_keys(s: np.ndarray) -> list[tuple[int, int]]:
-    """(hash, size) of the subsets of a small set that lack up to a fifth of it; a subset's hash is a sum."""
-    spread = mix(s).tolist()
-    total, out = sum(spread), []
-    for lacking in range(len(s) // 5 + 1):
-        size = len(s) - lacking
-        for gone in combinations(spread, lacking):
-            key = ((total - sum(gone)) ^ size) & MASK
-            out.append((key - (key >> 63 << 64), size))
-    return out
+def subset_count(n: int) -> int:
+    return sum(comb(n, lacking) for lacking in range(n // 5 + 1))
+
+
+def boundary(sizes: np.ndarray, shared: float) -> tuple[int, int]:
+    """(largest size that enumerates subsets, smallest size in the lists) with the fewest rows.
+
+    ``sizes[n]``: documents of n shingles; ``shared``: the share of lists that hold two sets or more, each tested twice.
+    """
+    heavy = lambda n: prefix_length(n) * (1 + 2 * TEST * shared)
+
+    def cost(b: int) -> float:
+        light = sum(int(sizes[n]) * subset_count(n) for n in range(1, b + 1))
+        return light + sum(int(sizes[n]) * heavy(n) for n in range((4 * (b + 1) + 4) // 5, MOST + 1))
+
+    small = min(range(LEAST, MOST + 1), key=cost)
+    return small, (4 * (small + 1) + 4) // 5
+
+
+@lru_cache(maxsize=64)
+def _lacking(n: int, gone: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), gone)), np.int64).reshape(comb(n, gone), gone)
+
+
+def subset_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sizes of the subsets of a small set that lack up to a fifth of it; a subset's hash is a sum."""
+    spread = mix(s)
+    total, keys, sizes = spread.sum(dtype=np.uint64), [], []
+    for gone in range(len(s) // 5 + 1):
+        left = total - spread[_lacking(len(s), gone)].sum(1, dtype=np.uint64)
+        keys.append(left ^ np.uint64(len(s) - gone))
+        sizes.append(np.full(len(left), len(s) - gone, np.int32))
+    return _signed(np.concatenate(keys)), np.concatenate(sizes)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+    return np.ascontiguousarray(x, np.uint64).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType, dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype), *arrays]).astype(dtype), kind))
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -69,51 +105,89 @@ def set_hash(s: np.ndarray) -> int:
     return _signed(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))))[0].item()
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the shingles found FREQUENT times in one of SAMPLE documents, sorted; copies in a batch count once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in set(batch.column(0).to_pylist())]
-            if sets:
-                keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _buckets(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "key").limit(MOST_FREQUENT).select("key")
-    return np.sort(np.array(top.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
 
+def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the shingles of all documents by bucket, and of the documents by size up to ``MOST``.
 
-def signatures(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, h (hash of the whole set), keys and hot of the inverted lists, subs and sizes of small sets' subsets."""
+    Each task counts its own documents; the tasks' counters are added in two steps, so that no task reads those of all.
+    """
+    size = 1 << SKETCH_BITS
+    rows = "chunk int, salt int, counts binary"
+
+    def row(chunk: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([counts.astype("<i8" if counts.max() > 255 else "u1").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sizes = np.zeros(size, np.uint32), np.zeros(CHUNK, np.int64)
+        for batch in steps(batches, 0):
+            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+            for at in range(0, len(sets), 256):
+                found, n = np.unique(_buckets(np.concatenate(sets[at : at + 256])), return_counts=True)
+                counts[found] += n.astype(np.uint32)
+            lengths = np.array([len(s) for s in sets], np.int64)
+            sizes += np.bincount(lengths[lengths <= MOST], minlength=CHUNK)
+        salt = TaskContext.get().partitionId() % 64
+        if sizes.any() or counts.any():
+            yield row(-1, salt, sizes)
+        for chunk in range(size // CHUNK):
+            if (mine := counts[chunk * CHUNK : (chunk + 1) * CHUNK]).any():
+                yield row(chunk, salt, mine)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for chunk, salt, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(raw, "u1" if len(raw) == CHUNK else "<i8")
+                sums[chunk, salt] = sums[chunk, salt] + mine if (chunk, salt) in sums else mine.astype(np.int64)
+        for (chunk, salt), counts in sums.items():
+            yield row(chunk, salt, counts)
+
+    once = docs.select("text").mapInArrow(count, rows).repartition("chunk", "salt").mapInArrow(add, rows)
+    every = once.withColumn("salt", F.lit(0)).repartition("chunk").mapInArrow(add, rows)
+    counts, sizes = np.zeros(size, np.int64), np.zeros(MOST + 1, np.int64)
+    for r in every.toLocalIterator():
+        mine = np.frombuffer(r.counts, "u1" if len(r.counts) == CHUNK else "<i8")
+        if r.chunk < 0:
+            sizes += mine[: MOST + 1]
+        else:
+            counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += mine
+    return counts, sizes
+
+
+def signatures(docs: DataFrame, k: int, levels: np.ndarray, small: int, large: int) -> DataFrame:
+    """row, doc_id, n, h (hash of the whole set), keys and long of the inverted lists, subs and sizes of small sets' subsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h, keys, hot, subs, sizes = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+        none = np.zeros(0, np.int64)
+        for batch in steps(batches, 2):
+            n, h, keys, long, subs, sizes = [], [], [], [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 h.append(set_hash(s))
-                mine, often = s[:0], np.zeros(0, bool)
-                if len(s) >= LARGE:
-                    at = np.searchsorted(frequent, s)
-                    often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-                    first = np.argsort(often, kind="stable")[: prefix_length(len(s))]  # the set is in order of hash
-                    mine, often = s[first], often[first]
+                mine, level = s[:0], none
+                if len(s) >= large:
+                    level = levels[_buckets(s)]
+                    first = np.argsort(level, kind="stable")[: prefix_length(len(s))]  # the set is in order of hash
+                    mine, level = s[first], level[first]
                 keys.append(_signed(mine))
-                hot.append(often)
-                small = subset_keys(s) if 0 < len(s) <= SMALL else []
-                subs.append([x[0] for x in small])
-                sizes.append([x[1] for x in small])
+                long.append(level > LONG)
+                of, size = subset_keys(s) if 0 < len(s) <= small else (none, none)
+                subs.append(of)
+                sizes.append(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(hot, pa.list_(pa.bool_())), pa.array(subs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                ["doc_id", "n", "h", "keys", "hot", "subs", "sizes"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(h, pa.int64()), _lists(keys, pa.int64(), np.int64),
+                 _lists(long, pa.bool_(), np.bool_), _lists(subs, pa.int64(), np.int64), _lists(sizes, pa.int32(), np.int32)],
+                ["row", "doc_id", "n", "h", "keys", "long", "subs", "sizes"],
             )
 
-    schema = "doc_id long, n int, h long, keys array<long>, hot array<boolean>, subs array<long>, sizes array<int>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, n int, h long, keys array<long>, long array<boolean>, subs array<long>, sizes array<int>"
+    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
 def small_links(sets: DataFrame) -> DataFrame:
@@ -137,54 +211,43 @@ def near_sizes(n_a: str, n_b: str) -> Column:
     return F.expr(f"5 * least({n_a}, {n_b}) >= 4 * greatest({n_a}, {n_b})")
 
 
-def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, held: Steps) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is 0.8 or more, by their whole sets.
 
-    A set's text is read from its first document. The ids of those documents are broadcast if they are few, a join
-    otherwise, so only the texts that matter are shingled and moved.
+    A set's text is read from one of its documents. The keys of those documents are broadcast if they are few, a join
+    otherwise, so only the texts that matter are shingled and moved. Sets meet in the JVM, one pair at a time.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = materialize(members.join(needed, "h", "left_semi").select("h", F.col("rep").alias("doc_id")))
+    wanted = held.keep(members.join(needed, "h", "left_semi").select("h", F.col("rep").alias("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             hashes, sets = [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, k)
-                if set_hash(s) == h:  # an id may have other texts too
+                if set_hash(s) == h and h not in hashes[-1:]:
                     hashes.append(h)
-                    sets.append(np.sort(s.astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.binary())], ["h", "s"])
+                    sets.append(_signed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), _lists(sets, pa.int64(), np.int64)], ["h", "s"])
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = np.sort(np.concatenate([s, t]), kind="stable")
-                keep.append(180 * int((both[1:] == both[:-1]).sum()) >= 80 * (len(s) + len(t)))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    shingled = docs.join(few(wanted), "doc_id").select("h", "text").mapInArrow(run, "h long, s binary")
-    first = pairs.select("a", "b").join(shingled.select(F.col("h").alias("a"), F.col("s").alias("x")), "a")
-    both = first.join(shingled.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
+    shingled = docs.join(few(wanted), "row").select("h", "text").mapInArrow(run, "h long, s array<long>")
+    once = shingled.groupBy("h").agg(F.first("s").alias("s"))  # a repeated row has one key
+    first = pairs.select("a", "b").join(once.select(F.col("h").alias("a"), F.col("s").alias("x")), "a")
+    both = first.join(once.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+    return both.where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b").distinct()
 
 
 def inverted_lists(sig: DataFrame, members: DataFrame) -> DataFrame:
-    """key, h, n, pos of the lists with two sets or more, with two leaders (pos, h, n) of each list.
-
-    Lists of frequent shingles are counted by a partial aggregate before anything is brought together.
-    """
-    reps = sig.join(members.select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi").where(F.size("keys") > 0)
-    listed = reps.select("h", "n", F.posexplode(F.arrays_zip("keys", "hot")).alias("pos", "x"))
-    rows = listed.select(F.col("x.keys").alias("key"), F.col("x.hot").alias("hot"), "h", "n", "pos")
+    """key, h, n, pos of the lists with two sets or more, with two leaders (pos, h, n) of each list."""
+    reps = sig.join(members.select(F.col("rep").alias("row"), "h"), ["row", "h"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["h"])
+    listed = reps.select("h", "n", F.posexplode(F.arrays_zip("keys", "long")).alias("pos", "x"))
+    rows = listed.select(F.col("x.keys").alias("key"), F.col("x.long").alias("long"), "h", "n", "pos")
     whole = Window.partitionBy("key")
     ends = [F.min(F.struct("pos", "h", "n")), F.max(F.struct("pos", "h", "n"))]
-    few = rows.where("not hot").select("key", "h", "n", "pos", ends[0].over(whole).alias("p"), ends[1].over(whole).alias("q"))
-    often = rows.where("hot")
+    short = rows.where("not long").select("key", "h", "n", "pos", ends[0].over(whole).alias("p"), ends[1].over(whole).alias("q"))
+    often = rows.where("long")
     many = often.join(often.groupBy("key").agg(ends[0].alias("p"), ends[1].alias("q")), "key").select("key", "h", "n", "pos", "p", "q")
-    return few.unionByName(many).where("p.h <> q.h")
+    return short.unionByName(many).where("p.h <> q.h")
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
@@ -193,53 +256,80 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
     return asked.where(meets("n", "pos", "m.n", "m.pos")).select(F.least("h", "m.h").alias("a"), F.greatest("h", "m.h").alias("b")).distinct()
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every pair (a, b) of sets from different components that may have its first common shingle in a list."""
-    placed = lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp"))
-    placed = materialize(placed)
+#: Sizes whose logarithms to this base have one whole part are one band.
+BAND = 1.1
+
+
+def open_pairs(lists: DataFrame, roots: DataFrame, held: Steps) -> DataFrame:
+    """Every pair (a, b) of sets from different components that may have its first common shingle in a list.
+
+    By ``meets`` a set at place ``pos`` links to sets of ``reach = (9 (n - pos)) div 4 - n`` shingles at most. It is early if
+    that is its own size or more; of two late sets none reaches the other. So a late set meets early ones alone, and each set
+    meets only the bands of sizes from four fifths of its own to its reach.
+    """
+    placed = held.keep(lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp")))
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1")
-    left = materialize(placed.join(mixed.select("key", "major"), "key"))
-    mine = left.where("comp <> major")
-    other = left.select("key", *(F.col(x).alias(f"{x}2") for x in ("h", "n", "pos", "comp", "major")))
-    met = mine.join(other, "key").where("comp <> comp2 and (comp2 = major2 or h < h2)").where(meets("n", "pos", "n2", "pos2"))
+    reach = F.expr("((9 * (n - pos)) div 4) - n")
+    band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    left = placed.join(held.keep(mixed.select("key", "major")), "key").withColumn("reach", reach).withColumn("early", F.expr("reach >= n").cast("int"))
+    left = held.keep(left.where("5 * reach >= 4 * n"))
+    low, high = F.ceil(F.col("n") * 4 / F.lit(5)), F.least(F.col("reach"), F.floor(F.col("n") * 5 / F.lit(4)))
+    bands = F.sequence(band(low) - 1, band(high) + 1)  # one more on either side, for rounding
+    mine = left.where("comp <> major").withColumn("band", F.explode(bands)).withColumn("early2", F.explode(F.expr("if(early = 1, array(0, 1), array(1))")))
+    other = left.select("key", band(F.col("n")).alias("band"), F.col("early").alias("early2"), *(F.col(x).alias(f"{x}2") for x in ("h", "n", "pos", "comp", "major")))
+    met = mine.join(other, ["key", "band", "early2"]).where("comp <> comp2 and (comp2 = major2 or h < h2)").where(meets("n", "pos", "n2", "pos2"))
     return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
 
 
+def grouped(docs: DataFrame, k: int, id_col: str, text_col: str, held: Steps) -> DataFrame:
+    """row (a hash of id and text), doc_id, n, comp of every document: comp is a hash that the sets of a component share."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    counts, sizes = shingle_counts(base, k)
+    levels = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
+    small, large = boundary(sizes, float(counts[counts > 2 * counts.mean() + 8].sum() / max(1, counts.sum())))
+    sig = held.keep(signatures(base, k, levels, small, large))
+    members = held.keep(sig.where("n > 0").groupBy("h", "n").agg(F.min("row").alias("rep")))
+    lists = held.keep(inverted_lists(sig, members))
+    light = small_links(sig.where(F.size("subs") > 0).dropDuplicates(["h"]))
+    links = held.keep(light.unionByName(tested(base, members, held.keep(leader_pairs(lists)), k, held)))
+    late = tested(base, members, held.keep(open_pairs(lists, components(links), held)), k, held)
+    roots = components(links.unionByName(late))
+    named = members.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("comp"))
+    out = sig.where("n > 0").select("row", "doc_id", "n", "h").join(named, "h").select("row", "doc_id", "n", "comp")
+    out = held.keep(out.unionByName(sig.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("long").alias("comp"))))
+    held.end(out)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the components of Jaccard >= 0.8 between the documents' shingle sets."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sig = materialize(signatures(base, k, frequent_shingles(base, k)))
-    members = materialize(sig.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("rep")))
-    lists = materialize(inverted_lists(sig, members))
-    small = small_links(sig.where(F.size("subs") > 0).dropDuplicates(["h"]))
-    links = materialize(small.unionByName(tested(base, members, materialize(leader_pairs(lists)), k)))
-    late = tested(base, members, materialize(open_pairs(lists, components(links))), k)
-    roots = components(links.unionByName(late))
-    named = members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "rep", F.coalesce("root", "h").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_set = named.join(least, "root").select("h", "component_id")
-    rows = sig.where("n > 0").select("doc_id", "n", "h").join(of_set, "h").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = sig.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.unionByName(empty)
+    found = grouped(docs, k, id_col, text_col, Steps(docs.sparkSession))
+    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    size = F.col("n").cast("long").alias("n_shingles")
+    rows = found.where("comp is not null").join(least, "comp").select("doc_id", size, "component_id")
+    return rows.unionByName(found.where("comp is null").select("doc_id", size, F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one of the smallest id, null ids last.
+def keep_one(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest id, null ids last.
 
-    Rows go by a key of their own, so ids may repeat or be null: rows of one id are alike only if their texts are. Rows
-    without words are alike within one id, null being an id too.
+    Rows equal in id and text are copies of each other, with or without words; of those that differ in another column the
+    one with the smallest hash stays. Documents stay where they are unless some of their group go.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(keyed, id_col="_row", text_col=text_col).withColumnRenamed("doc_id", "_row")
-    ids = keyed.select("_row", F.col(id_col).alias("id"))
-    named = materialize(
-        found.join(ids, "_row").select(
-            "_row", "id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("comp"), F.when(F.col("n_shingles") == 0, F.col("id")).alias("alone")
-        )
-    )
-    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_row"))["_row"]
-    groups = named.groupBy("comp", "alone").agg(F.count(F.lit(1)).alias("n"), least.alias("kept")).where("n > 1")
-    groups = few(materialize(groups.select(F.col("comp").alias("comp2"), F.col("alone").alias("alone2"), "kept")))
-    others = named.join(groups, F.expr("comp <=> comp2 and alone <=> alone2")).where("_row <> kept").select("_row")
-    return keyed.join(few(materialize(others)), "_row", "left_anti").select(*docs.columns)
+    held = Steps(docs.sparkSession)
+    found = grouped(docs, k, id_col, text_col, held)
+    rows = found.groupBy("comp", "row", F.col("doc_id").isNull().alias("no_id"), "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    alone = rows.where("comp is null").select("row", "times")
+    first = F.min(F.struct("no_id", "doc_id", "row", "times"))
+    rows = held.keep(rows.where("comp is not null"))
+    kept = held.keep(rows.groupBy("comp").agg(first.alias("f"), F.count(F.lit(1)).alias("members")).select("comp", "f.row", "f.times", "members"))
+    gone = rows.join(kept.where("members > 1").select("comp", F.col("row").alias("first")), "comp").where("row <> first").select("row").distinct()
+    again = kept.select("row", "times").unionByName(alone).where("times > 1").select("row").distinct()
+    name = fresh(docs.columns, "_row")
+    gone, again = (few(held.keep(x.withColumnRenamed("row", name))) for x in (gone, again))
+    keyed = docs.withColumn(name, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(gone, name, "left_anti")
+    same = keyed.join(again, name, "left_semi").select(name, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_one"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_by"))
+    one = same.groupBy(name).agg(F.min_by("_one", "_by").alias("_one")).select("_one.*")
+    return keyed.join(again, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)

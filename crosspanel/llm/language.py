@@ -9,7 +9,9 @@ hash of the id; rarer languages give all they have. Every document is then score
 
 Defined results: ``und`` with score 0 for null text, text without letters, or no learned language; rows with null lang are
 not learned from; equal distances go to the first language in code-point order; equal counts rank by n-gram code. The
-score is 1 minus the mean rank distance over the profile's length. Only the named columns are read.
+score is 1 minus the mean rank distance over the profile's length. Repeated rows give repeated results, an empty table none.
+Only the named columns are read. More than ``MOST_LANGUAGES`` different lang values are an error: the profiles, ``PROFILE``
+rows each, are held by every task.
 """
 
 from __future__ import annotations
@@ -21,9 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import steps
+
 PROFILE = 300
 PER_LANGUAGE = 1000
+MOST_LANGUAGES = 2000
 UND = "und"
+#: Documents below this score are like no profile: ``keep_identified`` takes them for no language. Prose scores 0.39 and more.
+MIN_SCORE = 0.2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,14 +87,17 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, gram, rank (from 0) of each language's profile, learned from the given labelled rows."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    found = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, n long")
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / per_language)).cast("long")
     # one row a language
     sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("profile"), "id"), step) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             by: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (found := grams(text)) is not None:
@@ -132,7 +142,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             out = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
@@ -143,16 +153,18 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """The documents, with all their columns, that have a language; those predicted ``und`` go."""
+def keep_identified(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents, with all their columns, that have a language: predicted ``und`` or scored below ``min_score`` they go.
+
+    If no language could be learned, nothing can be told and all stay. Only the texts go to Python.
+    """
     model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([model.predict(t)[0] != UND for t in batch.column(at).to_pylist()], pa.bool_()))
+    def known(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(known, "boolean")(F.col(text_col))) if model.langs else docs
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

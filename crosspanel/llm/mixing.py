@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: 4096 buckets of a source's documents in seeded order.
 BUCKET_HEX = 3
+MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -30,7 +31,8 @@ def word_count(text: Column) -> Column:
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """sources (source, source_size), one row each -> with weight and target. The windows run over these few rows."""
+    """sources (source, source_size), one row each -> with weight and target. The windows run over these few rows: more than
+    ``MOST_SOURCES`` are an error."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
     turn = (F.row_number().over(by_name) - 1) % n
@@ -64,7 +66,9 @@ def mix(
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken, and the columns to carry."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    # the text is part of the draw, so that rows of one id, or of none, spread over the buckets
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
     sized = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -79,6 +83,9 @@ def mix(
     sized = sized.select("*", key.alias("k"), F.substring("u", 1, BUCKET_HEX).alias("bucket"))
     in_bucket = sized.groupBy("k", "source", "bucket").agg(F.sum("size").alias("n"))
     totals = in_bucket.groupBy("k", "source").agg(F.sum("n").alias("source_size"))
+    totals = materialize(totals)
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"{source_col} has more than {MOST_SOURCES} values")
     plan = water_fill(totals.select("source", "source_size"), share, max_epochs, weights).select(
         key.alias("k"), "source_size", "target"
     )
@@ -100,9 +107,10 @@ def mix(
 def repeat_documents(docs: DataFrame, **mixed) -> DataFrame:
     """The documents, each row as often as their ``mix`` with these arguments takes it.
 
-    Rows go by a key of their own, so ids may repeat or be null.
+    Rows go by a key of their own, so ids may repeat or be null, and columns may have any names.
     """
-    keyed = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    copies = mix(keyed, carry=("_mix_row",), **mixed).where("copies > 0").select("_mix_row", F.col("copies").alias("_mix_copies"))
-    joined = keyed.join(copies, "_mix_row")
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    row, times = fresh(docs.columns, "_row"), fresh(docs.columns, "_times")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    copies = mix(keyed, carry=(row,), **mixed).where("copies > 0").select(row, F.col("copies").alias(times))
+    repeated = keyed.join(copies, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

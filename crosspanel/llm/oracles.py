@@ -20,7 +20,7 @@ m as (select w.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::b
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and kept_chars >= 0.5 * word_chars kept, kept_chars from b"""
 
-OP10 = f"""with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint size, md5('17:' || coalesce(cast(doc_id as varchar), 'null')) u from documents),
+OP10 = f"""with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint size, md5('17:' || coalesce(cast(doc_id as varchar), 'null') || ':' || coalesce(text, '')) u from documents),
 t as (select source, sum(size)::bigint source_size from s group by source),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0 else 1.0 end weight, source_size * 2.0::double cap from t),
 o as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))

@@ -36,7 +36,12 @@ class Shard:
 
 
 def topology(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2, base: int = 8) -> list[Shard]:
-    """The first ``base`` shards fill regions of ``racks_per_region * shards_per_rack``; each later one is a region."""
+    """The first ``base`` shards fill regions of ``racks_per_region * shards_per_rack``; each later one is a region.
+
+    Fewer shards than ``base`` are an error: the tree that grows to ``base`` would move rows between old shards.
+    """
+    if not 0 < base <= shards:
+        raise ValueError("a tree has base shards at least; give the number it began with as base")
     per_region = racks_per_region * shards_per_rack
     first = [Shard(i // per_region, i % per_region // shards_per_rack, i) for i in range(min(shards, base))]
     regions = 1 + max((s.region for s in first), default=-1)
@@ -84,18 +89,20 @@ def place(key: Column, tree: list[Shard]) -> Column:
     return descend(tree, ["region", "rack", "shard"], "")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, base: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places every document, numbers the rows of each shard from 0, and tells where one more shard would put them.
 
-    Slots follow (bucket of the key's hash, key, CRC). Counts of (shard, bucket) come from a pass over the ids alone;
-    their running totals (at most shards * 4096 rows) are joined back, so no task ever sorts a whole shard.
+    ``base`` is the number of shards that the tree began with. Slots follow (bucket of a hash of key and CRC, key, CRC).
+    Counts of (shard, bucket) come from a pass of their own; their running totals (at most shards * 4096 rows) are joined
+    back, so no task ever sorts a whole shard, nor all rows of a key that many texts share.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     placed = [
         F.col(id_col).alias("doc_id"),
-        place(key, topology(shards)).cast("int").alias("shard"),
-        place(key, topology(shards + 1)).cast("int").alias("grown_shard"),
-        F.substring(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 1, BUCKET_HEX).alias("bucket"),
+        place(key, topology(shards, base=base)).cast("int").alias("shard"),
+        place(key, topology(shards + 1, base=base)).cast("int").alias("grown_shard"),
+        F.substring(F.md5(F.concat(F.lit("slot:"), key, F.lit(":"), crc.cast("string")).cast("binary")), 1, BUCKET_HEX).alias("bucket"),
     ]
     counts = docs.select(*placed).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows = docs.select(
         *placed,
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        crc.cast("long").alias("text_crc32"),
     )
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
     numbered = rows.withColumn("at", F.row_number().over(within))

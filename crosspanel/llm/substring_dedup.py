@@ -1,4 +1,4 @@
-"""Removal of word windows that occur more than once, by FM-indexes over shards of the corpus.
+"""Removal of word windows that occur more than once, by compressed FM-indexes over shards of the corpus.
 
 A window is ``k`` consecutive words. Every window has an anchor: the run of ``ANCHOR`` words inside it whose hash is
 smallest. Windows that are equal have equal anchors, so windows are dealt to shards by anchor and no shard needs another;
@@ -7,16 +7,16 @@ which an index of every shard searched by every document would not.
 
 1. Every document is cut into segments: (anchor, hash of the segment, document, place). An anchor that occurs once in the
    corpus ends there; so do almost all words without a copy.
-2. Equal segments are counted. A segment that occurs twice is removed everywhere as a whole.
-3. Segments that occur once, but whose anchor has other segments too, are streamed through their shard's FM-index of
-   all its distinct segments: backward search finds how far to the left each place matches text that occurs twice
-   (its matching statistic), and the intervals of ``k`` words or more are reported.
+2. The other segments go to their anchor's shard, each different one once, with the number of its copies as its weight.
+3. Each of them is streamed through the shard's FM-index: backward search finds how far to the left each place matches text
+   of weight 2 or more (its matching statistic), and the intervals of ``k`` words or more are reported. A segment that occurs
+   twice as a whole is one such interval.
 4. An anchor with very many different segments (a passage in a third of all documents) would fill one shard. Its
-   segments are cut into single windows, which are dealt by their own hash instead.
+   segments are cut into single windows, each its own anchor: dealt by their own hash, once for all their copies.
 
 Defined results: null text has no words; a document shorter than a window loses nothing; repeated rows of a document are
-copies of each other, so every window of theirs goes; an empty table gives no rows. Only id and text are read.
-Hashes of words, segments and documents have 64 bits.
+copies of each other, so every window of theirs goes; an empty table gives no rows. Only id and text are read, and further
+columns may have any names. Hashes that deal words, segments and documents have 64 bits.
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, materialize
+from .common import Steps, few, fresh, steps
 from .fm_index import FmIndex
 from .shingles import mix, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 #: Words of one shard's index, about.
-SHARD_WORDS = 1_000_000
-#: Different segments of one anchor from which it is dealt by window.
+SHARD_WORDS = 400_000
+#: Different segments of one anchor from which they are dealt by window.
 CROWDED = 4_000
 
 
@@ -75,7 +75,7 @@ def cut(docs: DataFrame, k: int, m: int) -> DataFrame:
     """anchor, seg, d, start, n of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             parts: list[list[np.ndarray]] = [[], [], [], [], []]
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = word_hashes(text.encode("utf-8", "surrogatepass"))
@@ -93,49 +93,60 @@ def cut(docs: DataFrame, k: int, m: int) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "anchor long, seg long, d long, start int, n int")
 
 
-def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool) -> DataFrame:
+def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool, held: Steps) -> DataFrame:
     """The words of distinct segments (wanted: seg, anchor, c, d, start, n), read from the text of one document of each.
 
-    Gives anchor, seg, c and words; or win, seg, c and offset of each single window.
+    Gives anchor, seg, c and words; or, of each single window, win, seg, c, offset, d and its place in the document.
     """
     of_doc = wanted.groupBy("d").agg(F.collect_list(F.struct("seg", "anchor", "c", "start", "n")).alias("parts"))
+    schema = "win long, seg long, c long, offset int, d long, place int" if as_windows else "anchor long, seg long, c long, words binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()] if as_windows else [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 0):
             rows: list[tuple] = []
-            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, parts, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = word_hashes(text.encode("utf-8", "surrogatepass"))
                 windows = _signed(window_hashes(words, k)) if as_windows else None
                 for p in parts:
+                    a, b = p["start"], p["start"] + p["n"]
                     if as_windows:
-                        rows += [(w, p["seg"], p["c"], i) for i, w in enumerate(windows[p["start"] : p["start"] + p["n"]].tolist())]
+                        rows += [(w, p["seg"], p["c"], i, d, a + i) for i, w in enumerate(windows[a:b].tolist())]
                     else:
-                        rows.append((p["anchor"], p["seg"], p["c"], words[p["start"] : p["start"] + p["n"] + k - 1].tobytes()))
-            names, last = (("win", "seg", "c", "offset"), pa.int32()) if as_windows else (("anchor", "seg", "c", "words"), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), last]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], list(names))
+                        rows.append((p["anchor"], p["seg"], p["c"], words[a : b + k - 1].tobytes()))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "win long, seg long, c long, offset int" if as_windows else "anchor long, seg long, c long, words binary"
-    needed = few(materialize(wanted.select("d").distinct()))
-    texts = docs.select("d", "text").join(needed, "d", "left_semi")
-    return texts.join(of_doc, "d").select("text", "parts").mapInArrow(run, schema)
+    needed = few(held.keep(wanted.select("d").distinct()))
+    texts = docs.select("d", "text").join(needed, "d", "left_semi").groupBy("d").agg(F.first("text").alias("text"))  # a repeated row has one d
+    return texts.join(of_doc, "d").select("text", "parts", "d").mapInArrow(run, schema)
 
 
-def shard_intervals(segs: list[np.ndarray], single: np.ndarray, k: int, m: int) -> list[tuple[int, int, int]]:
-    """(segment, first window, windows): the windows of single segments that occur twice in the shard."""
+def shard_intervals(segs: list[np.ndarray], weights: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(segment, first window, windows): the windows of the segments that have weight 2 or more in the shard."""
     lengths = np.array([len(s) for s in segs])
     every = np.concatenate(segs)
     _, symbol, times = np.unique(every, return_inverse=True, return_counts=True)
-    # a word that occurs once in the shard matches nothing: it becomes a separator
-    often = np.cumsum(times > 1) * (times > 1)
+    # a word that has weight 1 in the shard matches nothing: it becomes a separator
+    heavy = np.bincount(symbol, np.repeat(weights, lengths), minlength=len(times)) > 1
+    often = np.cumsum(heavy) * heavy
     begin = np.cumsum(lengths + 1) - lengths
     text = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
+    weight = np.zeros(len(text), np.int64)
     place = np.arange(len(every)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
     text[place] = often[symbol]
-    index = FmIndex(text, int(often.max(initial=0)) + 1, int(lengths.max()) + 1)
-    asked = np.flatnonzero(single)
-    first, last = begin[asked], begin[asked] + lengths[asked] - 1
+    weight[place] = np.repeat(weights, lengths)
+    index = FmIndex(text, int(often.max(initial=0)) + 1, int(lengths.max()) + 1, weight)
+    asked, first, last = np.arange(len(segs)), begin, begin + lengths - 1
+    # the match that ends with the segment: it may be the whole of it
+    left = index.reach(text, last, first)
+    whole = left == first
+    out = [(q, 0, n) for q, n in zip(asked[whole].tolist(), (lengths[whole] - k + 1).tolist(), strict=True)]
+    asked, first, last = (x[~whole] for x in (asked, first, last))
     # all windows of a segment hold what lies between the last window's start and the first window's end
     core, core_end = last - (k - 1), first + (k - 1)
     # a match that ends with the first window begins no further left than here, nor does any repeated window
@@ -149,7 +160,7 @@ def shard_intervals(segs: list[np.ndarray], single: np.ndarray, k: int, m: int)
         fits = index.reach(text, middle, core[open_]) <= core[open_]
         good[open_[fits]] = middle[fits]
         bad[open_[~fits]] = middle[~fits]
-    end, low, out = good, left, []
+    end, low = good, left
     alive = np.flatnonzero(end - (k - 1) >= low)
     while alive.size:
         start = index.reach(text, end[alive], low[alive])
@@ -162,40 +173,42 @@ def shard_intervals(segs: list[np.ndarray], single: np.ndarray, k: int, m: int)
     return out
 
 
-def shard_matches(rows: DataFrame, k: int, m: int) -> DataFrame:
-    """seg, first, n of the repeated windows of segments that occur once, shard by shard."""
+def shard_matches(rows: DataFrame, k: int) -> DataFrame:
+    """seg, first, n of the repeated windows of segments (shard, seg, c, words), shard by shard."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         segs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
-        found = shard_intervals(segs, table.column("c").to_numpy() == 1, k, m)
+        found = shard_intervals(segs, table.column("c").to_numpy(), k)
         names = table.column("seg").to_numpy()
         seg, first, n = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
-        return pa.table({"seg": pa.array(names[seg.astype(np.int64)], pa.int64()), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+        return pa.table({"seg": pa.array(names[seg], pa.int64()), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    return rows.groupBy("shard").applyInArrow(run, "seg long, first int, n int")
+    return rows.select("shard", "seg", "c", "words").groupBy("shard").applyInArrow(run, "seg long, first int, n int")
 
 
-def repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
+def repeated_windows(docs: DataFrame, held: Steps, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
     """d, first, n: runs of windows that also start elsewhere. docs: d (a key of the row), text."""
-    every = materialize(cut(docs, k, m))
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    met = materialize(every.join(shared, "anchor"))
+    every = held.keep(cut(docs, k, m))
+    shared = held.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
+    met = held.keep(every.join(few(shared), "anchor"))
     rep = F.min(F.struct("d", "start", "n", "anchor"))
-    distinct = materialize(met.groupBy("seg").agg(F.count(F.lit(1)).alias("c"), rep.alias("r")).select("seg", "c", "r.*"))
-    of_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum(F.col("n") + k).alias("size")).where("segs > 1")
-    of_anchor = materialize(of_anchor)
+    distinct = held.keep(met.groupBy("seg").agg(F.count(F.lit(1)).alias("c"), rep.alias("r")).select("seg", "c", "r.*"))
+    of_anchor = held.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum(F.col("n") + k).alias("size")))
     words = of_anchor.where(F.col("segs") < CROWDED).agg(F.sum("size")).first()[0] or 0
-    shards = int(words // SHARD_WORDS) + 1
-    chosen = lambda crowded: distinct.join(of_anchor.where((F.col("segs") >= CROWDED) == F.lit(crowded)).select("anchor"), "anchor")
-    indexed = pieces(docs, chosen(False), k, False).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    matched = shard_matches(indexed, k, m)
-    windows = pieces(docs, chosen(True), k, True)
-    twice = windows.groupBy("win").agg(F.sum("c").alias("t")).where("t > 1").select("win")
-    crowded = windows.join(twice, "win").where("c = 1").select("seg", F.col("offset").alias("first"), F.lit(1).alias("n"))
-    once = distinct.where("c = 1").select("seg", "d", "start")
-    parts = matched.unionByName(crowded).join(once, "seg").select("d", (F.col("start") + F.col("first")).alias("first"), "n")
-    whole = met.join(distinct.where("c > 1").select("seg"), "seg").select("d", F.col("start").alias("first"), "n")
-    return parts.unionByName(whole)
+    crowds = few(held.keep(of_anchor.where(F.col("segs") >= CROWDED).select("anchor")))
+    crowded, plain = distinct.join(crowds, "anchor", "left_semi"), distinct.join(crowds, "anchor", "left_anti")
+    # the windows of crowded anchors, each different one once and as its own segment
+    windows = held.keep(pieces(docs, crowded, k, True, held))
+    first = F.min(F.struct("d", F.col("place").alias("start")))
+    single = held.keep(windows.groupBy("win").agg(F.sum("c").alias("c"), first.alias("r")).where("c > 1").select("win", "c", "r.*"))
+    own = single.select(F.col("win").alias("seg"), "c", "d", "start", F.lit(1).alias("n"), F.col("win").alias("anchor"))
+    both = plain.select("seg", "c", "d", "start", "n", "anchor").unionByName(own)
+    shards = int((words + single.count() * k) // SHARD_WORDS) + 1
+    indexed = pieces(docs, both, k, False, held).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = held.keep(shard_matches(indexed, k))
+    of_windows = windows.join(found.where("n = 1 and first = 0").select(F.col("seg").alias("win")), "win").select("seg", F.col("offset").alias("first"), F.lit(1).alias("n"))
+    runs = found.join(single.select(F.col("win").alias("seg")), "seg", "left_anti").unionByName(of_windows)
+    return met.select("seg", "d", "start").join(held.keep(runs), "seg").select("d", (F.col("start") + F.col("first")).alias("first"), "n")
 
 
 def uncovered(words: list[bytes], runs: list[dict], k: int) -> list[bytes]:
@@ -207,14 +220,23 @@ def uncovered(words: list[bytes], runs: list[dict], k: int) -> list[bytes]:
     return [w for w, covered in zip(words, np.cumsum(edge)[:-1].tolist(), strict=True) if not covered]
 
 
+def _runs(base: DataFrame, k: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """d and runs of the documents that lose words, and their d alone."""
+    held = Steps(base.sparkSession)
+    runs = held.keep(repeated_windows(base, held, k, m).distinct().groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
+    touched = held.keep(runs.select("d"))
+    held.end(runs, touched)
+    return runs, few(touched)
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and kept_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("d"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    runs = materialize(repeated_windows(base, k, m).distinct()).groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs, touched = _runs(base, k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             n, gone, kept, digest = [], [], [], []
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -232,7 +254,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: st
 
     kind = base.schema["doc_id"].dataType.simpleString()
     # documents that lose nothing stay where they are
-    touched = few(materialize(runs.select("d")))
     lose = base.join(touched, "d", "left_semi").join(runs, "d").select("doc_id", "text", "runs")
     stay = base.join(touched, "d", "left_anti").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     return lose.unionByName(stay).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
@@ -241,23 +262,21 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: st
 def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without their repeated windows.
 
-    A text that loses words becomes the words that stay, joined by one space; other texts stay as they are.
+    A text that loses words becomes the words that stay, joined by one space; other texts stay as they are. Only the texts
+    that lose words go to Python.
     """
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(key.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = materialize(repeated_windows(base, k, m).distinct()).groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
-    touched = few(materialize(runs.select(F.col("d").alias("_key"))))
-    keyed = docs.withColumn("_key", key)
-    lose = keyed.join(touched, "_key", "left_semi").join(runs.withColumnRenamed("d", "_key"), "_key")
-    at, runs_at = lose.columns.index(text_col), lose.columns.index("_runs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                texts.append(b" ".join(uncovered(words, runs, k)).decode("utf-8", "surrogatepass"))
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_key", "_runs"])
-
-    cut_texts = lose.mapInArrow(run, docs.schema)
-    return cut_texts.unionByName(keyed.join(touched, "_key", "left_anti").select(*docs.columns))
+    runs, touched = _runs(base, k, m)
+    name, found = fresh(docs.columns, "_key"), fresh(docs.columns, "_runs")
+    keyed = docs.withColumn(name, key)
+    touched, runs = touched.withColumnRenamed("d", name), runs.withColumnRenamed("d", name).withColumnRenamed("runs", found)
+
+    def clean(texts: pa.Array, of: pa.Array) -> pa.Array:
+        kept = (uncovered(t.as_py().encode("utf-8", "surrogatepass").split(), r.as_py(), k) for t, r in zip(texts, of, strict=True))
+        return pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in kept], pa.string())
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    lose = keyed.join(touched, name, "left_semi").join(runs, name)
+    cleaned = lose.withColumn(text_col, F.arrow_udf(clean, "string")(F.col(text_col), F.col(found))).select(*columns)
+    return cleaned.unionByName(keyed.join(touched, name, "left_anti").select(*columns))
