@@ -9,12 +9,14 @@ Files are Parquet tables of blocks (file, block, in_file, n_ids, payload), one f
 Spark writes will do and a lost task is simply repeated. ``in_file`` is the number of ids before the block in its file.
 
 Defined results: null text counts as empty and is the end id alone; repeated rows are stored each; an empty table gives
-no rows; a null id comes first. Only the id and text columns are read.
+no rows; a null id comes first; rows of one id, or of none, go by a hash of their text, then by the text. Only the id and text
+columns are read; ids are whole numbers.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,13 +28,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_symbols
+from .common import steps
+
 #: The format's fixed values: ids in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64((1 << 60) - 1)
 BLOCK_IDS = 65_536
-#: Chunks that one Python worker remembers at most.
-CHUNKS = 700_000
+#: Chunks of one generation that a Python worker remembers at most, and the characters of the longest: under 250 bytes each.
+CHUNKS, REMEMBERED = 250_000, 32
+#: The stand-in of a space in byte-level tokens.
+SPACE = "\u0120"
+#: A chunk of common letters, signs and line feeds, and the pieces of it that the tokenizer's pattern makes.
+COMMON = re.compile("[!-~\nÀ-ÖØ-öø-ɏ]+")
+PIECES = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\n+(?!\\S)|\n+")
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +56,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded[large] = ESCAPE
     bits = np.zeros(len(padded), np.uint8)  # numbers from 2**53 up round to a power of two at most, which is on the safe side
     bits[:n] = np.minimum(np.frexp(padded[:n].astype(np.float64))[1], 60)
-    choice = np.full(n, 15, np.uint8)
+    widest = int(np.searchsorted(WIDTHS[:15], int(bits.max()), side="left"))  # the first selector that holds every id
+    choice = np.full(n, min(widest, 15), np.uint8)
     over = np.zeros(len(padded) + 1, np.int32)
-    for s in range(14, -1, -1):
+    for s in range(widest - 1, -1, -1):
         np.cumsum(bits > WIDTHS[s], out=over[1:], dtype=np.int32)
         fits = over[COUNTS[s] : COUNTS[s] + n] == over[:n]
         if not fits.any():
@@ -113,8 +124,12 @@ class Encoder:
     """The library's ids of texts, remembered by chunk.
 
     The pattern that cuts a text always cuts before a space that a non-space follows, so a text is the sum of its chunks
-    between such spaces. New chunks of many texts are joined and encoded in one call; each chunk's ids begin with a token
-    that begins with a space, and no other token does. Texts with white space after a space go to the library whole.
+    between such spaces. New chunks of common characters are cut by the same pattern here, and their pieces go straight to the
+    library's BPE model; other new chunks are joined and encoded in one call, where each one's ids begin with a token that
+    begins with a space and no other token does. Texts with white space after a space go to the library whole.
+
+    Remembered chunks are bounded in number, and long ones are forgotten after their step. Beyond the bound a new
+    generation begins, into which what is asked for again moves from the one before.
     """
 
     def __init__(self, path: str):
@@ -122,40 +137,79 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.symbols = self.library.model, byte_symbols()
         size = self.library.get_vocab_size(with_added_tokens=True)
-        space = "\u0120"  # the stand-in of a space in byte-level tokens
-        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(size)])
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # pieces that no space precedes
 
     def of(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """A piece of the pattern, in the stand-ins of its bytes."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(piece)])
+
     def learn(self, chunks: set[str]) -> None:
         """Remembers the chunks that can stand alone."""
-        new = [c for c in chunks if c and not c[0].isspace()]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        known, before, packed, tokenize, odd = self.known, self.before, self.packed, self.model.tokenize, []
+        for c in chunks:
+            if (ids := before.get(c)) is not None:
+                known[c] = ids
+            elif c.isascii() and c.isalpha():
+                known[c] = b"".join([packed[t.id] for t in tokenize(SPACE + c)])
+            elif COMMON.fullmatch(c) and c[0] != "\n" and "<|" not in c:
+                known[c] = self.mixed(c)
+            elif c and not c[0].isspace():
+                odd.append(c)
+        for at in range(0, len(odd), 20_000):
+            part = odd[at : at + 20_000]
             ids = np.frombuffer(self.of(" " + " ".join(part)), "<u4")
             cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
             if len(cuts) != len(part) + 1:
                 raise ValueError("a chunk's first token does not begin with a space")
             raw = ids.tobytes()
             ends = (4 * cuts).tolist()
-            self.known.update((c, raw[a:b]) for c, a, b in zip(part, ends, ends[1:], strict=False))
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+            known.update((c, raw[a:b]) for c, a, b in zip(part, ends, ends[1:], strict=False))
+
+    def mixed(self, chunk: str) -> bytes:
+        first, *rest = PIECES.findall(" " + chunk)
+        out = [self.known.get(first[1:])]
+        if out[0] is None:
+            out[0] = self.piece(first.encode().decode("latin-1").translate(self.symbols))
+            if len(first) <= REMEMBERED:
+                self.known[first[1:]] = out[0]
+        for p in rest:
+            ids = self.inner.get(p)
+            if ids is None:
+                ids = self.piece(p.encode().decode("latin-1").translate(self.symbols))
+                if len(p) <= REMEMBERED:
+                    self.inner[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             cut = [t.split(" ") for t in texts[at : at + 256]]
-            if len(self.known) > CHUNKS:
-                self.known.clear()
-            self.learn(set().union(*(c[1:] for c in cut)).difference(self.known))
+            new = set().union(*cut).difference(self.known)
+            self.learn(new)
             known = self.known
             for text, (first, *rest) in zip(texts[at : at + 256], cut, strict=True):
                 try:
                     raw = (self.of(first) if first else b"") + b"".join([known[c] for c in rest])
                 except KeyError:
                     raw = self.of(text)
-                yield np.frombuffer(raw, "<u4")
+                yield raw
+            for c in new:
+                if len(c) > REMEMBERED:
+                    known.pop(c, None)
+            if len(known) > CHUNKS:
+                self.before, self.known = known, {}
+            if len(self.inner) > CHUNKS:
+                self.inner = {}
 
 
 @lru_cache(maxsize=4)
@@ -170,7 +224,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, tokens, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u4")
+        file, tokens, end = TaskContext.get().partitionId(), encoder(path), end_id.to_bytes(4, "little")
         names = ["file", "block", "in_file", "n_ids", "payload"]
         block, before, size, ids, arrays = 0, 0, 0, [], []
 
@@ -179,10 +233,10 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
             row = [file, block, before, size, to_block(ids, arrays)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in steps(batches, 1):
             for doc, found in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True):
                 ids.append(doc)
-                arrays.append(np.concatenate([found, end]))
+                arrays.append(np.frombuffer(found + end, "<u4"))
                 size += len(arrays[-1])
                 if size >= BLOCK_IDS:
                     yield flush()
@@ -190,8 +244,9 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
         if ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "file int, block int, in_file long, n_ids long, payload binary").write.parquet(out)
+    order = ["doc_id", "hash", "text"]  # so that rows of one id, however many, spread over files
+    ordered = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash").sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(run, "file int, block int, in_file long, n_ids long, payload binary").write.parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
