@@ -1,29 +1,35 @@
 """Nearest neighbours by a block matrix join on int8 product tiles.
 
-Queries and candidates are dealt to cells of bounded size; a cell holds one group of queries and one group of candidates.
-Inside a cell every vector is scaled to length 1 and rounded to int8 with its own scale. The integer product of a tile,
-times the scales, is within ``e_q + |q'| * e_c`` of the true cosine, where ``e`` is the length of a rounding residue and
-``q'`` the rounded query. Pairs whose upper bound is below a query's k-th best lower bound, or k-th best exact score so
-far, are dropped; the rest are computed in double precision and kept in a heap per query. The bound makes the result
-exact, not approximate. The cells' k best per query are merged by a window.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another
-dimension are never compared; a query is not its own candidate (rows with the same id count as the query's own); equal
-scores go to the smaller id; fewer than k candidates give fewer rows; an empty table gives none.
+Every vector is scaled to length 1 and rounded to int8 with its own scale. Only these codes, an eighth of the doubles, are
+dealt to cells of bounded size; a cell holds one group of queries and one group of candidates. The integer product of a
+tile, times the scales, is within ``e_q + |q'| * e_c`` of the true cosine, where ``e`` is the length of a rounding residue and
+``q'`` the rounded query. Pairs whose upper bound is below the query's k-th best lower bound, in the cell and then over all
+cells, are dropped. The doubles of the surviving pairs alone are fetched, their cosines computed, and the best k of each query
+merged by heaps. The bound makes the result exact, not approximate.
+
+Of equal vectors only the ``k + 1`` smallest ids can be among the k nearest of a query, so no more of them are candidates.
+
+Defined results: rows with a null id and vectors that are null, zero, or hold null or non-finite components take no part;
+of rows of one id the smallest vector counts, once; vectors of another dimension are never compared; a query is not its own
+candidate; equal scores go to the smaller id; fewer than k candidates give fewer rows; an empty table gives none. Ids are
+whole numbers; other columns are not read but by the condition of a query.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one cell, at most about this many of each kind.
-QUERIES, CANDIDATES, TILE = 4096, 8192, 1024
-#: Covers the rounding of single-precision products of exact integers.
+from .common import Steps
+
+#: Vectors of one cell, at most about this many of each kind, and the side of a tile.
+QUERIES, CANDIDATES, TILE = 16_384, 32_768, 1024
+#: Covers the rounding of single-precision products of exact integers, and of the bounds themselves.
 SLACK = 1e-5
 
 
@@ -32,50 +38,57 @@ def valid(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(table: pa.Table, dim: int) -> np.ndarray:
-    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors as whole numbers from -127 to 127 (in floats, for the matrix product), scales, lengths, residues."""
-    unit = x / np.sqrt((x / np.abs(x).max(1, keepdims=True)) ** 2 @ np.ones((x.shape[1], 1))) / np.abs(x).max(1, keepdims=True)
+    """Codes from -127 to 127 of the unit vectors, their scales, lengths and the lengths of the residues."""
+    top = np.abs(x).max(1, keepdims=True)
+    unit = x / top / np.sqrt(((x / top) ** 2).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127
     whole = np.rint(unit / scale[:, None]).astype(np.int8)
     back = whole * scale[:, None]
     return whole, scale, np.linalg.norm(back, axis=1), np.linalg.norm(unit - back, axis=1)
 
 
-def cell_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, cosine) of the k nearest candidates of each query."""
-    exact = np.float32 if q.shape[1] * 127 * 127 < 2**24 else np.float64
-    c_whole, c_scale, _, c_off = quantise(c)
-    q_whole, q_scale, q_back, q_off = quantise(q)
-    q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    for a in range(0, len(q_ids), TILE):
-        qs = slice(a, a + TILE)
-        for b in range(0, len(c_ids), TILE):
-            cs = slice(b, b + TILE)
-            near = (q_whole[qs].astype(exact) @ c_whole[cs].astype(exact).T) * (q_scale[qs, None] * c_scale[None, cs])
-            wide = q_off[qs, None] + q_back[qs, None] * c_off[None, cs] + SLACK
-            near[q_ids[qs, None] == c_ids[None, cs]] = -np.inf
-            best = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps[qs]])
-            if near.shape[1] > k:
-                lower = near - wide
-                best = np.maximum(best, np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k])
-            rows, cols = np.nonzero((near + wide >= best[:, None]) & (near > -np.inf))
-            score = (q[qs][rows] * c[cs][cols]).sum(1) / (q_len[qs][rows] * c_len[cs][cols])
-            order = np.lexsort((c_ids[cs][cols], -score, rows))
-            rows, cols, score = rows[order], cols[order], score[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = place < k
-            for r, i, s in zip(rows[keep].tolist(), c_ids[cs][cols[keep]].tolist(), score[keep].tolist(), strict=True):
-                h = heaps[a + r]
-                if len(h) < k:
-                    heapq.heappush(h, (s, -i))
-                elif (s, -i) > h[0]:
-                    heapq.heapreplace(h, (s, -i))
-    return [(int(q_ids[r]), -i, s) for r, h in enumerate(heaps) for s, i in h]
+def codes(vectors: DataFrame) -> DataFrame:
+    """id, v, q, dim, h -> id, q, dim, h, code, scale, length, off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims).tolist():
+                mine = batch.filter(pa.array(dims == dim))
+                whole, scale, length, off = quantise(_matrix(mine.column(1), dim))
+                raw = pa.array([row.tobytes() for row in whole], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [mine.column(0), mine.column(2), mine.column(3), mine.column(4), raw, pa.array(scale), pa.array(length), pa.array(off)],
+                    ["id", "q", "dim", "h", "code", "scale", "length", "off"],
+                )
+
+    return vectors.select("id", "v", "q", "dim", F.xxhash64("v").alias("h")).mapInArrow(run, "id long, q boolean, dim int, h long, code binary, scale double, length double, off double")
+
+
+def survivors(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query ids, candidate ids, lower and upper bounds) of the pairs that may be among a query's k nearest, by query tile."""
+    kind = np.float32 if q["code"].shape[1] * 127 * 127 < 2**24 else np.float64
+    for a in range(0, len(q["id"]), TILE):
+        mine = {x: y[a : a + TILE] for x, y in q.items()}
+        asked, best = mine["code"].astype(kind), np.full((len(mine["id"]), k), -np.inf)
+        parts: list[tuple[np.ndarray, ...]] = []
+        for b in range(0, len(c["id"]), TILE):
+            tile = {x: y[b : b + TILE] for x, y in c.items()}
+            near = (asked @ tile["code"].astype(kind).T) * (mine["scale"][:, None] * tile["scale"][None, :])
+            near[mine["id"][:, None] == tile["id"][None, :]] = -np.inf
+            wide = mine["off"][:, None] + mine["length"][:, None] * tile["off"][None, :] + SLACK
+            lower = np.concatenate([best, near - wide], axis=1)
+            best = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k :]
+            rows, cols = np.nonzero((near + wide >= best.min(1)[:, None]) & (near > -np.inf))
+            parts.append((rows, tile["id"][cols], (near - wide)[rows, cols], (near + wide)[rows, cols]))
+        rows, ids, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keep = high >= best.min(1)[rows]
+        yield mine["id"][rows[keep]], ids[keep], low[keep], high[keep]
 
 
 def nearest(
@@ -83,25 +96,58 @@ def nearest(
     queries_per_cell: int = QUERIES, candidates_per_cell: int = CANDIDATES,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest other rows, by cosine, of each row that is a query."""
+    held = Steps(vectors.sparkSession)
     usable = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
-    usable = usable.withColumn("dim", F.size("v"))
-    n, n_queries = usable.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    one = usable.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v"))
+    one = held.keep(one)
+    coded = held.keep(codes(one))
+    n, n_queries = coded.agg(F.count(F.lit(1)), F.count_if("q")).first()
     c_groups, q_groups = -(-n // candidates_per_cell) or 1, -(-n_queries // queries_per_cell) or 1
-    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(m)).cast("int")
+    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = usable.where("q").select("dim", spread("q", q_groups).alias("qg"), every(c_groups).alias("cg"), "id", "v", F.lit(True).alias("q"))
-    found = usable.select("dim", every(q_groups).alias("qg"), spread("c", c_groups).alias("cg"), "id", "v", F.lit(False).alias("q"))
-
-    def cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        asked = rows.column("q").to_numpy()
-        x, ids = _matrix(rows, dim), rows.column("id").to_numpy()
-        out = cell_best(ids[asked], x[asked], ids[~asked], x[~asked], k) if asked.any() and not asked.all() else []
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    parts = asked.unionByName(found.select(asked.columns)).groupBy("dim", "qg", "cg").applyInArrow(cell, "query_id long, vec_id long, score double")
+    alike = Window.partitionBy("h").orderBy("id")
+    first = coded.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1)
+    sent = ["id", "code", "scale", "length", "off"]
+    asked = coded.where("q").select("dim", spread("q", q_groups).alias("qg"), every(c_groups).alias("cg"), *sent, F.lit(True).alias("q"))
+    found = first.select("dim", every(q_groups).alias("qg"), spread("c", c_groups).alias("cg"), *sent, F.lit(False).alias("q"))
+
+    def cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, dim = pa.Table.from_batches(list(batches)), key[0].as_py()
+        is_q = rows.column("q").to_numpy()
+        both = {x: rows.column(x).to_numpy() for x in ("id", "scale", "length", "off")}
+        both["code"] = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(-1, dim)
+        if is_q.any() and not is_q.all():
+            for columns in survivors({x: y[is_q] for x, y in both.items()}, {x: y[~is_q] for x, y in both.items()}, k):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "vec_id", "low", "high"])
+
+    parts = asked.unionByName(found).groupBy("dim", "qg", "cg").applyInArrow(cell, "query_id long, vec_id long, low double, high double")
+    of_query = Window.partitionBy("query_id").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = parts.withColumn("least", F.nth_value("low", k).over(of_query)).where("least is null or high >= least").select("query_id", "vec_id")
+    near = held.keep(near)
+    pairs = near.join(one.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").join(one.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heaps: dict[int, list[tuple[float, int]]] = {}
+            dims = batch.column(4).to_numpy()
+            for dim in np.unique(dims).tolist():
+                mine = batch.filter(pa.array(dims == dim))
+                x, y = _matrix(mine.column(2), dim), _matrix(mine.column(3), dim)
+                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                for q, c, s in zip(mine.column(0).to_pylist(), mine.column(1).to_pylist(), score.tolist(), strict=True):
+                    h = heaps.setdefault(q, [])
+                    if len(h) < k:
+                        heapq.heappush(h, (s, -c))
+                    elif (s, -c) > h[0]:
+                        heapq.heapreplace(h, (s, -c))
+            best = [(q, -c, s) for q, h in heaps.items() for s, c in h]
+            columns = list(zip(*best, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    scored = pairs.select("query_id", "vec_id", "x", "y", F.size("x").alias("dim")).mapInArrow(exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = held.keep(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    held.end(best)
+    return best

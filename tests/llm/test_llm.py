@@ -143,6 +143,9 @@ def test_neighbours(spark):
         assert [r.vec_id for r in mine] == order
         assert np.allclose([r.score for r in mine], near[order], atol=1e-12)
     assert [(r.vec_id, round(r.score, 9)) for r in out if r.query_id == 750] == [(751, 0.8)]
+    # repeated rows, query or not, count once; a null id takes no part
+    again = v.unionByName(v.where("vec_id in (0, 50, 51, 300)")).unionByName(v.where("vec_id = 50").select(F.lit(None).cast("long").alias("vec_id"), "embedding"))
+    assert sorted(map(tuple, neighbours.nearest(again, F.col("vec_id") % 50 == 0).collect())) == sorted(map(tuple, out))
     assert neighbours.nearest(v.where("false"), F.lit(True)).count() == 0
 
 
