@@ -29,10 +29,12 @@ from tokenizers import PreTokenizedString, Tokenizer
 
 #: Shifts the last symbol of a word, so that "e" inside a word and "e" at its end are different symbols.
 END = 0x4000
-#: Words, and white-space separated chunks, that one Python worker remembers at most; a memory starts anew beyond it.
-WORDS, CHUNKS = 1_000_000, 250_000
-#: Prefix counts of longer words and chunks are not remembered.
+#: Bytes of what one Python worker remembers, about, of words and of white-space separated chunks.
+REMEMBERED_BYTES = 16 << 20
+#: Longer words and chunks are not remembered.
 REMEMBERED = 64
+#: Compatible pairs that one Python worker remembers at most.
+PAIRS = 400_000
 #: Texts in which str.split and str.lower agree with the library: no separators that only Python counts as white space,
 #: no letters beyond Latin but common punctuation.
 UNCOMMON = re.compile("[^\t-\r -~ -ɏ‐-‧‰-⁞€]")
@@ -88,12 +90,12 @@ class WordBpe:
         self.decimal_table = OffsetTable([b"%d " % i for i in range(len(names))])
         self.packed = [i.to_bytes(4, "little") for i in range(len(names))]
         self._compatible: dict[tuple[int, int], bool] = {}
-        self.ids_of = Memo(self.chunk_ids, CHUNKS)
-        self.count_of = Memo(self.chunk_count, CHUNKS)
-        self._word_ids = Memo(lambda w: b"".join(map(self.packed.__getitem__, self.encode(self.word_symbols(w)))), WORDS)
-        self._prefixes_of = Memo(self._chunk_prefixes, CHUNKS)
-        self._word_prefixes = Memo(lambda w: self.word_prefixes(self.word_symbols(w)), WORDS)
-        self._word_count = Memo(lambda w: self.prefix_counts(self.word_symbols(w))[-1], WORDS)
+        self.ids_of = Memo(self.chunk_ids)
+        self.count_of = Memo(self.chunk_count)
+        self._word_ids = Memo(lambda w: b"".join(map(self.packed.__getitem__, self.encode(self.word_symbols(w)))))
+        self._prefixes_of = Memo(self._chunk_prefixes)
+        self._word_prefixes = Memo(lambda w: self.word_prefixes(self.word_symbols(w)))
+        self._word_count = Memo(lambda w: self.prefix_counts(self.word_symbols(w))[-1])
 
     def word_symbols(self, word: str) -> str:
         s = word.encode().decode("latin-1").translate(self.byte_symbols)
@@ -117,6 +119,8 @@ class WordBpe:
                 y_ends, y = self.rank[y], self.halves[y][0]
             else:
                 break
+        if len(self._compatible) >= PAIRS:
+            self._compatible.clear()
         self._compatible[a, b] = fits
         return fits
 
@@ -195,7 +199,7 @@ class WordBpe:
     def _chunk_prefixes(self, chunk: str) -> bytes:
         out, total = [], 0
         for w in self.pattern.findall(chunk):
-            mine = self._word_prefixes[w] if len(w) <= REMEMBERED else self.word_prefixes(self.word_symbols(w))
+            mine = self._word_prefixes[w]
             out += [total + c for c in mine]
             total = out[-1]
         return np.array(out, "<i4").tobytes()
@@ -207,7 +211,7 @@ class WordBpe:
         """
         if self.is_common(text) and unicodedata.is_normalized("NFC", text) and len(lower := text.lower()) == len(text):
             chunks = lower.split()
-            packed = [self._prefixes_of[c] if len(c) <= REMEMBERED else self._chunk_prefixes(c) for c in chunks]
+            packed = list(map(self._prefixes_of.__getitem__, chunks))
             own = np.frombuffer(b"".join(packed), "<i4")
             lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
             whole = own[np.cumsum(lengths) - 1]
@@ -287,16 +291,26 @@ class WordBpe:
 
 
 class Memo(dict):
-    """Remembers what ``make`` returns, for a bounded number of keys."""
+    """Remembers what ``make`` returns for short keys, in about twice ``most`` bytes.
 
-    def __init__(self, make, most: int):
+    Beyond ``most`` bytes a new generation begins; what is asked for again moves into it from the one before.
+    """
+
+    def __init__(self, make, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.bytes, self.before = make, most, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= REMEMBERED:
+            self.bytes += 200 + len(key) + (0 if isinstance(value, int) else len(value) if isinstance(value, bytes) else 36 * len(value))
+            if self.bytes > self.most:
+                self.before = dict(self)
+                self.clear()
+                self.bytes = 0
+            self[key] = value
         return value
 
 

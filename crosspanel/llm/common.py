@@ -117,6 +117,8 @@ def steps(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.Recor
         starts = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]])) if len(cut) else np.zeros(0, np.int64)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

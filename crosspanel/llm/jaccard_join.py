@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Steps, few, fresh, steps
 from .components import components
-from .shingles import mix, shingle_set
+from .shingles import MASK, mix, shingle_sets
 
 #: Buckets of the count of shingles: one byte each is sent to the executors.
 SKETCH_BITS = 21
@@ -102,7 +102,11 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType, dtype) -> pa.ListArray:
 
 def set_hash(s: np.ndarray) -> int:
     """One signed 64-bit hash of a whole set."""
-    return _signed(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))))[0].item()
+    x = (int(mix(s).sum(dtype=np.uint64)) + len(s)) & MASK
+    for _ in range(2):  # the same bijection as mix
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    x ^= x >> 32
+    return x - (x >> 63 << 64)
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the shingles of all documents by bucket, and of the documents by size up to ``MOST``.
+    """Counts of the shingles of all documents by bucket, repeats in a document included, and of documents by size up to ``MOST``.
 
     Each task counts its own documents; the tasks' counters are added in two steps, so that no task reads those of all.
     """
@@ -124,9 +128,9 @@ def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sizes = np.zeros(size, np.uint32), np.zeros(CHUNK, np.int64)
         for batch in steps(batches, 0):
-            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
-            for at in range(0, len(sets), 256):
-                found, n = np.unique(_buckets(np.concatenate(sets[at : at + 256])), return_counts=True)
+            sets = shingle_sets(batch.column(0).to_pylist(), k, distinct=False)
+            for at in range(0, len(sets), 1024):
+                found, n = np.unique(_buckets(np.concatenate(sets[at : at + 1024])), return_counts=True)
                 counts[found] += n.astype(np.uint32)
             lengths = np.array([len(s) for s in sets], np.int64)
             sizes += np.bincount(lengths[lengths <= MOST], minlength=CHUNK)
@@ -165,8 +169,7 @@ def signatures(docs: DataFrame, k: int, levels: np.ndarray, small: int, large: i
         none = np.zeros(0, np.int64)
         for batch in steps(batches, 2):
             n, h, keys, long, subs, sizes = [], [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text, k)
+            for s in shingle_sets(batch.column(2).to_pylist(), k):
                 n.append(len(s))
                 h.append(set_hash(s))
                 mine, level = s[:0], none
@@ -223,8 +226,7 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, held:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
             hashes, sets = [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, k)
+            for h, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
                 if set_hash(s) == h and h not in hashes[-1:]:
                     hashes.append(h)
                     sets.append(_signed(s))

@@ -40,7 +40,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _letters() -> np.ndarray:
     """For each code point, the code it counts as: letters in lower case, all else a space."""
-    table = np.full(0x110000, 32, np.int64)
+    table = np.full(0x110000, 32, np.int32)
     for c in range(0x110000):
         if chr(c).isalpha():
             lower = chr(c).lower()

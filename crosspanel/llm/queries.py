@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language, mixing, neighbours, quality_rules, sharding, substring_dedup, token_store, tokens
-from .common import shared_folder, table
+from .common import new_path, table
 
 
 def op1_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +44,7 @@ def op8_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    out = new_path(spark)
     token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
     return token_store.read_tokens(spark, out)
 

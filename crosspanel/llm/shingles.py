@@ -71,12 +71,50 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
 
 
-def shingle_set(text: str, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a text in lower case (A to Z only).
+def many_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of many texts in one array, and how many each has."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    starts, ends = word_spans(raw)
+    up, down = _POWERS.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    borders = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return hashes, np.diff(np.searchsorted(starts, borders), prepend=0)
+
+
+def runs(texts: list[str], most: int = 1 << 18) -> list[list[bytes]]:
+    """The texts in UTF-8, in runs of about ``most`` bytes: the powers of the base need 16 times as many."""
+    out: list[list[bytes]] = []
+    size = 0
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass")
+        if not out or size + len(raw) > most:
+            out.append([])
+            size = 0
+        out[-1].append(raw)
+        size += len(raw) + 1
+    return out
+
+
+def shingle_sets(texts: list[str], k: int = 5, distinct: bool = True) -> list[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text in lower case (A to Z only); or all of them, unsorted.
 
     A text of fewer words is one shingle of all its words; without words the set is empty.
     """
-    words = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(words):
-        return words
-    return np.unique(window_hashes(words, min(k, len(words))))
+    out = []
+    for run in runs(texts):
+        words, counts = many_words([t.lower() for t in run])
+        windows, at = window_hashes(words, k), 0
+        for n in counts.tolist():
+            mine = windows[at : at + n - k + 1] if n >= k else window_hashes(words[at : at + n], n) if n else words[:0]
+            at += n
+            if distinct and len(mine) > 1:
+                mine = np.sort(mine)
+                mine = mine[np.concatenate([[True], mine[1:] != mine[:-1]])]
+            out.append(mine)
+    return out
+
+
+def shingle_set(text: str, k: int = 5) -> np.ndarray:
+    return shingle_sets([text], k)[0]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Steps, few, fresh, steps
 from .fm_index import FmIndex
-from .shingles import mix, window_hashes, word_hashes
+from .shingles import many_words, mix, runs, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 #: Words of one shard's index, about.
@@ -44,12 +44,14 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def segments(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First windows and window counts of the segments of a document, and the anchors' places."""
+def segments(words: np.ndarray, counts: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
+    """text, first window in it, number of windows, anchor hash and segment hash of the segments of many texts.
+
+    ``words`` are the word hashes of the texts, one after the other, ``counts`` of them in each.
+    """
     n = len(words) - k + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     h = window_hashes(words, m)
     reach, best, place = 1, h, np.arange(len(h))
     span = k - m + 1
@@ -59,16 +61,19 @@ def segments(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray,
         place = np.where(later, place[step:], place[: len(place) - step])
         best = h[place]
         reach += step
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return starts, np.diff(np.append(starts, n)), place[starts]
-
-
-def segment_hash(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each segment's words, from the hashes of its first and last window and its length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    h = window_hashes(words, k)
-    return mix(h[starts] + mix(h[starts + counts - 1] + counts.astype(np.uint64)))
+    text = np.repeat(np.arange(len(counts)), counts)
+    inside = np.flatnonzero(text[:n] == text[k - 1 :])  # windows within one text
+    place = place[inside]
+    begins = np.ones(len(inside), bool)
+    begins[1:] = (inside[1:] != inside[:-1] + 1) | (place[1:] != place[:-1])
+    at = np.flatnonzero(begins)
+    size = np.diff(np.append(at, len(inside)))
+    starts, ends = inside[at], inside[at] + size - 1
+    windows = window_hashes(words, k)
+    # of a segment's words, from the hashes of its first and last window and its length
+    seg = mix(windows[starts] + mix(windows[ends] + size.astype(np.uint64)))
+    first = np.cumsum(counts) - counts
+    return text[starts], starts - first[text[starts]], size, h[place[at]], seg
 
 
 def cut(docs: DataFrame, k: int, m: int) -> DataFrame:
@@ -76,19 +81,15 @@ def cut(docs: DataFrame, k: int, m: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = word_hashes(text.encode("utf-8", "surrogatepass"))
-                starts, counts, place = segments(words, k, m)
-                if len(starts):
-                    for to, x in zip(parts, (window_hashes(words, m)[place], segment_hash(words, starts, counts, k), np.full(len(starts), d), starts, counts), strict=True):
-                        to.append(x)
-            if parts[0]:
-                a, s, d, b, n = (np.concatenate(x) for x in parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(a)), pa.array(_signed(s)), pa.array(d.astype(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "seg", "d", "start", "n"],
-                )
+            ids, before = batch.column(0).to_numpy(), 0
+            for texts in runs(batch.column(1).to_pylist()):
+                text, start, n, anchor, seg = segments(*many_words(texts), k, m)
+                if len(text):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_signed(anchor)), pa.array(_signed(seg)), pa.array(ids[before + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        ["anchor", "seg", "d", "start", "n"],
+                    )
+                before += len(texts)
 
     return docs.select("d", "text").mapInArrow(run, "anchor long, seg long, d long, start int, n int")
 
@@ -207,8 +208,8 @@ def repeated_windows(docs: DataFrame, held: Steps, k: int = WINDOW, m: int = ANC
     indexed = pieces(docs, both, k, False, held).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = held.keep(shard_matches(indexed, k))
     of_windows = windows.join(found.where("n = 1 and first = 0").select(F.col("seg").alias("win")), "win").select("seg", F.col("offset").alias("first"), F.lit(1).alias("n"))
-    runs = found.join(single.select(F.col("win").alias("seg")), "seg", "left_anti").unionByName(of_windows)
-    return met.select("seg", "d", "start").join(held.keep(runs), "seg").select("d", (F.col("start") + F.col("first")).alias("first"), "n")
+    of_segments = found.join(single.select(F.col("win").alias("seg")), "seg", "left_anti").unionByName(of_windows)
+    return met.select("seg", "d", "start").join(held.keep(of_segments), "seg").select("d", (F.col("start") + F.col("first")).alias("first"), "n")
 
 
 def uncovered(words: list[bytes], runs: list[dict], k: int) -> list[bytes]:
@@ -223,17 +224,17 @@ def uncovered(words: list[bytes], runs: list[dict], k: int) -> list[bytes]:
 def _runs(base: DataFrame, k: int, m: int) -> tuple[DataFrame, DataFrame]:
     """d and runs of the documents that lose words, and their d alone."""
     held = Steps(base.sparkSession)
-    runs = held.keep(repeated_windows(base, held, k, m).distinct().groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
-    touched = held.keep(runs.select("d"))
-    held.end(runs, touched)
-    return runs, few(touched)
+    found = held.keep(repeated_windows(base, held, k, m).distinct().groupBy("d").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
+    touched = held.keep(found.select("d"))
+    held.end(found, touched)
+    return found, few(touched)
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and kept_sha256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.xxhash64(F.col(id_col), text).alias("d"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    runs, touched = _runs(base, k, m)
+    removed, touched = _runs(base, k, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
@@ -254,8 +255,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: st
 
     kind = base.schema["doc_id"].dataType.simpleString()
     # documents that lose nothing stay where they are
-    lose = base.join(touched, "d", "left_semi").join(runs, "d").select("doc_id", "text", "runs")
-    stay = base.join(touched, "d", "left_anti").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    lose = base.join(touched, "d", "left_semi").join(removed, "d").select("doc_id", "text", "runs")
+    stay = base.join(touched, "d", "left_anti").select("doc_id", "text", F.lit(None).cast(removed.schema["runs"].dataType).alias("runs"))
     return lose.unionByName(stay).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
@@ -267,16 +268,16 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, id_col: s
     """
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(key.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs, touched = _runs(base, k, m)
+    removed, touched = _runs(base, k, m)
     name, found = fresh(docs.columns, "_key"), fresh(docs.columns, "_runs")
     keyed = docs.withColumn(name, key)
-    touched, runs = touched.withColumnRenamed("d", name), runs.withColumnRenamed("d", name).withColumnRenamed("runs", found)
+    touched, removed = touched.withColumnRenamed("d", name), removed.withColumnRenamed("d", name).withColumnRenamed("runs", found)
 
     def clean(texts: pa.Array, of: pa.Array) -> pa.Array:
         kept = (uncovered(t.as_py().encode("utf-8", "surrogatepass").split(), r.as_py(), k) for t, r in zip(texts, of, strict=True))
         return pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in kept], pa.string())
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    lose = keyed.join(touched, name, "left_semi").join(runs, name)
+    lose = keyed.join(touched, name, "left_semi").join(removed, name)
     cleaned = lose.withColumn(text_col, F.arrow_udf(clean, "string")(F.col(text_col), F.col(found))).select(*columns)
     return cleaned.unionByName(keyed.join(touched, name, "left_anti").select(*columns))
