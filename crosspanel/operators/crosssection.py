@@ -26,11 +26,26 @@ def unique_rank(df: DataFrame, col: str, out: str, spec: PanelSpec = PANEL) -> D
     return df.withColumn(out, F.row_number().over(spec.day().orderBy(F.col(col).desc_nulls_last(), spec.entity)))
 
 
+def quantile(df: DataFrame, col: str, share: float, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """The date's interpolated quantile on each of its rows, from ranks in one window: no date is held in one buffer."""
+    r = F.row_number().over(spec.day().orderBy(F.col(col).asc_nulls_last(), spec.entity))
+    placed = df.withColumn("_r", r).withColumn("_p", (F.count(col).over(spec.day()) - 1) * share + 1)
+    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(col))).over(spec.day())
+    low = at(F.floor("_p"))
+    high = F.coalesce(at(F.floor("_p") + 1), low)
+    return placed.withColumn(out, low + (high - low) * (F.col("_p") - F.floor("_p"))).drop("_r", "_p")
+
+
+def above_quantile(df: DataFrame, col: str, share: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """Rows at or above their date's quantile."""
+    return quantile(df, col, share, "_q", spec).where(F.col(col) >= F.col("_q")).drop("_q")
+
+
 def winsorise(df: DataFrame, col: str, low: float, high: float, out: str, spec: PanelSpec = PANEL) -> DataFrame:
-    """Values within the date's interpolated quantiles; one aggregate row a date is joined back."""
-    bounds = df.groupBy(spec.date).agg(F.percentile(col, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    inside = F.greatest(F.least(F.col(col), F.col("_q")[1]), F.col("_q")[0])
-    return df.join(bounds, spec.date).withColumn(out, F.when(F.col(col).isNotNull(), inside)).drop("_q")
+    """Values within the date's interpolated quantiles."""
+    bounded = quantile(quantile(df, col, low, "_a", spec), col, high, "_b", spec)
+    inside = F.greatest(F.least(F.col(col), F.col("_b")), F.col("_a"))
+    return bounded.withColumn(out, F.when(F.col(col).isNotNull(), inside)).drop("_a", "_b")
 
 
 def zscore(df: DataFrame, col: str, out: str, spec: PanelSpec = PANEL) -> DataFrame:
@@ -65,9 +80,9 @@ def top_n(df: DataFrame, col: str, n: int, spec: PanelSpec = PANEL) -> DataFrame
 
 def quantile_label(df: DataFrame, col: str, low: float, high: float, out: str, spec: PanelSpec = PANEL) -> DataFrame:
     """High at or below the low quantile of an uncertainty, Low at or above the high one, else Medium."""
-    q = df.groupBy(spec.date).agg(F.percentile(col, F.lit(low)).alias("_l"), F.percentile(col, F.lit(high)).alias("_h"))
+    q = quantile(quantile(df, col, low, "_l", spec), col, high, "_h", spec)
     label = F.when(F.col(col) <= F.col("_l"), "High").when(F.col(col) >= F.col("_h"), "Low").when(F.col(col).isNotNull(), "Medium")
-    return df.join(q, spec.date).withColumn(out, label).drop("_l", "_h")
+    return q.withColumn(out, label).drop("_l", "_h")
 
 
 def proportional_weights(df: DataFrame, col: str, out: str, spec: PanelSpec = PANEL) -> DataFrame:

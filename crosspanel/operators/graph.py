@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
+from .crosssection import last_dates
 from .evaluate import correlation
 
 
@@ -75,3 +78,50 @@ def degrees(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """Summary of out-degrees over all nodes, isolated ones included."""
     n = nodes.select(F.col(key).alias("src")).join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return n.agg(F.min("n").alias("low"), F.median("n").alias("median"), F.max("n").alias("high"), F.count_if(F.col("n") == 0).alias("isolated"))
+
+
+def extracted_links(pages: DataFrame, key: str, text: str, pattern: str, most: int) -> DataFrame:
+    """src, dst: what the pattern's first group finds in each page's whole text, in lower case, the first few by name per page."""
+    found = pages.select(F.col(key).alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(1)), F.lower))).alias("dst"))
+    w = Window.partitionBy("src").orderBy("dst")
+    return found.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def rolling_correlation_edges(returns: DataFrame, col: str, dates: int, threshold: float, top: int, least: int, block: int = 2048, spec: PanelSpec = PANEL) -> DataFrame:
+    """Pairs of entities whose last ``dates`` dates correlate above the threshold on ``least`` common dates, the best per node.
+
+    Each entity is one vector with a mask. Cells of ``block`` by ``block`` entities give all their pairs by a few matrix
+    products, and only the best of each node and cell leave the cell, so rows do not grow with the square of the entities.
+    """
+    recent = last_dates(returns.where(F.col(col).isNotNull()), dates, spec=spec)
+    days = recent.select(spec.date).distinct().withColumn("_k", F.row_number().over(Window.orderBy(spec.date)) - 1)
+    places = recent.join(F.broadcast(days), spec.date).groupBy(F.col(spec.entity).alias("id")).agg(F.collect_list(F.struct("_k", F.col(col).cast("double").alias("x"))).alias("xs"))
+    groups = -(-places.count() // block) or 1
+    mine = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    src = places.select(mine.alias("i"), every.alias("j"), "id", "xs", F.lit(True).alias("src"))
+    dst = places.select(every.alias("i"), mine.alias("j"), "id", "xs", F.lit(False).alias("src"))
+
+    def cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids, is_src = rows.column("id").to_numpy(), rows.column("src").to_numpy()
+        x, m = np.zeros((len(ids), dates)), np.zeros((len(ids), dates))
+        for k, xs in enumerate(rows.column("xs").to_pylist()):
+            at = [p["_k"] for p in xs]
+            m[k, at] = 1
+            x[k, at] = [p["x"] for p in xs]
+        x = (x - x.sum(1, keepdims=True) / np.maximum(m.sum(1, keepdims=True), 1)) * m
+        a, b, ma, mb = x[is_src], x[~is_src], m[is_src], m[~is_src]
+        n, sa, sb = ma @ mb.T, a @ mb.T, ma @ b.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = a @ b.T - sa * sb / n
+            var = ((a * a) @ mb.T - sa * sa / n) * (ma @ (b * b).T - sb * sb / n)
+            rho = np.round(cov / np.sqrt(np.where(var > 1e-24, var, np.nan)), 7)
+        rho[(n < least) | ~(rho > threshold) | (ids[is_src][:, None] == ids[~is_src][None, :])] = -np.inf
+        others = ids[~is_src]
+        order = np.lexsort((np.broadcast_to(others, rho.shape), -rho), axis=1)[:, :top]
+        best = np.take_along_axis(rho, order, 1)
+        r, c = np.nonzero(best > -np.inf)
+        return pa.table({"src": pa.array(ids[is_src][r], pa.int64()), "dst": pa.array(others[order[r, c]], pa.int64()), "weight": pa.array(best[r, c], pa.float64())})
+
+    edges = src.unionByName(dst).withColumn("id", F.col("id").cast("long")).groupBy("i", "j").applyInArrow(cell, "src long, dst long, weight double")
+    return cap_edges(edges, top)

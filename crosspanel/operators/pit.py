@@ -50,13 +50,16 @@ def expand_intervals(intervals: DataFrame, cal: DataFrame, start: str, end: str,
 def event_multiplier(rows: DataFrame, events: DataFrame, factor: str, out: str, spec: PanelSpec = PANEL) -> DataFrame:
     """Product of the factors of an entity's events strictly after the row's date, 1 if none.
 
-    Rows and events share one series in descending order; an event's own date comes after the rows of that date.
+    Rows and events share one series in descending order; an event's own date comes after the rows of that date. A factor of 0
+    makes the product 0, a negative one turns its sign; a null factor counts as 1.
     """
     row_type = rows.select(F.struct(*rows.columns).alias("x")).schema["x"].dataType
-    a = rows.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(0).alias("_side"), F.lit(0.0).alias("_ln"), F.struct(*rows.columns).alias("_row"))
-    b = events.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(1).alias("_side"), F.ln(factor).alias("_ln"), F.lit(None).cast(row_type).alias("_row"))
+    a = rows.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(0).alias("_side"), F.lit(0.0).alias("_ln"), F.lit(0).alias("_zero"), F.lit(0).alias("_minus"), F.struct(*rows.columns).alias("_row"))
+    b = events.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(1).alias("_side"), F.when(F.col(factor) != 0, F.ln(F.abs(factor))).alias("_ln"), F.when(F.col(factor) == 0, 1).otherwise(0).alias("_zero"), F.when(F.col(factor) < 0, 1).otherwise(0).alias("_minus"), F.lit(None).cast(row_type).alias("_row"))
     w = Window.partitionBy("_e").orderBy(F.col("_t").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("_m", F.exp(F.sum("_ln").over(w))).where("_side = 0").select("_row.*", F.col("_m").alias(out))
+    sign = F.when(F.sum("_minus").over(w) % 2 == 1, -1.0).otherwise(1.0)
+    product = F.when(F.sum("_zero").over(w) > 0, F.lit(0.0)).otherwise(sign * F.exp(F.sum("_ln").over(w)))
+    return a.unionByName(b).withColumn("_m", product).where("_side = 0").select("_row.*", F.col("_m").alias(out))
 
 
 def two_sided(df: DataFrame, col: str, tolerance: float, out: str, spec: PanelSpec = PANEL) -> DataFrame:
@@ -80,8 +83,56 @@ def publication_date(period_end: Column, lag: int = 45, year_end_lag: int = 90)
     return F.date_add(period_end, F.when(F.month(period_end) == 12, F.lit(year_end_lag)).otherwise(F.lit(lag)))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win; rows only in the old snapshot stay."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], allow_shrink: bool = True) -> DataFrame:
+    """New rows win; rows only in the old snapshot stay, and so do old values where a new row has null unless it may shrink.
+
+    Of new rows with one key the one with the largest values counts, column by column in order.
+    """
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("_new").desc())
+    values = [c for c in rows.columns if c not in (*keys, "_new")]
+    w = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), *[F.col(c).desc_nulls_last() for c in values])
+    if not allow_shrink:
+        whole = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        rows = rows.select(*keys, "_new", *[F.first(c, ignorenulls=True).over(whole).alias(c) for c in values], F.row_number().over(w).alias("_r"))
+        return rows.where("_r = 1").drop("_new", "_r")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_new", "_r")
+
+
+def market_as_of(rows: DataFrame, level: DataFrame, available: str, value_cols: list[str], spec: PanelSpec = PANEL) -> DataFrame:
+    """Each row with the latest market-level values available on its date: as-of on the dates alone, then one equality join.
+
+    The windows run over one row a date and one a publication.
+    """
+    days = rows.select(F.col(spec.date).alias("_t")).distinct().select("_t", F.lit(1).alias("_side"), F.lit(None).cast(level.select(F.struct(*value_cols).alias("x")).schema["x"].dataType).alias("_f"))
+    facts = level.where(F.col(available).isNotNull()).select(F.col(available).alias("_t"), F.lit(0).alias("_side"), F.struct(*value_cols).alias("_f"))
+    w = Window.orderBy("_t", "_side", "_f").rowsBetween(Window.unboundedPreceding, 0)
+    found = days.unionByName(facts).withColumn("_f", F.last("_f", ignorenulls=True).over(w)).where("_side = 1").select(F.col("_t").alias(spec.date), "_f")
+    return rows.join(F.broadcast(found), spec.date, "left").select(*[F.col(c) for c in rows.columns], "_f.*")
+
+
+def splice(old: DataFrame, new: DataFrame, col: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """The new series, and the old one before it scaled by new / old at their first common date; src tells them apart.
+
+    Old rows from the new series' first date on, and of entities without a common date, go.
+    """
+    keys = [spec.entity, spec.date]
+    both = old.select(*keys, F.col(col).alias("_o")).where("_o > 0").join(new.select(*keys, F.col(col).alias("_n")), keys)
+    factor = both.groupBy(spec.entity).agg(F.min_by(F.col("_n") / F.col("_o"), spec.date).alias("_f"))
+    first = new.groupBy(spec.entity).agg(F.min(spec.date).alias("_first"))
+    scaled = old.join(factor, spec.entity).join(first, spec.entity).where(F.col(spec.date) < F.col("_first"))
+    return scaled.select(*keys, (F.col(col) * F.col("_f")).alias(col), F.lit("old").alias("src")).unionByName(new.select(*keys, col, F.lit("new").alias("src")))
+
+
+def event_in_gap(rows: DataFrame, events: DataFrame, out: str = "hit", spec: PanelSpec = PANEL) -> DataFrame:
+    """Whether an event of the entity falls after its row before and not after this row; False on the first row.
+
+    Rows and events share one series, events first on equal dates; each row counts the events since the row before.
+    """
+    kind = rows.select(F.struct(*rows.columns).alias("x")).schema["x"].dataType
+    a = rows.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"))
+    b = events.select(F.col(spec.entity).alias("_e"), F.col(spec.date).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_row"))
+    w = Window.partitionBy("_e").orderBy("_t", "_side")
+    n = F.sum(1 - F.col("_side")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    counted = a.unionByName(b).withColumn("_n", n).where("_side = 1")
+    before = F.lag("_n", 1).over(Window.partitionBy("_e").orderBy("_t"))
+    return counted.withColumn("_hit", F.coalesce(F.col("_n") > before, F.lit(False))).select("_row.*", F.col("_hit").alias(out))

@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from ..spec import PANEL, PanelSpec
 
 
-def column_profile(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+def _stacked(df: DataFrame, cols: list[str], by: list, measures: dict) -> DataFrame:
+    """One row for each group and column: the measures of all columns in one aggregate, stacked after it."""
+    one = df.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"_{m}_{k}") for k, c in enumerate(cols) for m, f in measures.items()])
+    rows = [F.struct(F.lit(c).alias("name"), *[F.col(f"_{m}_{k}").alias(m) for m in measures]) for k, c in enumerate(cols)]
+    keys = [c for c in one.columns if not any(c.startswith(f"_{m}_") for m in measures)]
+    return one.select(*keys, F.explode(F.array(*rows)).alias("_c")).select(*keys, "_c.*")
+
+
+def column_profile(df: DataFrame, cols: list[str], by: list[str] | None = None, near: float = 1e-6) -> DataFrame:
     """Null, zero and near-zero shares, range and deviation of each column, by group if wanted."""
-    long = df.unpivot(by or [], [F.col(c).cast("double").alias(c) for c in cols], "name", "value")
-    return long.groupBy(*(by or []), "name").agg(
-        F.avg(F.col("value").isNull().cast("double")).alias("null_share"), F.avg((F.col("value") == 0).cast("double")).alias("zero_share"),
-        F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_samp("value").alias("std"),
-    )
+    measures = {
+        "null_share": lambda v: F.avg(v.isNull().cast("double")), "zero_share": lambda v: F.avg((v == 0).cast("double")),
+        "near_zero_share": lambda v: F.avg((F.abs(v) < near).cast("double")), "low": F.min, "high": F.max, "std": F.stddev_samp,
+    }
+    return _stacked(df, cols, by or [], measures)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,8 +67,7 @@ def coverage(base: DataFrame, side: DataFrame, spec: PanelSpec = PANEL) -> DataF
 
 def dead_days(df: DataFrame, cols: list[str], eps: float = 1e-6, spec: PanelSpec = PANEL) -> DataFrame:
     """Share of a year's dates on which a column barely varies across entities."""
-    long = df.unpivot([spec.date], [F.col(c).cast("double").alias(c) for c in cols], "name", "value")
-    days = long.groupBy(spec.date, "name").agg(F.stddev_samp("value").alias("s"))
+    days = _stacked(df, cols, [spec.date], {"s": F.stddev_samp})
     return days.groupBy(F.year(spec.date).alias("year"), "name").agg(F.avg((F.coalesce("s", F.lit(0.0)) < eps).cast("double")).alias("dead_share"))
 
 
@@ -106,3 +113,30 @@ def calendar_holes(df: DataFrame, most: int = 5, spec: PanelSpec = PANEL) -> Dat
     before = F.lag(spec.date).over(Window.partitionBy(spec.entity).orderBy(spec.date))
     steps = df.select(spec.entity, spec.date).distinct().withColumn("after", before)
     return steps.withColumn("gap", (business_days(F.col(spec.date)) - business_days(F.col("after"))).cast("long")).where(F.col("gap") > most)
+
+
+def identity_checks(df: DataFrame, by: Column, rules: dict[str, Column]) -> DataFrame:
+    """Share of each group's rows on which each identity holds; a rule that is null fails."""
+    return df.groupBy(by).agg(*[F.avg(rule.cast("double")).alias(name) for name, rule in rules.items()], F.count(F.lit(1)).alias("n"))
+
+
+def extreme_changes(df: DataFrame, col: str, events: DataFrame, least: float, days: int, low: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """Rows that changed by ``least`` or more, with the first cause that fits: event, gap, low base, unexplained."""
+    w = spec.series()
+    moved = df.withColumn("_low", F.lag(col, 1).over(w)).withColumn("_before", F.lag(spec.date, 1).over(w)).where(F.abs(F.try_divide(F.col(col), F.col("_low")) - 1) >= least)
+    known = events.select(spec.entity, spec.date, F.lit(True).alias("_event")).distinct()
+    cause = F.when(F.col("_event"), "event").when(F.datediff(spec.date, "_before") > days, "gap").when(F.col("_low") < low, "low base").otherwise("unexplained")
+    return moved.join(known, [spec.entity, spec.date], "left").withColumn("cause", cause).drop("_low", "_before", "_event")
+
+
+def expectations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """rule, passed: aggregate conditions over a table, all in one pass; an unknown result fails."""
+    found = df.agg(*[F.coalesce(F.expr(x), F.lit(False)).alias(f"_r{k}") for k, x in enumerate(rules.values())])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_r{k}").alias("passed")) for k, n in enumerate(rules)])).alias("r")).select("r.*")
+
+
+def inventory(sources: dict[str, tuple[DataFrame, str]], until: str) -> DataFrame:
+    """name, first_d, last_d, lag_days behind a reference date, and whether the source reaches it."""
+    end = F.lit(until).cast("date")
+    one = [df.agg(F.min(F.to_date(c)).alias("first_d"), F.max(F.to_date(c)).alias("last_d")).select(F.lit(n).alias("name"), "first_d", "last_d") for n, (df, c) in sources.items()]
+    return reduce(DataFrame.unionByName, one).withColumn("lag_days", F.datediff(end, "last_d")).withColumn("covers", F.col("last_d") >= end)

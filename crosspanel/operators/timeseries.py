@@ -54,35 +54,40 @@ EWM_RANGE = 600.0
 
 
 def ewm(df: DataFrame, col: str, alpha: float, adjust: bool, out: str, least: int = 1, spec: PanelSpec = PANEL) -> DataFrame:
-    """Exponentially weighted mean as ratios of prefix sums; weights follow row positions, nulls included.
+    """Exponentially weighted mean by prefix sums; weights follow row positions, rows with null included.
 
-    With r = 1 - alpha and row number n, adjusted: sum(x r^-n) / sum(r^-n). Not adjusted: r^n sum(w x r^-n), where w is 1
-    for the first value and alpha for later ones. Rows are re-based in blocks of ``EWM_RANGE / ln(1/r)`` rows; a block adds the
-    blocks before it with their decay, so long series stay in range.
+    With r = 1 - alpha. Adjusted: each row decays what is before it by r, and the sum is divided by that of the weights. Not
+    adjusted: a value g rows after the one before keeps ``r^g / (r^g + alpha)`` of the mean so far and adds the rest of itself,
+    so a constant series stays constant over gaps. Rows with null show the mean so far. Rows are re-based whenever they have
+    decayed by ``e^EWM_RANGE``; a block adds the block before it with its decay, so long series stay in range.
     """
     r = 1.0 - alpha
-    size = max(1, int(EWM_RANGE / -math.log(r)))
-    w = spec.series()
-    n = F.row_number().over(w)
-    seen = F.count(col).over(spec.past())
-    base = df.withColumn("_n", n).withColumn("_seen", seen).withColumn("_b", F.floor((F.col("_n") - 1) / size)).withColumn("_m", F.col("_n") - F.col("_b") * size)
-    weight = F.pow(F.lit(r), -F.col("_m"))
-    scale = F.lit(1.0) if adjust else F.when(F.col("_seen") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    in_block = base.select("*", F.when(F.col(col).isNotNull(), weight * scale).alias("_w"))
+    w, known = spec.series(), F.col(col).isNotNull()
+    base = df.withColumn("_n", F.row_number().over(w)).withColumn("_seen", F.count(col).over(spec.past()))
+    if adjust:
+        decayed = base.withColumn("_l", F.col("_n") * math.log(r)).withColumn("_part", F.when(known, F.lit(1.0)))
+    else:
+        gap = F.col("_n") - F.max(F.when(known, F.col("_n"))).over(spec.past(-1))
+        fade = F.pow(F.lit(r), F.col("_g"))
+        keep = F.when(known & F.col("_g").isNotNull(), F.log(fade / (fade + alpha))).otherwise(F.lit(0.0))
+        part = F.when(known, F.when(F.col("_g").isNull(), F.lit(1.0)).otherwise(alpha / (fade + alpha)))
+        decayed = base.withColumn("_g", gap).withColumn("_k", keep).withColumn("_part", part).withColumn("_l", F.sum("_k").over(spec.past())).drop("_g", "_k")
+    based = decayed.withColumn("_b", F.floor(-F.col("_l") / EWM_RANGE)).withColumn("_m", F.col("_l") + F.col("_b") * EWM_RANGE)
+    in_block = based.withColumn("_w", F.col("_part") * F.exp(-F.col("_m")))
     own = Window.partitionBy(spec.entity, "_b").orderBy(spec.date).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(spec.entity, "_b")
     last_block = Window.partitionBy(spec.entity).orderBy("_b").rangeBetween(-1, -1)
     # the block before counts through its sums at its end; older ones weigh less than e**-600
-    at_end = F.lit(r**size)
+    at_end = F.lit(math.exp(-EWM_RANGE))
     summed = in_block.select(
         "*", F.sum(F.col("_w") * F.col(col)).over(own).alias("_s"), F.sum("_w").over(own).alias("_t"),
         (F.sum(F.col("_w") * F.col(col)).over(whole) * at_end).alias("_se"), (F.sum("_w").over(whole) * at_end).alias("_te"),
     )
     carried = summed.select("*", F.coalesce(F.max("_se").over(last_block), F.lit(0.0)).alias("_sp"), F.coalesce(F.max("_te").over(last_block), F.lit(0.0)).alias("_tp"))
     top = F.coalesce("_s", F.lit(0.0)) + F.col("_sp")
-    value = top / F.nullif(F.coalesce("_t", F.lit(0.0)) + F.col("_tp"), F.lit(0.0)) if adjust else F.pow(F.lit(r), F.col("_m")) * top
+    value = top / F.nullif(F.coalesce("_t", F.lit(0.0)) + F.col("_tp"), F.lit(0.0)) if adjust else F.exp("_m") * top
     ready = F.when(F.col("_seen") >= least, value)
-    return carried.withColumn(out, ready).drop("_n", "_seen", "_b", "_m", "_w", "_s", "_t", "_se", "_te", "_sp", "_tp")
+    return carried.withColumn(out, ready).drop("_n", "_seen", "_l", "_part", "_b", "_m", "_w", "_s", "_t", "_se", "_te", "_sp", "_tp")
 
 
 def rsi(df: DataFrame, col: str, out: str, alpha: float, adjust: bool, least: int = 14, spec: PanelSpec = PANEL) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crosssection as xs
 from ..operators import evaluate as ev
+from ..operators import features as ft
 from ..operators import graph as gr
 from ..operators import pit
 from ..operators import quality as dq
@@ -93,7 +94,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     """Daily rank IC of the reversal factor, winsorised, neutralised by category and scaled, against the forward return."""
     p = ts.forward_return(ts.pct_change(P(s, d), "close", 5, "mom"), "close", 5, "label")
     p = p.withColumn("factor", F.round(-F.col("mom"), 9)).where("factor is not null")
-    p = xs.winsorise(p, "factor", 0.01, 0.99, "w").join(F.broadcast(fx.categories(s, d).select("id", "category")), "id")
+    p = xs.winsorise(p, "factor", 0.01, 0.99, "w").join(fx.categories(s, d).select("id", "category"), "id")
     p = xs.zscore(xs.neutralise(p, "w", "category", "nw"), "nw", "z").withColumn("z", F.round("z", 9)).withColumn("label", F.round("label", 9))
     return ev.rank_ic(p, "z", "label", 10).select("d", r("ic"), "n")
 
@@ -180,12 +181,12 @@ def _(s, d):
 
 
 @query("b08_net_score", sql("""select id, d, round(score - case when volume >= 100 then 0.001 when volume >= 40 then 0.003 else 0.01 end, 9) net,
- round(greatest(-10, least(10, score / nullif(unc, 0))), 6) quality from scores""", "scores"))
+ case when unc is not null then round(greatest(-10, least(10, score / (unc + 1e-6))), 5) end quality, round(score / (unc + 1e-6), 5) raw from scores""", "scores"))
 def _(s, d):
     cost = F.when(F.col("volume") >= 100, 0.001).when(F.col("volume") >= 40, 0.003).otherwise(0.01)
-    quality = F.col("score") / F.nullif("unc", F.lit(0.0))
-    clipped = F.when(quality.isNull(), F.lit(10.0)).otherwise(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), quality)))
-    return S(s, d).select("id", "d", F.round(F.col("score") - cost, 9).alias("net"), F.round(clipped, 6).alias("quality"))
+    raw = F.col("score") / (F.col("unc") + 1e-6)
+    clipped = F.when(raw.isNotNull(), F.greatest(F.lit(-10.0), F.least(F.lit(10.0), raw)))
+    return S(s, d).select("id", "d", F.round(F.col("score") - cost, 9).alias("net"), F.round(clipped, 5).alias("quality"), F.round(raw, 5).alias("raw"))
 
 
 @query("b09_day_stride", sql("select id, d from panel join cal using (d) where (idx - 1) % 4 = 0", "cal"))
@@ -304,13 +305,14 @@ def _(s, d):
 @query("c20_dimension_names", sql("select p.id, p.d, coalesce(category, 'unknown') category from panel p left join (select * from cat where size_v > 0) c using (id)", "panel", "cat"))
 def _(s, d):
     c = fx.categories(s, d).where("size_v > 0").select("id", "category")
-    return P(s, d).join(F.broadcast(c), "id", "left").select("id", "d", F.coalesce("category", F.lit("unknown")).alias("category"))
+    return P(s, d).join(c, "id", "left").select("id", "d", F.coalesce("category", F.lit("unknown")).alias("category"))
 
 
 # --- D: profiles and reconciliation
-@query("d01_pivot", sql("select id, period_end, round(max(value) filter (type = 'rev'), 4) rev, round(max(value) filter (type = 'qty'), 4) qty, round(max(value) filter (type = 'tax'), 4) tax from facts group by 1, 2", "facts"))
+@query("d01_pivot", "select l_suppkey id, l_returnflag d, " + ", ".join(f"arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity)) filter (l_linestatus = '{m}') {m.lower()}" for m in "FO") + " from lineitem group by 1, 2")
 def _(s, d):
-    return fx.facts(s, d).groupBy("id", "period_end").pivot("type", ["rev", "qty", "tax"]).agg(F.round(F.max("value"), 4))
+    line = fx.read(s, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("d"), F.lower("l_linestatus").alias("type"), "l_quantity", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("seq"))
+    return ft.last_pivot(line, ["id", "d"], "type", ["f", "o"], "l_quantity", "seq")
 
 
 @query("d02_preferred_type", sql("select id, period_end, arg_min(type, pref) as type, round(arg_min(value, pref), 4) as value from (select *, case type when 'tax' then 1 when 'rev' then 2 else 3 end pref from facts) group by 1, 2", "facts"))
@@ -363,7 +365,7 @@ def _(s, d):
 
 @query("d14_group_flow_top", sql("select category, round(flow, 2) flow, case when flow > 0 then 'in' else 'out' end direction from (select category, sum(close * volume * sign(ret)) flow from rets join cat using (id) where ret is not null and d in (select distinct d from panel order by d desc limit 5) group by 1) order by abs(flow) desc, category limit 8", "rets", "cat"))
 def _(s, d):
-    p = xs.last_dates(rets(s, d), 5).where("ret is not null").join(F.broadcast(fx.categories(s, d)), "id")
+    p = xs.last_dates(rets(s, d), 5).where("ret is not null").join(fx.categories(s, d), "id")
     flow = p.groupBy("category").agg(F.sum(F.expr("close * volume * sign(ret)")).alias("flow"))
     top = flow.orderBy(F.abs("flow").desc(), "category").limit(8)
     return top.select("category", r("flow", 2), F.when(F.col("flow") > 0, "in").otherwise("out").alias("direction"))
@@ -496,14 +498,15 @@ def _(s, d):
 
 
 def ewm_sql(x: str, alpha: float, adjust: bool, source: str) -> str:
-    """The closed form over at most a few thousand rows: id, d, value."""
-    rate = 1 - alpha
-    scale = "1.0" if adjust else f"case when seen = 1 then 1.0 else {alpha!r} end"
-    base = f"select *, row_number() over (partition by id order by d) n, count({x}) over (partition by id order by d) seen from {source}"
-    w = "over (partition by id order by d)"
-    top = f"sum({x} * pow({rate!r}, -n) * {scale}) {w}"
-    value = f"{top} / nullif(sum(case when {x} is not null then pow({rate!r}, -n) end) {w}, 0)" if adjust else f"pow({rate!r}, n) * {top}"
-    return f"select *, {value} as value from ({base})"
+    """The closed form over at most a few thousand rows: id, d, seen, value."""
+    rate, w = 1 - alpha, "over (partition by id order by d)"
+    base = f"select *, row_number() {w} n, count({x}) {w} seen from {source}"
+    if adjust:
+        return f"select *, sum({x} * pow({rate!r}, -n)) {w} / nullif(sum(case when {x} is not null then pow({rate!r}, -n) end) {w}, 0) as value from ({base})"
+    # a value that follows another at a distance of g rows takes alpha / (rate^g + alpha) of the weight
+    gaps = f"select *, n - max(case when {x} is not null then n end) over (partition by id order by d rows between unbounded preceding and 1 preceding) g from ({base})"
+    parts = f"select *, case when {x} is null or g is null then 0 else ln(pow({rate!r}, g) / (pow({rate!r}, g) + {alpha!r})) end keep, case when {x} is null then null when g is null then {x} else {x} * {alpha!r} / (pow({rate!r}, g) + {alpha!r}) end part from ({gaps})"
+    return f"select *, exp(kept) * sum(part * exp(-kept)) {w} as value from (select *, sum(keep) {w} kept from ({parts}))"
 
 
 @query("f04_ewm_adjusted", sql(f"select id, d, round(case when seen >= 7 then value end, 6) e from ({ewm_sql('close', 1 / 14, True, 'panel')})", "panel"))
@@ -606,14 +609,14 @@ def _(s, d):
 
 @query("g03_neutralise", sql("select id, d, round(score - avg(score) over (partition by d, category), 6) neutral from scores join cat using (id)", "scores", "cat"))
 def _(s, d):
-    p = S(s, d).join(F.broadcast(fx.categories(s, d)), "id")
+    p = S(s, d).join(fx.categories(s, d), "id")
     return xs.neutralise(p, "score", "category", "neutral").select("id", "d", r("neutral"))
 
 
 @query("g04_neutralise_size", sql("""select id, d, round(case when count(score) over (partition by d) >= 10 then y - coalesce(sum(x * y) over (partition by d) / nullif(sum(x * x) over (partition by d), 0), 0) * x else score end, 6) neutral
  from (select id, d, score, score - avg(score) over (partition by d, category) y, size_v - avg(size_v) over (partition by d, category) x from scores join cat using (id))""", "scores", "cat"))
 def _(s, d):
-    p = S(s, d).join(F.broadcast(fx.categories(s, d)), "id")
+    p = S(s, d).join(fx.categories(s, d), "id")
     return xs.neutralise_with_size(p, "score", "category", "size_v", "neutral").select("id", "d", r("neutral"))
 
 
@@ -690,13 +693,13 @@ def _(s, d):
     return ts.ewm(ts.true_range(P(s, d), "tr"), "tr", 2 / 15, True, "atr", 7).select("id", "d", r("atr", 5))
 
 
-RSV = f"(select id, d, case when count(close) {W_(9)} >= 5 then 100 * (close - min(low) {W_(9)}) / nullif(max(high) {W_(9)} - min(low) {W_(9)}, 0) end rsv from panel)"
+RSV = f"(select id, d, case when count(close) {W_(9)} >= 5 then 100 * (close - min(low) {W_(9)}) / (max(high) {W_(9)} - min(low) {W_(9)} + 1e-9) end rsv from panel)"
 
 
 @query("f07_stochastic_k", sql(f"select id, d, round(value, 5) k from ({ewm_sql('rsv', 1 / 3, False, RSV)}) where seen > 0", "panel"))
 def _(s, d):
     p = ts.rolling(ts.rolling(P(s, d), "low", "min", 9, 5, "lo"), "high", "max", 9, 5, "hi")
-    p = p.withColumn("rsv", F.expr("100 * (close - lo) / nullif(hi - lo, 0)"))
+    p = p.withColumn("rsv", F.expr("100 * (close - lo) / (hi - lo + 1e-9)"))
     return ts.ewm(p, "rsv", 1 / 3, False, "k").withColumn("c", F.count("rsv").over(PANEL.past())).where("c > 0").select("id", "d", r("k", 5))
 
 
@@ -843,3 +846,6 @@ def _(s, d):
     select *, row_number() over (partition by d order by score desc, id) k from scores where label is not null) group by d))""", "scores"))
 def _(s, d):
     return ev.period_evaluation(S(s, d), "score", "label", 5, 10).select("d", r("narrow"), r("wide"), r("drawdown"))
+
+
+from . import more  # noqa: E402, F401  registers its queries

@@ -35,14 +35,24 @@ def test_ewm_equals_pandas_beyond_a_block(spark, alpha, adjust):
     values = [None if i % 11 == 3 else float((i * 37) % 101) for i in range(400)]
     df = spark.createDataFrame([(1, d, v) for d, v in zip(D, values, strict=True)], "id int, d date, x double")
     ours = [r.e for r in ts.ewm(df, "x", alpha, adjust, "e").orderBy("d").collect()]
-    theirs = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=True, ignore_na=False).mean() if adjust else None
-    if adjust:
-        assert all(a is None or abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(ours, theirs, strict=True))
-    else:
-        full = spark.createDataFrame([(1, d, float(i % 17)) for i, d in enumerate(D)], "id int, d date, x double")
-        ours = [r.e for r in ts.ewm(full, "x", alpha, False, "e").orderBy("d").collect()]
-        theirs = pd.Series([float(i % 17) for i in range(400)]).ewm(alpha=alpha, adjust=False).mean()
-        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(ours, theirs, strict=True))
+    theirs = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=adjust, ignore_na=False).mean()
+    assert all(a is None or abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(ours, theirs, strict=True))
+
+
+@pytest.mark.parametrize("adjust", [True, False])
+def test_ewm_with_nulls_at_both_ends_and_in_runs(spark, adjust):
+    values = [None, None, 1.0, None, 1.0, 2.0, *[None] * 30, 5.0, 7.0, *[float(i % 13) for i in range(340)], None, None, None]
+    df = spark.createDataFrame([(1, d, v) for d, v in zip(D, values, strict=False)], "id int, d date, x double")
+    ours = [r.e for r in ts.ewm(df, "x", 0.9, adjust, "e").orderBy("d").collect()]
+    theirs = pd.Series(values, dtype=float).ewm(alpha=0.9, adjust=adjust, ignore_na=False).mean().tolist()
+    assert [a is None for a in ours] == [b != b for b in theirs]
+    assert all(a is None or abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(ours, theirs, strict=True))
+
+
+def test_event_multiplier_with_zero_and_negative_factors(spark):
+    rows = spark.createDataFrame([(1, D[k]) for k in range(4)], "id int, d date")
+    events = spark.createDataFrame([(1, D[1], 0.0), (1, D[2], -2.0), (1, D[3], None), (1, D[4], -0.5)], "id int, d date, f double")
+    assert {r.d: round(r.m, 9) for r in pit.event_multiplier(rows, events, "f", "m").collect()} == {D[0]: 0.0, D[1]: 1.0, D[2]: -0.5, D[3]: -0.5}
 
 
 def test_streak_breaks_at_null_and_restarts(spark):
