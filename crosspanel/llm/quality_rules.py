@@ -1,11 +1,12 @@
 """Line-first quality rules, in DataFrame operations only.
 
-A text is cut into lines; each line must pass every line rule, or it is removed. A document is rejected when the lines
-that stay hold too little of its word characters. Rules (all are parameters of ``LineRules``):
+A text is cut into lines, after a line without a mark at its end is joined to a next one that begins in lower case, as
+wrapped prose does. Each line must pass every line rule, or it is removed. A document is rejected when the lines that stay
+hold too little of its word characters. Rules (all are parameters of ``LineRules``):
 
-* punctuation: the line has a sentence mark at its end or before a space, and words that end in two or more such marks are no large share of it;
+* punctuation: the line ends in a sentence mark, or is cut off in prose that has one every forty words at least; and words that end in two or more such marks are no large share of it;
 * navigation: it does not hold two or more separators, and symbols are no large share of it;
-* boilerplate: it repeats no earlier line, and has no phrase of the boilerplate list.
+* boilerplate: it repeats no earlier line, and phrases of the boilerplate list are no large share of its characters.
 
 Defined results: null text counts as empty (no words, base_failed, not kept); a text without line breaks is one line;
 repeated rows give repeated results; an empty table gives no rows. Only doc_id and text are read.
@@ -14,8 +15,6 @@ repeated rows give repeated results; an empty table gives no rows. Only doc_id a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class LineRules:
-    terminal: str = r"[.!?:;…\"'”’)\]]([\x20\x09-\x0D]|$)"
+    wrapped: str = r"([^.!?:;…\"'”’)\]\x20\x09-\x0D])[\x20\x09]*\n([a-zß-ÿ])"
+    terminal: str = r"[.!?:;…\"'”’)\]][\x20\x09-\x0D]*\z"
+    mark: str = r"[.!?…][\x20\x09-\x0D]"
+    max_words_a_mark: int = 40
     doubled_marks: str = r"[!?]{2,}"
     max_doubled_share: float = 0.2
     symbols: str = "#*$%&|<>"
@@ -38,6 +40,7 @@ class LineRules:
         "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript",
         "lorem ipsum", "click here", "subscribe",
     )
+    max_boilerplate_share: float = 0.2
     min_kept_share: float = 0.5
 
 
@@ -48,15 +51,15 @@ def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
     n_separators = F.length(line) - F.length(F.translate(line, rules.separators, ""))
     n_words = F.regexp_count(line, F.lit(WORD))
     n_doubled = F.regexp_count(line, F.lit(rules.doubled_marks))
-    lower = F.lower(line)
-    phrases = [lower.contains(x) for x in rules.boilerplate]
+    lower, phrases = F.lower(line), "|".join(rules.boilerplate)
+    n_phrases = F.length(line) - F.length(F.regexp_replace(lower, phrases, ""))
     # the cheap test of each rule comes first, its counts only where that test does not settle it
     return (
-        line.rlike(rules.terminal)
+        (line.rlike(rules.terminal) | (F.regexp_count(line, F.lit(rules.mark)) * rules.max_words_a_mark >= n_words))
         & (n_separators <= rules.max_separators)
         & ((n_symbols == 0) | (n_symbols <= F.lit(rules.max_symbol_share) * chars))
         & (~line.rlike(rules.doubled_marks) | (n_doubled <= F.lit(rules.max_doubled_share) * n_words))
-        & ~reduce(or_, phrases)
+        & (~lower.rlike(phrases) | (n_phrases <= F.lit(rules.max_boilerplate_share) * F.length(line)))
     )
 
 
@@ -82,7 +85,8 @@ def repeated_words(tokens: Column, n: int = 3) -> Column:
 
 def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
     """The distinct lines of a text that pass, in order."""
-    return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: line_passes(x, rules))
+    whole = F.regexp_replace(text, rules.wrapped, "$1 $2")
+    return F.filter(F.array_distinct(F.split(whole, "\n")), lambda x: line_passes(x, rules))
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
