@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,8 +29,8 @@ from tokenizers import PreTokenizedString, Tokenizer
 
 #: Shifts the last symbol of a word, so that "e" inside a word and "e" at its end are different symbols.
 END = 0x4000
-#: Bytes of what one Python worker remembers, about, of words and of white-space separated chunks.
-REMEMBERED_BYTES = 16 << 20
+#: Bytes of what one Python worker remembers, about, of words and as many of white-space separated chunks: ids, prefix counts.
+REMEMBERED_BYTES, PREFIX_BYTES = 28 << 20, 96 << 20
 #: Longer words and chunks are not remembered.
 REMEMBERED = 64
 #: Compatible pairs that one Python worker remembers at most.
@@ -77,11 +77,7 @@ class WordBpe:
             self.matches.add_word(s, i)
         self.matches.make_automaton()
         self.byte_symbols = byte_symbols()
-        self.endings = ahocorasick.Automaton()
-        for i, s in symbols.items():
-            if ord(s[-1]) >= END:
-                self.endings.add_word(s[:-1] + chr(ord(s[-1]) - END), i)
-        self.endings.make_automaton()
+        self.symbols = symbols
         self.inside = {chr(self.byte_symbols[b] + shift) for b in range(0x80, 0xC0) for shift in (0, END)}  # of a UTF-8 character
         names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for text, i in [*vocab.items(), *self.special.items()]:
@@ -93,10 +89,20 @@ class WordBpe:
         self.ids_of = Memo(self.chunk_ids)
         self.count_of = Memo(self.chunk_count)
         self._word_ids = Memo(lambda w: b"".join(map(self.packed.__getitem__, self.encode(self.word_symbols(w)))))
-        self._prefixes_of = Memo(self._chunk_prefixes)
-        self._word_prefixes = Memo(lambda w: self.word_prefixes(self.word_symbols(w)))
+        self._prefixes_of = Memo(self._chunk_prefixes, PREFIX_BYTES)
+        self._word_prefixes = Memo(lambda w: self.word_prefixes(self.word_symbols(w)), PREFIX_BYTES)
         self._word_count = Memo(lambda w: self.prefix_counts(self.word_symbols(w))[-1])
 
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """The tokens that end a word, by the symbols that they have inside one. Only prefix counts need them."""
+        found = ahocorasick.Automaton()
+        for i, s in self.symbols.items():
+            if ord(s[-1]) >= END:
+                found.add_word(s[:-1] + chr(ord(s[-1]) - END), i)
+        found.make_automaton()
+        return found
+
     def word_symbols(self, word: str) -> str:
         s = word.encode().decode("latin-1").translate(self.byte_symbols)
         return s[:-1] + chr(ord(s[-1]) + END)
