@@ -1 +1 @@
-
+"""Column functions live with the operators that use them: see ``spec`` and ``operators``."""
