@@ -30,11 +30,11 @@ from tokenizers import PreTokenizedString, Tokenizer
 #: Shifts the last symbol of a word, so that "e" inside a word and "e" at its end are different symbols.
 END = 0x4000
 #: Bytes of what one Python worker remembers, about, of words and as many of white-space separated chunks: ids, prefix counts.
-REMEMBERED_BYTES, PREFIX_BYTES = 28 << 20, 128 << 20
+REMEMBERED_BYTES, PREFIX_BYTES = 24 << 20, 128 << 20
 #: Longer words and chunks are not remembered.
 REMEMBERED = 64
 #: Compatible pairs that one Python worker remembers at most.
-PAIRS = 400_000
+PAIRS = 150_000
 #: Texts in which str.split and str.lower agree with the library: no separators that only Python counts as white space,
 #: no letters beyond Latin but common punctuation.
 UNCOMMON = re.compile("[^\t-\r -~ -ɏ‐-‧‰-⁞€]")
