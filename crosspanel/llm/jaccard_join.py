@@ -307,8 +307,10 @@ def grouped(docs: DataFrame, k: int, id_col: str, text_col: str, held: Steps) ->
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the components of Jaccard >= 0.8 between the documents' shingle sets."""
-    found = grouped(docs, k, id_col, text_col, Steps(docs.sparkSession))
-    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    held = Steps(docs.sparkSession)
+    found = grouped(docs, k, id_col, text_col, held)
+    # written first, so that the join's own exchanges can be split where a component is large
+    least = few(held.keep(found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))))
     size = F.col("n").cast("long").alias("n_shingles")
     rows = found.where("comp is not null").join(least, "comp").select("doc_id", size, "component_id")
     return rows.unionByName(found.where("comp is null").select("doc_id", size, F.col("doc_id").alias("component_id")))
