@@ -116,7 +116,7 @@ def paired_difference(a: DataFrame, b: DataFrame, col: str, lag: int, trim: int,
 
     ``trimmed`` is the mean without the ``trim`` largest differences by size. One row a date: the windows are small.
     """
-    gap = a.select(spec.date, F.col(col).alias("_a")).join(b.select(spec.date, F.col(col).alias("_b")), spec.date).select(spec.date, (F.col("_a") - F.col("_b")).alias("gap")).where("gap is not null")
+    gap = a.select(spec.date, F.col(col).alias("_a")).join(b.select(spec.date, F.col(col).alias("_b")), spec.date).select(spec.date, F.round(F.col("_a") - F.col("_b"), 9).alias("gap")).where("gap is not null")
     ranked = gap.withColumn("_r", F.row_number().over(Window.orderBy(F.abs("gap").desc(), spec.date)))
     rest = ranked.agg(F.avg((F.col("gap") > 0).cast("double")).alias("positive"), F.avg(F.when(F.col("_r") > trim, F.col("gap"))).alias("trimmed"))
     return newey_west_t(gap, "gap", lag, spec).crossJoin(rest)  # one row each

@@ -289,7 +289,7 @@ def _(s, d):
     return st.score_agreement(S(s, d), smooth, "score", 10, 10).select("d", r("rho"), "overlap")
 
 
-@query("e13_paired_difference", sql("", "ics").rstrip() + f""", t as (select s.id, s.d, s.label, t.score from scores s join ({SMOOTH}) t using (id, d)), g as (select d, a.ic - b.ic gap from ics a join ({IC.format('t', 'd', 'score', 'label', 10)}) b using (d) where a.ic - b.ic is not null)
+@query("e13_paired_difference", sql("", "ics").rstrip() + f""", t as (select s.id, s.d, s.label, t.score from scores s join ({SMOOTH}) t using (id, d)), g as (select d, round(a.ic - b.ic, 9) gap from ics a join ({IC.format('t', 'd', 'score', 'label', 10)}) b using (d) where a.ic - b.ic is not null)
  select round(any_value(m), 6) mean, count(*) n, round(any_value(m) / sqrt((sum(e*e) + 2*(2/3.0)*sum(e*l1) + 2*(1/3.0)*sum(e*l2)) / count(*) / count(*)), 4) t, round(avg((gap > 0)::int), 6) positive, round(avg(gap) filter (k > 5), 6) trimmed
  from (select *, lag(e, 1) over (order by d) l1, lag(e, 2) over (order by d) l2 from (select *, avg(gap) over () m, gap - avg(gap) over () e, row_number() over (order by abs(gap) desc, d) k from g))""")
 def _(s, d):
