@@ -102,3 +102,25 @@ def flat_matrix(df: DataFrame, columns: list[str], lags: list[int], means: list[
         made |= {f"{c}_rmean{n}": F.when(F.count(c).over(spec.series(n)) >= n, F.avg(c).over(spec.series(n))) for n in means}
         made |= {f"{c}_mom{n}": F.try_divide(F.col(c), F.lag(c, n).over(w)) - 1 for n in momenta}
     return df.select(spec.entity, spec.date, *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in made.items()])
+
+
+def calibrated(df: DataFrame, official: str, estimate: str, out: str, low: float = 0.5, high: float = 2.0, spec: PanelSpec = PANEL) -> DataFrame:
+    """Adds ``out`` and source: the official value, else the estimate times the date's median ratio, else the last official one.
+
+    A median ratio outside [low, high], or none, counts as 1.
+    """
+    ratio = F.median(F.col(official) / F.nullif(F.col(estimate), F.lit(0.0))).over(spec.day())
+    scaled = df.withColumn("_f", F.round(ratio, 9)).withColumn("_f", F.when(F.col("_f").between(low, high), F.col("_f")).otherwise(F.lit(1.0)))
+    scaled = scaled.withColumns({"_calc": F.col(estimate) * F.col("_f"), "_stale": F.last(official, ignorenulls=True).over(spec.past())})
+    source = F.when(F.col(official).isNotNull(), "observed").when(F.col("_calc").isNotNull(), "derived").when(F.col("_stale").isNotNull(), "stale")
+    return scaled.withColumns({out: F.coalesce(official, "_calc", "_stale"), "source": source}).drop("_f", "_calc", "_stale")
+
+
+def coded_positions(df: DataFrame, date: str, on: str, codes: dict[str, dict[str, str]], numbers: list[str]) -> DataFrame:
+    """Rows of one date (``yyyy/MM/dd`` texts) with codes mapped, unknown ones dropped, and numbers freed of commas and dashes."""
+    found = df.withColumn(date, F.try_to_timestamp(F.trim(date), F.lit("yyyy/MM/dd")).cast("date")).where(F.col(date) == F.lit(on).cast("date"))
+    for c, names in codes.items():
+        known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        found = found.withColumn(c, F.try_element_at(known, F.trim(c))).where(F.col(c).isNotNull())
+    clean = lambda c: F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("double")
+    return found.withColumns({c: clean(c) for c in numbers})

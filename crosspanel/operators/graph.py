@@ -68,6 +68,12 @@ def merge_edges(layers: list[DataFrame], top: int) -> DataFrame:
     return cap_edges(every.groupBy("src", "dst").agg(F.max("weight").alias("weight")), top)
 
 
+def refresh_layer(edges: DataFrame, layer: DataFrame, kind: str) -> DataFrame:
+    """An edge table (src, dst, weight, kind) with the edges of one kind replaced, all others kept."""
+    new = layer.select("src", "dst", "weight", F.lit(kind).alias("kind"))
+    return edges.where(~F.col("kind").eqNullSafe(F.lit(kind))).select("src", "dst", "weight", "kind").unionByName(new)
+
+
 def induced(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """Edges with both ends in the node set."""
     ends = nodes.select(F.col(key).alias("src")).distinct()

@@ -140,3 +140,61 @@ def inventory(sources: dict[str, tuple[DataFrame, str]], until: str) -> DataFram
     end = F.lit(until).cast("date")
     one = [df.agg(F.min(F.to_date(c)).alias("first_d"), F.max(F.to_date(c)).alias("last_d")).select(F.lit(n).alias("name"), "first_d", "last_d") for n, (df, c) in sources.items()]
     return reduce(DataFrame.unionByName, one).withColumn("lag_days", F.datediff(end, "last_d")).withColumn("covers", F.col("last_d") >= end)
+
+
+def swap_diagnosis(df: DataFrame, balance: str, added: str, taken: str, least: int, threshold: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """entity, year, n, verdict: whether two columns are swapped, by the correlation of the balance's change with their difference.
+
+    A year with ``least`` moves or more decides for itself, else the entity's whole history; keep, swap, or unknown.
+    """
+    step = F.col(balance) - F.lag(balance).over(spec.series())
+    moves = df.withColumns({"_b": step, "_n": F.col(added) - F.col(taken), "year": F.year(spec.date).cast("long")}).where((F.col("_b") != 0) | (F.col("_b").isNotNull() & (F.col("_n") != 0)))
+    rho = F.when((F.count(F.lit(1)) >= least) & (F.stddev_pop("_b") * F.stddev_pop("_n") > 0), F.corr("_b", "_n"))
+    years = moves.groupBy(spec.entity, "year").agg(F.count(F.lit(1)).alias("n"), rho.alias("_y"))
+    both = years.join(moves.groupBy(spec.entity).agg(rho.alias("_e")), spec.entity)
+    say = lambda c: F.when(F.col(c) < -threshold, "swap").when(F.col(c) > threshold, "keep")
+    return both.select(spec.entity, "year", "n", F.coalesce(say("_y"), say("_e"), F.lit("unknown")).alias("verdict"))
+
+
+def unswapped(df: DataFrame, verdicts: DataFrame, added: str, taken: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """The rows with both columns exchanged where the verdict is swap."""
+    year = F.year(spec.date).cast("long")
+    marked = df.withColumn("year", year).join(verdicts.select(spec.entity, "year", "verdict"), [spec.entity, "year"], "left")
+    wrong = F.coalesce(F.col("verdict") == "swap", F.lit(False))
+    return marked.withColumns({added: F.when(wrong, F.col(taken)).otherwise(F.col(added)), taken: F.when(wrong, F.col(added)).otherwise(F.col(taken))}).drop("year", "verdict")
+
+
+def limit_scan(df: DataFrame, col: str, limit: Column, around: int = 5, spec: PanelSpec = PANEL) -> DataFrame:
+    """Adds over (change beyond the limit), spike (the next one too, the other way) and near (any within ``around`` rows)."""
+    w = spec.series()
+    moved = df.withColumns({"_r": F.col(col) / F.nullif(F.lag(col).over(w), F.lit(0.0)) - 1, "_limit": limit})
+    moved = moved.withColumns({"over": F.coalesce(F.abs("_r") > F.col("_limit"), F.lit(False)), "_next": F.lead("_r").over(w)})
+    spike = F.col("over") & (F.abs("_next") > F.col("_limit")) & (F.signum("_r") != F.signum("_next"))
+    near = F.max(F.col("over").cast("int")).over(w.rowsBetween(-around, around)) == 1
+    return moved.withColumns({"spike": F.coalesce(spike, F.lit(False)), "near": near}).drop("_r", "_limit", "_next")
+
+
+def fill_check(df: DataFrame, col: str, held: Column, tolerance: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """n, coverage, median and 95 % relative error, passed: held-out values against the mean of their neighbours outside."""
+    rest = df.where(F.col(col) > 0).withColumn("_held", held).withColumn("_known", F.when(~F.col("_held"), F.col(col)))
+    w = spec.series()
+    before = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    error = rest.withColumn("_error", F.abs((before + after) / 2 - F.col(col)) / F.col(col)).where("_held")
+    return error.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("_error").isNotNull().cast("double")).alias("coverage"), F.percentile("_error", F.lit(0.5)).alias("median"),
+        F.percentile("_error", F.lit(0.95)).alias("p95"), F.avg((F.col("_error") <= tolerance).cast("double")).alias("passed"),
+    )
+
+
+def build_gate(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], inside: Column) -> DataFrame:
+    """inside, column, n, only_a, only_b, differing, null_mismatch, largest: two builds of a table, in and outside a window."""
+    one = lambda t, tag: t.select(*keys, F.lit(1).alias(f"_in_{tag}"), *[F.col(c).cast("double").alias(f"_{tag}_{c}") for c in cols])
+    both = one(a, "a").join(one(b, "b"), keys, "full_outer").withColumn("inside", inside)
+    met = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_a_{c}").alias("x"), F.col(f"_b_{c}").alias("y")) for c in cols])).alias("c")
+    long = both.select("inside", met.alias("met"), F.col("_in_a").isNull().alias("no_a"), F.col("_in_b").isNull().alias("no_b"), cells).select("*", "c.*")
+    return long.groupBy("inside", "column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("no_b").alias("only_a"), F.count_if("no_a").alias("only_b"), F.count_if(F.col("met") & (F.col("x") != F.col("y"))).alias("differing"),
+        F.count_if(F.col("met") & (F.col("x").isNull() != F.col("y").isNull())).alias("null_mismatch"), F.max(F.abs(F.col("x") - F.col("y"))).alias("largest"),
+    )

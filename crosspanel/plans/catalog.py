@@ -848,4 +848,4 @@ def _(s, d):
     return ev.period_evaluation(S(s, d), "score", "label", 5, 10).select("d", r("narrow"), r("wide"), r("drawdown"))
 
 
-from . import more  # noqa: E402, F401  registers its queries
+from . import more, rules  # noqa: E402, F401  register their queries
