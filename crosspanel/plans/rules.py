@@ -184,13 +184,13 @@ def _(s, d):
 
 # --- K: layers
 RESIDUAL = f"""rs as (select id, d, round(x, 12) x from (select id, d, ret - avg(ret) over (partition by d) x, count(*) over (partition by id) n from rets where abs(ret) < 0.5 and d <= date '1997-12-31') where n >= 30),
- rw as (select * from rs where d in (select distinct d from rs order by d desc limit 120)), rp as (select a.id src, b.id dst, corr(a.x, b.x) c from rw a join rw b on a.d = b.d and a.id <> b.id group by 1, 2 having count(*) >= 20),
+ rw as (select * from rs where d in (select distinct d from rs order by d desc limit 120)), rp as (select a.id src, b.id dst, corr(a.x, b.x) c from rw a join rw b on a.d = b.d and a.id <> b.id group by 1, 2 having count(*) >= 5),
  re as (select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) k from (select src, dst, round(c, 7) weight from rp where isfinite(c)) where weight > 0.2) where k <= 5)"""
 
 
 def residual_edges(s, d):
     res = ft.residual_returns(rets(s, d).where("d <= '1997-12-31'"), "ret", 0.5, 30, "res").withColumn("res", F.round("res", 12))
-    return gr.rolling_correlation_edges(res, "res", 120, 0.2, 5, 20)
+    return gr.rolling_correlation_edges(res, "res", 120, 0.2, 5, 5)
 
 
 @query("k05_residual_edges", sql("", "rets").rstrip() + f", {RESIDUAL} select src, dst, round(weight, 6) weight from re")
