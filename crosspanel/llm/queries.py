@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, mixing, neighbours, quality_rules, sharding, substring_dedup, token_store, tokens
+from . import jaccard_join, language, mixing, neighbours, quality_rules, sharding, substring_dedup, token_store, tokens, whitening
 from .common import new_path, table
 
 
@@ -53,6 +53,10 @@ def op10_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, max_epochs=2.0)
 
 
+def op13_tridiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,5 +70,6 @@ QUERIES = {
         op8_heavy_light_jaccard,
         op9_simple8b_tokens,
         op10_capped_water_filling,
+        op13_tridiagonal_whitening,
     )
 }
