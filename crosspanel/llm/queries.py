@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, mixing, neighbours, quality_rules, secret_scan, sharding, substring_dedup, token_store, tokens, whitening
+from . import jaccard_join, language, mixing, neighbours, quality_rules, secret_scan, sharding, spelling, substring_dedup, token_store, tokens, whitening
 from .common import new_path, table
 
 
@@ -53,6 +53,10 @@ def op10_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, max_epochs=2.0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_heavy_light_jaccard,
         op9_simple8b_tokens,
         op10_capped_water_filling,
+        op11_spelling_variants,
         op12_assignment_secrets,
         op13_tridiagonal_whitening,
     )
