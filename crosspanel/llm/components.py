@@ -25,20 +25,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of comparable ids -> (node, root): the smallest node of each node's component, roots left out.
 
-    The number of rounds grows with the logarithm of a component's size; more than ``most`` raise an error. The last round's
-    table stays in the shared folder, the others are deleted.
+    The number of rounds grows with the logarithm of a component's size: they end when a round changes nothing. The last
+    round's table stays in the shared folder, the others are deleted.
     """
     steps = Steps(edges.sparkSession)
     now = steps.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most):
+    while True:
         before, now = now, steps.keep(_small_star(_large_star(now)))
         steps.drop(before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-    raise RuntimeError("components did not settle")

@@ -4,35 +4,40 @@ A profile is the list of a language's most frequent n-grams (1 to 3 characters o
 order of frequency. A document's own list is compared to each profile: every n-gram adds the distance of its two ranks,
 or the profile's length where the profile lacks it. The language with the smallest sum is predicted.
 
-Profiles are fitted on a sample bounded by ``per_language`` expected labelled documents of each language, chosen by a
-hash of the id; rarer languages give all they have. Every document is then scored over its whole text.
+Profiles are fitted on a sample of about ``per_language`` different labelled documents of each language, those with the smallest
+hashes of id and text; rarer languages give all they have, and none gives nothing. Every document is then scored over its whole text.
+Profiles are held by tasks in blocks of ``BLOCK`` languages, one pass over the documents for each block; one is the usual number.
 
 Defined results: ``und`` with score 0 for null text, text without letters, or no learned language; rows with null lang are
 not learned from; equal distances go to the first language in code-point order; equal counts rank by n-gram code. The
-score is 1 minus the mean rank distance over the profile's length. Repeated rows give repeated results, an empty table none.
-Only the named columns are read. More than ``MOST_LANGUAGES`` different lang values are an error: the profiles, ``PROFILE``
-rows each, are held by every task.
+score is 1 minus the mean rank distance over the profile's length. Rows equal in id and text count once in the sample; repeated
+rows give repeated results, an empty table none. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import few, steps
 
 PROFILE = 300
 PER_LANGUAGE = 1000
-MOST_LANGUAGES = 2000
+#: Languages whose profiles, ``PROFILE`` rows each, a task holds at once.
+BLOCK = 2000
 UND = "und"
 #: Documents below this score are like no profile: ``keep_identified`` takes them for no language. Prose scores 0.39 and more.
 MIN_SCORE = 0.2
 
 
+MOST_HASH = (1 << 63) - 1
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is outside the training part: crc32 of its id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -87,14 +92,11 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, gram, rank (from 0) of each language's profile, learned from the given labelled rows."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
-    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, n long")
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / per_language)).cast("long")
-    # one row a language
-    sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("profile"), "id"), step) == 0)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("profile"), F.col(id_col), F.col(text_col)).bitwiseAND(MOST_HASH).alias("u"), F.col(text_col).alias("text"))
+    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least"))
+    # hashes are spread evenly up to MOST_HASH; the smallest one is always in
+    limits = limits.select("lang", F.greatest(F.col("least").cast("double"), F.lit(float(MOST_HASH)) * per_language / F.col("n")).alias("limit"))
+    sample = rows.join(few(limits), "lang").where(F.col("u") <= F.col("limit")).dropDuplicates(["lang", "u"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
@@ -123,10 +125,11 @@ class Profiles:
         for lang, gram, rank in rows:
             self.rank[at[lang], np.searchsorted(self.grams, gram)] = rank
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def nearest(self, text: str | None) -> tuple[str, int, int] | None:
+        """The nearest language, its distance and the largest possible one; None without letters or languages."""
         found = grams(text) if text and self.langs else None
         if found is None:
-            return UND, 0.0
+            return None
         mine = ranked(*found, self.size)
         at = np.searchsorted(self.grams, mine)
         at[at == len(self.grams)] = 0
@@ -134,23 +137,40 @@ class Profiles:
         ranks = self.rank[:, np.where(known, at, len(self.grams))]
         away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(mine)))).sum(1)
         best = int(np.argmin(away))
-        return self.langs[best], float(max(0.0, 1 - away[best] / (self.size * len(mine))))
+        return self.langs[best], int(away[best]), self.size * len(mine)
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        found = self.nearest(text)
+        return (found[0], max(0.0, 1 - found[1] / found[2])) if found else (UND, 0.0)
 
-def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score. The profiles, ``size`` rows a language, are read once on the driver."""
-    model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            out = [model.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
+def blocks(profiles: DataFrame, size: int) -> list[Profiles]:
+    """The profiles in blocks of languages, in code-point order; the driver holds one block of rows at a time, and the names."""
+    langs = sorted((r.lang for r in profiles.select("lang").distinct().toLocalIterator()), key=lambda x: x.encode())
+    of = [langs[at : at + BLOCK] for at in range(0, len(langs), BLOCK)]
+    return [Profiles([tuple(r) for r in profiles.where(F.col("lang").between(b[0], b[-1])).select("lang", "gram", "rank").collect()], size) for b in of]
+
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
+    """doc_id, lang_pred, score."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    models = blocks(profiles, size)
+    for k, model in enumerate(models):
+        last = k == len(models) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], model: Profiles = model, last: bool = last) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches, 1):
+                out = []
+                for text, *before in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    found = model.predict(text)
+                    # equal distances stay with the earlier language; a first language counts at any distance
+                    out.append(found if found[0] != UND and (before[0] == UND or found[1] > before[1]) else before)
+                found = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *([] if last else [batch.column(1)]), *found], ["doc_id", *([] if last else ["text"]), "lang_pred", "score"])
+
+        rows = rows.mapInArrow(run, f"doc_id {kind}, {'' if last else 'text string, '}lang_pred string, score double")
+    return rows.select("doc_id", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
@@ -158,13 +178,16 @@ def keep_identified(docs: DataFrame, profiles: DataFrame, text_col: str = "text"
 
     If no language could be learned, nothing can be told and all stay. Only the texts go to Python.
     """
-    model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
+    models = blocks(profiles, size)
+
+    def known(model: Profiles):
+        def one(text: str | None) -> bool:
+            lang, score = model.predict(text)
+            return lang != UND and score >= min_score
 
-    def known(texts: pa.Array) -> pa.Array:
-        found = [model.predict(t.as_py()) for t in texts]
-        return pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_())
+        return F.arrow_udf(lambda texts: pa.array([one(t.as_py()) for t in texts], pa.bool_()), "boolean")(F.col(text_col))
 
-    return docs.where(F.arrow_udf(known, "boolean")(F.col(text_col))) if model.langs else docs
+    return docs.where(reduce(lambda a, b: a | b, map(known, models))) if models else docs
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

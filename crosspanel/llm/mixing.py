@@ -23,33 +23,46 @@ from .common import WORD, fresh, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 #: 4096 buckets of a source's documents in seeded order.
 BUCKET_HEX = 3
-MOST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with part, a number that follows the order, written so that it stays: sorting one part needs no other."""
+    return materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds the totals of these columns over all rows before each row in this order, over all parts of it."""
+    parts = rows.groupBy("part").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    starts = parts.select("part", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}_start") for k in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}).join(F.broadcast(starts), "part")
+    return out.withColumns({k: F.col(k) + F.col(f"{k}_start") for k in sums}).drop(*[f"{k}_start" for k in sums])
+
+
 def water_fill(sources: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """sources (source, source_size), one row each -> with weight and target. The windows run over these few rows: more than
-    ``MOST_SOURCES`` are an error."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    n = len(weights)
-    turn = (F.row_number().over(by_name) - 1) % n
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)
-    capped = sources.select("source", "source_size", weight.alias("weight")).withColumn(
-        "cap", F.col("source_size") * F.lit(float(max_epochs))
-    )
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    since = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(every) * F.lit(float(share))
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(since)
-    own = capped.select("*", level.alias("level"))
+    """sources (source, source_size), one row each -> with weight and target.
+
+    Places in the order of names and of cap over weight come from sorted parts and the parts' totals, so many sources are
+    dealt out like any other rows.
+    """
+    by_name = F.col("source").asc_nulls_last()
+    placed = _before(_in_order(sources.select("source", "source_size"), by_name), [by_name], place=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int") + 1)
+    capped = placed.select("source", "source_size", weight.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    capped = capped.withColumn("ratio", F.col("cap") / F.col("weight"))
+    order = [F.col("ratio").asc(), by_name]
+    own = _before(_in_order(capped, *order), order, caps=F.col("cap"), weights=F.col("weight"))
+    whole = own.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget = F.lit(float((whole["size"] or 0) * share))
+    level = (budget - F.col("caps")) / (F.lit(float(whole["weight"] or 0)) - F.col("weights"))
     # the first source, in order of cap over weight, whose cap is not reached gives the level of all after it
-    free = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)
-    final = free.getField("level")
+    free = own.where(level * F.col("weight") < F.col("cap")).agg(F.min_by(level, F.struct("ratio", F.col("source").isNull(), "source")).alias("level")).first()
+    final = F.lit(free["level"]).cast("double")
     target = F.when(final.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight")))
     return own.select("source", "source_size", "weight", target.alias("target"))
 
@@ -84,8 +97,6 @@ def mix(
     in_bucket = sized.groupBy("k", "source", "bucket").agg(F.sum("size").alias("n"))
     totals = in_bucket.groupBy("k", "source").agg(F.sum("n").alias("source_size"))
     totals = materialize(totals)
-    if totals.count() > MOST_SOURCES:
-        raise ValueError(f"{source_col} has more than {MOST_SOURCES} values")
     plan = water_fill(totals.select("source", "source_size"), share, max_epochs, weights).select(
         key.alias("k"), "source_size", "target"
     )

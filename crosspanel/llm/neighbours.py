@@ -1,18 +1,18 @@
 """Nearest neighbours by a block matrix join on int8 product tiles.
 
-Every vector is scaled to length 1 and rounded to int8 with its own scale. Only these codes, an eighth of the doubles, are
-dealt to cells of bounded size; a cell holds one group of queries and one group of candidates. The integer product of a
-tile, times the scales, is within ``e_q + |q'| * e_c`` of the true cosine, where ``e`` is the length of a rounding residue and
-``q'`` the rounded query. Pairs whose upper bound is below the query's k-th best lower bound, in the cell and then over all
-cells, are dropped. The doubles of the surviving pairs alone are fetched, their cosines computed, and the best k of each query
-merged by heaps. The bound makes the result exact, not approximate.
+Every vector is scaled to length 1 and rounded to int8 with its own scale. Vectors are dealt to cells of bounded size; a cell
+holds one group of queries and one group of candidates. The integer product of a tile, times the scales, is within
+``e_q + |q'| * e_c`` of the true cosine, where ``e`` is the length of a rounding residue and ``q'`` the rounded query. Pairs whose
+upper bound is below the query's k-th best lower bound so far are dropped; the survivors of a tile are computed again in doubles
+there and then, and the best k of a query stay. A cell gives k rows a query at most, however close its vectors lie, and heaps
+merge the cells. The bound makes the result exact, not approximate.
 
 Of equal vectors only the ``k + 1`` smallest ids can be among the k nearest of a query, so no more of them are candidates.
 
-Defined results: rows with a null id and vectors that are null, zero, or hold null or non-finite components take no part;
-of rows of one id the smallest vector counts, once; vectors of another dimension are never compared; a query is not its own
-candidate; equal scores go to the smaller id; fewer than k candidates give fewer rows; an empty table gives none. Ids are
-whole numbers; other columns are not read but by the condition of a query.
+Defined results: rows with a null id and vectors that are null, zero, or hold null or non-finite components take no part; equal
+rows of one id count once, rows of one id with different vectors each (as queries and as candidates); vectors of another dimension
+are never compared; a query is not its own candidate; equal scores go to the smaller id; fewer than k candidates give fewer rows;
+an empty table gives none. Ids are whole numbers; other columns are not read but by the condition of a query.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import Steps
 
-#: Vectors of one cell, at most about this many of each kind, and the side of a tile.
+#: Vectors of one cell, at most about this many of each kind, and the side of a tile; bytes of a cell's vectors, and pairs computed at once.
 QUERIES, CANDIDATES, TILE = 16_384, 32_768, 1024
+CELL_BYTES, PAIRS = 128 << 20, 1 << 15
 #: Covers the rounding of single-precision products of exact integers, and of the bounds themselves.
 SLACK = 1e-5
 
@@ -52,43 +53,41 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return whole, scale, np.linalg.norm(back, axis=1), np.linalg.norm(unit - back, axis=1)
 
 
-def codes(vectors: DataFrame) -> DataFrame:
-    """id, v, q, dim, h -> id, q, dim, h, code, scale, length, off."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(3).to_numpy()
-            for dim in np.unique(dims).tolist():
-                mine = batch.filter(pa.array(dims == dim))
-                whole, scale, length, off = quantise(_matrix(mine.column(1), dim))
-                raw = pa.array([row.tobytes() for row in whole], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [mine.column(0), mine.column(2), mine.column(3), mine.column(4), raw, pa.array(scale), pa.array(length), pa.array(off)],
-                    ["id", "q", "dim", "h", "code", "scale", "length", "off"],
-                )
-
-    return vectors.select("id", "v", "q", "dim", F.xxhash64("v").alias("h")).mapInArrow(run, "id long, q boolean, dim int, h long, code binary, scale double, length double, off double")
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosines of rows, in doubles."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
-def survivors(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query ids, candidate ids, lower and upper bounds) of the pairs that may be among a query's k nearest, by query tile."""
+def best_of_cell(q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query rows, candidate ids, scores) of the k nearest candidates of each query, by query tile. q, c: row, id, code, v and bounds."""
     kind = np.float32 if q["code"].shape[1] * 127 * 127 < 2**24 else np.float64
     for a in range(0, len(q["id"]), TILE):
         mine = {x: y[a : a + TILE] for x, y in q.items()}
-        asked, best = mine["code"].astype(kind), np.full((len(mine["id"]), k), -np.inf)
-        parts: list[tuple[np.ndarray, ...]] = []
+        asked, least = mine["code"].astype(kind), np.full(len(mine["id"]), -np.inf)
+        who, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for b in range(0, len(c["id"]), TILE):
             tile = {x: y[b : b + TILE] for x, y in c.items()}
             near = (asked @ tile["code"].astype(kind).T) * (mine["scale"][:, None] * tile["scale"][None, :])
-            near[mine["id"][:, None] == tile["id"][None, :]] = -np.inf
+            near[mine["row"][:, None] == tile["row"][None, :]] = -np.inf
             wide = mine["off"][:, None] + mine["length"][:, None] * tile["off"][None, :] + SLACK
-            lower = np.concatenate([best, near - wide], axis=1)
-            best = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k :]
-            rows, cols = np.nonzero((near + wide >= best.min(1)[:, None]) & (near > -np.inf))
-            parts.append((rows, tile["id"][cols], (near - wide)[rows, cols], (near + wide)[rows, cols]))
-        rows, ids, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = high >= best.min(1)[rows]
-        yield mine["id"][rows[keep]], ids[keep], low[keep], high[keep]
+            lower = near - wide
+            if lower.shape[1] >= k:  # k pairs of this tile are at least so near
+                least = np.maximum(least, np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k])
+            rows, cols = np.nonzero((near + wide >= least[:, None]) & (near > -np.inf))
+            for at in range(0, len(rows), PAIRS):
+                r, s = rows[at : at + PAIRS], cols[at : at + PAIRS]
+                who, ids = np.concatenate([who, r]), np.concatenate([ids, tile["id"][s]])
+                scores = np.concatenate([scores, exact(mine["v"][r], tile["v"][s])])
+                order = np.lexsort((ids, -scores, who))
+                who, ids, scores = who[order], ids[order], scores[order]
+                first = np.searchsorted(who, who)  # where each query's pairs begin
+                stays = np.arange(len(who)) - first < k
+                who, ids, scores = who[stays], ids[stays], scores[stays]
+            full = np.flatnonzero(np.bincount(who, minlength=len(least)) == k)
+            ends = np.searchsorted(who, full, side="right") - 1
+            least[full] = np.maximum(least[full], scores[ends] - SLACK)
+        yield mine["row"][who], ids, scores
 
 
 def nearest(
@@ -97,57 +96,74 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest other rows, by cosine, of each row that is a query."""
     held = Steps(vectors.sparkSession)
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    real, width = ("float", 4) if single else ("double", 8)
     usable = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{real}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
-    one = usable.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v"))
-    one = held.keep(one)
-    coded = held.keep(codes(one))
-    n, n_queries = coded.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    c_groups, q_groups = -(-n // candidates_per_cell) or 1, -(-n_queries // queries_per_cell) or 1
-    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
+    # rows equal in id and vector are one row; -0.0 and 0.0 are equal
+    rows = usable.groupBy("id", "v").agg(F.max("q").alias("q")).withColumn("row", F.xxhash64(F.lit("row"), "id", "v"))
+    coded = held.keep(codes(rows.select("row", "id", "q", F.size("v").alias("dim"), F.xxhash64("v").alias("h"), "v")))
+    n, n_queries, dim = coded.agg(F.count(F.lit(1)), F.count_if("q"), F.max("dim")).first()
+    room = max(TILE, CELL_BYTES // ((width + 1) * (dim or 1)))
+    c_groups, q_groups = -(-n // min(candidates_per_cell, room)) or 1, -(-n_queries // min(queries_per_cell, room)) or 1
+    spread = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     alike = Window.partitionBy("h").orderBy("id")
-    first = coded.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1)
-    sent = ["id", "code", "scale", "length", "off"]
+    first = coded.select("h", "id", "row").withColumn("copy", F.row_number().over(alike)).where(F.col("copy") > k + 1).select("row")
+    sent = ["row", "id", "v", "code", "scale", "length", "off"]
     asked = coded.where("q").select("dim", spread("q", q_groups).alias("qg"), every(c_groups).alias("cg"), *sent, F.lit(True).alias("q"))
-    found = first.select("dim", every(q_groups).alias("qg"), spread("c", c_groups).alias("cg"), *sent, F.lit(False).alias("q"))
+    found = coded.join(first, "row", "left_anti").select("dim", every(q_groups).alias("qg"), spread("c", c_groups).alias("cg"), *sent, F.lit(False).alias("q"))
 
     def cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, dim = pa.Table.from_batches(list(batches)), key[0].as_py()
         is_q = rows.column("q").to_numpy()
-        both = {x: rows.column(x).to_numpy() for x in ("id", "scale", "length", "off")}
+        both = {x: rows.column(x).to_numpy() for x in ("row", "id", "scale", "length", "off")}
         both["code"] = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(-1, dim)
+        both["v"] = np.frombuffer(b"".join(rows.column("v").to_pylist()), f"<f{width}").reshape(-1, dim)
         if is_q.any() and not is_q.all():
-            for columns in survivors({x: y[is_q] for x, y in both.items()}, {x: y[~is_q] for x, y in both.items()}, k):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "vec_id", "low", "high"])
+            for columns in best_of_cell({x: y[is_q] for x, y in both.items()}, {x: y[~is_q] for x, y in both.items()}, k):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "vec_id", "score"])
 
-    parts = asked.unionByName(found).groupBy("dim", "qg", "cg").applyInArrow(cell, "query_id long, vec_id long, low double, high double")
-    of_query = Window.partitionBy("query_id").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = parts.withColumn("least", F.nth_value("low", k).over(of_query)).where("least is null or high >= least").select("query_id", "vec_id")
-    near = held.keep(near)
-    pairs = near.join(one.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").join(one.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
+    parts = held.keep(asked.unionByName(found).groupBy("dim", "qg", "cg").applyInArrow(cell, "row long, vec_id long, score double"))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heaps: dict[int, list[tuple[float, int]]] = {}
-            dims = batch.column(4).to_numpy()
-            for dim in np.unique(dims).tolist():
-                mine = batch.filter(pa.array(dims == dim))
-                x, y = _matrix(mine.column(2), dim), _matrix(mine.column(3), dim)
-                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-                for q, c, s in zip(mine.column(0).to_pylist(), mine.column(1).to_pylist(), score.tolist(), strict=True):
-                    h = heaps.setdefault(q, [])
-                    if len(h) < k:
-                        heapq.heappush(h, (s, -c))
-                    elif (s, -c) > h[0]:
-                        heapq.heapreplace(h, (s, -c))
+            for q, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                h = heaps.setdefault(q, [])
+                if len(h) < k:
+                    heapq.heappush(h, (s, -c))
+                elif (s, -c) > h[0]:
+                    heapq.heapreplace(h, (s, -c))
             best = [(q, -c, s) for q, h in heaps.items() for s, c in h]
             columns = list(zip(*best, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    scored = pairs.select("query_id", "vec_id", "x", "y", F.size("x").alias("dim")).mapInArrow(exact, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = held.keep(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["row", "vec_id", "score"])
+
+    # heaps over the rows as they lie, then over those of each query
+    merged = parts.mapInArrow(merge, parts.schema) if c_groups > 1 else parts
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    best = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = coded.where("q").select("row", F.col("id").alias("query_id"))
+    best = held.keep(best.join(names, "row").select("query_id", "rank", "vec_id", "score"))
     held.end(best)
     return best
+
+
+def codes(vectors: DataFrame) -> DataFrame:
+    """row, id, q, dim, h, v -> with code, scale, length and off; v as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims).tolist():
+                mine = batch.filter(pa.array(dims == dim))
+                v = _matrix(mine.column(5), dim)
+                whole, scale, length, off = quantise(v.astype(np.float64))
+                raw, plain = (pa.array([row.tobytes() for row in x], pa.binary()) for x in (whole, v))
+                yield pa.RecordBatch.from_arrays(
+                    [*mine.columns[:5], plain, raw, pa.array(scale), pa.array(length), pa.array(off)],
+                    ["row", "id", "q", "dim", "h", "v", "code", "scale", "length", "off"],
+                )
+
+    return vectors.mapInArrow(run, "row long, id long, q boolean, dim int, h long, v binary, code binary, scale double, length double, off double")

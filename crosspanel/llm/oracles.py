@@ -35,9 +35,9 @@ select doc_id, size, source, source_size, target, (reps + case when prior + size
  ((reps + case when prior + size / 2.0 <= target - reps * source_size then 1 else 0 end) * size)::bigint taken from n"""
 
 OP5 = """with f as (select vec_id, embedding::double[] v from embeddings where vec_id is not null and embedding is not null
- and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0), e as (select vec_id, min(v) v from f group by 1),
- p as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) score from e q join e c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
- k as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from p)
+ and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0), e as (select distinct vec_id, v from f),
+ p as (select q.vec_id query_id, q.v, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) score from e q join e c on q.vec_id % 50 = 0 and (q.vec_id <> c.vec_id or q.v <> c.v) and len(q.v) = len(c.v)),
+ k as (select *, row_number() over (partition by query_id, v order by score desc, vec_id) r from p)
 select query_id, r::int as rank, vec_id, score from k where r <= 5"""
 
 #: Windows are compared by their words; the running number of a row stands for the row, since ids may repeat.
