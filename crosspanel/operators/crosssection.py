@@ -58,13 +58,15 @@ def neutralise(df: DataFrame, col: str, group: str, out: str, spec: PanelSpec =
 
 
 def neutralise_with_size(df: DataFrame, col: str, group: str, size: str, out: str, least: int = 10, spec: PanelSpec = PANEL) -> DataFrame:
-    """Residual of a regression per date on group dummies and size: both are demeaned by group, then one slope is taken."""
+    """Residual of a regression per date on group dummies and size, over the rows that have a value and a size: both are demeaned by
+    group, then one slope is taken. Other rows have no residual."""
     w, g = spec.day(), spec.day(group)
-    x, y = F.col(size) - F.avg(size).over(g), F.col(col) - F.avg(col).over(g)
+    known = F.col(col).isNotNull() & F.col(size).isNotNull()
+    x, y = (F.when(known, F.col(c)) - F.avg(F.when(known, F.col(c))).over(g) for c in (size, col))
     moved = df.withColumn("_x", x).withColumn("_y", y)
     slope = F.sum(F.col("_x") * F.col("_y")).over(w) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))
     value = F.col("_y") - F.coalesce(slope, F.lit(0.0)) * F.col("_x")
-    return moved.withColumn(out, F.when(F.count(col).over(w) >= least, value).otherwise(F.col(col))).drop("_x", "_y")
+    return moved.withColumn(out, F.when(F.count(F.when(known, F.lit(1))).over(w) >= least, value).otherwise(F.col(col))).drop("_x", "_y")
 
 
 def equal_bins(df: DataFrame, col: str, bins: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:

@@ -46,6 +46,12 @@ def gated_ratio(df: DataFrame, top: str, bottom: str, out: str, most: float) ->
     return df.crossJoin(F.broadcast(gate)).withColumn(out, F.when(F.col("_open"), ratio)).drop("_open")  # one row
 
 
+def payout_yield(df: DataFrame, payout: str, price: str, out: str, most: float) -> DataFrame:
+    """Payouts over the price, between 0 and ``most``; 0 where there is no payout, no price or a price of 0."""
+    value = F.coalesce(F.try_divide(payout, price), F.lit(0.0))
+    return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), value)))
+
+
 def share_distribution(df: DataFrame, bucket: str, value: str, small: float, large: float, spec: PanelSpec = PANEL) -> DataFrame:
     """entity, date, retail, rest, large: percent of the value in small buckets, its complement, and in large buckets."""
     total = F.sum(value)

@@ -317,20 +317,23 @@ BULLISH = {"w_bottom": double_bottom, "spring_w": spring, "hs_bottom": head_and_
 BEARISH = {"m_top": double_top, "false_breakout": false_breakout}
 
 
+COLUMNS = ["frame", "pattern", "side", "score", "raw", "bonus", "key_price", "target", "stop", "failure", "reward", "dual"]
+
+
 def reward(target: Column, last: Column, stop: Column) -> Column:
     """The reward for one unit of risk, as text."""
     return F.when((last > stop) & (target > last), F.format_string("1:%.1f", (target - last) / (last - stop))).otherwise("N/A")
 
 
 def scan(panel: DataFrame, rank: str | None = None, frames=FRAMES, spec: PanelSpec = PANEL, least: int = LEAST) -> DataFrame:
-    """entity, frame, pattern, side, score, raw, bonus, key, target, stop, failure, reward, dual: every shape found at each entity's end.
+    """entity, frame, pattern, side, score, raw, bonus, key_price, target, stop, failure, reward, dual: every shape found at each entity's end.
 
     ``rank`` names a column of whole numbers, the entity's rank at its last row: the better ones get a bonus, and ``dual``.
     """
     rows = prepared(windows(panel, frames, spec)).withColumn("lines", trend_lines())
     found = [F.struct(F.lit(name).alias("pattern"), F.lit("bull").alias("side"), f().alias("x")) for name, f in BULLISH.items()]
     found += [F.struct(F.lit(name).alias("pattern"), F.lit("bear").alias("side"), F.when(F.col("rows") >= BEARISH_FROM, f()).alias("x")) for name, f in BEARISH.items()]
-    each = rows.select(spec.entity, "frame", "last", F.explode(F.array(*found)).alias("f")).select(spec.entity, "frame", "last", "f.pattern", "f.side", "f.x.*").where("score is not null")
+    each = rows.select(spec.entity, "frame", "last", F.explode(F.array(*found)).alias("f")).select(spec.entity, "frame", "last", "f.pattern", "f.side", F.col("f.x.key").alias("f_key"), *[f"f.x.{x}" for x in ("score", "bonus", "target", "stop", "failure")]).where("score is not null")
     if rank is None:
         each = each.withColumn("_rank", F.lit(None).cast("int"))
     else:
@@ -342,7 +345,7 @@ def scan(panel: DataFrame, rank: str | None = None, frames=FRAMES, spec: PanelSp
     risk = F.when(bull, reward(F.col("target"), F.col("last"), F.col("stop"))).otherwise("N/A")
     return each.where(~bull | (F.col("score") >= least)).select(
         spec.entity, "frame", "pattern", "side", score.cast("int").alias("score"), F.col("score").alias("raw"), "bonus",
-        *[F.round(x, 2).alias(x) for x in ("key", "target", "stop", "failure")], risk.alias("reward"), F.coalesce(F.col("_rank") <= CONFIRMED, F.lit(False)).alias("dual"),
+        F.round("f_key", 2).alias("key_price"), *[F.round(x, 2).alias(x) for x in ("target", "stop", "failure")], risk.alias("reward"), F.coalesce(F.col("_rank") <= CONFIRMED, F.lit(False)).alias("dual"),
     )
 
 

@@ -83,15 +83,18 @@ def publication_date(period_end: Column, lag: int = 45, year_end_lag: int = 90)
     return F.date_add(period_end, F.when(F.month(period_end) == 12, F.lit(year_end_lag)).otherwise(F.lit(lag)))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], allow_shrink: bool = True) -> DataFrame:
-    """New rows win; rows only in the old snapshot stay, and so do old values where a new row has null unless it may shrink.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], allow_shrink: bool = False, fill: bool = False, spec: PanelSpec = PANEL) -> DataFrame:
+    """New rows win; rows only in the old snapshot stay, since a batch that lacks an entity may just be incomplete.
 
-    Of new rows with one key the one with the largest values counts, column by column in order.
+    With ``allow_shrink`` the old rows of every date of the batch go, so that the batch alone says what the date holds. With ``fill``
+    nulls of a new row are filled from the old row of its key. Of new rows with one key the one with the largest values counts, column by column in order.
     """
+    if allow_shrink:
+        old = old.join(new.select(spec.date).distinct(), spec.date, "left_anti").select(*old.columns)
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     values = [c for c in rows.columns if c not in (*keys, "_new")]
     w = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), *[F.col(c).desc_nulls_last() for c in values])
-    if not allow_shrink:
+    if fill:
         whole = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         rows = rows.select(*keys, "_new", *[F.first(c, ignorenulls=True).over(whole).alias(c) for c in values], F.row_number().over(w).alias("_r"))
         return rows.where("_r = 1").drop("_new", "_r")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..spec import PANEL, PanelSpec
 from .crosssection import equal_bins, unique_rank
 from .evaluate import rank_ic
-from .strategy import gram, linear_score, ridge
+from .regression import gram, ridge
+from .strategy import linear_score
 
 
 def entry_scores(df: DataFrame, conditions: dict[str, tuple[Column, int]], threshold: Column, pattern: Column | None = None, tiers: list[tuple[int, int]] | None = None, confirmed: Column | None = None, bonus: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..spec import PANEL, PanelSpec
 from .crosssection import equal_bins, top_n, unique_rank
 from .evaluate import drawdown, newey_west_t, rank_ic
+from .regression import gram, ridge
 
 
 def top_n_strategy(df: DataFrame, score: str, ret: str, n: int, cal: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
@@ -180,35 +181,6 @@ def clipped_list(df: DataFrame, score: str, weight: str, n: int, most: float, ou
     return listed.withColumn(out, F.col("_w") / F.nullif(F.sum("_w").over(spec.day()), F.lit(0.0))).drop("_w")
 
 
-def gram(df: DataFrame, features: list[str], target: str, by: list[str]) -> DataFrame:
-    """by, i, j, value: the sums that a ridge needs, additive over blocks. i and j name features, the target, or 1.
-
-    One pass: every sum of the upper triangle is an aggregate of its own, and the one row of a block is unpivoted after.
-    """
-    names = ["1", *features, target]
-    value = lambda c: F.lit(1.0) if c == "1" else F.col(c).cast("double")
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    known = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names[1:]]))
-    sums = known.groupBy(*by).agg(*[F.sum(value(a) * value(b)).alias(f"_g{k}") for k, (a, b) in enumerate(pairs)])
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"_g{k}").alias("value")) for k, (a, b) in enumerate(pairs)])).alias("c")
-    return sums.select(*by, cells).select(*by, "c.*")
-
-
-def ridge(cells: list[tuple[str, str, float]], features: list[str], target: str, alpha: float) -> tuple[dict[str, float], float]:
-    """Coefficients and intercept of a ridge on standardised features, from the sums of ``gram`` (a few hundred squared)."""
-    import numpy as np
-
-    at = {(i, j): v for i, j, v in cells} | {(j, i): v for i, j, v in cells}
-    n = at["1", "1"]
-    mean = np.array([at["1", f] / n for f in features])
-    y = at["1", target] / n
-    cov = np.array([[at[a, b] / n for b in features] for a in features]) - np.outer(mean, mean)
-    std = np.sqrt(np.maximum(np.diag(cov), 1e-18))
-    cross = np.array([at[f, target] / n for f in features]) - mean * y
-    beta = np.linalg.solve(cov / np.outer(std, std) + alpha / n * np.eye(len(features)), cross / std) / std
-    return dict(zip(features, beta.tolist(), strict=True)), float(y - beta @ mean)
-
-
 def linear_score(df: DataFrame, weights: dict[str, float], intercept: float, out: str) -> DataFrame:
     """The weighted sum of columns, missing values counting as 0."""
     total = F.lit(float(intercept))

@@ -137,6 +137,13 @@ def _(s, d):
     return pit.upsert(old, new, ["id", "d"]).select("id", "d", r("close", 9))
 
 
+@query("a09_upsert_shrink", sql("""select id, d, round(close, 9) as close from panel where d not in (select d from panel where id % 7 = 0 and d >= date '1996-01-01') union all select id, d, round(close * 2, 9) from panel where id % 7 = 0 and d >= date '1996-01-01'""", "panel"))
+def _(s, d):
+    old = P(s, d).select("id", "d", "close")
+    new = old.where("id % 7 = 0 and d >= date '1996-01-01'").withColumn("close", F.col("close") * 2)
+    return pit.upsert(old, new, ["id", "d"], allow_shrink=True).select("id", "d", r("close", 9))
+
+
 @query("a12_wide_to_long", sql("select id, period_end, type, round(value, 4) as value from facts", "facts"))
 def _(s, d):
     return fx.facts(s, d).select("id", "period_end", "type", r("value", 4))

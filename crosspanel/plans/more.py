@@ -11,11 +11,13 @@ from ..operators import features as ft
 from ..operators import graph as gr
 from ..operators import pit
 from ..operators import quality as dq
+from ..operators import regression as rg
 from ..operators import strategy as st
 from ..operators import timeseries as ts
 from ..sources import files
 from ..sources import fixtures as fx
 from ..streaming import events as sv
+from ..streaming import tables as tb
 from ..spec import PANEL
 from .catalog import P, S, W, W_, bench, ics, query, r, rets, sql
 
@@ -168,12 +170,11 @@ def _(s, d):
     return ts.difference(out, "large", 5, "change").select("id", "d", r("retail"), r("rest"), r("large"), r("change"))
 
 
-@query("d09_payout_yield", sql("select p.id, p.d, round(greatest(0, least(0.2, f.pay / p.close)), 6) yield from panel p asof left join (select id, d, sum(100 * (1 - adj_factor)) pay from ex group by id, d) f on p.id = f.id and p.d >= f.d", "panel", "ex"))
+@query("d09_payout_yield", sql("select p.id, p.d, round(case when f.pay is null or p.close is null or p.close = 0 then 0.0 when f.pay / p.close > 0.2 then 0.2 when f.pay / p.close < 0 then 0.0 else f.pay / p.close end, 6) yield from panel p asof left join (select id, d, sum(100 * (1 - adj_factor)) pay from ex group by id, d) f on p.id = f.id and p.d >= f.d", "panel", "ex"))
 def _(s, d):
     pay = fx.adjustments(s, d).groupBy("id", "d").agg(F.sum(F.expr("100 * (1 - adj_factor)")).alias("pay"))
     out = pit.as_of(P(s, d), pay, "d", ["pay"])
-    value = F.col("pay") / F.col("close")
-    return out.select("id", "d", F.round(F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(0.2), value))).otherwise(F.lit(0.2)), 6).alias("yield")).where("id is not null")
+    return ft.payout_yield(out, "pay", "close", "yield", 0.2).select("id", "d", r("yield"))
 
 
 @query("d22_category_churn", "select a.o_orderpriority before, b.o_orderpriority as after, count(*) n from (select o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) o_orderpriority from orders group by 1) a join (select o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) o_orderpriority from orders group by 1) b using (o_custkey) group by 1, 2")
@@ -411,7 +412,7 @@ def _(s, d):
  from scores where score is not null and unc is not null and label is not null group by 1), lateral (values ('1', '1', a), ('1', 'score', b), ('1', 'unc', c), ('1', 'label', e), ('score', 'score', f), ('score', 'unc', g), ('score', 'label', h), ('unc', 'unc', k), ('unc', 'label', l), ('label', 'label', m)) t(i, j, v)""", "scores"))
 def _(s, d):
     p = S(s, d).withColumn("y", F.year("d").cast("long"))
-    return st.gram(p, ["score", "unc"], "label", ["y"]).select("y", "i", "j", r("value", 5))
+    return rg.gram(p, ["score", "unc"], "label", ["y"]).select("y", "i", "j", r("value", 5))
 
 
 RIDGE1 = """a as (select y, sum(n) over w n, sum(sx) over w sx, sum(sy) over w sy, sum(xx) over w xx, sum(xy) over w xy from (select year(d)::bigint y, count(*)::double n, sum(score) sx, sum(label) sy, sum(score * score) xx, sum(score * label) xy from scores where score is not null and label is not null group by 1) window w as (order by y rows between unbounded preceding and 2 preceding)),
@@ -424,6 +425,46 @@ def _(s, d):
     return st.walk_forward_ridge(p, ["score"], "label", "y", 1.0, "pred").select("id", "d", r("pred"))
 
 
+@query("m01_wide_gram", None)
+def _(s, d):
+    """300 features: the last 60 rows of open, high, low, close and volume, over the row's own close."""
+    p = ft.sequences(P(s, d), ["open", "high", "low", "close", "volume"], 60, 60, "seq").withColumn("x", F.transform(F.flatten("seq"), lambda v: v / F.col("close")))
+    p = ts.forward_return(p, "close", 5, "label")
+    return rg.gram(p, [f"f{k:03d}" for k in range(300)], "label", [], "x")
+
+
+LASSO = """t as (select count(*)::double n, avg(score) mx, avg(unc) mz, avg(label) my, stddev_pop(score) sx, stddev_pop(unc) sz, corr(score, unc) r, covar_pop(score, label) / stddev_pop(score) gx, covar_pop(unc, label) / stddev_pop(unc) gz from scores where d < date '1996-01-01' and score is not null and unc is not null and label is not null),
+ c as (select al, t.*, i, j, case when i <> 0 and j <> 0 then ((gx - al * i) - r * (gz - al * j)) / (1 - r * r) when i <> 0 then gx - al * i else 0 end wx, case when i <> 0 and j <> 0 then ((gz - al * j) - r * (gx - al * i)) / (1 - r * r) when j <> 0 then gz - al * j else 0 end wz from t, (values (0.02::double), (0.005), (0.001)) v(al), (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)),
+ b as (select al, wx / sx bx, wz / sz bz, my - wx / sx * mx - wz / sz * mz b0, (i <> 0)::int + (j <> 0)::int nonzero from c where sign(wx) = i and sign(wz) = j and (i <> 0 or abs(gx - r * wz) <= al) and (j <> 0 or abs(gz - r * wx) <= al))"""
+
+
+@query("m04_lasso_path", sql("", "scores").rstrip() + f", {LASSO} select al alpha, round(bx, 7) score, round(bz, 7) unc, round(b0, 7) intercept, nonzero from b")
+def _(s, d):
+    train = S(s, d).where("d < '1996-01-01'")
+    cells = [(x.i, x.j, x.value) for x in rg.gram(train, ["score", "unc"], "label", []).collect()]  # features squared
+    path = rg.lasso_path(cells, ["score", "unc"], "label", [0.02, 0.005, 0.001])
+    rows = [(a, round(w["score"], 7), round(w["unc"], 7), round(c, 7), sum(v != 0 for v in w.values())) for a, w, c in path]
+    return s.createDataFrame(rows, "alpha double, score double, unc double, intercept double, nonzero int")
+
+
+@query("m04_lasso_scores", None)
+def _(s, d):
+    """Scored by the lasso of 14 lags, means and momenta whose penalty does best on the validation year."""
+    label = ts.forward_return(P(s, d), "close", 5, "label").select("id", "d", F.round("label", 9).alias("label"))
+    p = ft.flat_matrix(P(s, d), ["close", "volume"], lags=[1, 2], means=[5, 20], momenta=[5, 20]).join(label, ["id", "d"])
+    features = [c for c in p.columns if c not in ("id", "d", "label")]
+    fit, valid = p.where("d < '1996-01-01'"), p.where("d >= '1996-01-01' and d < '1997-01-01'")
+    weights, c, _ = rg.lasso(fit, valid, features, "label", [0.03, 0.01, 0.003, 0.001, 0.0003], 10)
+    return st.linear_score(p.where("d >= '1997-01-01'"), weights, c, "pred").select("id", "d", r("pred"))
+
+
+@query("m04_boosted_trees", None)
+def _(s, d):
+    """Scored by boosted trees of score and uncertainty, stopped early on the validation year."""
+    p = S(s, d).withColumn("label", F.round("label", 9))
+    return rg.boosted_trees(p, ["score", "unc", "volume"], "label", F.col("d") >= F.lit("1996-01-01").cast("date"), "pred", rounds=10, depth=3).select("id", "d", r("pred"))
+
+
 @query("m05_linear_score", sql("select id, d, round(0.5 + 2 * coalesce(score, 0) - 3 * coalesce(unc, 0), 6) pred from scores", "scores"))
 def _(s, d):
     return st.linear_score(S(s, d), {"score": 2.0, "unc": -3.0}, 0.5, "pred").select("id", "d", r("pred"))
@@ -442,22 +483,39 @@ def _(s, d):
     return out.select("id", "d", *[r(c) for c in ("close", "close_lag1", "close_rmean5", "close_mom5")])
 
 
-# --- N: streams, each run to the end of its input
+# --- N: streams, each run to the end of its input; events come in three batches by time, a twentieth of them with the last one
+def batches(s, d):
+    """A stream of three files, one a batch: up to the 10th, up to the 20th, and the rest with those that come late."""
+    root, rows = files.scratch(s), fx.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    part = F.when((F.col("event_id") % 20 == 0) | (F.dayofmonth("ts") > 20), 2).when(F.dayofmonth("ts") > 10, 1).otherwise(0)
+    for k in range(3):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(root)
+    return sv.events(s, root, 1)
+
+
+LATE = "e as (select *, event_id % 20 = 0 or day(ts) > 20 as last_file from events), m as (select max(ts) filter (not last_file) seen, max(ts) filter (not last_file and day(ts) <= 10) first_seen, max(ts) newest from e)"
+
+
 @query("n01_stream_upsert", "select user_id, cast(ts as date) d, arg_max(event_type, (ts, event_id)) event_type from events group by 1, 2")
 def _(s, d):
-    daily = sv.events(s, f"{d}/events.parquet").select("user_id", F.to_date("ts").alias("d"), "event_type", F.struct("ts", "event_id").alias("seq"))
-    return sv.upsert(daily, ["user_id", "d"], "seq").select("user_id", "d", "event_type")
+    daily = batches(s, d).select("user_id", F.to_date("ts").alias("d"), "event_type", F.struct("ts", "event_id").alias("seq"))
+    path = files.scratch(s)
+    tb.upsert_stream(daily, path, ["user_id", "d"], "d", "seq")
+    return tb.current(s, path, daily.schema, "d").select("user_id", "d", "event_type")
 
 
-@query("n02_stream_windows", "select event_type, cast(extract(epoch from w) as bigint) start_s, count(*) n from (select event_type, date_trunc('day', ts) w from events) group by 1, 2")
+@query("n02_stream_windows", f"""with {LATE} select event_type, cast(extract(epoch from w) as bigint) start_s, count(*) n from (select event_type, date_trunc('day', ts) w, newest from e, m
+ where not (last_file and date_trunc('day', ts) + interval 1 day <= first_seen - interval 3 day)) where w + interval 1 day <= newest - interval 3 day group by 1, 2""")
 def _(s, d):
-    rows = sv.windowed(sv.events(s, f"{d}/events.parquet"), "ts", ["event_type"], "1 day", "1 day", "7 days")
-    return sv.complete(rows).select("event_type", F.unix_timestamp("start").alias("start_s"), "n")
+    rows = sv.windowed(batches(s, d), "ts", ["event_type"], "1 day", "1 day", "3 days")
+    return sv.appended(rows).select("event_type", F.unix_timestamp("start").alias("start_s"), "n")
 
 
-@query("n03_stream_streaks", "select user_id, count(*) streak from (select user_id, event_type, event_id, ts, first_value(event_type) over w last_type, sum(case when event_type = first_value_ then 0 else 1 end) over w breaks from (select *, first_value(event_type) over (partition by user_id order by ts desc, event_id desc) first_value_ from events) window w as (partition by user_id order by ts desc, event_id desc)) where breaks = 0 group by 1")
+@query("n03_stream_streaks", f"""with {LATE}, k as (select e.* from e, m where not (last_file and ts <= seen - interval 3 day) and ts <= newest - interval 3 day)
+ select user_id, last_type as "last", count(*) streak from (select user_id, last_type, sum(case when event_type = last_type then 0 else 1 end) over (partition by user_id order by ts desc, event_id desc) breaks
+ from (select *, first_value(event_type) over (partition by user_id order by ts desc, event_id desc) last_type from k)) where breaks = 0 group by 1, 2""")
 def _(s, d):
-    return sv.latest(sv.streaks(sv.events(s, f"{d}/events.parquet"), "user_id", "event_type", ["ts", "event_id"]), ["user_id"]).select("user_id", "streak")
+    return sv.latest(sv.streaks(batches(s, d), "user_id", "event_type", "ts", "event_id", "3 days"), ["user_id"]).select("user_id", "last", "streak")
 
 
 @query("n04_once_per_key", "select count(*) n, count(distinct event_id) ids from (select distinct event_id from events)")
@@ -466,6 +524,6 @@ def _(s, d):
     return sv.appended(sv.once(twice, ["event_id"], "ts", "60 days")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-@query("n05_stream_freshness", "select event_type as source, cast(extract(epoch from max(ts)) as bigint) last_s from events group by 1")
+@query("n05_stream_freshness", "select event_type as source, cast(floor(extract(epoch from max(ts))) as bigint) last_s from events group by 1")
 def _(s, d):
     return sv.complete(sv.freshness(sv.events(s, f"{d}/events.parquet"), "event_type", "ts")).select("source", F.unix_timestamp("last").alias("last_s"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import crosssection as xs
 from ..operators import features as ft
 from ..operators import graph as gr
+from ..operators import patterns as pt
 from ..operators import pit
 from ..operators import quality as dq
 from ..operators import signals as sg
 from ..operators import timeseries as ts
 from ..sources import fixtures as fx
-from ..spec import PANEL
+from ..spec import PANEL, PanelSpec
 from .catalog import P, S, W, W_, query, r, rets, sql
 from .more import BIN, IC, cal
 
@@ -264,6 +265,52 @@ def _(s, d):
     return p.select("id", "d", F.col("k").cast("long").alias("k"), F.round((F.col("k") - 1) / F.col("n"), 6).alias("pct"), "out_streak")
 
 
+YEARS = [f"{y}-12-31" for y in range(1993, 1999)]
+
+
+def patterns(s, d):
+    """The shapes at each entity's last row of every year so far; rank by score on that row."""
+    p = P(s, d).join(xs.unique_rank(S(s, d), "score", "k").select("id", "d", "k"), ["id", "d"], "left")
+    ends = F.array(*[F.lit(y).cast("date") for y in YEARS])
+    p = p.withColumn("at", F.explode(F.filter(ends, lambda y: y >= F.col("d")))).withColumn("key", F.struct("id", "at"))
+    return pt.scan(p, "k", spec=PanelSpec("key"))
+
+
+@query("l05_pattern_scan", None)
+def _(s, d):
+    return patterns(s, d).select("key.id", "key.at", *pt.COLUMNS)
+
+
+@query("l05_pattern_signals", None)
+def _(s, d):
+    return pt.signals(patterns(s, d), spec=PanelSpec("key")).select("key.id", "key.at", *pt.COLUMNS)
+
+
+@query("l01_pattern_entry", None)
+def _(s, d):
+    """Entry scores with the best rising shape of the last scan, valid for a year."""
+    best = patterns(s, d).where("side = 'bull'").groupBy("key").agg(F.max("score").alias("pat")).select("key.id", F.col("key.at").alias("d"), "pat")
+    p = pit.as_of(flagged(s, d), best, "d", ["pat"], tolerance=365)
+    threshold = F.when(F.col("d") < F.lit("1995-01-01").cast("date"), 90).otherwise(70)
+    out = sg.entry_scores(p, conditions(), threshold, F.col("pat"), TIERS, F.col("k") <= pt.CONFIRMED)
+    return out.select("id", "d", "pat", "base", "score", F.array_join("met", ",").alias("met"), "verdict")
+
+
+@query("l04_pattern_stop", None)
+def _(s, d):
+    """The closest failure level of the last scan's rising shapes, and whether the close has fallen under it."""
+    stop = pt.signals(patterns(s, d), spec=PanelSpec("key")).where("side = 'bull'").groupBy("key").agg(F.max("failure").alias("stop")).select("key.id", F.col("key.at").alias("d"), "stop")
+    p = pit.as_of(S(s, d), stop, "d", ["stop"], tolerance=365).where("stop is not null")
+    return p.select("id", "d", r("close"), "stop", (F.col("close") < F.col("stop")).alias("broken"))
+
+
+@query("l06_trend_lines", None)
+def _(s, d):
+    """Support and resistance of every window at the panel's end, and how often they were touched."""
+    rows = pt.prepared(pt.windows(P(s, d))).withColumn("t", pt.trend_lines()).where("t is not null")
+    return rows.select("id", "frame", F.round("t.r.slope", 6).alias("resistance"), F.round("t.s.slope", 6).alias("support"), F.col("t.touches").alias("touches"))
+
+
 @query("l06_pattern_helpers", sql(f"""select id, d, round(coalesce(volume / nullif(case when n >= 5 then av end, 0), 1), 6) ratio, case when fall > 0.7 then 20 when fall > 0.5 then 15 when fall > 0.3 then 10 else 0 end points, case when close > lo and hi > close then printf('1:%.1f', (hi - close) / (close - lo)) else 'N/A' end reward from (
  select id, d, close, volume, count(*) over b n, avg(volume) over b av, max(close) over c hi, min(close) over c lo, (max(close) over c - min(close) over c) / max(close) over c fall from panel window b as (partition by id order by d rows between 5 preceding and 1 preceding), c as (partition by id order by d rows between 59 preceding and current row))""", "panel"))
 def _(s, d):

@@ -1,4 +1,4 @@
-"""Event streams: windows with a watermark, once-per-key, streaks with state, freshness and upserts into tables.
+"""Event streams: windows with a watermark, once-per-key, streaks with state, and freshness.
 
 Functions from stream to stream come first. The last ones run a stream to the end of its input (trigger ``availableNow``) and
 return what it has written to the shared folder, so a stream and the batch over the same files can be held against each other.
@@ -16,14 +16,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.files import scratch
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file, or the files of a folder, as a stream; local times count as times of the session's zone."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file
+def events(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """A Parquet file, or the files of a folder, as a stream, oldest files first; local times count as times of the session's zone."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name one file
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes])
 
 
 def windowed(stream: DataFrame, time: str, keys: list[str], width: str, slide: str, delay: str) -> DataFrame:
-    """keys, start, n: counts in event-time windows; rows later than ``delay`` behind the newest are dropped."""
+    """keys, start, n: counts in event-time windows. ``appended`` to a table, a window is final once the watermark (the newest time of
+    the batches before, less ``delay``) has passed its end; rows of a window that is final are dropped, and state goes with it."""
     rows = stream.withWatermark(time, delay).groupBy(F.window(time, width, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return rows.select(*keys, F.col("w.start").alias("start"), "n")
 
@@ -37,21 +41,44 @@ def freshness(stream: DataFrame, source: str, time: str) -> DataFrame:
     return stream.groupBy(F.col(source).alias("source")).agg(F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def streaks(stream: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """key, last value and how many rows in a row have had it, kept as state between batches."""
+def streaks(stream: DataFrame, key: str, value: str, time: str, tie: str, delay: str, idle: str = "3650 days") -> DataFrame:
+    """key, last value, how many rows in a row have had it, and the time of the last such row, in order of event time.
 
-    def follow(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(frames).sort_values(order)[value]
-        for v in rows:
-            n = n + 1 if v == last else 1
-            last = v
-        state.update((last, n))
-        yield pd.DataFrame({key: [keys[0]], "last": [last], "streak": [n]})
+    A key's rows wait in its state, in order of time and then ``tie`` (a whole number), until the watermark (the newest time less
+    ``delay``) has passed them; rows that come later than that are dropped, so the streak never has to be taken back, and is that of
+    the batch over the rows in time. A timer wakes a key whose rows are due without new ones. State goes after ``idle`` without rows.
+    Rows without a key or time take no part.
+    """
 
-    kind, of = stream.schema[key].dataType.simpleString(), stream.schema[value].dataType.simpleString()
-    rows = stream.select(key, value, *order).groupBy(key)
-    return rows.applyInPandasWithState(follow, f"{key} {kind}, last {of}, streak long", f"last {of}, streak long", "update", GroupStateTimeout.NoTimeout)
+    def follow(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n, at, times, ties, values = state.get if state.exists else (None, 0, 0, [], [], [])
+        waiting = list(zip(times, ties, values, strict=True))
+        due = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for f in frames:
+                stamps = (f["_time"]).tolist()
+                waiting += [w for w in zip(stamps, f["_tie"].tolist(), f["_value"].tolist(), strict=True) if w[0] > due or due <= 0]
+        elif not waiting:
+            state.remove()
+            return
+        waiting.sort(key=lambda w: w[:2])
+        done = sum(w[0] <= due for w in waiting)
+        for stamp, _, v in waiting[:done]:
+            n, last, at = n + 1 if n and v == last else 1, v, stamp
+        waiting = waiting[done:]
+        state.update((last, n, at, *map(list, zip(*waiting, strict=True))) if waiting else (last, n, at, [], [], []))
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000 if waiting else at // 1000 + keep, due // 1000) + 1)
+        if done:
+            yield pd.DataFrame({key: [keys[0]], "last": [last], "streak": [n], "at": [pd.Timestamp(at, unit="us")]})
+
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    rows = rows.select(key, time, F.unix_micros(time).alias("_time"), F.col(tie).cast("long").alias("_tie"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_value"))
+    return rows.groupBy(key).applyInPandasWithState(
+        follow, f"{key} {kind}, last string, streak long, at timestamp", "last string, streak long, at long, times array<long>, ties array<long>, texts array<string>",
+        "update", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def _run(stream: DataFrame, mode: str, write) -> str:
@@ -79,23 +106,3 @@ def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
     rows = stream.sparkSession.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch")
-
-
-def upsert(stream: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """A table with one row for each key, the one of the largest sequence; each batch rewrites the table with its rows merged.
-
-    Versions alternate between two folders, so that a batch that is run again finds what it read.
-    """
-    spark, kind = stream.sparkSession, stream.schema
-    state = {"at": None}
-
-    def merge(rows: DataFrame, batch: int, path: str) -> None:
-        old = spark.read.schema(kind).parquet(state["at"]) if state["at"] else spark.createDataFrame([], kind)
-        values = [c for c in kind.names if c not in keys]
-        best = old.unionByName(rows).groupBy(*keys).agg(F.max_by(F.struct(*values), sequence).alias("_v")).select(*keys, "_v.*")
-        target = f"{path}/version={batch % 2}"
-        best.select(*kind.names).write.mode("overwrite").parquet(target)
-        state["at"] = target
-
-    _run(stream, "append", merge)
-    return spark.read.schema(kind).parquet(state["at"])

@@ -81,3 +81,37 @@ def test_features_of_an_entity_do_not_depend_on_the_others(spark):
     build = lambda p: ts.streak(ts.rolling(ts.pct_change(p.where("x > 0"), "x", 2, "m"), "m", "avg", 5, 2, "a"), F.col("m") > 0, "s")
     whole = {tuple(r) for r in build(df).where("id = 2").collect()}
     assert whole == {tuple(r) for r in build(df.where("id = 2")).collect()}
+
+
+def test_size_neutral_residuals_with_nulls(spark):
+    """Against least squares on group dummies and size, over the rows that have both."""
+    import numpy as np
+
+    from crosspanel.operators import crosssection as xs
+
+    r = np.random.default_rng(3)
+    rows = [(i, 1, "abc"[i % 3], float(r.normal()) if i % 5 else None, float(r.normal()) if i % 7 else None) for i in range(40)]
+    out = xs.neutralise_with_size(spark.createDataFrame(rows, "id int, d int, g string, x double, size double"), "x", "g", "size", "res").collect()
+    known = [k for k in rows if k[3] is not None and k[4] is not None]
+    a = np.array([[*(k[2] == g for g in "abc"), k[4]] for k in known], float)
+    y = np.array([k[3] for k in known])
+    residual = dict(zip([k[0] for k in known], y - a @ np.linalg.lstsq(a, y, rcond=None)[0], strict=True))
+    assert all((row.res is None) == (row.id not in residual) and (row.res is None or abs(row.res - residual[row.id]) < 1e-9) for row in out)
+
+
+def test_upsert_keeps_shrinks_or_fills(spark):
+    from crosspanel.operators import pit
+
+    old = spark.createDataFrame([(1, 1, "a", "p"), (2, 1, "b", "q"), (1, 2, "c", "r")], "id int, d int, v string, w string")
+    new = spark.createDataFrame([(1, 1, "z", None), (3, 1, None, "s")], old.schema)
+    got = lambda **how: sorted(map(tuple, pit.upsert(old, new, ["id", "d"], **how).collect()))
+    assert got() == [(1, 1, "z", None), (1, 2, "c", "r"), (2, 1, "b", "q"), (3, 1, None, "s")]
+    assert got(allow_shrink=True) == [(1, 1, "z", None), (1, 2, "c", "r"), (3, 1, None, "s")]
+    assert got(fill=True) == [(1, 1, "z", "p"), (1, 2, "c", "r"), (2, 1, "b", "q"), (3, 1, None, "s")]
+
+
+def test_payout_yield_without_payout_is_zero(spark):
+    from crosspanel.operators import features as ft
+
+    df = spark.createDataFrame([(1.0, 50.0), (None, 50.0), (90.0, 100.0), (1.0, 0.0), (1.0, None), (-1.0, 10.0)], "pay double, close double")
+    assert [r.y for r in ft.payout_yield(df, "pay", "close", "y", 0.2).collect()] == [0.02, 0.0, 0.2, 0.0, 0.0, 0.0]

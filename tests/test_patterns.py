@@ -175,7 +175,7 @@ def test_shapes_equal_plain_python(spark, market):
     panel = spark.createDataFrame(rows, "id long, d date, close double, high double, low double, volume double, k int").repartition(7)
     got = {}
     for x in patterns.scan(panel, "k").collect():
-        got.setdefault(x.id, []).append((x.frame, x.pattern, x.score, x.raw, x.bonus, x.key, x.target, x.stop, x.failure))
+        got.setdefault(x.id, []).append((x.frame, x.pattern, x.score, x.raw, x.bonus, x.key_price, x.target, x.stop, x.failure))
         assert x.dual == (x.id <= 200) and x.side == ("bull" if x.pattern in patterns.BULLISH else "bear")
     seen = set()
     for i, series in market.items():
