@@ -129,3 +129,26 @@ def period_evaluation(df: DataFrame, score: str, ret: str, narrow: int, wide: in
     ranked = unique_rank(df.where(F.col(ret).isNotNull()), score, "_r", spec)
     mean = lambda n: F.avg(F.when(F.col("_r") <= n, F.col(ret)))
     return drawdown(ranked.groupBy(spec.date).agg(mean(narrow).alias("narrow"), mean(wide).alias("wide")), "wide", spec)
+
+
+def signal_health(ic: DataFrame, col: str, rows: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """era (year), mean, n, negative, longest: of the means over the last ``rows`` dates, the share below 0 and the longest run of such
+    dates within the year. The windows run over one row a date."""
+    w = Window.orderBy(spec.date).rowsBetween(1 - rows, 0)
+    mean = F.round(F.when(F.count(col).over(w) >= rows, F.avg(col).over(w)), 9)
+    days = ic.select(F.year(spec.date).cast("long").alias("era"), spec.date, col, mean.alias("_m"))
+    low = F.coalesce(F.col("_m") < 0, F.lit(False))
+    of_era = Window.partitionBy("era").orderBy(spec.date)
+    days = days.withColumn("_island", F.sum(F.when(low, 0).otherwise(1)).over(of_era))
+    run = F.sum(low.cast("long")).over(Window.partitionBy("era", "_island").orderBy(spec.date))
+    return days.withColumn("_run", run).groupBy("era").agg(
+        F.avg(col).alias("mean"), F.count("_m").alias("n"), F.avg((F.col("_m") < 0).cast("double")).alias("negative"), F.max("_run").alias("longest")
+    )
+
+
+def segment_performance(returns: DataFrame, segments: DataFrame, ret: str, periods: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """seg, n, mean, annual (compounded, ``periods`` a year), hit: a strategy's returns by market segment; dates without one are left out."""
+    met = returns.join(F.broadcast(segments.where("seg is not null")), spec.date)  # one row a date
+    return met.groupBy("seg").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), F.expm1(F.avg(F.log1p(ret)) * periods).alias("annual"), F.avg((F.col(ret) > 0).cast("double")).alias("hit")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
+from .quantiles import exact_quantiles
 
 
 def last_pivot(df: DataFrame, keys: list[str], kind: str, kinds: list[str], value: str, sequence: str) -> DataFrame:
@@ -42,7 +43,8 @@ def canonical(df: DataFrame, col: str, aliases: dict[str, str], suffixes: list[s
 def gated_ratio(df: DataFrame, top: str, bottom: str, out: str, most: float) -> DataFrame:
     """A ratio of two columns, null everywhere if its median over all rows is beyond ``most`` by size."""
     ratio = F.col(top) / F.nullif(bottom, F.lit(0.0))
-    gate = df.agg(F.coalesce(F.abs(F.median(ratio)) <= most, F.lit(False)).alias("_open"))
+    middle = exact_quantiles(df, ratio, [], [0.5])
+    gate = middle.agg(F.coalesce(F.abs(F.max("value")) <= most, F.lit(False)).alias("_open"))
     return df.crossJoin(F.broadcast(gate)).withColumn(out, F.when(F.col("_open"), ratio)).drop("_open")  # one row
 
 
@@ -99,6 +101,50 @@ def sequences(df: DataFrame, columns: list[str], rows: int, least: int, out: str
     return held.withColumn(out, F.concat(zeros, "_seq")).withColumn("mask", F.concat(F.array_repeat(F.lit(0), lack), F.array_repeat(F.lit(1), F.size("_seq")))).drop("_seq")
 
 
+#: Rows of one array of a sequence store.
+STORE_ROWS = 4096
+
+
+def sequence_store(df: DataFrame, columns: list[str], rows: int, spec: PanelSpec = PANEL, block_rows: int = STORE_ROWS) -> DataFrame:
+    """entity, block, first, values: each entity's rows in arrays of bounded length, every row once but for the overlap of blocks.
+
+    A block holds its own ``block_rows`` rows and the ``rows - 1`` before them, so that every window lies in one block: the store takes
+    1 + (rows - 1) / block_rows times the panel, where windows of their own would take ``rows`` times. Nulls count as 0.
+    """
+    one = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    numbered = df.select(spec.entity, (F.row_number().over(spec.series()) - 1).alias("_n"), one.alias("_x"))
+    own = F.floor(F.col("_n") / block_rows).cast("long")
+    last = own + F.floor((F.col("_n") % block_rows + rows - 1) / block_rows).cast("long")
+    placed = numbered.select(spec.entity, F.explode(F.sequence(own, last)).alias("block"), "_n", "_x")
+    held = placed.groupBy(spec.entity, "block").agg(F.array_sort(F.collect_list(F.struct("_n", "_x"))).alias("_v"))
+    return held.select(spec.entity, "block", F.col("_v")[0]["_n"].alias("first"), F.transform("_v", lambda v: v["_x"]).alias("values"))
+
+
+def sequence_index(df: DataFrame, rows: int, least: int, target: str | None = None, spec: PanelSpec = PANEL, block_rows: int = STORE_ROWS) -> DataFrame:
+    """entity, date, rows (so far), block, end: where each window ends in the store, for rows with ``least`` rows so far.
+
+    ``target`` is added as its z-score among the date's values.
+    """
+    n = F.row_number().over(spec.series())
+    out = df.withColumns({"rows": n, "block": F.floor((n - 1) / block_rows).cast("long"), "end": (n - 1).cast("long")})
+    keep = [spec.entity, spec.date, "rows", "block", "end"]
+    if target is not None:
+        w = spec.day()
+        z = (F.col(target) - F.avg(target).over(w)) / F.nullif(F.stddev_samp(target).over(w), F.lit(0.0))
+        out, keep = out.withColumn("_z", z).drop(target).withColumnRenamed("_z", target), [*keep, target]
+    return out.where(F.col("rows") >= least).select(*keep)
+
+
+def sliced(index: DataFrame, store: DataFrame, columns: int, rows: int, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """The index with each window as an array of arrays, zeros before the first row, and the mask: made at read, stored nowhere."""
+    met = index.join(store, [spec.entity, "block"])
+    size = F.least(F.col("end") + 1, F.lit(rows)).cast("int")
+    window = F.slice("values", (F.col("end") - F.col("first") - size + 2).cast("int"), size)
+    lack = F.lit(rows) - size
+    zeros = F.array_repeat(F.array(*[F.lit(0.0)] * columns), lack)
+    return met.withColumns({out: F.concat(zeros, window), "mask": F.concat(F.array_repeat(F.lit(0), lack), F.array_repeat(F.lit(1), size))}).drop("values", "first")
+
+
 def flat_matrix(df: DataFrame, columns: list[str], lags: list[int], means: list[int], momenta: list[int], spec: PanelSpec = PANEL) -> DataFrame:
     """Base columns, lags, rolling means and momenta in a fixed order, from one window pass; nulls become 0."""
     w = spec.series()

@@ -131,3 +131,30 @@ def rolling_correlation_edges(returns: DataFrame, col: str, dates: int, threshol
 
     edges = src.unionByName(dst).withColumn("id", F.col("id").cast("long")).groupBy("i", "j").applyInArrow(cell, "src long, dst long, weight double")
     return cap_edges(edges, top)
+
+
+def membership_edges(members: DataFrame, group: str, universe: DataFrame, weight: float = 1.0, spec: PanelSpec = PANEL) -> DataFrame:
+    """src, dst, weight: edges between members and their groups, which are nodes of their own, one row a membership.
+
+    Two members of a group are two steps apart; an edge for each pair of them would grow with the square of the group. Groups with
+    fewer than two members in the universe have no edges.
+    """
+    known = members.select(spec.entity, group).where(F.col(spec.entity).isNotNull() & F.col(group).isNotNull()).distinct().join(universe.select(spec.entity).distinct(), spec.entity, "left_semi")
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return known.join(sizes, group).select(F.col(spec.entity).alias("src"), F.col(group).alias("dst"), F.lit(float(weight)).alias("weight"))
+
+
+def members_outside(members: DataFrame, group: str, universe: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """Memberships of entities that the universe lacks."""
+    return members.select(spec.entity, group).distinct().join(universe.select(spec.entity).distinct(), spec.entity, "left_anti")
+
+
+def group_neighbours(edges: DataFrame, asked: DataFrame, k: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """src, dst, shared: the k members that share most groups with each entity asked for; ties go to the smaller one.
+
+    Two steps over the edges of ``membership_edges``: rows grow with the entities asked for times the members of their groups.
+    """
+    first = edges.join(asked.select(F.col(spec.entity).alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("_a"), "dst")
+    met = first.join(edges.select(F.col("src").alias("_b"), "dst"), "dst").where("_a <> _b").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("shared"))
+    order = Window.partitionBy("_a").orderBy(F.col("shared").desc(), "_b")
+    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "shared")

@@ -62,6 +62,32 @@ def event_multiplier(rows: DataFrame, events: DataFrame, factor: str, out: str,
     return a.unionByName(b).withColumn("_m", product).where("_side = 0").select("_row.*", F.col("_m").alias(out))
 
 
+def adjust_prices(rows: DataFrame, events: DataFrame, factor: str, columns: list[str], invert: bool = False, spec: PanelSpec = PANEL) -> DataFrame:
+    """The columns times the factors of all later events of the entity, or divided by them to get back; null where that is 0."""
+    held = event_multiplier(rows, events, factor, "_by", spec)
+    return held.withColumns({c: F.try_divide(F.col(c), F.col("_by")) if invert else F.col(c) * F.col("_by") for c in columns}).drop("_by")
+
+
+def side_join(base: DataFrame, side: DataFrame, names: dict[str, str], defaults: dict[str, Column] | None = None, fill: bool = True, spec: PanelSpec = PANEL) -> DataFrame:
+    """The base with the columns of a side table under new names, by entity and date.
+
+    A name that the base has keeps the base's value, and takes the side's where that is null. New columns are carried forward within
+    the entity if ``fill``, then get their default. Of side rows with one key the one with the largest values counts.
+    """
+    defaults = defaults or {}
+    once = side.groupBy(spec.entity, spec.date).agg(F.max(F.struct(*[F.col(a).alias(f"_s_{b}") for a, b in names.items()])).alias("_s"))
+    out = base.join(once, [spec.entity, spec.date], "left")
+    for b in names.values():
+        value = F.col(f"_s._s_{b}")
+        if b in base.columns:
+            out = out.withColumn(b, F.coalesce(F.col(b), value))
+            continue
+        if fill:
+            value = F.last(value, ignorenulls=True).over(spec.past())
+        out = out.withColumn(b, F.coalesce(value, defaults[b]) if b in defaults else value)
+    return out.drop("_s")
+
+
 def two_sided(df: DataFrame, col: str, tolerance: float, out: str, spec: PanelSpec = PANEL) -> DataFrame:
     """Fills a gap from the values before and after if they agree within the tolerance, or from the only one."""
     before = F.last(col, ignorenulls=True).over(spec.past())

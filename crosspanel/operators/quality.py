@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
+from .quantiles import with_quantiles
 
 
 def _stacked(df: DataFrame, cols: list[str], by: list, measures: dict) -> DataFrame:
@@ -75,7 +76,9 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, by: str,
     """Median ratio of two sources' values by type, and the share within tolerance."""
     both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)
     ratio = F.col("_a") / F.nullif("_b", F.lit(0.0))
-    return both.withColumn("_r", ratio).groupBy(by).agg(F.median("_r").alias("median_ratio"), F.avg((F.abs(F.col("_r") - 1) <= tolerance).cast("double")).alias("within"), F.count(F.lit(1)).alias("n"))
+    both = both.withColumn("_r", ratio)
+    groups = both.groupBy(by).agg(F.avg((F.abs(F.col("_r") - 1) <= tolerance).cast("double")).alias("within"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(groups, both, "_r", [by], {"median_ratio": 0.5})
 
 
 def compare_builds(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -181,10 +184,10 @@ def fill_check(df: DataFrame, col: str, held: Column, tolerance: float, spec: Pa
     before = F.last("_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("_known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     error = rest.withColumn("_error", F.abs((before + after) / 2 - F.col(col)) / F.col(col)).where("_held")
-    return error.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("_error").isNotNull().cast("double")).alias("coverage"), F.percentile("_error", F.lit(0.5)).alias("median"),
-        F.percentile("_error", F.lit(0.95)).alias("p95"), F.avg((F.col("_error") <= tolerance).cast("double")).alias("passed"),
-    )
+    found = error.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("_error").isNotNull().cast("double")).alias("coverage"), F.avg((F.col("_error") <= tolerance).cast("double")).alias("passed")
+    )
+    return with_quantiles(found, error, "_error", [], {"median": 0.5, "p95": 0.95})
 
 
 def build_gate(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], inside: Column) -> DataFrame:
@@ -198,3 +201,36 @@ def build_gate(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], ins
         F.count(F.lit(1)).alias("n"), F.count_if("no_b").alias("only_a"), F.count_if("no_a").alias("only_b"), F.count_if(F.col("met") & (F.col("x") != F.col("y"))).alias("differing"),
         F.count_if(F.col("met") & (F.col("x").isNull() != F.col("y").isNull())).alias("null_mismatch"), F.max(F.abs(F.col("x") - F.col("y"))).alias("largest"),
     )
+
+
+def event_parts(events: DataFrame, dates: dict[str, list[str]], sums: list[str], spec: PanelSpec = PANEL) -> DataFrame:
+    """entity, date and the sums of the parts that fall on it: ``dates`` names for each date column the parts that it stands for.
+
+    A record with two dates counts on each with its own parts; parts on one date are added.
+    """
+    rows = None
+    for date, parts in dates.items():
+        one = events.where(F.col(date).isNotNull()).select(spec.entity, F.col(date).alias(spec.date), *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in parts else F.lit(0.0)).alias(c) for c in sums])
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(spec.entity, spec.date).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def reference_value(before: Column, cash: Column, stock: Column, rate: Column, price: Column) -> Column:
+    """The value after an event that pays cash, adds stock by a ratio, and sells new stock by a rate at a price."""
+    return F.try_divide(before - cash + price * rate, 1 + stock + rate)
+
+
+def reference_check(official: DataFrame, parts: DataFrame, value: str, before: str, units: list[float], tolerances: list[float], by: list[str], spec: PanelSpec = PANEL) -> DataFrame:
+    """by, unit, n, median, share within each tolerance, chosen: theoretical over official values, for each unit that the rate may be in.
+
+    The unit with the largest share within the second tolerance (or the only one) is chosen, over all rows; ties go to the smaller unit.
+    """
+    met = official.join(parts, [spec.entity, spec.date])
+    each = met.withColumn("unit", F.explode(F.array(*[F.lit(float(u)) for u in units])))
+    theory = reference_value(F.col(before), F.col("cash"), F.col("stock"), F.col("rate") / F.col("unit"), F.col("price"))
+    each = each.withColumn("_r", F.try_divide(theory, F.col(value))).where("_r is not null and not isnan(_r) and abs(_r) < double('inf')")
+    near = lambda t: F.avg((F.abs(F.col("_r") - 1) <= t).cast("double"))
+    best = each.groupBy("unit").agg(near(tolerances[min(1, len(tolerances) - 1)]).alias("_w")).orderBy(F.col("_w").desc(), "unit").limit(1).select("unit").withColumn("chosen", F.lit(True))
+    found = each.groupBy(*by, "unit").agg(F.count(F.lit(1)).alias("n"), *[near(t).alias(f"within_{k}") for k, t in enumerate(tolerances)])
+    found = with_quantiles(found, each, "_r", [*by, "unit"], {"median": 0.5})
+    return found.join(F.broadcast(best), "unit", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))  # one row

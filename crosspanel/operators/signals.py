@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..spec import PANEL, PanelSpec
 from .crosssection import equal_bins, unique_rank
 from .evaluate import rank_ic
+from .quantiles import with_quantiles
 from .regression import gram, ridge
 from .strategy import linear_score
 
@@ -108,10 +109,12 @@ def tail_profile(df: DataFrame, score: str, columns: list[str], label: str, cal:
     tails = equal_bins(df.where(F.col(score).isNotNull()), score, bins, "bin", spec).where(F.col("bin").isin(1, bins)).join(F.broadcast(cal), spec.date)
     before = tails.select(spec.entity, "bin", (F.col("idx") + 1).alias("idx"), F.lit(1).alias("_had"))
     both = tails.join(before, [spec.entity, "bin", "idx"], "left")
-    return both.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col(label).isNull().cast("double")).alias("unlabelled"), F.avg(F.col("_had").isNotNull().cast("double")).alias("stayed"),
-        *[F.median(c).alias(c) for c in columns],
-    )
+    out = both.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(label).isNull().cast("double")).alias("unlabelled"), F.avg(F.col("_had").isNotNull().cast("double")).alias("stayed")
+    )
+    for c in columns:
+        out = with_quantiles(out, both, c, ["bin"], {c: 0.5})
+    return out
 
 
 def holdings_returns(log: DataFrame, weight: str, prices: DataFrame, price: str, cal: DataFrame, buy: float, sell: float, spec: PanelSpec = PANEL) -> DataFrame:

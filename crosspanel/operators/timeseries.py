@@ -90,13 +90,24 @@ def ewm(df: DataFrame, col: str, alpha: float, adjust: bool, out: str, least: in
     return carried.withColumn(out, ready).drop("_n", "_seen", "_l", "_part", "_b", "_m", "_w", "_s", "_t", "_se", "_te", "_sp", "_tp")
 
 
-def rsi(df: DataFrame, col: str, out: str, alpha: float, adjust: bool, least: int = 14, spec: PanelSpec = PANEL) -> DataFrame:
-    """Relative strength from exponentially weighted gains and losses; a loss of 0 gives null."""
+def rsi(df: DataFrame, col: str, out: str, alpha: float, adjust: bool, least: int = 14, spec: PanelSpec = PANEL, floor: float | None = None) -> DataFrame:
+    """Relative strength from exponentially weighted gains and losses; a loss of 0 gives null, or counts as ``floor``."""
     step = F.col(col) - F.lag(col, 1).over(spec.series())
     moved = df.withColumn("_step", step).withColumn("_up", F.greatest("_step", F.lit(0.0))).withColumn("_down", F.greatest(-F.col("_step"), F.lit(0.0)))
     moved = moved.withColumn("_up", F.when(F.col("_step").isNotNull(), F.col("_up"))).withColumn("_down", F.when(F.col("_step").isNotNull(), F.col("_down")))
     both = ewm(ewm(moved, "_up", alpha, adjust, "_u", least, spec), "_down", alpha, adjust, "_v", least, spec)
-    return both.withColumn(out, 100 - 100 / (1 + F.col("_u") / F.nullif("_v", F.lit(0.0)))).drop("_step", "_up", "_down", "_u", "_v")
+    return both.withColumn(out, 100 - 100 / (1 + F.col("_u") / (F.nullif("_v", F.lit(0.0)) if floor is None else F.when(F.col("_v") == 0, F.lit(floor)).otherwise(F.col("_v"))))).drop("_step", "_up", "_down", "_u", "_v")
+
+
+def rsi_window(df: DataFrame, col: str, out: str, rows: int, period: int = 14, otherwise: float = 50.0, spec: PanelSpec = PANEL) -> DataFrame:
+    """Relative strength over each row's last ``rows`` rows: means of the first ``period`` moves, then smoothed by 1 / period.
+
+    ``otherwise`` with fewer than ``period + 2`` rows. A frame holds ``rows`` values at most; nulls are left out.
+    """
+    from .patterns import relative_strength
+
+    seen = df.withColumn("_c", F.collect_list(F.col(col).cast("double")).over(spec.series(rows)))
+    return seen.withColumn(out, F.when(F.size("_c") >= period + 2, relative_strength(F.col("_c"), period)).otherwise(float(otherwise))).drop("_c")
 
 
 def expanding_z(df: DataFrame, col: str, out: str, least: int, clip: float = 3.0, spec: PanelSpec = PANEL) -> DataFrame:
@@ -106,6 +117,40 @@ def expanding_z(df: DataFrame, col: str, out: str, least: int, clip: float = 3.0
     return df.withColumn(out, at_least(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.col(col), least, w))
 
 
+def moments(df: DataFrame, col: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """entity, until, n, mean, m2: what later rows need to know of an entity's values so far (m2: sum of squares around the mean)."""
+    known = df.where(F.col(col).isNotNull())
+    return known.groupBy(spec.entity).agg(F.max(spec.date).alias("until"), F.count(col).alias("n"), F.avg(col).alias("mean"), (F.var_pop(col) * F.count(col)).alias("m2"))
+
+
+def merge_moments(a: DataFrame, b: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """The moments of both, one row an entity each: those of a history and of the rows that came since, for example."""
+    other = b.select(spec.entity, *[F.col(c).alias(f"_{c}") for c in ("until", "n", "mean", "m2")])
+    both = a.join(other, spec.entity, "full_outer")
+    m, k = F.coalesce("n", F.lit(0)), F.coalesce("_n", F.lit(0))
+    apart = F.when((m > 0) & (k > 0), F.col("_mean") - F.col("mean")).otherwise(0.0)
+    return both.select(
+        spec.entity, F.greatest("until", "_until").alias("until"), (m + k).alias("n"), (F.coalesce("mean", "_mean") + apart * k / (m + k)).alias("mean"),
+        (F.coalesce("m2", F.lit(0.0)) + F.coalesce("_m2", F.lit(0.0)) + apart * apart * m * k / (m + k)).alias("m2"),
+    )
+
+
+def expanding_z_tail(tail: DataFrame, history: DataFrame, col: str, out: str, least: int, clip: float = 3.0, spec: PanelSpec = PANEL) -> DataFrame:
+    """``expanding_z`` of the rows after a history, of which only the moments are read.
+
+    Values are taken from the history's mean, so that its sum is 0 and running sums of the tail alone give mean and deviation of all rows before.
+    """
+    met = tail.join(history.select(spec.entity, F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("m2").alias("_m2")), spec.entity, "left")
+    first = F.first(col, ignorenulls=True).over(spec.series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = met.withColumn("_mean", F.coalesce("_mean", first)).withColumn("_x", F.col(col) - F.col("_mean"))
+    w = spec.past(-1)
+    n = F.coalesce("_n", F.lit(0)) + F.count("_x").over(w)
+    s1, s2 = F.coalesce(F.sum("_x").over(w), F.lit(0.0)), F.coalesce("_m2", F.lit(0.0)) + F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), s2 - s1 * s1 / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)))
+    z = (F.col("_x") - s1 / F.nullif(n, F.lit(0))) / F.nullif(deviation, F.lit(0.0))
+    return met.withColumn(out, F.when(n >= least, F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))).drop("_n", "_mean", "_m2", "_x")
+
+
 def streak(df: DataFrame, flag: Column, out: str, spec: PanelSpec = PANEL) -> DataFrame:
     """Rows in a row, up to this one, on which the flag holds."""
     island = F.sum(F.when(flag, F.lit(0)).otherwise(F.lit(1))).over(spec.past())

@@ -572,6 +572,14 @@ def _(s, d):
     return ts.expanding_z(P(s, d), "close", "z", 52).select("id", "d", r("z", 5))
 
 
+@query("f17_tail_splice", sql("select id, d, z from (select id, d, round(case when count(close) over w >= 52 then greatest(-3, least(3, (close - avg(close) over w) / nullif(stddev_samp(close) over w, 0))) end, 5) z from panel window w as (partition by id order by d rows between unbounded preceding and 1 preceding)) where d >= date '1998-01-01'", "panel"))
+def _(s, d):
+    """The last year's z-scores from the moments of the years before, which are merged from two parts."""
+    p = P(s, d)
+    history = ts.merge_moments(ts.moments(p.where("d < '1996-01-01'"), "close"), ts.moments(p.where("d >= '1996-01-01' and d < '1998-01-01'"), "close"))
+    return ts.expanding_z_tail(p.where("d >= '1998-01-01'"), history, "close", "z", 52).select("id", "d", r("z", 5))
+
+
 @query("f18_streak", sql("select id, d, sum(f) over (partition by id, island order by d)::bigint streak from (select id, d, (coalesce(ret, 0) > 0)::int f, sum(case when ret > 0 then 0 else 1 end) over (partition by id order by d) island from rets)", "rets"))
 def _(s, d):
     return ts.streak(rets(s, d), F.col("ret") > 0, "streak").select("id", "d", "streak")
@@ -855,4 +863,4 @@ def _(s, d):
     return ev.period_evaluation(S(s, d), "score", "label", 5, 10).select("d", r("narrow"), r("wide"), r("drawdown"))
 
 
-from . import more, rules  # noqa: E402, F401  register their queries
+from . import more, rules, wider  # noqa: E402, F401  register their queries

@@ -472,11 +472,18 @@ def _(s, d):
 
 @query("m06_sequence_windows", sql(f"select id, d, n, round(list_sum(seq), 4) total, padded from (select id, d, n, list(close) {W_(20)} seq, 20 - least(n, 20) padded from (select *, row_number() {W} n from panel)) where n >= 16", "panel"))
 def _(s, d):
-    out = ft.sequences(P(s, d), ["close"], 20, 16, "seq")
+    p = P(s, d).select("id", "d", "close")
+    out = ft.sliced(ft.sequence_index(p, 20, 16), ft.sequence_store(p, ["close"], 20), 1, 20, "seq")
     total = F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[0])
     return out.select("id", "d", F.col("rows").cast("long").alias("n"), F.round(total, 4).alias("total"), F.size(F.filter("mask", lambda m: m == 0)).cast("long").alias("padded"))
 
 
+@query("m06_sequence_targets", sql(f"select id, d, n, round(z, 6) z from (select id, d, row_number() {W} n, (label - avg(label) over (partition by d)) / nullif(stddev_samp(label) over (partition by d), 0) z from scores) where n >= 16", "scores"))
+def _(s, d):
+    out = ft.sequence_index(S(s, d).withColumn("label", F.round("label", 9)), 20, 16, "label")
+    return out.select("id", "d", F.col("rows").cast("long").alias("n"), F.round("label", 6).alias("z"))
+
+
 @query("m07_flat_matrix", sql(f"select id, d, coalesce(round(close, 6), 0) as close, coalesce(round(lag(close, 1) {W}, 6), 0) close_lag1, coalesce(round(case when count(close) {W_(5)} >= 5 then avg(close) {W_(5)} end, 6), 0) close_rmean5, coalesce(round(close / lag(close, 5) {W} - 1, 6), 0) close_mom5 from panel", "panel"))
 def _(s, d):
     out = ft.flat_matrix(P(s, d), ["close"], lags=[1], means=[5], momenta=[5])
