@@ -2,7 +2,12 @@
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-PHRASES = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "subscribe")
+PHRASES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "subscribe",
+    "tous droits réservés", "conditions d''utilisation", "politique de confidentialité", "cliquez ici", "mentions légales", "abonnez-vous",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "haga clic aquí", "aviso legal", "suscríbete",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "hier klicken", "impressum", "newsletter abonnieren",
+)
 WRAPPED = """([^.!?:;…"''”’)\\]\\x20\\x09-\\x0D])[\\x20\\x09]*\\n([a-zß-ÿ])"""
 CHARS = f"length(regexp_replace(x, '{SPACE}+', '', 'g'))"
 

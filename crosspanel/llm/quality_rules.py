@@ -27,8 +27,8 @@ SPACES = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class LineRules:
     wrapped: str = r"([^.!?:;…\"'”’)\]\x20\x09-\x0D])[\x20\x09]*\n([a-zß-ÿ])"
-    terminal: str = r"[.!?:;…\"'”’)\]][\x20\x09-\x0D]*\z"
-    mark: str = r"[.!?…][\x20\x09-\x0D]"
+    terminal: str = r"[.!?:;…\"'”’)\]。．！？：；」』）｡।॥؟۔።។။؛][\x20\x09-\x0D]*\z"
+    mark: str = r"[.!?…][\x20\x09-\x0D]|[。．！？｡।॥؟۔።។။]"
     max_words_a_mark: int = 40
     doubled_marks: str = r"[!?]{2,}"
     max_doubled_share: float = 0.2
@@ -36,9 +36,12 @@ class LineRules:
     max_symbol_share: float = 0.1
     separators: str = "|"
     max_separators: int = 1
+    # in English, French, Spanish and German
     boilerplate: tuple[str, ...] = (
-        "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript",
-        "lorem ipsum", "click here", "subscribe",
+        "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "subscribe",
+        "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "cliquez ici", "mentions légales", "abonnez-vous",
+        "todos los derechos reservados", "términos de uso", "política de privacidad", "haga clic aquí", "aviso legal", "suscríbete",
+        "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "hier klicken", "impressum", "newsletter abonnieren",
     )
     max_boilerplate_share: float = 0.2
     min_kept_share: float = 0.5
@@ -53,11 +56,11 @@ def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
     n_doubled = F.regexp_count(line, F.lit(rules.doubled_marks))
     lower, phrases = F.lower(line), "|".join(rules.boilerplate)
     n_phrases = F.length(line) - F.length(F.regexp_replace(lower, phrases, ""))
-    # the cheap test of each rule comes first, its counts only where that test does not settle it
+    # cheap rules come first, and of each rule its cheap test: counts are made only where that test does not settle it
     return (
-        (line.rlike(rules.terminal) | (F.regexp_count(line, F.lit(rules.mark)) * rules.max_words_a_mark >= n_words))
-        & (n_separators <= rules.max_separators)
+        (n_separators <= rules.max_separators)
         & ((n_symbols == 0) | (n_symbols <= F.lit(rules.max_symbol_share) * chars))
+        & (line.rlike(rules.terminal) | (F.regexp_count(line, F.lit(rules.mark)) * rules.max_words_a_mark >= n_words))
         & (~line.rlike(rules.doubled_marks) | (n_doubled <= F.lit(rules.max_doubled_share) * n_words))
         & (~lower.rlike(phrases) | (n_phrases <= F.lit(rules.max_boilerplate_share) * F.length(line)))
     )
@@ -66,13 +69,13 @@ def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
 def repeated_words(tokens: Column, n: int = 3) -> Column:
     """Words inside n-word windows that occur twice or more in the list.
 
-    Windows are compared by a 64-bit hash. Sorting (hash, position) brings equal windows together; the positions that
-    have an equal neighbour are sorted again, and each adds the words up to the next one, n at most.
+    Windows are compared by a 64-bit hash. Where all of them differ, as in most texts, that is all. Else sorting (hash, position)
+    brings equal windows together; the positions that have an equal neighbour are sorted again, and each adds the words up to
+    the next one, n at most.
     """
 
-    def of(w: Column) -> Column:
-        window = lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"), i.alias("p"))
-        pairs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - n), window))
+    def count(hashes: Column) -> Column:
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
         twice = lambda s: F.filter(
             s, lambda x, i: (F.get(s, i + 1)["h"].eqNullSafe(x["h"])) | ((i > 0) & F.get(s, i - 1)["h"].eqNullSafe(x["h"]))
         )
@@ -80,12 +83,16 @@ def repeated_words(tokens: Column, n: int = 3) -> Column:
         steps = let(places, lambda p: F.transform(p, lambda x, i: F.least(F.lit(n), F.coalesce(F.get(p, i + 1) - x, F.lit(n)))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
+    def of(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(count(h)))
+
     return let(tokens, lambda w: F.when(F.size(w) >= n, of(w)).otherwise(F.lit(0))).cast("long")
 
 
 def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
     """The distinct lines of a text that pass, in order."""
-    whole = F.regexp_replace(text, rules.wrapped, "$1 $2")
+    whole = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, rules.wrapped, "$1 $2")).otherwise(text)
     return F.filter(F.array_distinct(F.split(whole, "\n")), lambda x: line_passes(x, rules))
 
 
