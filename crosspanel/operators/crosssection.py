@@ -121,3 +121,18 @@ def quantile_bin(df: DataFrame, col: str, bins: int, out: str, spec: PanelSpec =
     known = df.where(F.col(col).isNotNull())
     rank = F.row_number().over(spec.day().orderBy(col, spec.entity))
     return known.withColumn(out, F.ceil(rank * bins / F.count(F.lit(1)).over(spec.day())).cast("long"))
+
+
+def fixed_bins(df: DataFrame, col: str, edges: list[float], names: list[str], out: str) -> DataFrame:
+    """The name of the bin that a value lies in: up to the first edge, above it up to the second, and so on; null without a value."""
+    label = F.when(F.col(col).isNotNull(), F.lit(names[-1]))
+    for edge, name in sorted(zip(edges, names, strict=False), reverse=True):
+        label = F.when(F.col(col) <= edge, F.lit(name)).otherwise(label)
+    return df.withColumn(out, label)
+
+
+def positional_rank(df: DataFrame, col: str, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """(place - 1) / (n - 1) - 0.5 by place in the date's order, ties by entity; null for a date of one row."""
+    place = F.row_number().over(spec.day().orderBy(F.col(col).asc_nulls_last(), spec.entity))
+    n = F.count(F.lit(1)).over(spec.day())
+    return df.withColumn(out, F.when(n > 1, (place - 1) / (n - 1) - 0.5))

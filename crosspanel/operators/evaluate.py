@@ -152,3 +152,27 @@ def segment_performance(returns: DataFrame, segments: DataFrame, ret: str, perio
     return met.groupBy("seg").agg(
         F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), F.expm1(F.avg(F.log1p(ret)) * periods).alias("annual"), F.avg((F.col(ret) > 0).cast("double")).alias("hit")
     )
+
+
+def index_level(df: DataFrame, price: str, dates: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, level: the mean price of each of the dates, carried forward over dates without one. The window runs over one row a date."""
+    means = df.groupBy(spec.date).agg(F.avg(price).alias("_m"))
+    w = Window.orderBy(spec.date).rowsBetween(Window.unboundedPreceding, 0)
+    return dates.select(spec.date).distinct().join(means, spec.date, "left").select(spec.date, F.last("_m", ignorenulls=True).over(w).alias("level"))
+
+
+def best_day_share(returns: DataFrame, ret: str, k: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """best_days, mean_without, n: the share of the sum that the k best dates make, and the mean without them. One row a date."""
+    placed = returns.withColumn("_k", F.row_number().over(Window.orderBy(F.col(ret).desc(), spec.date)))
+    return placed.agg(
+        (F.sum(F.when(F.col("_k") <= k, F.col(ret))) / F.nullif(F.sum(ret), F.lit(0.0))).alias("best_days"), F.avg(F.when(F.col("_k") > k, F.col(ret))).alias("mean_without"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def zone_ics(df: DataFrame, score: str, label: str, least: int, tails: float = 0.2, middle: tuple[float, float] = (0.3, 0.7), spec: PanelSpec = PANEL) -> DataFrame:
+    """grp, mean, n: the rank correlation inside the extreme scores of a date and inside the middle ones, on one set of labels."""
+    place = F.row_number().over(spec.day().orderBy(score, spec.entity)) - 1
+    p = df.withColumn("_p", place / F.greatest(F.count(F.lit(1)).over(spec.day()) - 1, F.lit(1)))
+    grp = F.when((F.col("_p") <= tails) | (F.col("_p") >= 1 - tails), "tails").when(F.col("_p").between(*middle), "middle")
+    daily = rank_ic(p.withColumn("grp", grp).where("grp is not null"), score, label, least, "ic", ("grp",), spec)
+    return daily.groupBy("grp").agg(F.avg("ic").alias("mean"), F.count("ic").alias("n"))

@@ -176,3 +176,54 @@ def coded_positions(df: DataFrame, date: str, on: str, codes: dict[str, dict[str
         found = found.withColumn(c, F.try_element_at(known, F.trim(c))).where(F.col(c).isNotNull())
     clean = lambda c: F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "").try_cast("double")
     return found.withColumns({c: clean(c) for c in numbers})
+
+
+def statement_facts(wide: DataFrame, keys: list[str], items: dict[str, tuple[str, int]], scale: float) -> DataFrame:
+    """keys, type, value, origin: the items of a wide statement in long form, each under the type of its name, in other units.
+
+    ``items`` names for each column its type and priority; of columns of one type the one with the smallest priority that has a value
+    counts. The map is part of the plan: no table is joined.
+    """
+    cells = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("p"), F.lit(name).alias("origin"), (F.col(name).cast("double") * scale).alias("value")) for name, (kind, priority) in items.items()])
+    long = wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("value is not null")
+    best = long.groupBy(*keys, "type").agg(F.min(F.struct("p", "origin", "value")).alias("b"))
+    return best.select(*keys, "type", "b.value", "b.origin")
+
+
+def plain_number(text: Column) -> Column:
+    """A number from text with thousands commas, a per cent sign (then over 100), brackets for minus, or blanks; else null."""
+    bare = F.trim(F.regexp_replace(text, "[,\\s]", ""))
+    percent, minus = bare.endswith("%"), bare.rlike(r"^\(.*\)$")
+    value = F.regexp_replace(bare, "[%()]", "").try_cast("double")
+    return F.when(percent, value / 100).otherwise(value) * F.when(minus, -1).otherwise(1)
+
+
+def era_date(text: Column, first_year: int = 1911) -> Column:
+    """A date from era text such as 112/03/05, 112-3-5 or 1120305 (year, month, day); null if there is no such day."""
+    parts = F.when(text.rlike(r"^\s*\d{6,7}\s*$"), F.regexp_replace(text, r"^\s*(\d+)(\d{2})(\d{2})\s*$", "$1/$2/$3")).otherwise(F.regexp_replace(text, "[-.]", "/"))
+    cut = F.split(F.trim(parts), "/")
+    number = lambda k: F.get(cut, F.lit(k)).try_cast("int")
+    iso = F.format_string("%04d-%02d-%02d", number(0) + first_year, number(1), number(2))
+    return F.when(F.size(cut) == 3, F.when(number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull(), iso)).try_cast("date")
+
+
+def any_observed(df: DataFrame, columns: list[str], out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """1 where any of the columns has had a value of the entity up to the row, else 0."""
+    seen = F.coalesce(*[F.last(c, ignorenulls=True).over(spec.past()) for c in columns])
+    return df.withColumn(out, seen.isNotNull().cast("double"))
+
+
+def swap_columns(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The table with these columns from another build, by key; keys that the other build lacks get null, and stay."""
+    once = other.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_o"))
+    met = df.join(once, keys, "left")
+    return met.select(*[F.col(f"_o.{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def best_category(rows: DataFrame, category: str, classes: dict[str, int], seen: str, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """entity, out: one category an entity: of the best class first (categories not named are class 0), then the newest, then by name."""
+    rank = F.lit(0)
+    for name, k in classes.items():
+        rank = F.when(F.col(category) == name, F.lit(k)).otherwise(rank)
+    w = Window.partitionBy(spec.entity).orderBy(rank, F.col(seen).desc_nulls_last(), category)
+    return rows.where(F.col(category).isNotNull()).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(spec.entity, F.col(category).alias(out))

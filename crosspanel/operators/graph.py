@@ -158,3 +158,37 @@ def group_neighbours(edges: DataFrame, asked: DataFrame, k: int, spec: PanelSpec
     met = first.join(edges.select(F.col("src").alias("_b"), "dst"), "dst").where("_a <> _b").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("shared"))
     order = Window.partitionBy("_a").orderBy(F.col("shared").desc(), "_b")
     return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "shared")
+
+
+def both_ways(pairs: DataFrame, a: str, b: str, most: int, weight: float) -> DataFrame:
+    """src, dst, weight: each pair as two edges, once, without loops; of a node's edges the first ``most`` by the other end."""
+    known = pairs.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
+    each = known.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(known.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct()
+    return cap_edges(each.withColumn("weight", F.lit(float(weight))), most)
+
+
+def add_edges(base: DataFrame, new: DataFrame, top: int) -> DataFrame:
+    """The base's edges as they are, and of the new ones that it lacks the best few per node."""
+    lacking = new.groupBy("src", "dst").agg(F.max("weight").alias("weight")).join(base.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    return base.select("src", "dst", "weight").unionByName(cap_edges(lacking, top).select("src", "dst", "weight"))
+
+
+def subgraph_coverage(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """edges, covered, nodes, share: how many edges lie within a set of nodes, and how many of the nodes have one."""
+    kept = edges.join(nodes.select(F.col(node).alias("src")), "src", "left_semi").join(nodes.select(F.col(node).alias("dst")), "dst", "left_semi")
+    found = kept.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("covered"))
+    total = nodes.agg(F.countDistinct(node).alias("nodes"))
+    return found.crossJoin(total).withColumn("share", F.try_divide("covered", "nodes"))  # one row each
+
+
+def weight_histogram(edges: DataFrame, bins: int, most: float) -> DataFrame:
+    """bin, n: edges by weight in equal bins from 0 to ``most``; what lies beyond counts in the last one."""
+    return edges.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("weight") / most * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """removed, added, kept, moved (mean change of weight of those kept)."""
+    a, b = old.select("src", "dst", F.col("weight").alias("_a")), new.select("src", "dst", F.col("weight").alias("_b"))
+    both = a.join(b, ["src", "dst"], "full_outer")
+    lost, gained = F.col("_b").isNull(), F.col("_a").isNull()
+    return both.agg(F.count_if(lost).alias("removed"), F.count_if(gained).alias("added"), F.count_if(~lost & ~gained).alias("kept"), F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("moved"))

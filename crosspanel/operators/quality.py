@@ -234,3 +234,83 @@ def reference_check(official: DataFrame, parts: DataFrame, value: str, before: s
     found = each.groupBy(*by, "unit").agg(F.count(F.lit(1)).alias("n"), *[near(t).alias(f"within_{k}") for k, t in enumerate(tolerances)])
     found = with_quantiles(found, each, "_r", [*by, "unit"], {"median": 0.5})
     return found.join(F.broadcast(best), "unit", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))  # one row
+
+
+def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the last in this order (nulls first); rows equal in it are told apart by all their columns."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*df.columns))
+    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def column_profile_by(df: DataFrame, cols: list[str], by: list[Column], near: float = 1e-9) -> DataFrame:
+    """by, name, n, null_share, zero_share, near_zero_share, low, high, std of each column, in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("c")
+    share = lambda flag: F.coalesce(F.avg(flag.cast("double")), F.lit(0.0))
+    v = F.col("c.v")
+    return df.select(*by, cells).groupBy(*[df.select(b).columns[0] for b in by], F.col("c.name").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v.isNull().cast("double")).alias("null_share"), share(v == 0).alias("zero_share"), share(F.abs(v) < near).alias("near_zero_share"),
+        F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_samp(v).alias("std"),
+    )
+
+
+def count_breaches(df: DataFrame, tolerance: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, n, change, breach: distinct entities a date, and whether they changed by more than a share of the date before."""
+    counts = df.groupBy(spec.date).agg(F.countDistinct(spec.entity).alias("n"))
+    before = F.lag("n").over(Window.orderBy(spec.date))  # one row a date
+    return counts.withColumn("change", F.col("n") - before).withColumn("breach", F.coalesce(F.abs("change") > F.lit(tolerance) * before, F.lit(False)))
+
+
+def calendar_difference(df: DataFrame, reference: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, side: dates of the reference that the table lacks (missing) and of the table that the reference lacks (extra), between the
+    first and the last date of the table."""
+    own, ref = df.select(spec.date).distinct(), reference.select(spec.date).distinct()
+    ends = own.agg(F.min(spec.date).alias("_a"), F.max(spec.date).alias("_b"))
+    within = ref.join(F.broadcast(ends), F.col(spec.date).between(F.col("_a"), F.col("_b"))).select(spec.date)  # one row
+    lacks = within.join(own, spec.date, "left_anti").withColumn("side", F.lit("missing"))
+    return lacks.unionByName(own.join(ref, spec.date, "left_anti").withColumn("side", F.lit("extra")))
+
+
+def same_day_coverage(base: DataFrame, sides: dict[str, DataFrame], tradable: Column, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, n and, for each side source, the share of the date's tradable rows that it has."""
+    rows = base.where(tradable).select(spec.entity, spec.date)
+    for name, side in sides.items():
+        rows = rows.join(side.select(spec.entity, spec.date).distinct().withColumn(name, F.lit(1.0)), [spec.entity, spec.date], "left")
+    return rows.groupBy(spec.date).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.coalesce(name, F.lit(0.0))).alias(name) for name in sides])
+
+
+def constant_days(df: DataFrame, cols: list[str], spec: PanelSpec = PANEL) -> DataFrame:
+    """name, values (distinct over all rows), days, constant_days: whether a column has one value for all entities of a date."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("c")
+    long = df.select(spec.date, cells).select(spec.date, "c.*").where("v is not null")
+    days = long.groupBy("name", spec.date).agg((F.min("v") == F.max("v")).alias("one"))
+    values = long.groupBy("name", "v").agg(F.lit(1).alias("_")).groupBy("name").agg(F.count(F.lit(1)).alias("values"))
+    return days.groupBy("name").agg(F.count(F.lit(1)).alias("days"), F.count_if("one").alias("constant_days")).join(values, "name")
+
+
+def members_changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """key, before, after, change: entities that a snapshot lost, gained, or has under another value."""
+    a, b = (t.select(key, F.col(value).alias(n), F.lit(True).alias(f"_{n}")) for t, n in ((before, "before"), (after, "after")))
+    both = a.join(b, key, "full_outer")
+    change = F.when(F.col("_after").isNull(), "removed").when(F.col("_before").isNull(), "added").when(~F.col("before").eqNullSafe(F.col("after")), "moved")
+    return both.withColumn("change", change).where("change is not null").select(key, "before", "after", "change")
+
+
+def build_ratios(a: DataFrame, b: DataFrame, keys: list[str], col: str, by: Column, shares: dict[str, float], extreme: float) -> DataFrame:
+    """period, n, equal, extremes and quantiles of b / a over common rows: how a rebuilt column differs, period by period."""
+    both = a.select(*keys, F.col(col).alias("_a")).join(b.select(*keys, F.col(col).alias("_b")), keys).withColumn("period", by).withColumn("_r", F.try_divide("_b", "_a"))
+    found = both.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("equal"), F.count_if(F.abs(F.col("_r") - 1) > extreme).alias("extremes"))
+    return with_quantiles(found, both, "_r", ["period"], shares)
+
+
+def sparsest(df: DataFrame, k: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """The k entities with the fewest rows for their dates: entity, n, of (dates from first to last seen), share; ties by entity."""
+    cal = df.select(spec.date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(spec.date)))  # one row a date
+    met = df.join(F.broadcast(cal), spec.date).groupBy(spec.entity).agg(F.countDistinct(spec.date).alias("n"), (F.max("_i") - F.min("_i") + 1).cast("long").alias("of"))
+    return met.withColumn("share", F.col("n") / F.col("of")).orderBy("share", spec.entity).limit(k)
+
+
+def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """only_a, only_b, both, superset (whether a has every key of b), in one shuffle of the keys."""
+    rows = a.select(*keys, F.lit(1).alias("_s")).unionByName(b.select(*keys, F.lit(2).alias("_s")))
+    each = rows.groupBy(*keys).agg(F.bit_or("_s").alias("_s"))
+    return each.agg(F.count_if(F.col("_s") == 1).alias("only_a"), F.count_if(F.col("_s") == 2).alias("only_b"), F.count_if(F.col("_s") == 3).alias("both")).withColumn("superset", F.col("only_b") == 0)

@@ -213,3 +213,15 @@ def walk_forward_ridge(df: DataFrame, features: list[str], target: str, period:
     for f, x in zip(features, names, strict=True):
         score = score + F.coalesce(F.col(f), F.lit(0.0)) * F.col(x)
     return df.join(F.broadcast(table), period).withColumn(out, score).drop("_c", *names)
+
+
+def scheme_weights(df: DataFrame, by: str | None, out: str, spec: PanelSpec = PANEL) -> DataFrame:
+    """Weights that sum to 1 on each date: equal, or in proportion to a column, where a missing value counts as the date's median.
+
+    Rows are the chosen ones of a date; dates where no row has a value get equal weights.
+    """
+    w = spec.day()
+    if by is None:
+        return df.withColumn(out, 1 / F.count(F.lit(1)).over(w))
+    value = F.coalesce(F.col(by), F.median(by).over(w), F.lit(1.0))  # the members of a date, a few
+    return df.withColumn("_v", value).withColumn(out, F.col("_v") / F.nullif(F.sum("_v").over(w), F.lit(0.0))).drop("_v")

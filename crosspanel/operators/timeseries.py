@@ -182,3 +182,15 @@ def beta(df: DataFrame, y: str, x: str, rows: int, least: int, out: str, spec: P
     paired = lambda c: F.when(both.isNotNull(), F.col(c))
     value = F.covar_samp(paired(y), paired(x)).over(w) / F.nullif(F.var_samp(paired(x)).over(w), F.lit(0.0))
     return df.withColumn(out, at_least(value, both, least, w))
+
+
+def local_extrema(df: DataFrame, col: str, order: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """The rows that are lowest or highest among ``order`` rows on either side, with kind (low, high); of a plateau the first row.
+
+    Rows nearer than ``order`` to an end of the series are none; a row that is both is a low.
+    """
+    w, s = spec.series().rowsBetween(-order, order), spec.series()
+    full = F.count(F.lit(1)).over(w) == 2 * order + 1
+    flagged = df.withColumns({"_low": full & (F.col(col) <= F.min(col).over(w)), "_high": full & (F.col(col) >= F.max(col).over(w))})
+    first = lambda c: F.col(c) & ~F.coalesce(F.lag(c).over(s), F.lit(False))
+    return flagged.withColumn("kind", F.when(first("_low"), "low").when(first("_high"), "high")).where("kind is not null").drop("_low", "_high")

@@ -863,4 +863,4 @@ def _(s, d):
     return ev.period_evaluation(S(s, d), "score", "label", 5, 10).select("d", r("narrow"), r("wide"), r("drawdown"))
 
 
-from . import more, rules, wider  # noqa: E402, F401  register their queries
+from . import more, rules, variants, wider  # noqa: E402, F401  register their queries

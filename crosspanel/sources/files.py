@@ -80,3 +80,35 @@ def update_history(index: DataFrame, day: DataFrame, dates: int, date: str = "d"
     rows = index.join(F.broadcast(day.select(date).distinct()), date, "left_anti").unionByName(day)
     latest = rows.select(date).distinct().orderBy(F.col(date).desc()).limit(dates)
     return rows.join(F.broadcast(latest), date, "left_semi")
+
+
+def load_tables(spark: SparkSession, paths: dict[str, str], dates: dict[str, str], required: tuple[str, ...] = (), date: str = "d") -> dict[str, DataFrame]:
+    """The tables that exist, with their date column under one name and as a date. A missing one is left out, a required one an error."""
+    found = {}
+    for name, path in paths.items():
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            rows = spark.read.parquet(path)
+            own = dates.get(name, date)
+            found[name] = rows.withColumnRenamed(own, date).withColumn(date, F.to_date(date)) if own in rows.columns else rows
+        elif name in required:
+            raise FileNotFoundError(f"{name}: {path}")
+    return found
+
+
+def column_bounds(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """low_<column>, high_<column>, n: from the footers of the files where their statistics tell, by aggregation push-down.
+
+    Spark pushes it for whole numbers, floats and dates in its newer source, which this call alone uses; other types are scanned.
+    """
+    sources, push = "spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown"
+    before = {k: spark.conf.get(k) for k in (sources, push)}
+    try:
+        spark.conf.set(sources, ",".join(x for x in before[sources].split(",") if x != "parquet"))
+        spark.conf.set(push, "true")
+        out = spark.read.parquet(path).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n"))
+        out._jdf.queryExecution().executedPlan()  # planned here, while these settings hold
+        return out
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -23,20 +23,20 @@ def duck():
     return c
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
-    def plain(v):
+def rows(df: pd.DataFrame, whole: list[bool]) -> list[tuple]:
+    def plain(v, whole: bool):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, str):
             return v
         if hasattr(v, "isoformat"):
             return str(pd.Timestamp(v))
-        return float(v) if isinstance(v, float | np.floating | Decimal) else int(v)
+        return float(v) if isinstance(v, float | np.floating | Decimal) and not whole else int(v)
 
     def keys_first(row: tuple) -> tuple:
         return str([v for v in row if not isinstance(v, float)]), str([round(v, 4) for v in row if isinstance(v, float)])
 
-    out = [tuple(plain(v) for v in x) for x in df[sorted(df.columns)].astype(object).itertuples(index=False)]
+    out = [tuple(map(plain, x, whole)) for x in df[sorted(df.columns)].astype(object).itertuples(index=False)]
     return sorted(out, key=keys_first)
 
 
@@ -60,7 +60,7 @@ def test_query_equals_sql(spark, duck, name):
     ours, theirs = df.toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     whole = [kind in WHOLE for _, kind in sorted(df.dtypes)]
-    a, b = rows(ours), rows(theirs)
+    a, b = rows(ours, whole), rows(theirs, whole)
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         assert all(map(same, x, y, whole)), (x, y)
