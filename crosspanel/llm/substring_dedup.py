@@ -7,12 +7,13 @@ which an index of every shard searched by every document would not.
 
 1. Every document is cut into segments: (anchor, hash of the segment, document, place). An anchor that occurs once in the
    corpus ends there; so do almost all words without a copy.
-2. The other segments go to their anchor's shard, each different one once, with the number of its copies as its weight.
-3. Each of them is streamed through the shard's FM-index: backward search finds how far to the left each place matches text
-   of weight 2 or more (its matching statistic), and the intervals of ``k`` words or more are reported. A segment that occurs
-   twice as a whole is one such interval.
+2. The other segments go to their anchor's shard. Of those with one hash the first and the last in the corpus go, each read from its
+   own document: two copies are as many as any, and a passage of a third of all documents does not fill a shard.
+3. Each of them is streamed through the shard's FM-index, in which all of them stand as text: backward search finds how far to the
+   left each place matches text that occurs twice or more (its matching statistic), and the intervals of ``k`` words or more are
+   reported. Nothing else decides: a segment with copies is one such interval over its whole length.
 4. An anchor with very many different segments (a passage in a third of all documents) would fill one shard. Its
-   segments are cut into single windows, each its own anchor: dealt by their own hash, once for all their copies.
+   segments are cut into single windows, each its own anchor: dealt by their own hash, the first and last of all their copies.
 
 Defined results: null text has no words; a document shorter than a window loses nothing; repeated rows of a document are
 copies of each other, so every window of theirs goes; an empty table gives no rows. Only id and text are read, and further
@@ -95,13 +96,13 @@ def cut(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool, held: Steps) -> DataFrame:
-    """The words of distinct segments (wanted: seg, anchor, c, d, start, n), read from the text of one document of each.
+    """The words of segments (wanted: seg, anchor, c, d, start, n), read from the text of the document of each.
 
-    Gives anchor, seg, c and words; or, of each single window, win, seg, c, offset, d and its place in the document.
+    Gives anchor, seg and words; or, of each single window, win, seg, c, offset, d and its place in the document.
     """
     of_doc = wanted.groupBy("d").agg(F.collect_list(F.struct("seg", "anchor", "c", "start", "n")).alias("parts"))
-    schema = "win long, seg long, c long, offset int, d long, place int" if as_windows else "anchor long, seg long, c long, words binary"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()] if as_windows else [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = "win long, seg long, c long, offset int, d long, place int" if as_windows else "anchor long, seg long, words binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()] if as_windows else [pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool, held: S
                     if as_windows:
                         rows += [(w, p["seg"], p["c"], i, d, a + i) for i, w in enumerate(windows[a:b].tolist())]
                     else:
-                        rows.append((p["anchor"], p["seg"], p["c"], words[a : b + k - 1].tobytes()))
+                        rows.append((p["anchor"], p["seg"], words[a : b + k - 1].tobytes()))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
@@ -127,26 +128,35 @@ def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool, held: S
     return texts.join(of_doc, "d").select("text", "parts", "d").mapInArrow(run, schema)
 
 
-def shard_intervals(segs: list[np.ndarray], weights: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(segment, first window, windows): the windows of the segments that have weight 2 or more in the shard."""
+def two_places(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """Each group's first place, and its last one too if there are two or more (groups: c, first, last and the columns).
+
+    Copies in one place are those of a repeated row.
+    """
+    both = F.when((F.col("c") > 1) | (F.col("first") != F.col("last")), F.array("first", "last")).otherwise(F.array("first"))
+    return groups.select(*columns, F.explode(both).alias("r")).select(*columns, "r.*")
+
+
+def shard_intervals(segs: list[np.ndarray], names: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(segment, first window, windows): the windows of the segments that start twice or more in the texts of the shard.
+
+    Texts of one name are copies of one segment, which is asked for once; whether they match is for the index to tell.
+    """
     lengths = np.array([len(s) for s in segs])
     every = np.concatenate(segs)
     _, symbol, times = np.unique(every, return_inverse=True, return_counts=True)
-    # a word that has weight 1 in the shard matches nothing: it becomes a separator
-    heavy = np.bincount(symbol, np.repeat(weights, lengths), minlength=len(times)) > 1
-    often = np.cumsum(heavy) * heavy
+    # a word that occurs once in the shard matches nothing: it becomes a separator
+    often = np.cumsum(times > 1) * (times > 1)
     begin = np.cumsum(lengths + 1) - lengths
     text = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
-    weight = np.zeros(len(text), np.int64)
-    place = np.arange(len(every)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
-    text[place] = often[symbol]
-    weight[place] = np.repeat(weights, lengths)
-    index = FmIndex(text, int(often.max(initial=0)) + 1, int(lengths.max()) + 1, weight)
-    asked, first, last = np.arange(len(segs)), begin, begin + lengths - 1
+    text[np.arange(len(every)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)] = often[symbol]
+    index = FmIndex(text, int(often.max(initial=0)) + 1, int(lengths.max()) + 1, np.ones(len(text), np.int64))
+    asked = np.unique(names, return_index=True)[1]
+    first, last = begin[asked], begin[asked] + lengths[asked] - 1
     # the match that ends with the segment: it may be the whole of it
     left = index.reach(text, last, first)
     whole = left == first
-    out = [(q, 0, n) for q, n in zip(asked[whole].tolist(), (lengths[whole] - k + 1).tolist(), strict=True)]
+    out = [(q, 0, n) for q, n in zip(asked[whole].tolist(), (lengths[asked[whole]] - k + 1).tolist(), strict=True)]
     asked, first, last = (x[~whole] for x in (asked, first, last))
     # all windows of a segment hold what lies between the last window's start and the first window's end
     core, core_end = last - (k - 1), first + (k - 1)
@@ -175,16 +185,16 @@ def shard_intervals(segs: list[np.ndarray], weights: np.ndarray, k: int) -> list
 
 
 def shard_matches(rows: DataFrame, k: int) -> DataFrame:
-    """seg, first, n of the repeated windows of segments (shard, seg, c, words), shard by shard."""
+    """seg, first, n of the repeated windows of segments (shard, seg, words), shard by shard."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         segs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
-        found = shard_intervals(segs, table.column("c").to_numpy(), k)
         names = table.column("seg").to_numpy()
+        found = shard_intervals(segs, names, k)
         seg, first, n = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
         return pa.table({"seg": pa.array(names[seg], pa.int64()), "first": pa.array(first.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    return rows.select("shard", "seg", "c", "words").groupBy("shard").applyInArrow(run, "seg long, first int, n int")
+    return rows.select("shard", "seg", "words").groupBy("shard").applyInArrow(run, "seg long, first int, n int")
 
 
 def repeated_windows(docs: DataFrame, held: Steps, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
@@ -192,19 +202,21 @@ def repeated_windows(docs: DataFrame, held: Steps, k: int = WINDOW, m: int = ANC
     every = held.keep(cut(docs, k, m))
     shared = held.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
     met = held.keep(every.join(few(shared), "anchor"))
-    rep = F.min(F.struct("d", "start", "n", "anchor"))
-    distinct = held.keep(met.groupBy("seg").agg(F.count(F.lit(1)).alias("c"), rep.alias("r")).select("seg", "c", "r.*"))
-    of_anchor = held.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum(F.col("n") + k).alias("size")))
+    place = F.struct("d", "start", "n", "anchor")
+    groups = met.groupBy("seg").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"), F.max(place).alias("last"))
+    distinct = held.keep(groups.withColumn("anchor", F.col("first.anchor")))
+    of_anchor = held.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.sum((F.col("first.n") + k) * F.least("c", F.lit(2))).alias("size")))
     words = of_anchor.where(F.col("segs") < CROWDED).agg(F.sum("size")).first()[0] or 0
     crowds = few(held.keep(of_anchor.where(F.col("segs") >= CROWDED).select("anchor")))
     crowded, plain = distinct.join(crowds, "anchor", "left_semi"), distinct.join(crowds, "anchor", "left_anti")
-    # the windows of crowded anchors, each different one once and as its own segment
-    windows = held.keep(pieces(docs, crowded, k, True, held))
-    first = F.min(F.struct("d", F.col("place").alias("start")))
-    single = held.keep(windows.groupBy("win").agg(F.sum("c").alias("c"), first.alias("r")).where("c > 1").select("win", "c", "r.*"))
-    own = single.select(F.col("win").alias("seg"), "c", "d", "start", F.lit(1).alias("n"), F.col("win").alias("anchor"))
-    both = plain.select("seg", "c", "d", "start", "n", "anchor").unionByName(own)
-    shards = int((words + single.count() * k) // SHARD_WORDS) + 1
+    # the windows of crowded anchors, each different one as its own segment
+    windows = held.keep(pieces(docs, crowded.select("seg", "c", "first.*"), k, True, held))
+    place = F.struct("d", F.col("place").alias("start"))
+    single = windows.groupBy("win").agg(F.sum("c").alias("c"), F.min(place).alias("first"), F.max(place).alias("last"))
+    single = held.keep(single.where("c > 1 or first <> last"))
+    own = two_places(single, ["win"]).select(F.col("win").alias("seg"), F.lit(0).cast("long").alias("c"), "d", "start", F.lit(1).alias("n"), F.col("win").alias("anchor"))
+    both = two_places(plain.drop("anchor"), ["seg"]).select("seg", F.lit(0).cast("long").alias("c"), "d", "start", "n", "anchor").unionByName(own)
+    shards = int((words + 2 * single.count() * k) // SHARD_WORDS) + 1
     indexed = pieces(docs, both, k, False, held).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = held.keep(shard_matches(indexed, k))
     of_windows = windows.join(found.where("n = 1 and first = 0").select(F.col("seg").alias("win")), "win").select("seg", F.col("offset").alias("first"), F.lit(1).alias("n"))

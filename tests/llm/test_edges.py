@@ -154,9 +154,16 @@ def test_wrapped_lines_are_one(spark):
 def test_index_reports_whole_and_partial_repeats():
     k = 5
     words = np.arange(1, 200, dtype=np.uint64)
-    segs = [words[:12], np.concatenate([words[100:103], words[2:9], words[110:113]]), words[50:60], words[70:80]]
-    found = {q: (a, n) for q, a, n in substring_dedup.shard_intervals(segs, np.array([1, 1, 2, 1]), k)}
-    assert found == {0: (2, 3), 1: (3, 3), 2: (0, 6)}  # the third has a copy elsewhere, the last has none
+    segs = [words[:12], np.concatenate([words[100:103], words[2:9], words[110:113]]), words[50:60], words[70:80], words[50:60]]
+    found = {q: (a, n) for q, a, n in substring_dedup.shard_intervals(segs, np.array([4, 9, 7, 5, 7]), k)}
+    assert found == {0: (2, 3), 1: (3, 3), 2: (0, 6)}  # the third stands in the index twice, under one name; the fourth once
+
+
+def test_copies_go_to_the_index_by_place_or_count(spark):
+    rows = [(1, 1, (5, 0), (9, 3)), (2, 2, (5, 0), (5, 0)), (3, 1, (5, 0), (5, 0)), (4, 7, (1, 1), (2, 2))]
+    groups = spark.createDataFrame(rows, "seg long, c long, first struct<d: long, start: int>, last struct<d: long, start: int>")
+    found = Counter(r.seg for r in substring_dedup.two_places(groups, ["seg"]).collect())
+    assert found == {1: 2, 2: 2, 3: 1, 4: 2}  # the first is found twice even where the count is wrong
 
 
 def test_bit_rows_and_search():
