@@ -1 +1 @@
-"""Column functions live with the operators that use them: see ``spec`` and ``operators``."""
+"""Column functions: from columns to columns, in the JVM, usable in any select, filter or aggregate."""

@@ -190,23 +190,6 @@ def statement_facts(wide: DataFrame, keys: list[str], items: dict[str, tuple[str
     return best.select(*keys, "type", "b.value", "b.origin")
 
 
-def plain_number(text: Column) -> Column:
-    """A number from text with thousands commas, a per cent sign (then over 100), brackets for minus, or blanks; else null."""
-    bare = F.trim(F.regexp_replace(text, "[,\\s]", ""))
-    percent, minus = bare.endswith("%"), bare.rlike(r"^\(.*\)$")
-    value = F.regexp_replace(bare, "[%()]", "").try_cast("double")
-    return F.when(percent, value / 100).otherwise(value) * F.when(minus, -1).otherwise(1)
-
-
-def era_date(text: Column, first_year: int = 1911) -> Column:
-    """A date from era text such as 112/03/05, 112-3-5 or 1120305 (year, month, day); null if there is no such day."""
-    parts = F.when(text.rlike(r"^\s*\d{6,7}\s*$"), F.regexp_replace(text, r"^\s*(\d+)(\d{2})(\d{2})\s*$", "$1/$2/$3")).otherwise(F.regexp_replace(text, "[-.]", "/"))
-    cut = F.split(F.trim(parts), "/")
-    number = lambda k: F.get(cut, F.lit(k)).try_cast("int")
-    iso = F.format_string("%04d-%02d-%02d", number(0) + first_year, number(1), number(2))
-    return F.when(F.size(cut) == 3, F.when(number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull(), iso)).try_cast("date")
-
-
 def any_observed(df: DataFrame, columns: list[str], out: str, spec: PanelSpec = PANEL) -> DataFrame:
     """1 where any of the columns has had a value of the entity up to the row, else 0."""
     seen = F.coalesce(*[F.last(c, ignorenulls=True).over(spec.past()) for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as fn
 from ..operators import crosssection as xs
 from ..operators import evaluate as ev
 from ..operators import features as ft
@@ -54,7 +55,7 @@ def _(s, d):
     era = F.when(k == 0, F.concat_ws("/", year, F.month("o_orderdate"), F.dayofmonth("o_orderdate"))).when(k == 1, F.format_string("%d%02d%02d", year, F.month("o_orderdate"), F.dayofmonth("o_orderdate")))
     era = era.when(k == 2, F.concat_ws("-", year, F.month("o_orderdate"), F.dayofmonth("o_orderdate"))).otherwise("85/13/40")
     rows = fx.read(s, d, "orders").select("o_orderkey", text.alias("t"), era.alias("e"))
-    return rows.select("o_orderkey", ft.plain_number(F.col("t")).alias("num"), ft.era_date(F.col("e")).alias("d"))
+    return rows.select("o_orderkey", fn.plain_number(F.col("t")).alias("num"), fn.era_date(F.col("e")).alias("d"))
 
 
 # --- B: flags, swaps, categories, labels
@@ -309,3 +310,42 @@ def _(s, d):
 @query("k09_old_and_new", f"with {LAYERS} select count(*) filter (b.w is not null and n.w is null) removed, count(*) filter (b.w is null) added, count(*) filter (b.w is not null and n.w is not null) kept, round(avg(abs(b.w - n.w)), 6) moved from b full join n on b.src = n.src and b.dst = n.dst")
 def _(s, d):
     return gr.compare_edges(*layers(s, d)).select("removed", "added", "kept", r("moved"))
+
+
+# --- J: column functions
+@query("j01_math", "select l_orderkey, l_linenumber, round(sign(l_quantity - 25) * ln(1 + abs(l_quantity - 25)), 6) slog, greatest(5.0, least(45.0, l_quantity)) clip, round(sqrt(l_extendedprice), 4) root from lineitem")
+def _(s, d):
+    line, q = fx.read(s, d, "lineitem"), F.col("l_quantity").cast("double")
+    return line.select("l_orderkey", "l_linenumber", F.round(fn.signed_log(q - 25), 6).alias("slog"), fn.clipped(q, 5, 45).alias("clip"), F.round(F.sqrt("l_extendedprice"), 4).alias("root"))
+
+
+@query("j02_ratios", "select l_orderkey, l_linenumber, round(l_quantity / nullif(l_discount, 0), 4) ratio, round(l_quantity / (l_discount + 1e-9), 2) soft from lineitem")
+def _(s, d):
+    q, x = F.col("l_quantity"), F.col("l_discount")
+    return fx.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(fn.ratio(q, x), 4).alias("ratio"), F.round(fn.soft_ratio(q, x), 2).alias("soft"))
+
+
+@query("j03_dates", """select o_orderkey, cast(last_day(cast(o_orderdate as date) + interval 2 month) as date) + 10 due, year(o_orderdate) || 'Q' || quarter(o_orderdate) q, strftime(o_orderdate, '%Y-%m') m, isodow(o_orderdate)::int dow,
+ (select count(*) from range(cast(o_orderdate as date) + 1, cast(o_orderdate as date) + 1 + (o_orderkey % 30)::int, interval 1 day) t(x) where isodow(x) < 6)::int as days from orders""")
+def _(s, d):
+    day = F.to_date("o_orderdate")
+    later = F.date_add(day, (F.col("o_orderkey") % 30).cast("int"))
+    return fx.read(s, d, "orders").select("o_orderkey", fn.month_end(day, 10, 2).alias("due"), fn.period(day, "Q").alias("q"), fn.period(day, "M").alias("m"), (F.weekday(day) + 1).alias("dow"), fn.weekdays_between(day, later).alias("days"))
+
+
+@query("j04_texts", "select o_orderkey, case o_orderpriority when '1-URGENT' then 'now' when '5-LOW' then 'later' else o_orderpriority end mapped, case when o_orderpriority like '1-%' then substr(o_orderpriority, 3) else o_orderpriority end bare, regexp_extract(o_orderpriority, '[A-Z]+', 0) word, o_orderpriority like '%E%' has_e from orders")
+def _(s, d):
+    p = F.col("o_orderpriority")
+    return fx.read(s, d, "orders").select("o_orderkey", fn.mapped(p, {"1-URGENT": "now", "5-LOW": "later"}).alias("mapped"), fn.without_affix(p, "1-").alias("bare"), F.regexp_extract(p, "[A-Z]+", 0).alias("word"), p.contains("E").alias("has_e"))
+
+
+@query("j05_conditions", sql("select id, d, case when unc > 0.3 then 'wild' else 'calm' end mood, coalesce(unc between 0.1 and 0.3, false) usual, coalesce(unc, score, 0) first_known from scores", "scores"))
+def _(s, d):
+    u = F.col("unc")
+    return S(s, d).select("id", "d", fn.chosen(u > 0.3, F.lit("wild"), F.lit("calm")).alias("mood"), fn.within(u, F.lit(0.1), F.lit(0.3)).alias("usual"), F.coalesce(u, "score", F.lit(0.0)).alias("first_known"))
+
+
+@query("j07_casts", "select doc_id, try_cast(substr(text, 1, 3) as double) num, cast(try_strptime(lpad(cast(doc_id % 40 as varchar), 2, '0') || '/03/1997', '%d/%m/%Y') as date) as on_day from documents where text is not null")
+def _(s, d):
+    day = F.concat(F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0"), F.lit("/03/1997"))
+    return fx.read(s, d, "documents").where("text is not null").select("doc_id", fn.number(F.substring("text", 1, 3)).alias("num"), fn.moment(day, "yyyy-MM-dd", "dd/MM/yyyy").cast("date").alias("on_day"))
