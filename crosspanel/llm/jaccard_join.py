@@ -20,6 +20,10 @@ the middle of a group of near copies does, so this joins most groups with a few
 different components are left: each document outside a list's largest component meets those sets of the list whose size and
 place allow a link, by an equality join on size bands. Whole sets decide each pair. No pair is dropped for any other reason.
 
+A list with many sets outside its largest component has a shingle that sets share without being similar, such as a header's, which
+the counts by bucket have not told from rare ones. Such shingles are known exactly by then: they move to the end of the order, the
+sets that had one in their prefix get a new prefix, and the lists are made again, until no such list is left or sets have no other shingles.
+
 Defined results: texts without words (or null) have size 0 and are their own component; a null id is linked like any other
 and its component is the smallest id in it that is not null, null if there is none; repeated rows of one id give equal rows;
 an empty table gives no rows. Only id and text are read; ids keep their type. Sets are compared by 64-bit hashes of shingles.
@@ -239,11 +243,15 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, held:
     return both.where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b").distinct()
 
 
-def inverted_lists(sig: DataFrame, members: DataFrame) -> DataFrame:
-    """key, h, n, pos of the lists with two sets or more, with two leaders (pos, h, n) of each list."""
+def prefix_rows(sig: DataFrame, members: DataFrame) -> DataFrame:
+    """key, long, h, n, pos of the prefix of every larger set."""
     reps = sig.join(members.select(F.col("rep").alias("row"), "h"), ["row", "h"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["h"])
     listed = reps.select("h", "n", F.posexplode(F.arrays_zip("keys", "long")).alias("pos", "x"))
-    rows = listed.select(F.col("x.keys").alias("key"), F.col("x.long").alias("long"), "h", "n", "pos")
+    return listed.select(F.col("x.keys").alias("key"), F.col("x.long").alias("long"), "h", "n", "pos")
+
+
+def inverted_lists(rows: DataFrame) -> DataFrame:
+    """key, h, n, pos of the lists with two sets or more, with two leaders (pos, h, n) of each list."""
     whole = Window.partitionBy("key")
     ends = [F.min(F.struct("pos", "h", "n")), F.max(F.struct("pos", "h", "n"))]
     short = rows.where("not long").select("key", "h", "n", "pos", ends[0].over(whole).alias("p"), ends[1].over(whole).alias("q"))
@@ -262,19 +270,58 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
 BAND = 1.1
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame, held: Steps) -> DataFrame:
+def placed_lists(lists: DataFrame, roots: DataFrame, held: Steps) -> tuple[DataFrame, DataFrame]:
+    """The lists' rows with their component, and key, major (the largest component) and minor (rows of others) of mixed lists."""
+    placed = held.keep(lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp")))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total")).where("comps > 1")
+    return placed, held.keep(mixed.select("key", F.col("m.comp").alias("major"), (F.col("total") - F.col("m.c")).alias("minor")))
+
+
+#: Rows of other components than the largest from which a list's shingle moves to the end of the order, and how often that is tried.
+CROWD, RERANKS = 128, 5
+
+
+def reranked(docs: DataFrame, members: DataFrame, rows: DataFrame, bad: DataFrame, late: DataFrame, k: int, levels: np.ndarray, held: Steps) -> DataFrame:
+    """The prefix rows when the shingles ``late`` come last in the order of all: sets with one of ``bad`` in their prefix get a new one.
+
+    Other sets have no such shingle in their prefix, so theirs stays what it is in the new order too.
+    """
+    hit = held.keep(rows.join(few(bad), "key", "left_semi").select("h").distinct())
+    wanted = held.keep(members.join(few(hit), "h", "left_semi").select("h", F.col("rep").alias("row")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            hashes, sets = [], []
+            for h, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
+                if set_hash(s) == h and h not in hashes[-1:]:
+                    hashes.append(h)
+                    sets.append(s)
+            n = pa.array([len(s) for s in sets], pa.int32())
+            level = _lists([levels[_buckets(s)] for s in sets], pa.int32(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), n, _lists(list(map(_signed, sets)), pa.int64(), np.int64), level], ["h", "n", "s", "level"])
+
+    whole = docs.join(few(wanted), "row").select("h", "text").mapInArrow(run, "h long, n int, s array<long>, level array<int>").dropDuplicates(["h"])
+    each = whole.select("h", "n", F.explode(F.arrays_zip("s", "level")).alias("x")).select("h", "n", F.col("x.s").alias("key"), "x.level")
+    each = each.join(few(late.withColumn("last", F.lit(1))), "key", "left")
+    # hashes are in unsigned order, as in the signatures
+    order = F.struct(F.coalesce("last", F.lit(0)).alias("last"), "level", F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "key")
+    ranked = each.groupBy("h", "n").agg(F.array_sort(F.collect_list(order)).alias("o"))
+    first = ranked.select("h", "n", F.posexplode(F.slice("o", F.lit(1), F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)"))).alias("pos", "x"))
+    new = first.select(F.col("x.key").alias("key"), ((F.col("x.level") > LONG) | (F.col("x.last") == 1)).alias("long"), "h", "n", "pos")
+    return rows.join(few(hit), "h", "left_anti").select("key", "long", "h", "n", "pos").unionByName(new)
+
+
+def open_pairs(placed: DataFrame, mixed: DataFrame, held: Steps) -> DataFrame:
     """Every pair (a, b) of sets from different components that may have its first common shingle in a list.
 
     By ``meets`` a set at place ``pos`` links to sets of ``reach = (9 (n - pos)) div 4 - n`` shingles at most. It is early if
     that is its own size or more; of two late sets none reaches the other. So a late set meets early ones alone, and each set
     meets only the bands of sizes from four fifths of its own to its reach.
     """
-    placed = held.keep(lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp")))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major")).where("comps > 1")
     reach = F.expr("((9 * (n - pos)) div 4) - n")
     band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND))).cast("int")
-    left = placed.join(held.keep(mixed.select("key", "major")), "key").withColumn("reach", reach).withColumn("early", F.expr("reach >= n").cast("int"))
+    left = placed.join(mixed.select("key", "major"), "key").withColumn("reach", reach).withColumn("early", F.expr("reach >= n").cast("int"))
     left = held.keep(left.where("5 * reach >= 4 * n"))
     low, high = F.ceil(F.col("n") * 4 / F.lit(5)), F.least(F.col("reach"), F.floor(F.col("n") * 5 / F.lit(4)))
     bands = F.sequence(band(low) - 1, band(high) + 1)  # one more on either side, for rounding
@@ -293,10 +340,23 @@ def grouped(docs: DataFrame, k: int, id_col: str, text_col: str, held: Steps) ->
     small, large = boundary(sizes, float(counts[counts > 2 * counts.mean() + 8].sum() / max(1, counts.sum())))
     sig = held.keep(signatures(base, k, levels, small, large))
     members = held.keep(sig.where("n > 0").groupBy("h", "n").agg(F.min("row").alias("rep")))
-    lists = held.keep(inverted_lists(sig, members))
+    rows = prefix_rows(sig, members)
+    lists = held.keep(inverted_lists(rows))
     light = small_links(sig.where(F.size("subs") > 0).dropDuplicates(["h"]))
     links = held.keep(light.unionByName(tested(base, members, held.keep(leader_pairs(lists)), k, held)))
-    late = tested(base, members, held.keep(open_pairs(lists, components(links), held)), k, held)
+    placed, mixed = placed_lists(lists, components(links), held)
+    last = None
+    for _ in range(RERANKS):
+        bad = mixed.where(F.col("minor") > CROWD).select("key")
+        bad = held.keep(bad if last is None else bad.join(last, "key", "left_anti"))
+        if bad.isEmpty():
+            break
+        last = bad if last is None else held.keep(last.unionByName(bad))
+        rows = held.keep(reranked(base, members, rows, bad, last, k, levels, held))
+        lists = held.keep(inverted_lists(rows))
+        links = held.keep(links.unionByName(tested(base, members, held.keep(leader_pairs(lists)), k, held)))
+        placed, mixed = placed_lists(lists, components(links), held)
+    late = tested(base, members, held.keep(open_pairs(placed, mixed, held)), k, held)
     roots = components(links.unionByName(late))
     named = members.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("comp"))
     out = sig.where("n > 0").select("row", "doc_id", "n", "h").join(named, "h").select("row", "doc_id", "n", "comp")

@@ -102,3 +102,63 @@ def test_water_filling_over_many_parts(spark, n):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     expected = filled(sizes, 1.5, 2.0, mixing.WEIGHTS)
     assert got.keys() == expected.keys() and all(abs(got[s] - expected[s]) <= 1e-9 * max(1, expected[s]) for s in got)
+
+
+def headed(n: int, seed: int) -> list[tuple]:
+    """Texts of 60 words that share a header of 16 words and nothing else, two near copies and one exact copy among them."""
+    r = random.Random(seed)
+    header = [f"head{i}" for i in range(16)]
+    rows = [(i, " ".join([*header, *(f"w{r.randrange(10**9)}" for _ in range(44))])) for i in range(n)]
+    return [*rows, (n, rows[7][1] + " tail"), (n + 1, rows[9][1].replace("head3", "changed")), (n + 2, rows[11][1])]
+
+
+def test_header_case_is_linear_where_every_bucket_is_full(spark, monkeypatch):
+    from crosspanel.llm import jaccard_join
+
+    counted, met = jaccard_join.shingle_counts, []
+    opened = jaccard_join.open_pairs
+
+    def full(docs, k):
+        counts, sizes = counted(docs, k)
+        return np.full_like(counts, 8192), sizes
+
+    def counting(*args):
+        out = opened(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "shingle_counts", full)
+    monkeypatch.setattr(jaccard_join, "open_pairs", counting)
+    monkeypatch.setattr(jaccard_join, "CROWD", 40)
+    for n in (300, 900):
+        found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(headed(n, n), "doc_id long, text string")).collect()}
+        assert found == {i: i for i in range(n)} | {n: 7, n + 1: 9, n + 2: 11}
+    assert met[1] <= 4 * max(met[0], 40 * 40 * 16), met
+
+
+def test_moving_shingles_last_changes_no_link(spark, monkeypatch):
+    from crosspanel.llm import jaccard_join
+
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    base = [" ".join([*r.sample(common, 12), *common[:10], *(f"x{r.randrange(200)}" for _ in range(r.randrange(20, 60)))]) for _ in range(60)]
+    rows = []
+    for i, text in enumerate(base):
+        words = text.split()
+        for j in range(4):
+            cut = words.copy()
+            for _ in range(j):
+                cut[r.randrange(len(cut))] = f"y{r.randrange(10**6)}"
+            rows.append((10 * i + j, " ".join(cut)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "CROWD", 0)
+    assert {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs).collect()} == before
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    ids, root = sorted(sets), {i: i for i in sets}
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if v in (x, y) else v for i, v in root.items()}
+    assert before == root
