@@ -194,6 +194,20 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
+    def head(self, first: str) -> bytes:
+        """The chunk that a text begins with, which no space precedes."""
+        if not (COMMON.fullmatch(first) and first[0] != "\n" and "<|" not in first):
+            return self.of(first)
+        out = []
+        for p in PIECES.findall(first):
+            ids = self.inner.get(p)
+            if ids is None:
+                ids = self.piece(p.encode().decode("latin-1").translate(self.symbols))
+                if len(p) <= REMEMBERED:
+                    self.inner[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             cut = [t.split(" ") for t in texts[at : at + 256]]
@@ -202,7 +216,7 @@ class Encoder:
             known = self.known
             for text, (first, *rest) in zip(texts[at : at + 256], cut, strict=True):
                 try:
-                    raw = (self.of(first) if first else b"") + b"".join([known[c] for c in rest])
+                    raw = (self.head(first) if first else b"") + b"".join([known[c] for c in rest])
                 except KeyError:
                     raw = self.of(text)
                 yield raw
