@@ -14,7 +14,10 @@ repeated rows give repeated results; an empty table gives no rows. Only doc_id a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,12 @@ SPACES = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class LineRules:
     wrapped: str = r"([^.!?:;…\"'”’)\]\x20\x09-\x0D])[\x20\x09]*\n([a-zß-ÿ])"
-    terminal: str = r"[.!?:;…\"'”’)\]。．！？：；」』）｡।॥؟۔።។။؛][\x20\x09-\x0D]*\z"
+    #: What must be in a text for any of its lines to be wrapped.
+    wrapped_next: str = r"\n[a-zß-ÿ]"
+    ends: str = ".!?:;…\"'”’)]。．！？：；」』）｡।॥؟۔።؛"
     mark: str = r"[.!?…][\x20\x09-\x0D]|[。．！？｡।॥؟۔።។။]"
     max_words_a_mark: int = 40
-    doubled_marks: str = r"[!?]{2,}"
+    doubled: str = "!?"
     max_doubled_share: float = 0.2
     symbols: str = "#*$%&|<>"
     max_symbol_share: float = 0.1
@@ -47,25 +52,39 @@ class LineRules:
     min_kept_share: float = 0.5
 
 
-def line_passes(line: Column, rules: LineRules = LineRules()) -> Column:
-    """Whether one line passes every rule."""
+def has_any(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(lambda a, p: a | F.contains(text, F.lit(p)), parts, F.lit(False))
+
+
+def line_passes(line: Column, rules: LineRules = LineRules(), phrases: Column | None = None, doubled: Column | None = None) -> Column:
+    """Whether one line passes every rule.
+
+    ``phrases`` and ``doubled`` tell of its whole text whether any line can have a boilerplate phrase, or marks in a row: most
+    texts have neither, and their lines need no pattern for it.
+    """
     chars = F.greatest(F.length(F.translate(line, SPACES, "")), F.lit(1))
     n_symbols = F.length(line) - F.length(F.translate(line, rules.symbols, ""))
     n_separators = F.length(line) - F.length(F.translate(line, rules.separators, ""))
     n_words = F.regexp_count(line, F.lit(WORD))
-    n_doubled = F.regexp_count(line, F.lit(rules.doubled_marks))
-    lower, phrases = F.lower(line), "|".join(rules.boilerplate)
-    n_phrases = F.length(line) - F.length(F.regexp_replace(lower, phrases, ""))
-    # cheap rules come first, and of each rule its cheap test: counts are made only where that test does not settle it
+    last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
+    n_doubled = F.regexp_count(line, F.lit(f"[{re.escape(rules.doubled)}]{{2,}}"))
+    n_phrases = F.length(line) - F.length(F.regexp_replace(F.lower(line), "|".join(map(re.escape, rules.boilerplate)), ""))
+    phrases = has_any(F.lower(line), rules.boilerplate) if phrases is None else phrases
+    doubled = has_any(line, pairs_of(rules.doubled)) if doubled is None else doubled
+    # the cheap test of each rule comes first, its counts only where that test does not settle it
     return (
         (n_separators <= rules.max_separators)
         & ((n_symbols == 0) | (n_symbols <= F.lit(rules.max_symbol_share) * chars))
-        & (line.rlike(rules.terminal) | (F.regexp_count(line, F.lit(rules.mark)) * rules.max_words_a_mark >= n_words))
-        & (~line.rlike(rules.doubled_marks) | (n_doubled <= F.lit(rules.max_doubled_share) * n_words))
-        & (~lower.rlike(phrases) | (n_phrases <= F.lit(rules.max_boilerplate_share) * F.length(line)))
+        & (((last != "") & F.contains(F.lit(rules.ends), last)) | (F.regexp_count(line, F.lit(rules.mark)) * rules.max_words_a_mark >= n_words))
+        & (~doubled | (n_doubled <= F.lit(rules.max_doubled_share) * n_words))
+        & (~phrases | (n_phrases <= F.lit(rules.max_boilerplate_share) * F.length(line)))
     )
 
 
+def pairs_of(marks: str) -> list[str]:
+    return [a + b for a in marks for b in marks]
+
+
 def repeated_words(tokens: Column, n: int = 3) -> Column:
     """Words inside n-word windows that occur twice or more in the list.
 
@@ -92,8 +111,13 @@ def repeated_words(tokens: Column, n: int = 3) -> Column:
 
 def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
     """The distinct lines of a text that pass, in order."""
-    whole = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, rules.wrapped, "$1 $2")).otherwise(text)
-    return F.filter(F.array_distinct(F.split(whole, "\n")), lambda x: line_passes(x, rules))
+    whole = F.when(text.rlike(rules.wrapped_next), F.regexp_replace(text, rules.wrapped, "$1 $2")).otherwise(text)
+
+    def passing(w: Column) -> Column:
+        told = F.struct(has_any(F.lower(w), rules.boilerplate).alias("phrases"), has_any(w, pairs_of(rules.doubled)).alias("doubled"))
+        return let(told, lambda t: F.filter(F.array_distinct(F.split(w, "\n")), lambda x: line_passes(x, rules, t["phrases"], t["doubled"])))
+
+    return let(whole, passing)
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
