@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import period
 from ..spec import PANEL, PanelSpec
 from .crosssection import equal_bins, unique_rank
 
@@ -176,3 +177,26 @@ def zone_ics(df: DataFrame, score: str, label: str, least: int, tails: float = 0
     grp = F.when((F.col("_p") <= tails) | (F.col("_p") >= 1 - tails), "tails").when(F.col("_p").between(*middle), "middle")
     daily = rank_ic(p.withColumn("grp", grp).where("grp is not null"), score, label, least, "ic", ("grp",), spec)
     return daily.groupBy("grp").agg(F.avg("ic").alias("mean"), F.count("ic").alias("n"))
+
+
+def tail_members(df: DataFrame, score: str, bins: int, spec: PanelSpec = PANEL) -> DataFrame:
+    """The rows of the lowest and the highest score bin of each date, with bin."""
+    return equal_bins(df.where(F.col(score).isNotNull()), score, bins, "bin", spec).where(F.col("bin").isin(1, bins))
+
+
+def tail_by_quarter(df: DataFrame, score: str, label: str, bins: int = 10, spec: PanelSpec = PANEL) -> DataFrame:
+    """bin, quarter, days, mean: daily mean labels of the two tails, by calendar quarter."""
+    daily = tail_members(df, score, bins, spec).where(F.col(label).isNotNull()).groupBy("bin", spec.date).agg(F.avg(label).alias("_m"))
+    return daily.groupBy("bin", period(F.col(spec.date), "Q").alias("quarter")).agg(F.count(F.lit(1)).alias("days"), F.avg("_m").alias("mean"))
+
+
+def tail_past_correlation(df: DataFrame, score: str, past: str, bins: int = 10, spec: PanelSpec = PANEL) -> DataFrame:
+    """bin, n, corr: how far the scores of each tail follow a past return."""
+    return tail_members(df, score, bins, spec).where(F.col(past).isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.corr(score, past).alias("corr"))
+
+
+def tail_without_best(df: DataFrame, score: str, label: str, k: int, bins: int = 10, spec: PanelSpec = PANEL) -> DataFrame:
+    """bin, days, mean, without: daily mean labels of the two tails, with and without each one's k best dates. One row a date and tail."""
+    daily = tail_members(df, score, bins, spec).where(F.col(label).isNotNull()).groupBy("bin", spec.date).agg(F.avg(label).alias("_m"))
+    placed = daily.withColumn("_k", F.row_number().over(Window.partitionBy("bin").orderBy(F.col("_m").desc(), spec.date)))
+    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("days"), F.avg("_m").alias("mean"), F.avg(F.when(F.col("_k") > k, F.col("_m"))).alias("without"))

@@ -10,6 +10,7 @@ from ..operators import crosssection as xs
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import graph as gr
+from ..operators import matrix as mx
 from ..operators import quality as dq
 from ..operators import strategy as st
 from ..operators import timeseries as ts
@@ -17,7 +18,7 @@ from ..sources import files
 from ..sources import fixtures as fx
 
 from .catalog import TR, P, S, W, W_, bench, ewm_sql, query, r, sql
-from .more import IC, WIDE
+from .more import BIN, IC, WIDE
 
 
 # --- A: loading, bounds, statements, text
@@ -177,6 +178,25 @@ def _(s, d):
     return daily.groupBy("era", "both_").agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("x"), 6).alias("mean"))
 
 
+TAILS = f"tl as (select * from (select *, {BIN.format('score', 10)} bin from scores) where bin in (1, 10))"
+
+
+@query("e16_tail_quarters", sql("", "scores").rstrip() + f", {TAILS} select bin, year(d) || 'Q' || quarter(d) quarter, count(*) as days, round(avg(m), 6) mean from (select bin, d, avg(label) m from tl where label is not null group by 1, 2) group by 1, 2")
+def _(s, d):
+    return ev.tail_by_quarter(S(s, d), "score", "label").select("bin", "quarter", "days", r("mean"))
+
+
+@query("e16_tail_past_returns", sql("", "scores").rstrip() + f", pr as (select id, d, close / lag(close, 20) {W} - 1 past from panel), {TAILS} select bin, count(*) n, round(corr(score, past), 5) as corr from tl join pr using (id, d) where past is not null group by 1")
+def _(s, d):
+    past = ts.pct_change(P(s, d), "close", 20, "past").select("id", "d", "past")
+    return ev.tail_past_correlation(S(s, d).join(past, ["id", "d"]), "score", "past").select("bin", "n", r("corr", 5))
+
+
+@query("e16_tail_without_best", sql("", "scores").rstrip() + f", {TAILS} select bin, count(*) as days, round(avg(m), 6) mean, round(avg(m) filter (k > 10), 6) without from (select bin, d, m, row_number() over (partition by bin order by m desc, d) k from (select bin, d, avg(label) m from tl where label is not null group by 1, 2)) group by 1")
+def _(s, d):
+    return ev.tail_without_best(S(s, d), "score", "label", 10).select("bin", "days", r("mean"), r("without"))
+
+
 @query("e21_concentration", sql("", "scores").rstrip() + """, t as (select d, avg(label) x from (select *, row_number() over (partition by d order by score desc, id) k from scores where label is not null) where k <= 10 group by d)
  select round(sum(x) filter (k <= 10) / sum(x), 6) best_days, round(avg(x) filter (k > 10), 8) mean_without, count(*) n from (select x, row_number() over (order by x desc, d) k from t)""")
 def _(s, d):
@@ -349,3 +369,11 @@ def _(s, d):
 def _(s, d):
     day = F.concat(F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0"), F.lit("/03/1997"))
     return fx.read(s, d, "documents").where("text is not null").select("doc_id", fn.number(F.substring("text", 1, 3)).alias("num"), fn.moment(day, "yyyy-MM-dd", "dd/MM/yyyy").cast("date").alias("on_day"))
+
+
+# --- M: the whole matrix
+@query("m09_wide_matrix", None)
+def _(s, d):
+    p, names = mx.base_matrix(P(s, d), bench(s, d))
+    out = mx.scaled_matrix(p, names)
+    return out.select("id", "d", *[r(c, 5) for c in names], "avail_long")
