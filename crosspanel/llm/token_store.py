@@ -43,6 +43,7 @@ CHUNKS, REMEMBERED = 450_000, 32
 #: The stand-in of a space in byte-level tokens.
 SPACE = "\u0120"
 #: A chunk of common letters, signs and line feeds, and the pieces of it that the tokenizer's pattern makes.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 COMMON = re.compile("[!-~\nÀ-ÖØ-öø-ɏ]+")
 PIECES = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\n+(?!\\S)|\n+")
 
@@ -67,10 +68,11 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = over[COUNTS[s] : COUNTS[s] + n] == over[:n]
         if not fits.any():
             break  # what does not fit here fits in no longer run of narrower ids
-        choice[fits] = s
-    steps, at, starts = COUNTS[choice].tolist(), 0, []
+        np.putmask(choice, fits, np.uint8(s))
+    steps, at, starts = COUNTS.astype(np.uint8)[choice].tolist(), 0, []
+    begins = starts.append
     while at < n:
-        starts.append(at)
+        begins(at)
         at += steps[at]
     begin = np.array(starts, np.int64)
     selector = choice[begin] if n else np.zeros(0, np.uint8)
@@ -78,8 +80,9 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(selector):
         if WIDTHS[s]:
             mine = np.flatnonzero(selector == s)
-            for j in range(COUNTS[s]):
-                words[mine] |= padded[begin[mine] + j] << np.uint64(j * WIDTHS[s])
+            place = np.arange(COUNTS[s])
+            parts = padded[begin[mine][:, None] + place] << (place * WIDTHS[s]).astype(np.uint64)
+            words[mine] |= np.bitwise_or.reduce(parts, axis=1)
     return words, escapes
 
 
@@ -147,6 +150,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}  # pieces that no space precedes
+        self.marks = {m: self.piece(m) for m in ",.;:!?)"}
 
     def of(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -159,11 +163,20 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         """Remembers the chunks that can stand alone."""
         known, before, packed, tokenize, odd = self.known, self.before, self.packed, self.model.tokenize, []
+        marks = self.marks
         for c in chunks:
             if (ids := before.get(c)) is not None:
                 known[c] = ids
             elif c.isascii() and c.isalpha():
                 known[c] = b"".join([packed[t.id] for t in tokenize(SPACE + c)])
+            elif LETTERS.fullmatch(c):
+                known[c] = self.piece((" " + c).encode().decode("latin-1").translate(self.symbols))
+            elif (mark := marks.get(c[-1:])) is not None and LETTERS.fullmatch(word := c[:-1]):  # a word and one mark
+                if (ids := known.get(word)) is None and (ids := before.get(word)) is None:
+                    ids = b"".join([packed[t.id] for t in tokenize(SPACE + word)]) if word.isascii() else self.piece((" " + word).encode().decode("latin-1").translate(self.symbols))
+                    if len(word) <= REMEMBERED:
+                        known[word] = ids
+                known[c] = ids + mark
             elif COMMON.fullmatch(c) and c[0] != "\n" and "<|" not in c:
                 known[c] = self.mixed(c)
             elif c and not c[0].isspace():
@@ -181,6 +194,8 @@ class Encoder:
     def mixed(self, chunk: str) -> bytes:
         first, *rest = PIECES.findall(" " + chunk)
         out = [self.known.get(first[1:])]
+        if out[0] is None and (ids := self.before.get(first[1:])) is not None:
+            out[0] = ids
         if out[0] is None:
             out[0] = self.piece(first.encode().decode("latin-1").translate(self.symbols))
             if len(first) <= REMEMBERED:
