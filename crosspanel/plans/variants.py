@@ -181,9 +181,9 @@ def _(s, d):
 TAILS = f"tl as (select * from (select *, {BIN.format('score', 10)} bin from scores) where bin in (1, 10))"
 
 
-@query("e16_tail_quarters", sql("", "scores").rstrip() + f", {TAILS} select bin, year(d) || 'Q' || quarter(d) quarter, count(*) as days, round(avg(m), 6) mean from (select bin, d, avg(label) m from tl where label is not null group by 1, 2) group by 1, 2")
+@query("e16_tail_quarters", sql("", "scores").rstrip() + f", {TAILS} select bin, year(d) || 'Q' || quarter(d) qtr, count(*) as days, round(avg(m), 6) mean from (select bin, d, avg(label) m from tl where label is not null group by 1, 2) group by 1, 2")
 def _(s, d):
-    return ev.tail_by_quarter(S(s, d), "score", "label").select("bin", "quarter", "days", r("mean"))
+    return ev.tail_by_quarter(S(s, d), "score", "label").select("bin", F.col("quarter").alias("qtr"), "days", r("mean"))
 
 
 @query("e16_tail_past_returns", sql("", "scores").rstrip() + f", pr as (select id, d, close / lag(close, 20) {W} - 1 past from panel), {TAILS} select bin, count(*) n, round(corr(score, past), 5) as corr from tl join pr using (id, d) where past is not null group by 1")
@@ -192,9 +192,9 @@ def _(s, d):
     return ev.tail_past_correlation(S(s, d).join(past, ["id", "d"]), "score", "past").select("bin", "n", r("corr", 5))
 
 
-@query("e16_tail_without_best", sql("", "scores").rstrip() + f", {TAILS} select bin, count(*) as days, round(avg(m), 6) mean, round(avg(m) filter (k > 10), 6) without from (select bin, d, m, row_number() over (partition by bin order by m desc, d) k from (select bin, d, avg(label) m from tl where label is not null group by 1, 2)) group by 1")
+@query("e16_tail_without_best", sql("", "scores").rstrip() + f", {TAILS} select bin, count(*) as days, round(avg(m), 6) mean, round(avg(m) filter (k > 10), 6) rest from (select bin, d, m, row_number() over (partition by bin order by m desc, d) k from (select bin, d, avg(label) m from tl where label is not null group by 1, 2)) group by 1")
 def _(s, d):
-    return ev.tail_without_best(S(s, d), "score", "label", 10).select("bin", "days", r("mean"), r("without"))
+    return ev.tail_without_best(S(s, d), "score", "label", 10).select("bin", "days", r("mean"), F.round("without", 6).alias("rest"))
 
 
 @query("e21_concentration", sql("", "scores").rstrip() + """, t as (select d, avg(label) x from (select *, row_number() over (partition by d order by score desc, id) k from scores where label is not null) where k <= 10 group by d)
