@@ -275,11 +275,12 @@ def placed_lists(lists: DataFrame, roots: DataFrame, held: Steps) -> tuple[DataF
     placed = held.keep(lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "n", "pos", F.coalesce("root", "h").alias("comp")))
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("total")).where("comps > 1")
-    return placed, held.keep(mixed.select("key", F.col("m.comp").alias("major"), (F.col("total") - F.col("m.c")).alias("minor")))
+    return placed, held.keep(mixed.select("key", F.col("m.comp").alias("major"), (F.col("total") - F.col("m.c")).alias("minor"), "total"))
 
 
-#: Rows of other components than the largest from which a list's shingle moves to the end of the order, and how often that is tried.
-CROWD, RERANKS = 128, 5
+#: Rows of other components than the largest from which a list's shingle moves to the end of the order, how many pairs such lists must
+#: have together for that to pay, and how often it is tried. All three change cost only.
+CROWD, WORTH, RERANKS = 128, 5_000_000, 5
 
 
 def reranked(docs: DataFrame, members: DataFrame, rows: DataFrame, bad: DataFrame, late: DataFrame, k: int, levels: np.ndarray, held: Steps) -> DataFrame:
@@ -347,10 +348,11 @@ def grouped(docs: DataFrame, k: int, id_col: str, text_col: str, held: Steps) ->
     placed, mixed = placed_lists(lists, components(links), held)
     last = None
     for _ in range(RERANKS):
-        bad = mixed.where(F.col("minor") > CROWD).select("key")
-        bad = held.keep(bad if last is None else bad.join(last, "key", "left_anti"))
-        if bad.isEmpty():
+        bad = mixed.where(F.col("minor") > CROWD).select("key", F.col("minor").cast("double") * F.col("total"))
+        bad = held.keep((bad if last is None else bad.join(last, "key", "left_anti")).toDF("key", "pairs"))
+        if (bad.agg(F.sum("pairs")).first()[0] or 0) <= WORTH:
             break
+        bad = bad.select("key")
         last = bad if last is None else held.keep(last.unionByName(bad))
         rows = held.keep(reranked(base, members, rows, bad, last, k, levels, held))
         lists = held.keep(inverted_lists(rows))

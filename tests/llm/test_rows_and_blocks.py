@@ -130,6 +130,7 @@ def test_header_case_is_linear_where_every_bucket_is_full(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "shingle_counts", full)
     monkeypatch.setattr(jaccard_join, "open_pairs", counting)
     monkeypatch.setattr(jaccard_join, "CROWD", 40)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
     for n in (300, 900):
         found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(headed(n, n), "doc_id long, text string")).collect()}
         assert found == {i: i for i in range(n)} | {n: 7, n + 1: 9, n + 2: 11}
@@ -153,6 +154,7 @@ def test_moving_shingles_last_changes_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     before = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs).collect()}
     monkeypatch.setattr(jaccard_join, "CROWD", 0)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
     assert {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs).collect()} == before
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     ids, root = sorted(sets), {i: i for i in sets}
