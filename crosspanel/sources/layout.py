@@ -12,7 +12,7 @@ def write_bucketed(panel: DataFrame, table: str, buckets: int, spec: PanelSpec =
     """The panel as a table in buckets of entities, each one file in order of entity and date; replaces a table of that name.
 
     Windows by entity, aggregates and joins on it then plan without an exchange of this table, and two tables with as many buckets
-    meet bucket by bucket. Choose buckets so that one is a task's work: rows grow, buckets do not. Null entities share one bucket.
+    meet bucket by bucket; joins on more keys than the entity do so only with ``spark.sql.requireAllClusterKeysForCoPartition`` off. Choose buckets so that one is a task's work: rows grow, buckets do not. Null entities share one bucket.
     """
     spark = panel.sparkSession
     rows = panel.repartition(buckets, spec.entity).sortWithinPartitions(spec.entity, spec.date)
