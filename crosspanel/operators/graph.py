@@ -48,10 +48,10 @@ def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int,
     y = x.select(spec.date, F.col("src").alias("dst"), F.col("_x").alias("_y"))
     pairs = x.join(y, spec.date).where("src < dst").groupBy("src", "dst").agg(correlation("_x", "_y").alias("weight"), F.count(F.lit(1)).alias("n"))
     strong = pairs.where((F.col("n") >= least) & (F.round("weight", 9) > threshold)).select("src", "dst", F.round("weight", 9).alias("weight"))
-    return cap_edges(both_ways(strong), top)
+    return cap_edges(reversed_too(strong), top)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
+def reversed_too(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 

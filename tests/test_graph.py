@@ -41,3 +41,13 @@ def test_peer_queries_equal_sql_on_categories_beyond_the_window(spark):
         ours, theirs = catalog.QUERIES[name](spark, SF), c.sql(catalog.ORACLES[name])
         assert ours.columns == theirs.columns
         assert sorted(map(tuple, ours.collect())) == sorted(theirs.fetchall())
+
+
+def test_correlation_edges_run_beside_the_pairs_both_ways(spark):
+    # two series that move together, one that moves against them, one too short
+    xs = [0.1, -0.2, 0.3, 0.05, -0.1, 0.2]
+    rows = [(i, k, sign * x) for i, sign in ((1, 1.0), (2, 2.0), (3, -1.0)) for k, x in enumerate(xs)] + [(4, 0, 0.1), (4, 1, -0.2)]
+    panel = spark.createDataFrame(rows, "id long, k int, ret double").selectExpr("id", "date_add(date'2024-01-01', k) d", "ret")
+    assert sorted(map(tuple, gr.correlation_edges(panel, "ret", 0.15, 5, 3).collect())) == [(1, 2, 1.0), (2, 1, 1.0)]
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 1)], "a long, b long")
+    assert sorted(map(tuple, gr.both_ways(pairs, "a", "b", 5, 0.5).collect())) == [(1, 2, 0.5), (2, 1, 0.5)]
