@@ -20,7 +20,9 @@ the middle of a group of near copies does, so this joins most groups with a few
 different components are left: each document outside a list's largest component meets those sets of the list whose size and
 place allow a link, by an equality join on size bands. Whole sets decide each pair. No pair is dropped for any other reason.
 
-A list with many sets outside its largest component has a shingle that sets share without being similar, such as a header's, which
+Before whole sets are read, parities of a bit or two a shingle rule out most pairs that differ in too many shingles.
+
+A list with many sets outside its largest component, and many pairs of them to look at, has a shingle that sets share without being similar, such as a header's, which
 the counts by bucket have not told from rare ones. Such shingles are known exactly by then: they move to the end of the order, the
 sets that had one in their prefix get a new prefix, and the lists are made again, until no such list is left or sets have no other shingles.
 
@@ -113,10 +115,32 @@ def set_hash(s: np.ndarray) -> int:
     return x - (x >> 63 << 64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether each of about as many buckets as the set has shingles holds an odd number of them, as bits of 64-bit words.
+
+    The number of words is a power of two; a longer one folds to a shorter one, half on half. Two sets differ in as many shingles
+    at least as their bits do.
+    """
+    wide = 1 << max(0, -(-len(s) // 64) - 1).bit_length()
+    bits = np.zeros(wide, np.uint64)
+    np.bitwise_xor.at(bits, ((s >> np.uint64(6)) & np.uint64(wide - 1)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+    return _signed(bits)
+
+
 def _buckets(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """``CHUNK`` counters by planes of equal bytes, of which most are zeros, compressed."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<i8").view("u1").reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * CHUNK, codec="zstd", asbytes=True), "u1").reshape(8, CHUNK)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the shingles of all documents by bucket, repeats in a document included, and of documents by size up to ``MOST``.
 
@@ -126,7 +150,7 @@ def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = "chunk int, salt int, counts binary"
 
     def row(chunk: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
-        arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([counts.astype("<i8" if counts.max() > 255 else "u1").tobytes()], pa.binary())]
+        arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed(counts)], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +173,16 @@ def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for chunk, salt, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(raw, "u1" if len(raw) == CHUNK else "<i8")
-                sums[chunk, salt] = sums[chunk, salt] + mine if (chunk, salt) in sums else mine.astype(np.int64)
+                mine = unpacked(raw)
+                sums[chunk, salt] = sums[chunk, salt] + mine if (chunk, salt) in sums else mine
         for (chunk, salt), counts in sums.items():
             yield row(chunk, salt, counts)
 
     once = docs.select("text").mapInArrow(count, rows).repartition("chunk", "salt").mapInArrow(add, rows)
     every = once.withColumn("salt", F.lit(0)).repartition("chunk").mapInArrow(add, rows)
     counts, sizes = np.zeros(size, np.int64), np.zeros(MOST + 1, np.int64)
-    for r in every.toLocalIterator():
-        mine = np.frombuffer(r.counts, "u1" if len(r.counts) == CHUNK else "<i8")
+    for r in every.collect():  # the sketch alone, whatever the corpus
+        mine = unpacked(r.counts)
         if r.chunk < 0:
             sizes += mine[: MOST + 1]
         else:
@@ -167,16 +191,17 @@ def shingle_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, levels: np.ndarray, small: int, large: int) -> DataFrame:
-    """row, doc_id, n, h (hash of the whole set), keys and long of the inverted lists, subs and sizes of small sets' subsets."""
+    """row, doc_id, n, h (hash of the whole set), odd (its parity), keys and long of the inverted lists, subs and sizes of small sets' subsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in steps(batches, 2):
-            n, h, keys, long, subs, sizes = [], [], [], [], [], []
+            n, h, odd, keys, long, subs, sizes = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(2).to_pylist(), k):
                 n.append(len(s))
                 h.append(set_hash(s))
                 mine, level = s[:0], none
+                odd.append(parity(s) if len(s) >= large else none)
                 if len(s) >= large:
                     level = levels[_buckets(s)]
                     first = np.argsort(level, kind="stable")[: prefix_length(len(s))]  # the set is in order of hash
@@ -187,13 +212,13 @@ def signatures(docs: DataFrame, k: int, levels: np.ndarray, small: int, large: i
                 subs.append(of)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(h, pa.int64()), _lists(keys, pa.int64(), np.int64),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(h, pa.int64()), _lists(odd, pa.int64(), np.int64), _lists(keys, pa.int64(), np.int64),
                  _lists(long, pa.bool_(), np.bool_), _lists(subs, pa.int64(), np.int64), _lists(sizes, pa.int32(), np.int32)],
-                ["row", "doc_id", "n", "h", "keys", "long", "subs", "sizes"],
+                ["row", "doc_id", "n", "h", "odd", "keys", "long", "subs", "sizes"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n int, h long, keys array<long>, long array<boolean>, subs array<long>, sizes array<int>"
+    schema = f"row long, doc_id {kind}, n int, h long, odd array<long>, keys array<long>, long array<boolean>, subs array<long>, sizes array<int>"
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -218,6 +243,30 @@ def near_sizes(n_a: str, n_b: str) -> Column:
     return F.expr(f"5 * least({n_a}, {n_b}) >= 4 * greatest({n_a}, {n_b})")
 
 
+def one_each(sig: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of signatures, one of each set. Only those of sets that several rows have are moved, if there are few such sets."""
+    several = few(members.where("copies > 1").select("h"))
+    return sig.join(several, "h", "left_anti").unionByName(sig.join(several, "h", "left_semi").dropDuplicates(["h"]))
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sets' parities do not rule out.
+
+    Linked sets differ in a ninth of ``n_a + n_b`` shingles at most, so no more of their bits may differ. Sizes as near as a pair's
+    have as many words or twice as many.
+    """
+    asked = few(pairs.select("a", "b"))
+    one = asked.join(sets.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a")
+    two = asked.join(sets.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b")
+
+    def folded(x: str, y: str) -> Column:
+        low, high = F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y))
+        return F.when(F.size(x) > F.size(y), F.zip_with(low, high, lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    apart = F.aggregate(F.zip_with(folded("x", "y"), folded("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    return one.join(two, ["a", "b"]).where(F.coalesce(apart, F.lit(0)) * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
 def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, held: Steps) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is 0.8 or more, by their whole sets.
 
@@ -245,7 +294,7 @@ def tested(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, held:
 
 def prefix_rows(sig: DataFrame, members: DataFrame) -> DataFrame:
     """key, long, h, n, pos of the prefix of every larger set."""
-    reps = sig.join(members.select(F.col("rep").alias("row"), "h"), ["row", "h"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["h"])
+    reps = one_each(sig.where(F.size("keys") > 0).select("h", "n", "keys", "long"), members)
     listed = reps.select("h", "n", F.posexplode(F.arrays_zip("keys", "long")).alias("pos", "x"))
     return listed.select(F.col("x.keys").alias("key"), F.col("x.long").alias("long"), "h", "n", "pos")
 
@@ -278,8 +327,9 @@ def placed_lists(lists: DataFrame, roots: DataFrame, held: Steps) -> tuple[DataF
     return placed, held.keep(mixed.select("key", F.col("m.comp").alias("major"), (F.col("total") - F.col("m.c")).alias("minor"), "total"))
 
 
-#: Rows of other components than the largest from which a list's shingle moves to the end of the order, how many pairs such lists must
-#: have together for that to pay, and how often it is tried. All three change cost only.
+#: Rows of other components than the largest from which a list is crowded; its shingle moves to the end of the order if the list has more
+#: than the square of that in pairs to look at. How many pairs such lists must have together for that to pay, and how often it is tried.
+#: All three change cost only.
 CROWD, WORTH, RERANKS = 128, 5_000_000, 5
 
 
@@ -313,21 +363,37 @@ def reranked(docs: DataFrame, members: DataFrame, rows: DataFrame, bad: DataFram
     return rows.join(few(hit), "h", "left_anti").select("key", "long", "h", "n", "pos").unionByName(new)
 
 
-def open_pairs(placed: DataFrame, mixed: DataFrame, held: Steps) -> DataFrame:
-    """Every pair (a, b) of sets from different components that may have its first common shingle in a list.
+def sides(placed: DataFrame, mixed: DataFrame, held: Steps) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets outside their list's largest component, and those of sets that they may meet there, with what both share.
 
     By ``meets`` a set at place ``pos`` links to sets of ``reach = (9 (n - pos)) div 4 - n`` shingles at most. It is early if
     that is its own size or more; of two late sets none reaches the other. So a late set meets early ones alone, and each set
     meets only the bands of sizes from four fifths of its own to its reach.
     """
     reach = F.expr("((9 * (n - pos)) div 4) - n")
-    band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    # a size's own band, or with a little added or taken away, for rounding, the last or first that may hold it
+    band = lambda size, more=0.0: F.floor(F.log(size.cast("double")) / F.log(F.lit(BAND)) + F.lit(more)).cast("int")
     left = placed.join(mixed.select("key", "major"), "key").withColumn("reach", reach).withColumn("early", F.expr("reach >= n").cast("int"))
     left = held.keep(left.where("5 * reach >= 4 * n"))
-    low, high = F.ceil(F.col("n") * 4 / F.lit(5)), F.least(F.col("reach"), F.floor(F.col("n") * 5 / F.lit(4)))
-    bands = F.sequence(band(low) - 1, band(high) + 1)  # one more on either side, for rounding
+    low, high = F.expr("(4 * n + 4) div 5"), F.least(F.col("reach"), F.expr("(5 * n) div 4"))
+    bands = F.sequence(band(low, -1e-9), band(high, 1e-9))
     mine = left.where("comp <> major").withColumn("band", F.explode(bands)).withColumn("early2", F.explode(F.expr("if(early = 1, array(0, 1), array(1))")))
     other = left.select("key", band(F.col("n")).alias("band"), F.col("early").alias("early2"), *(F.col(x).alias(f"{x}2") for x in ("h", "n", "pos", "comp", "major")))
+    return mine, other
+
+
+def meetings(placed: DataFrame, mixed: DataFrame, held: Steps) -> DataFrame:
+    """key, pairs: how many pairs of rows ``open_pairs`` would look at in each crowded list."""
+    crowded = few(held.keep(mixed.where(F.col("minor") > CROWD)))
+    mine, other = sides(placed, crowded, held)
+    at = ["key", "band", "early2"]
+    ours, theirs = (x.groupBy(at).agg(F.count(F.lit(1)).cast("double").alias(c)) for x, c in ((mine, "c"), (other, "c2")))
+    return ours.join(theirs, at).groupBy("key").agg(F.sum(F.col("c") * F.col("c2")).alias("pairs"))
+
+
+def open_pairs(placed: DataFrame, mixed: DataFrame, held: Steps) -> DataFrame:
+    """Every pair (a, b) of sets from different components that may have its first common shingle in a list."""
+    mine, other = sides(placed, mixed, held)
     met = mine.join(other, ["key", "band", "early2"]).where("comp <> comp2 and (comp2 = major2 or h < h2)").where(meets("n", "pos", "n2", "pos2"))
     return met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
 
@@ -340,26 +406,27 @@ def grouped(docs: DataFrame, k: int, id_col: str, text_col: str, held: Steps) ->
     levels = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
     small, large = boundary(sizes, float(counts[counts > 2 * counts.mean() + 8].sum() / max(1, counts.sum())))
     sig = held.keep(signatures(base, k, levels, small, large))
-    members = held.keep(sig.where("n > 0").groupBy("h", "n").agg(F.min("row").alias("rep")))
+    members = held.keep(sig.where("n > 0").groupBy("h", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    sets = one_each(sig.where(F.size("odd") > 0).select("h", "n", "odd"), members)
     rows = prefix_rows(sig, members)
     lists = held.keep(inverted_lists(rows))
-    light = small_links(sig.where(F.size("subs") > 0).dropDuplicates(["h"]))
-    links = held.keep(light.unionByName(tested(base, members, held.keep(leader_pairs(lists)), k, held)))
-    placed, mixed = placed_lists(lists, components(links), held)
+    light = small_links(one_each(sig.where(F.size("subs") > 0).select("h", "n", "subs", "sizes"), members))
+    linked = lambda pairs: tested(base, members, held.keep(likely(held.keep(pairs), sets)), k, held)
+    roots = components(held.keep(light.unionByName(linked(leader_pairs(lists)))))
+    placed, mixed = placed_lists(lists, roots, held)
     last = None
     for _ in range(RERANKS):
-        bad = mixed.where(F.col("minor") > CROWD).select("key", F.col("minor").cast("double") * F.col("total"))
-        bad = held.keep((bad if last is None else bad.join(last, "key", "left_anti")).toDF("key", "pairs"))
+        bad = meetings(placed, mixed, held).where(F.col("pairs") > CROWD * CROWD)
+        bad = held.keep(bad if last is None else bad.join(last, "key", "left_anti"))
         if (bad.agg(F.sum("pairs")).first()[0] or 0) <= WORTH:
             break
         bad = bad.select("key")
         last = bad if last is None else held.keep(last.unionByName(bad))
         rows = held.keep(reranked(base, members, rows, bad, last, k, levels, held))
         lists = held.keep(inverted_lists(rows))
-        links = held.keep(links.unionByName(tested(base, members, held.keep(leader_pairs(lists)), k, held)))
-        placed, mixed = placed_lists(lists, components(links), held)
-    late = tested(base, members, held.keep(open_pairs(placed, mixed, held)), k, held)
-    roots = components(links.unionByName(late))
+        roots = components(held.keep(roots.toDF("a", "b").unionByName(linked(leader_pairs(lists)))))
+        placed, mixed = placed_lists(lists, roots, held)
+    roots = components(roots.toDF("a", "b").unionByName(linked(open_pairs(placed, mixed, held))))
     named = members.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("comp"))
     out = sig.where("n > 0").select("row", "doc_id", "n", "h").join(named, "h").select("row", "doc_id", "n", "comp")
     out = held.keep(out.unionByName(sig.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("long").alias("comp"))))

@@ -164,3 +164,35 @@ def test_moving_shingles_last_changes_no_link(spark, monkeypatch):
                 x, y = root[a], root[b]
                 root = {i: min(x, y) if v in (x, y) else v for i, v in root.items()}
     assert before == root
+
+
+def test_counters_of_the_sketch_are_small(spark):
+    from crosspanel.llm import jaccard_join
+
+    counts = np.random.default_rng(1).poisson(0.4, jaccard_join.CHUNK)
+    counts[7], counts[9] = 300, 1 << 40
+    raw = jaccard_join.packed(counts)
+    assert (jaccard_join.unpacked(raw) == counts).all() and len(raw) < jaccard_join.CHUNK // 3
+
+
+def test_parities_rule_out_no_linked_pair(spark):
+    from crosspanel.llm import jaccard_join
+
+    r = np.random.default_rng(5)
+    sets, pairs, linked = [], [], set()
+    for k in range(400):
+        n = int(r.choice([5, 20, 60, 64, 65, 120, 128, 129, 300, 2000]))
+        base = r.integers(0, 1 << 63, n + n // 3, np.uint64)
+        a = np.unique(base[: n + int(r.integers(0, n // 4 + 1))])
+        b = np.unique(np.concatenate([base[int(r.integers(0, n // 4 + 1)) : n], r.integers(0, 1 << 63, int(r.integers(0, n // 12 + 1)), np.uint64)]))
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            continue
+        sets += [(2 * k, len(a), jaccard_join.parity(a).tolist()), (2 * k + 1, len(b), jaccard_join.parity(b).tolist())]
+        pairs.append((2 * k, 2 * k + 1))
+        same = len(np.intersect1d(a, b))
+        if 180 * same >= 80 * (len(a) + len(b)):
+            linked.add((2 * k, 2 * k + 1))
+    found = jaccard_join.likely(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(sets, "h long, n int, odd array<long>"))
+    kept = {tuple(x) for x in found.collect()}
+    assert linked and linked <= kept < set(pairs)
+    assert any(len(x[2]) != len(y[2]) for x, y in zip(sets[::2], sets[1::2], strict=True))
