@@ -146,6 +146,15 @@ def test_each_line_rule(spark, line, passes):
     assert spark.range(1).select(quality_rules.line_passes(F.lit(line)).alias("p")).first().p == passes
 
 
+def test_counts_of_characters_equal_plain_python(spark):
+    texts = ["", " \t\n\x0b\x0c\r", "a|b##c é<>😀 %$&*", "no symbols here.\nand\u00a0none\u2028there", "|||", "#" * 9 + " x\n\n#"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chars in (quality_rules.SPACES, "#*$%&|<>"):
+        assert [r.x for r in df.select(quality_rules.without(F.col("t"), chars).alias("x")).collect()] == ["".join(c for c in t if c not in chars) for t in texts]
+    plan = quality_rules.quality(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "translate(" not in plan  # which makes a string of every character
+
+
 def test_wrapped_lines_are_one(spark):
     row = spark.range(1).select(quality_rules.clean_lines(F.lit("It is a long line that\nis wrapped here.\nNext\nHome")).alias("x")).first()
     assert row.x == ["It is a long line that is wrapped here."]
