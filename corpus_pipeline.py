@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.llm import jaccard_join, language, mixing, substring_dedup, tokens
-from crosspanel.llm.common import materialize, table
+from crosspanel.llm.common import materialize, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Profiles are learned from the documents given, outside the held-out fifth. If no row has a lang, all stay. Repeated rows
     stay or go together; of equal distances the first language counts, which decides nothing here.
     """
+    small_batches(spark)
     profiles = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     return language.keep_identified(docs, profiles)
 
@@ -32,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows equal in id and text are copies, with words or without; of those that differ elsewhere the one with the smallest hash
     of all columns stays. Texts without words are in no other group.
     """
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -41,6 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts and those that lose nothing stay as they are; of repeated rows every passage goes. No row goes, even if its
     text becomes empty.
     """
+    small_batches(spark)
     kept = substring_dedup.without_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
@@ -56,6 +59,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document of the mix, and the round trip's digests, one row for each row; null text counts as empty."""
+    small_batches(spark)
     return tokens.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, k: int, as_windows: bool, held: S
                         rows += [(w, p["seg"], p["c"], i, d, a + i) for i, w in enumerate(windows[a:b].tolist())]
                     else:
                         rows.append((p["anchor"], p["seg"], words[a : b + k - 1].tobytes()))
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
             if rows:
