@@ -15,6 +15,7 @@ columns are read; ids are whole numbers.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,14 +39,25 @@ ESCAPE = np.uint64((1 << 60) - 1)
 BLOCK_IDS = 65_536
 #: Bits of small numbers.
 BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
-#: Chunks of one generation that a Python worker remembers at most, of two, and the characters of the longest: about 100 MB each.
-CHUNKS, REMEMBERED = 450_000, 32
-#: The stand-in of a space in byte-level tokens.
+#: Pieces of one generation that a Python worker remembers at most, of two, and the characters of the longest: about 100 MB each.
+PIECES, REMEMBERED = 450_000, 32
+#: The stand-in of a space in byte-level tokens; other printable ASCII characters stand for themselves.
 SPACE = "\u0120"
-#: A chunk of common letters, signs and line feeds, and the pieces of it that the tokenizer's pattern makes.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-COMMON = re.compile("[!-~\nÀ-ÖØ-öø-ɏ]+")
-PIECES = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\n+(?!\\S)|\n+")
+#: Kinds of bytes: letters (and what follows a first byte), digits, other signs; then white space; then bytes of uncommon
+#: characters, last those with which white space may begin.
+SPACE_KIND, WHITE_KIND, ODD_KIND, UNSURE_KIND = 4, 5, 6, 7
+KINDS = np.full(256, ODD_KIND, np.uint8)
+KINDS[0x21:0x7F] = 3
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 1
+KINDS[0x30:0x3A] = 2
+KINDS[[*range(0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = UNSURE_KIND
+KINDS[[9, 10, 13]] = WHITE_KIND
+KINDS[32] = SPACE_KIND
+#: The common characters, which are those of the first five kinds but the signs among the letters.
+COMMON = re.compile("[\t\n\r -~À-ÖØ-öø-ɿ]+")
+#: Contractions after the apostrophe, and white space beyond ASCII, as bytes.
+SHORT, LONG = list(b"stmd"), [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")]
+SPACES = [int.from_bytes(chr(x).encode(), "big") for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +81,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break  # what does not fit here fits in no longer run of narrower ids
         np.putmask(choice, fits, np.uint8(s))
-    steps, at, starts = COUNTS.astype(np.uint8)[choice].tolist(), 0, []
-    begins = starts.append
-    while at < n:
-        begins(at)
-        at += steps[at]
-    begin = np.array(starts, np.int64)
+    jump = np.append(np.arange(n, dtype=np.int64) + COUNTS[choice], n)  # from a word's first id to the next word's, then two words on, four, ...
+    np.minimum(jump, n, out=jump)
+    begin = np.zeros(1, np.int64)
+    while begin[-1] < n:
+        begin = np.concatenate([begin, jump[begin]])
+        jump = jump[jump]
+    begin = begin[begin < n]
     selector = choice[begin] if n else np.zeros(0, np.uint8)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector):
@@ -126,16 +139,59 @@ def from_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else d for x, d in zip(nulls, doc_ids, strict=True)], lengths, unpack(words, escapes, n)
 
 
+def pieces(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, and the end. Text i is the bytes from ``texts[i]`` to ``texts[i + 1]``, from 0 to the end.
+
+    Common characters are cut as the byte-level pattern does it: runs of letters, of digits and of other signs, each with the
+    space before it, contractions, and white space. That pattern always cuts before a space that a non-space follows, so what has
+    an uncommon character, or may hold a special token, between two such cuts is left as one piece.
+    """
+    n = len(data)
+    kind, begins = KINDS[data], np.zeros(n + 1, bool)
+    begins[texts] = True
+    white = np.append(kind >= SPACE_KIND, True) & ~np.append(kind >= ODD_KIND, False)
+    white[n] = True
+    last = np.append(white[:-1] & ~white[1:] & ~begins[1:], False)  # the last of some white space, before a non-space of its text
+    cut = begins.copy()
+    cut[1:n] |= np.where(white[1:n], ~white[: n - 1] | last[1:n], (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE_KIND))
+
+    padded = np.append(data, np.zeros(3, np.uint8))
+    after = lambda at, k: padded[at + k].astype(np.int32)
+    at = np.flatnonzero(data == 39)  # an apostrophe
+    at = at[cut[at] & ~begins[at + 1]]
+    if len(at):
+        short = np.isin(after(at, 1), SHORT)
+        long = np.isin(after(at, 1) << 8 | after(at, 2), LONG) & ~begins[np.minimum(at + 2, n)]
+        cut[at[short | long] + 1] = False
+        cut[at[short] + 2] = cut[at[long] + 3] = True
+
+    odd = kind >= ODD_KIND
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # <|
+    odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among the letters
+    at = np.flatnonzero(odd)
+    if len(at):
+        safe = last & np.append(data == 32, False)
+        unsure = np.flatnonzero(safe[:-1] & (np.append(kind[1:], 0) == UNSURE_KIND))
+        code = after(unsure, 1) << 16 | after(unsure, 2) << 8 | after(unsure, 3)
+        safe[unsure[(code < 0x800000) | np.isin(code, SPACES) | np.isin(code >> 8, SPACES)]] = False
+        ends = np.flatnonzero(safe | begins)
+        part = np.unique(np.searchsorted(ends, at, side="right") - 1)
+        depth = np.zeros(n + 1, np.int8)
+        depth[ends[part] + 1] += 1
+        depth[ends[part + 1]] -= 1
+        cut &= np.cumsum(depth, dtype=np.int8) == 0
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """The library's ids of texts, remembered by chunk.
+    """The library's ids of texts, remembered by piece.
 
-    The pattern that cuts a text always cuts before a space that a non-space follows, so a text is the sum of its chunks
-    between such spaces. New chunks of common characters are cut by the same pattern here, and their pieces go straight to the
-    library's BPE model; other new chunks are joined and encoded in one call, where each one's ids begin with a token that
-    begins with a space and no other token does. Texts with white space after a space go to the library whole.
+    Texts are cut into pieces as the library's pattern cuts them (see ``pieces``), and each different piece of a step is looked up
+    once. New pieces of common characters go straight to the library's BPE model, other new ones to the library. With a file of
+    other settings than byte-level BPE without a normalizer, every text goes to the library whole.
 
-    Remembered chunks are bounded in number, and long ones are forgotten after their step. Beyond the bound a new
-    generation begins, into which what is asked for again moves from the one before.
+    Remembered pieces are bounded in number, and long ones are not remembered. Beyond the bound a new generation begins, into
+    which what is asked for again moves from the one before.
     """
 
     def __init__(self, path: str):
@@ -144,104 +200,51 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.symbols = self.library.model, byte_symbols()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}  # pieces that no space precedes
-        self.marks = {m: self.piece(m) for m in ",.;:!?)"}
-
-    def of(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """A piece of the pattern, in the stand-ins of its bytes."""
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(piece)])
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remembers the chunks that can stand alone."""
-        known, before, packed, tokenize, odd = self.known, self.before, self.packed, self.model.tokenize, []
-        marks = self.marks
-        for c in chunks:
-            if (ids := before.get(c)) is not None:
-                known[c] = ids
-            elif c.isascii() and c.isalpha():
-                known[c] = b"".join([packed[t.id] for t in tokenize(SPACE + c)])
-            elif LETTERS.fullmatch(c):
-                known[c] = self.piece((" " + c).encode().decode("latin-1").translate(self.symbols))
-            elif (mark := marks.get(c[-1:])) is not None and LETTERS.fullmatch(word := c[:-1]):  # a word and one mark
-                if (ids := known.get(word)) is None and (ids := before.get(word)) is None:
-                    ids = b"".join([packed[t.id] for t in tokenize(SPACE + word)]) if word.isascii() else self.piece((" " + word).encode().decode("latin-1").translate(self.symbols))
-                    if len(word) <= REMEMBERED:
-                        known[word] = ids
-                known[c] = ids + mark
-            elif COMMON.fullmatch(c) and c[0] != "\n" and "<|" not in c:
-                known[c] = self.mixed(c)
-            elif c and not c[0].isspace():
-                odd.append(c)
-        for at in range(0, len(odd), 20_000):
-            part = odd[at : at + 20_000]
-            ids = np.frombuffer(self.of(" " + " ".join(part)), "<u4")
-            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-            if len(cuts) != len(part) + 1:
-                raise ValueError("a chunk's first token does not begin with a space")
-            raw = ids.tobytes()
-            ends = (4 * cuts).tolist()
-            known.update((c, raw[a:b]) for c, a, b in zip(part, ends, ends[1:], strict=False))
-
-    def mixed(self, chunk: str) -> bytes:
-        first, *rest = PIECES.findall(" " + chunk)
-        out = [self.known.get(first[1:])]
-        if out[0] is None and (ids := self.before.get(first[1:])) is not None:
-            out[0] = ids
-        if out[0] is None:
-            out[0] = self.piece(first.encode().decode("latin-1").translate(self.symbols))
-            if len(first) <= REMEMBERED:
-                self.known[first[1:]] = out[0]
-        for p in rest:
-            ids = self.inner.get(p)
-            if ids is None:
-                ids = self.piece(p.encode().decode("latin-1").translate(self.symbols))
-                if len(p) <= REMEMBERED:
-                    self.inner[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def head(self, first: str) -> bytes:
-        """The chunk that a text begins with, which no space precedes."""
-        if not (COMMON.fullmatch(first) and first[0] != "\n" and "<|" not in first):
-            return self.of(first)
-        out = []
-        for p in PIECES.findall(first):
-            ids = self.inner.get(p)
-            if ids is None:
-                ids = self.piece(p.encode().decode("latin-1").translate(self.symbols))
-                if len(p) <= REMEMBERED:
-                    self.inner[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            cut = [t.split(" ") for t in texts[at : at + 256]]
-            new = set().union(*cut).difference(self.known)
-            self.learn(new)
-            known = self.known
-            for text, (first, *rest) in zip(texts[at : at + 256], cut, strict=True):
-                try:
-                    raw = (self.head(first) if first else b"") + b"".join([known[c] for c in rest])
-                except KeyError:
-                    raw = self.of(text)
-                yield raw
-            for c in new:
-                if len(c) > REMEMBERED:
-                    known.pop(c, None)
-            if len(known) > CHUNKS:
-                self.before, self.known = known, {}
-            if len(self.inner) > CHUNKS:
-                self.inner = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cutter, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        level = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+        plain = all(x["content"].startswith("<|") and " " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in added)
+        self.cuts = bool(level and plain and spec["normalizer"] is None and spec["model"].get("type", "BPE") == "BPE")
+
+    def of(self, piece: str) -> bytes:
+        if self.cuts and "<|" not in piece:
+            packed = self.packed
+            if piece.isascii() and piece.isprintable():
+                return b"".join([packed[t.id] for t in self.model.tokenize(piece.replace(" ", SPACE))])
+            if COMMON.fullmatch(piece):
+                return b"".join([packed[t.id] for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin, and the end."""
+        column = column.cast(pa.string())
+        _, offsets, data = column.buffers()
+        texts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[texts[0] : texts[-1]]
+        texts = texts - texts[0]
+        begin = pieces(data, texts) if self.cuts else np.unique(texts)
+        strings = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data))
+        coded = strings.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, different))
+        for i in [i for i, raw in enumerate(found) if raw is None]:
+            piece = different[i]
+            if (raw := self.before.get(piece)) is None:
+                raw = self.of(piece)
+            found[i] = raw
+            if len(piece) <= REMEMBERED:
+                self.known[piece] = raw
+        if len(self.known) > PIECES:
+            self.before, self.known = self.known, {}
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place, code = np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[code])])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(place[code] - ends[:-1], size[code]) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(begin, texts)]
 
 
 @lru_cache(maxsize=4)
@@ -256,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, tokens, end = TaskContext.get().partitionId(), encoder(path), end_id.to_bytes(4, "little")
+        file, tokens = TaskContext.get().partitionId(), encoder(path)
         names = ["file", "block", "in_file", "n_ids", "payload"]
         block, before, size, ids, arrays = 0, 0, 0, [], []
 
@@ -266,10 +269,12 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
         for batch in steps(batches, 1):
-            for doc, found in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True):
+            found, begin = tokens.ids(batch.column(1))
+            found, begin = np.insert(found, begin[1:], end_id), begin + np.arange(len(begin))
+            for doc, a, b in zip(batch.column(0).to_pylist(), begin.tolist(), begin[1:].tolist(), strict=False):
                 ids.append(doc)
-                arrays.append(np.frombuffer(found + end, "<u4"))
-                size += len(arrays[-1])
+                arrays.append(found[a:b])
+                size += b - a
                 if size >= BLOCK_IDS:
                     yield flush()
                     block, before, size, ids, arrays = block + 1, before + size, 0, [], []

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -252,6 +253,33 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert token_store.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_token_pieces(monkeypatch):
+    """The library's ids of hard strings, and one call for each different piece, whatever marks and white space stand around it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, tokens = Tokenizer.from_file(path), token_store.Encoder(path)
+    atoms = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "the", "it's", "'ll", "'re", "'x", "''", "'S", "s", "ve", "é", "ñandú",
+             "×", "÷", "ɐ", "ʀ", "12", "!", "...", "<|", "<|endoftext|>", "|>", "“", "—", "中文", "мир", "🙂", "e\u0301", "²", "½", "º", "٣", "\u200b", "\x00"]
+    for k in [3, 8, len(atoms)] * 60:
+        pool = R.sample(atoms, k)
+        texts = ["".join(R.choice(pool) for _ in range(R.randrange(14))) for _ in range(R.randrange(40))]
+        ids, begin = tokens.ids(pa.array(["skipped", *texts], pa.string()).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    other = public_tokenizers.path("word_bpe_49k.json")  # its texts go to the library whole
+    lib, whole = Tokenizer.from_file(other), token_store.Encoder(other)
+    lib.no_truncation()
+    texts = [t or "" for t in TEXTS]
+    ids, begin = whole.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    calls = []
+    monkeypatch.setattr(token_store.Encoder, "of", lambda self, piece, of=token_store.Encoder.of: calls.append(piece) or of(self, piece))
+    names = [f"zq{c}{d}" for c in "abcdef" for d in "uvwxyz"]
+    texts = [f"{R.choice(names)}{R.choice(',.;:!?')}  {R.choice(names)}.\n{R.choice(names)}{R.choice(['...', '***', '#'])}" for _ in range(2000)]
+    for at in range(0, len(texts), 500):
+        tokens.ids(pa.array(texts[at : at + 500]))
+    assert max(Counter(calls).values()) == 1
+    assert len(calls) <= 2 * len(names) + 20
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == len(TEXTS) + 1
