@@ -38,6 +38,25 @@ def clipped(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x.cast("double"))))
 
 
+def one_decimal(x: Column) -> Column:
+    """A number of 0 or more as text with one decimal, as ``printf`` writes it: halves of the double's exact value go to the even digit.
+
+    ``format_string`` rounds the shortest decimal text up instead: 0.25 would be 0.3, and 0.35, which is less than 7 / 20, 0.4. The
+    fraction of a double is exact, and so is its tenfold as a rounded sum and what the sum leaves out.
+    """
+    x = x.cast("double")
+    frac = x - F.floor(x)
+    s, a, b = frac * 10, frac * 8, frac * 2
+    left = (a - (s - (s - a))) + (b - (s - a))
+    n = F.when((s - F.floor(s) == 0.5) & (left != 0), F.when(left > 0, F.ceil(s)).otherwise(F.floor(s))).otherwise(F.rint(s)).cast("int")
+    small = F.concat((F.floor(x) + F.floor(n / 10)).cast("string"), F.lit("."), (n % 10).cast("string"))
+    high = F.floor(x / 2.0**60)
+    whole = high.cast("decimal(20,0)") * F.lit(2**60).cast("decimal(20,0)") + (x - high * 2.0**60).cast("long").cast("decimal(20,0)")
+    large = F.concat(whole.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    odd = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf"))
+    return F.coalesce(odd, F.when(x < 2.0**62, small).when(x < 2.0**120, large).otherwise(F.format_string("%.1f", x)))
+
+
 # --- dates
 def month_end(d: Column, days: int = 0, months: int = 0) -> Column:
     """The last day of the month so many months later, and so many days on."""

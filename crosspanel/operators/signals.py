@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import one_decimal
 from ..spec import PANEL, PanelSpec
 from .crosssection import equal_bins, unique_rank
 from .evaluate import rank_ic
@@ -62,7 +63,7 @@ def drawdown_points(peak: Column, low: Column, tiers: list[tuple[float, int]]) -
 
 def risk_reward(target: Column, price: Column, stop: Column) -> Column:
     """``1:x.x`` if the price lies between stop and target, else N/A."""
-    return F.coalesce(F.when((price > stop) & (target > price), F.format_string("1:%.1f", (target - price) / (price - stop))), F.lit("N/A"))
+    return F.coalesce(F.when((price > stop) & (target > price), F.concat(F.lit("1:"), one_decimal((target - price) / (price - stop)))), F.lit("N/A"))
 
 
 def position_sizes(df: DataFrame, score: str, group: str, out: str, n: int = 20, low: float = 0.03, high: float = 0.15, most: float = 0.4, invested: float = 0.95, spec: PanelSpec = PANEL) -> DataFrame:
