@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PANEL, PanelSpec
-from .crosssection import last_dates
-from .evaluate import correlation
+from .pairs import best_correlations, best_shared
+from .quantiles import _written
 
 
 def category_edges(nodes: DataFrame, category: str, size: str, leaders: int, near: int, weight: float, key: str = "id") -> DataFrame:
@@ -42,13 +40,24 @@ def category_peers(nodes: DataFrame, category: str, size: str, leaders: int, nea
     return met.select("src", "dst", F.lit(weight).alias("weight"))
 
 
-def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int, least: int, spec: PanelSpec = PANEL) -> DataFrame:
-    """Pairs of entities whose series correlate above the threshold, the best few per node. Pairs meet on dates."""
-    x = returns.where(F.col(col).isNotNull()).select(spec.date, F.col(spec.entity).alias("src"), F.col(col).alias("_x"))
-    y = x.select(spec.date, F.col("src").alias("dst"), F.col("_x").alias("_y"))
-    pairs = x.join(y, spec.date).where("src < dst").groupBy("src", "dst").agg(correlation("_x", "_y").alias("weight"), F.count(F.lit(1)).alias("n"))
-    strong = pairs.where((F.col("n") >= least) & (F.round("weight", 9) > threshold)).select("src", "dst", F.round("weight", 9).alias("weight"))
-    return cap_edges(reversed_too(strong), top)
+def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int, least: int, block: int = 2048, spec: PanelSpec = PANEL) -> DataFrame:
+    """Pairs of entities whose series correlate above the threshold on ``least`` common dates or more, the best few per node."""
+    return _correlated(_values(returns, col, spec), None, threshold, top, least, 9, block, spec)
+
+
+def _values(returns: DataFrame, col: str, spec: PanelSpec) -> DataFrame:
+    """entity, date, _x: the known values, written, since they are read for their dates and again for the pairs."""
+    return _written(returns.where(F.col(col).isNotNull()).select(spec.entity, spec.date, F.col(col).cast("double").alias("_x")))
+
+
+def _correlated(values: DataFrame, last: int | None, threshold: float, top: int, least: int, digits: int, block: int, spec: PanelSpec) -> DataFrame:
+    days = values.select(spec.date).distinct()
+    if last is not None:
+        days = days.orderBy(F.col(spec.date).desc()).limit(last)
+    days = _written(days.withColumn("_k", F.row_number().over(Window.orderBy(spec.date)) - 1))  # one row a date
+    met = values.join(F.broadcast(days), spec.date)
+    series = met.groupBy(F.col(spec.entity).alias("id")).agg(F.collect_list(F.struct("_k", F.col("_x").alias("x"))).alias("xs"))
+    return cap_edges(best_correlations(series, days.count() or 1, threshold, top, least, digits, block), top)
 
 
 def reversed_too(edges: DataFrame) -> DataFrame:
@@ -94,43 +103,8 @@ def extracted_links(pages: DataFrame, key: str, text: str, pattern: str, most: i
 
 
 def rolling_correlation_edges(returns: DataFrame, col: str, dates: int, threshold: float, top: int, least: int, block: int = 2048, spec: PanelSpec = PANEL) -> DataFrame:
-    """Pairs of entities whose last ``dates`` dates correlate above the threshold on ``least`` common dates, the best per node.
-
-    Each entity is one vector with a mask. Cells of ``block`` by ``block`` entities give all their pairs by a few matrix
-    products, and only the best of each node and cell leave the cell, so rows do not grow with the square of the entities.
-    """
-    recent = last_dates(returns.where(F.col(col).isNotNull()), dates, spec=spec)
-    days = recent.select(spec.date).distinct().withColumn("_k", F.row_number().over(Window.orderBy(spec.date)) - 1)
-    places = recent.join(F.broadcast(days), spec.date).groupBy(F.col(spec.entity).alias("id")).agg(F.collect_list(F.struct("_k", F.col(col).cast("double").alias("x"))).alias("xs"))
-    groups = -(-places.count() // block) or 1
-    mine = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    src = places.select(mine.alias("i"), every.alias("j"), "id", "xs", F.lit(True).alias("src"))
-    dst = places.select(every.alias("i"), mine.alias("j"), "id", "xs", F.lit(False).alias("src"))
-
-    def cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids, is_src = rows.column("id").to_numpy(), rows.column("src").to_numpy()
-        x, m = np.zeros((len(ids), dates)), np.zeros((len(ids), dates))
-        for k, xs in enumerate(rows.column("xs").to_pylist()):
-            at = [p["_k"] for p in xs]
-            m[k, at] = 1
-            x[k, at] = [p["x"] for p in xs]
-        x = (x - x.sum(1, keepdims=True) / np.maximum(m.sum(1, keepdims=True), 1)) * m
-        a, b, ma, mb = x[is_src], x[~is_src], m[is_src], m[~is_src]
-        n, sa, sb = ma @ mb.T, a @ mb.T, ma @ b.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cov = a @ b.T - sa * sb / n
-            var = ((a * a) @ mb.T - sa * sa / n) * (ma @ (b * b).T - sb * sb / n)
-            rho = np.round(cov / np.sqrt(np.where(var > 1e-24, var, np.nan)), 7)
-        rho[(n < least) | ~(rho > threshold) | (ids[is_src][:, None] == ids[~is_src][None, :])] = -np.inf
-        others = ids[~is_src]
-        order = np.lexsort((np.broadcast_to(others, rho.shape), -rho), axis=1)[:, :top]
-        best = np.take_along_axis(rho, order, 1)
-        r, c = np.nonzero(best > -np.inf)
-        return pa.table({"src": pa.array(ids[is_src][r], pa.int64()), "dst": pa.array(others[order[r, c]], pa.int64()), "weight": pa.array(best[r, c], pa.float64())})
-
-    edges = src.unionByName(dst).withColumn("id", F.col("id").cast("long")).groupBy("i", "j").applyInArrow(cell, "src long, dst long, weight double")
-    return cap_edges(edges, top)
+    """``correlation_edges`` over the last ``dates`` dates, with weights of 7 digits."""
+    return _correlated(_values(returns, col, spec), dates, threshold, top, least, 7, block, spec)
 
 
 def membership_edges(members: DataFrame, group: str, universe: DataFrame, weight: float = 1.0, spec: PanelSpec = PANEL) -> DataFrame:
@@ -149,15 +123,27 @@ def members_outside(members: DataFrame, group: str, universe: DataFrame, spec: P
     return members.select(spec.entity, group).distinct().join(universe.select(spec.entity).distinct(), spec.entity, "left_anti")
 
 
-def group_neighbours(edges: DataFrame, asked: DataFrame, k: int, spec: PanelSpec = PANEL) -> DataFrame:
+#: Pairs that share a group, for each membership: up to so many meet in a join, more in cells.
+JOINED = 20
+
+
+def group_neighbours(edges: DataFrame, asked: DataFrame, k: int, block: int = 2048, spec: PanelSpec = PANEL) -> DataFrame:
     """src, dst, shared: the k members that share most groups with each entity asked for; ties go to the smaller one.
 
-    Two steps over the edges of ``membership_edges``: rows grow with the entities asked for times the members of their groups.
+    The pairs of the entities asked for with the members of their groups are counted first. If they are few they meet in a join; else
+    they are counted by cells of blocks of entities (``pairs``), where no pair is a row.
     """
-    first = edges.join(asked.select(F.col(spec.entity).alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("_a"), "dst")
-    met = first.join(edges.select(F.col("src").alias("_b"), "dst"), "dst").where("_a <> _b").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("shared"))
-    order = Window.partitionBy("_a").orderBy(F.col("shared").desc(), "_b")
-    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "shared")
+    edges = _written(edges.select("src", "dst"))
+    first = edges.join(asked.select(F.col(spec.entity).alias("src")).distinct(), "src", "left_semi")
+    sizes = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_n")).join(first.groupBy("dst").agg(F.count(F.lit(1)).alias("_m")), "dst")
+    if (sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0.0) <= JOINED * edges.count():
+        first = first.select(F.col("src").alias("_a"), "dst")
+        met = first.join(edges.select(F.col("src").alias("_b"), "dst"), "dst").where("_a <> _b").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("weight"))
+        met = met.select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight")
+    else:
+        of = lambda e: e.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("groups"))
+        met = best_shared(of(edges), of(first), k, block)
+    return cap_edges(met, k).withColumnRenamed("weight", "shared")
 
 
 def both_ways(pairs: DataFrame, a: str, b: str, most: int, weight: float) -> DataFrame:
