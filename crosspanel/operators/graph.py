@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from ..spec import PANEL, PanelSpec
 from .pairs import best_correlations, best_shared
-from .quantiles import _written
 
 
 def category_edges(nodes: DataFrame, category: str, size: str, leaders: int, near: int, weight: float, key: str = "id") -> DataFrame:
@@ -47,14 +47,14 @@ def correlation_edges(returns: DataFrame, col: str, threshold: float, top: int,
 
 def _values(returns: DataFrame, col: str, spec: PanelSpec) -> DataFrame:
     """entity, date, _x: the known values, written, since they are read for their dates and again for the pairs."""
-    return _written(returns.where(F.col(col).isNotNull()).select(spec.entity, spec.date, F.col(col).cast("double").alias("_x")))
+    return written(returns.where(F.col(col).isNotNull()).select(spec.entity, spec.date, F.col(col).cast("double").alias("_x")))
 
 
 def _correlated(values: DataFrame, last: int | None, threshold: float, top: int, least: int, digits: int, block: int, spec: PanelSpec) -> DataFrame:
     days = values.select(spec.date).distinct()
     if last is not None:
         days = days.orderBy(F.col(spec.date).desc()).limit(last)
-    days = _written(days.withColumn("_k", F.row_number().over(Window.orderBy(spec.date)) - 1))  # one row a date
+    days = written(days.withColumn("_k", F.row_number().over(Window.orderBy(spec.date)) - 1))  # one row a date
     met = values.join(F.broadcast(days), spec.date)
     series = met.groupBy(F.col(spec.entity).alias("id")).agg(F.collect_list(F.struct("_k", F.col("_x").alias("x"))).alias("xs"))
     return cap_edges(best_correlations(series, days.count() or 1, threshold, top, least, digits, block), top)
@@ -133,7 +133,7 @@ def group_neighbours(edges: DataFrame, asked: DataFrame, k: int, block: int = 20
     The pairs of the entities asked for with the members of their groups are counted first. If they are few they meet in a join; else
     they are counted by cells of blocks of entities (``pairs``), where no pair is a row.
     """
-    edges = _written(edges.select("src", "dst"))
+    edges = written(edges.select("src", "dst"))
     first = edges.join(asked.select(F.col(spec.entity).alias("src")).distinct(), "src", "left_semi")
     sizes = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_n")).join(first.groupBy("dst").agg(F.count(F.lit(1)).alias("_m")), "dst")
     if (sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0.0) <= JOINED * edges.count():

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import _written
+from ..sources.files import written
 
 #: Bytes of one side of a cell; rows and columns of a tile.
 HELD, ROWS, COLUMNS = 48 << 20, 1024, 2048
@@ -118,7 +118,7 @@ def best_correlations(series: DataFrame, dates: int, threshold: float, top: int,
     precision with a bound on its error; what may be among the best is computed again in double precision, each pair around its own means.
     """
     kind = series.schema["id"].dataType.simpleString()
-    packed = _written(series.where((F.size("xs") >= least) & F.col("id").isNotNull()).mapInArrow(_packed(dates), f"id {kind}, v binary"))
+    packed = written(series.where((F.size("xs") >= least) & F.col("id").isNotNull()).mapInArrow(_packed(dates), f"id {kind}, v binary"))
     groups = block_count(packed.count(), 8 * dates, block)
     mine, other = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_o")
     dealt = packed.select("id", "v", mine.alias("_b"), other)

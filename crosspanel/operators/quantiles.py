@@ -14,17 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch
+from ..sources.files import written
 
 GRID, SMALL = 32, 1_000_000
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy("g", "p", "x", *keys).agg(F.sum("c").alias("c"))
 
@@ -34,25 +28,25 @@ def exact_quantiles(df: DataFrame, value: Column | str, by: list[str], shares: l
     value = F.col(value) if isinstance(value, str) else value
     group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_all"))
     rows = df.select(group.alias("g"), F.lit(0).cast("decimal(38,0)").alias("p"), value.cast("double").alias("x"), F.lit(1).cast("long").alias("c")).where("x is not null")
-    sizes = _written(rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")))
+    sizes = written(rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")))
     at = lambda share: F.lit(float(share)) * (F.col("n") - 1)
     each = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), w.cast("long").alias("k")) for s in shares for w in (F.floor(at(s)), F.ceil(at(s)))]))
-    wanted = _written(sizes.select("g", "p", "n", each.alias("w")).select("g", "p", "w.share", "w.k", F.col("w.k").alias("rank")).distinct())
+    wanted = written(sizes.select("g", "p", "n", each.alias("w")).select("g", "p", "w.share", "w.k", F.col("w.k").alias("rank")).distinct())
     largest = sizes.agg(F.max("n")).first()[0] or 0
     done: list[DataFrame] = []
     while largest > SMALL:
         points = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
-        edges = _written(rows.groupBy("g", "p").agg(F.percentile_approx("x", points, 100 * GRID).alias("e")))
+        edges = written(rows.groupBy("g", "p").agg(F.percentile_approx("x", points, 100 * GRID).alias("e")))
         binned = rows.join(edges, ["g", "p"]).withColumn("b", F.size(F.filter("e", lambda v: v < F.col("x")))).drop("e")
         buckets = binned.groupBy("g", "p", "b").agg(F.sum("c").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("rows"))
         so_far = Window.partitionBy("g", "p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # GRID rows at most
-        buckets = _written(buckets.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))))
-        picked = _written(wanted.join(buckets, ["g", "p"]).where("k >= before and k < before + n"))
+        buckets = written(buckets.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))))
+        picked = written(wanted.join(buckets, ["g", "p"]).where("k >= before and k < before + n"))
         done.append(picked.where("low = high").select("g", "share", "rank", F.col("low").alias("x")))
         picked = picked.where("low < high")
         further = (F.col("p") * GRID + F.col("b")).cast("decimal(38,0)").alias("p")
-        rows = _written(_counted(binned.join(picked.select("g", "p", "b").distinct(), ["g", "p", "b"]).select("g", further, "x", "c")))
-        wanted = _written(picked.select("g", further, "share", (F.col("k") - F.col("before")).alias("k"), "rank"))
+        rows = written(_counted(binned.join(picked.select("g", "p", "b").distinct(), ["g", "p", "b"]).select("g", further, "x", "c")))
+        wanted = written(picked.select("g", further, "share", (F.col("k") - F.col("before")).alias("k"), "rank"))
         left = rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         largest = left if left < largest else 0  # a bucket that no edge cuts is sorted as it is
     few = _counted(rows)

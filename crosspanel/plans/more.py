@@ -388,7 +388,8 @@ def _(s, d):
  select src, dst, round(weight, 6) weight from (select *, row_number() over (partition by src order by weight desc, dst) k from e) where k <= 15""")
 def _(s, d):
     logs = rets(s, d).where("ret > -1").withColumn("x", F.log1p("ret"))
-    return gr.rolling_correlation_edges(logs, "x", 60, 0.15, 15, 30).select("src", "dst", r("weight"))
+    edges = gr.rolling_correlation_edges(logs, "x", 60, 0.15, 15, 30)
+    return edges.select("src", "dst", (F.round(F.col("weight") * 1e6) / 1e6).alias("weight"))  # of 7 digits: a half would go up by its text
 
 
 @query("k03_url_links", """with l as (select page_id src, lower(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1)))) dst from pages) select count(*) n, count(distinct src) sources, count(distinct dst) targets from (select src, dst from (select *, row_number() over (partition by src order by dst) k from (select distinct src, dst from l)) where k <= 20)""")

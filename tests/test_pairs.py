@@ -5,6 +5,9 @@ import pytest
 
 from crosspanel.operators import graph as gr
 from crosspanel.operators import pairs
+from crosspanel.operators import timeseries as ts
+from crosspanel.sources import files
+from crosspanel.sources import fixtures as fx
 
 
 def brute(rows, dates, threshold, top, least, digits):
@@ -53,6 +56,16 @@ def test_pairs_of_series_are_not_joined(spark):
     assert "Join" not in plan
 
 
+def test_panel_is_dealt_once(spark):
+    plan = ts.pct_change(fx.panel(spark, "/root/testdata/sf0.001"), "close", 1, "ret")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_written_rows_leave_no_setting_behind(spark):
+    assert sorted(x.id for x in files.written(spark.range(5).repartition(3, "id")).collect()) == [0, 1, 2, 3, 4]
+    assert spark.conf.get(files.CLEAN) == "false"
+
+
 @pytest.mark.parametrize("joined", [20, -1])
 @pytest.mark.parametrize("block", [2048, 16])
 def test_shared_groups_equal_a_join(spark, monkeypatch, joined, block):
