@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 Transform = Callable[[pa.Table], pa.Table]
 
 
@@ -74,9 +76,10 @@ def fold_scores(df: DataFrame, folds: DataFrame, place: str, fit: Callable[[Data
     """The rows of every fold's test, scored by what ``fit`` made of the rows of its training, with the fold's number.
 
     Folds (fold, train_from, train_to, test_from, test_to in places of a calendar) are a few rows; each is a Spark job of ``fit``'s own.
-    ``place`` names the column that holds a row's place, so training and test are range filters.
+    ``place`` names the column that holds a row's place, so training and test are range filters. The rows are written once and read for
+    each fold: what they come from is not computed again.
     """
-    out = None
+    df, out = written(df), None
     for k in folds.orderBy("fold").collect():
         model = fit(df.where(F.col(place).between(k.train_from, k.train_to)))
         one = score(df.where(F.col(place).between(k.test_from, k.test_to)), model).withColumn("fold", F.lit(k.fold))

@@ -14,6 +14,7 @@ from ..operators import pit
 from ..operators import quality as dq
 from ..operators import strategy as st
 from ..operators import timeseries as ts
+from ..sources import files
 from ..sources import fixtures as fx
 from ..spec import PANEL
 from .catalog import P, RSV, S, W, W_, bench, ewm_sql, ics, query, r, rets, sql
@@ -77,7 +78,8 @@ def _(s, d):
 @query("o04_fold_scores", sql("", "scores", "cal").rstrip() + f""", {FOLDS}, p as (select s.*, idx from scores s join cal using (d) where label is not null), t as (select fold, covar_pop(score, label) / var_pop(score) b, avg(score) mx, avg(label) my from p join folds on idx between train_from and train_to group by fold)
  select fold, id, d, round(my + b * (score - mx), 6) pred from p join folds on idx between test_from and test_to join t using (fold)""")
 def _(s, d):
-    p = S(s, d).where("label is not null").join(F.broadcast(cal(s, d)), "d")
+    days = files.written(cal(s, d))
+    p = S(s, d).where("label is not null").join(F.broadcast(days), "d").select("id", "d", "idx", "score", "label")
 
     def fit(rows):
         return rows.agg(F.expr("covar_pop(score, label) / var_pop(score)").alias("b"), F.avg("score").alias("x"), F.avg("label").alias("y")).first()
@@ -85,7 +87,7 @@ def _(s, d):
     def score(rows, m):
         return rows.select("id", "d", (F.lit(m.y) + F.lit(m.b) * (F.col("score") - F.lit(m.x))).alias("pred"))
 
-    return cb.fold_scores(p, st.purged_folds(cal(s, d), 104, 26, 26, 5, 2), "idx", fit, score).select("fold", "id", "d", r("pred"))
+    return cb.fold_scores(p, st.purged_folds(days, 104, 26, 26, 5, 2), "idx", fit, score).select("fold", "id", "d", r("pred"))
 
 
 # --- K: memberships (of the months and flags of an entity's largest lines)

@@ -6,6 +6,7 @@ import pytest
 from crosspanel.operators import graph as gr
 from crosspanel.operators import pairs
 from crosspanel.operators import timeseries as ts
+from crosspanel.plans import catalog
 from crosspanel.sources import files
 from crosspanel.sources import fixtures as fx
 
@@ -61,6 +62,12 @@ def test_panel_is_dealt_once(spark):
     assert plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["o04_fold_scores"])
+def test_folds_and_passes_read_what_was_written_once(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_written_rows_leave_no_setting_behind(spark):
     assert sorted(x.id for x in files.written(spark.range(5).repartition(3, "id")).collect()) == [0, 1, 2, 3, 4]
     assert spark.conf.get(files.CLEAN) == "false"
