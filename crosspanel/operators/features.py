@@ -145,15 +145,15 @@ def sliced(index: DataFrame, store: DataFrame, columns: int, rows: int, out: str
     return met.withColumns({out: F.concat(zeros, window), "mask": F.concat(F.array_repeat(F.lit(0), lack), F.array_repeat(F.lit(1), size))}).drop("values", "first")
 
 
-def flat_matrix(df: DataFrame, columns: list[str], lags: list[int], means: list[int], momenta: list[int], spec: PanelSpec = PANEL) -> DataFrame:
-    """Base columns, lags, rolling means and momenta in a fixed order, from one window pass; nulls become 0."""
+def flat_matrix(df: DataFrame, columns: list[str], lags: list[int], means: list[int], momenta: list[int], keep: tuple[str, ...] = (), spec: PanelSpec = PANEL) -> DataFrame:
+    """Base columns, lags, rolling means and momenta in a fixed order, from one window pass; nulls become 0. ``keep`` are added as they are."""
     w = spec.series()
     made = {c: F.col(c) for c in columns}
     for c in columns:
         made |= {f"{c}_lag{n}": F.lag(c, n).over(w) for n in lags}
         made |= {f"{c}_rmean{n}": F.when(F.count(c).over(spec.series(n)) >= n, F.avg(c).over(spec.series(n))) for n in means}
         made |= {f"{c}_mom{n}": F.try_divide(F.col(c), F.lag(c, n).over(w)) - 1 for n in momenta}
-    return df.select(spec.entity, spec.date, *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in made.items()])
+    return df.select(spec.entity, spec.date, *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in made.items()], *keep)
 
 
 def calibrated(df: DataFrame, official: str, estimate: str, out: str, low: float = 0.5, high: float = 2.0, spec: PanelSpec = PANEL) -> DataFrame:

@@ -451,8 +451,8 @@ def _(s, d):
 @query("m04_lasso_scores", None)
 def _(s, d):
     """Scored by the lasso of 14 lags, means and momenta whose penalty does best on the validation year."""
-    label = ts.forward_return(P(s, d), "close", 5, "label").select("id", "d", F.round("label", 9).alias("label"))
-    p = ft.flat_matrix(P(s, d), ["close", "volume"], lags=[1, 2], means=[5, 20], momenta=[5, 20]).join(label, ["id", "d"])
+    p = ts.forward_return(P(s, d).where("id is not null and d is not null"), "close", 5, "label").withColumn("label", F.round("label", 9))
+    p = files.written(ft.flat_matrix(p, ["close", "volume"], lags=[1, 2], means=[5, 20], momenta=[5, 20], keep=("label",)))  # read by four passes
     features = [c for c in p.columns if c not in ("id", "d", "label")]
     fit, valid = p.where("d < '1996-01-01'"), p.where("d >= '1996-01-01' and d < '1997-01-01'")
     weights, c, _ = rg.lasso(fit, valid, features, "label", [0.03, 0.01, 0.003, 0.001, 0.0003], 10)

@@ -62,7 +62,7 @@ def test_panel_is_dealt_once(spark):
     assert plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["o04_fold_scores"])
+@pytest.mark.parametrize("name", ["m04_lasso_scores", "o04_fold_scores"])
 def test_folds_and_passes_read_what_was_written_once(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan
