@@ -1,16 +1,20 @@
 """The feature matrix of a panel: base columns, lags, rolling blocks and flags, bounded and scaled by date.
 
-Columns of an entity's past come from windows that share one sort of the panel. Scaling works on the long form (entity, date, name,
-value), so that any number of columns takes one shuffle by date and name and one back, not a sort for each column. A value depends on
-rows up to its date alone: later rows, or none, change nothing.
+Columns of an entity's past come from windows that share one sort of the panel. Scaling deals a few columns at a time by date, where
+their bounds and moments are found, and joins these back: rows do not move twice. A value depends on rows up to its date alone: later
+rows, or none, change nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import ratio
+from ..sources.files import written
 from ..spec import PANEL, PanelSpec
 from . import timeseries as ts
 
@@ -59,25 +63,54 @@ def base_matrix(panel: DataFrame, market: DataFrame | None = None, spec: PanelSp
     return p.select(spec.entity, spec.date, *names, "avail_long"), names
 
 
+#: Columns whose values are dealt by date at once.
+AT_ONCE = 11
+
+
+def date_bounds(matrix: DataFrame, names: list[str], low: float, high: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """date, and for each name an array: its date's interpolated quantiles, and mean, above the lower one, and sample deviation of the values within them.
+
+    Nulls and NaN take no part; a name without a value on a date has null. One task holds the rows of a date.
+    """
+
+    def bounds(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        out = {spec.date: pa.array([key[0].as_py()], day)}
+        for c in names:
+            v = rows.column(c).to_numpy()
+            v, found = v[~np.isnan(v)], None
+            if n := len(v):
+                at = [(n - 1) * share for share in (low, high)]
+                places = [min(int(x) + k, n - 1) for x in at for k in (0, 1)]
+                a, a2, b, b2 = np.partition(v, sorted(set(places)))[places]
+                with np.errstate(all="ignore"):
+                    a, b = a + (a2 - a) * (at[0] - int(at[0])), b + (b2 - b) * (at[1] - int(at[1]))
+                    above = np.maximum(np.minimum(v, b), a) - a  # so that values far from 0 keep their digits
+                    found = [a, b, above.mean(), above.std(ddof=1) if n > 1 else None]
+            out[c] = pa.array([found], pa.list_(pa.float64()))
+        return pa.table(out)
+
+    kind = matrix.schema[spec.date].dataType
+    day = to_arrow_type(kind)
+    values = matrix.select(spec.date, *[F.col(c).cast("double").alias(c) for c in names])
+    return values.groupBy(spec.date).applyInArrow(bounds, ", ".join([f"`{spec.date}` {kind.simpleString()}", *[f"`{c}` array<double>" for c in names]]))
+
+
 def scaled_matrix(matrix: DataFrame, names: list[str], low: float = 0.01, high: float = 0.99, spec: PanelSpec = PANEL) -> DataFrame:
     """The matrix with each column within its date's interpolated quantiles, then as z-score of the date; missing values become 0.
 
-    Columns not named stay as they are.
+    Columns not named stay as they are. ``AT_ONCE`` columns at a time go to their dates, and only bounds, means and deviations come
+    back, one row a date: the matrix is computed again for each of these passes and for the result, and stands on disk in none.
     """
+    out = matrix
+    for at in range(0, len(names), AT_ONCE):
+        some = names[at : at + AT_ONCE]
+        found = written(date_bounds(matrix, some, low, high, spec)).select(F.col(spec.date), *[F.col(c).alias(f"_of_{c}") for c in some])
+        out = out.join(F.broadcast(found), spec.date, "left")
+
+    def z(c: str):
+        v, of = F.col(c).cast("double"), F.col(f"_of_{c}")
+        inside = (F.greatest(F.least(v, of[1]), of[0]) - of[0] - of[2]) / (of[3] + 1e-9)
+        return F.coalesce(F.when(v.isNotNull() & ~F.isnan(v), F.nanvl(inside, F.lit(0.0))), F.lit(0.0)).alias(c)
+
     others = [c for c in matrix.columns if c not in (*names, spec.entity, spec.date)]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("c")
-    long = matrix.select(spec.entity, spec.date, cells).select(spec.entity, spec.date, "c.*").where("v is not null and not isnan(v)")
-    of = Window.partitionBy(spec.date, "name")
-    rank, n = F.row_number().over(of.orderBy("v", spec.entity)), F.count(F.lit(1)).over(of)
-
-    def bound(share: float):
-        at = (F.col("_n") - 1) * share + 1
-        value = lambda k: F.max(F.when(F.col("_r") == k, F.col("v"))).over(of)
-        a = value(F.floor(at))
-        return a + (F.coalesce(value(F.floor(at) + 1), a) - a) * (at - F.floor(at))
-
-    long = long.withColumns({"_r": rank, "_n": n}).withColumn("v", F.greatest(F.least(F.col("v"), bound(high)), bound(low)))
-    z = (F.col("v") - F.avg("v").over(of)) / (F.stddev_samp("v").over(of) + 1e-9)
-    wide = long.withColumn("z", z).groupBy(spec.entity, spec.date).pivot("name", names).agg(F.first("z"))
-    kept = matrix.select(spec.entity, spec.date, *others).join(wide, [spec.entity, spec.date], "left")
-    return kept.select(spec.entity, spec.date, *[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in names], *others)
+    return out.select(spec.entity, spec.date, *[z(c) for c in names], *others)

@@ -374,6 +374,8 @@ def _(s, d):
 # --- M: the whole matrix
 @query("m09_wide_matrix", None)
 def _(s, d):
-    p, names = mx.base_matrix(P(s, d), bench(s, d))
+    bars = files.written(P(s, d).select("id", "d", "high", "low", "close", "volume"))
+    returns = ts.pct_change(bars, "close", 1, "ret").where("ret is not null")
+    p, names = mx.base_matrix(bars, files.written(returns.groupBy("d").agg(F.avg("ret").alias("ret"))))
     out = mx.scaled_matrix(p, names)
     return out.select("id", "d", *[r(c, 5) for c in names], "avail_long")

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,22 @@ def test_long_form_scales_like_one_column(panel):
         one = xs.zscore(xs.winsorise(base.where(F.col(name).isNotNull()), name, 0.01, 0.99, "w"), "w", "z")
         for r in one.select("id", "d", "z").collect():
             assert abs((r.z or 0.0) - scaled[r.id, r.d][place]) < 1e-9
+
+
+def test_scaling_moves_bounds_not_cells(spark, panel):
+    base, names = matrix.base_matrix(panel)
+    plan = matrix.scaled_matrix(base, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Pivot" not in plan and plan.count("Join") == -(-len(names) // matrix.AT_ONCE)
+
+
+def test_bounds_of_gaps_lone_values_and_empty_dates(spark):
+    rows = [(k, 1, float(k), None if k % 2 else float(k * k)) for k in range(40)] + [(1, 2, 5.0, float("nan")), (1, 3, None, None), (2, 3, None, 7.0)]
+    df = spark.createDataFrame(rows, "id int, k int, a double, b double").selectExpr("id", "date_add(date'2020-01-01', k) d", "a", "b", "id flag")
+    got = {(r.id, r.d.day): (r.a, r.b, r.flag) for r in matrix.scaled_matrix(df, ["a", "b"], 0.1, 0.9).collect()}
+    assert len(got) == 43 and got[1, 3] == (0.0, 0.0, 1) and got[1, 4] == (0.0, 0.0, 1) and got[2, 4] == (0.0, 0.0, 2)
+    for place, known in ((0, list(range(40))), (1, [k * k for k in range(0, 40, 2)])):
+        v = np.array(known, float)
+        v = np.clip(v, np.quantile(v, 0.1), np.quantile(v, 0.9))
+        z = (v - v.mean()) / (v.std(ddof=1) + 1e-9)
+        assert np.allclose([got[k, 2][place] for k in (range(40) if place == 0 else range(0, 40, 2))], z, atol=1e-9)
+    assert all(got[k, 2][1] == 0.0 for k in range(1, 40, 2))
